@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
             sums: dict[str, Column] | None = None,
             lasts: dict[str, Column] | None = None,
-            include_current: bool = True) -> DataFrame:
+            include_current: bool = True, totals: bool = False) -> DataFrame:
     """Add running totals (`sums`) and last non-null values (`lasts`) per key.
 
     `chunk` must never fall as `order` grows.  With `include_current=False` the values
-    describe the rows before the current one.
+    describe the rows before the current one. `totals=True` adds `<name>_total`, the sum
+    over the whole key.
     """
     sums, lasts = sums or {}, lasts or {}
     base = df.withColumn("_chunk", chunk)
@@ -33,16 +34,18 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
         local = local.withColumn(f"_loc_{name}", F.last(f"_in_{name}", ignorenulls=True).over(inside))
 
     at = F.struct(*[F.col(o) for o in order])
-    totals = base.groupBy(*keys, "_chunk").agg(
+    per_chunk = base.groupBy(*keys, "_chunk").agg(
         *[F.sum(f"_in_{n}").alias(f"_tot_{n}") for n in sums],
         *[F.max_by(F.col(f"_in_{n}"), F.when(F.col(f"_in_{n}").isNotNull(), at)).alias(f"_tot_{n}")
           for n in lasts])
     before = (Window.partitionBy(*keys).orderBy("_chunk")
               .rowsBetween(Window.unboundedPreceding, -1))
-    carry = totals.select(
+    whole = Window.partitionBy(*keys)
+    carry = per_chunk.select(
         *keys, "_chunk",
         *[F.sum(f"_tot_{n}").over(before).alias(f"_car_{n}") for n in sums],
-        *[F.last(f"_tot_{n}", ignorenulls=True).over(before).alias(f"_car_{n}") for n in lasts])
+        *[F.last(f"_tot_{n}", ignorenulls=True).over(before).alias(f"_car_{n}") for n in lasts],
+        *[F.sum(f"_tot_{n}").over(whole).alias(f"{n}_total") for n in (sums if totals else {})])
 
     out = local.join(carry, [*keys, "_chunk"])
     for name in sums:
