@@ -148,9 +148,11 @@ def fielded_scores(terms: DataFrame, docs: DataFrame, weights: dict[str, float],
     A term's frequency is the weighted sum over the fields; the length counts all tokens;
     the inverse frequency is ln((N-n+0.5)/(n+0.5)), at least 1e-6.
     """
-    fields = [F.transform(F.coalesce(tokenizer(F.col(name)), EMPTY),
-                          lambda t, w=w: F.struct(t.alias("t"), F.lit(float(w)).alias("w")))
-              for name, w in weights.items()]
+    def weighted_field(name: str, w: float) -> Column:
+        return F.transform(F.coalesce(tokenizer(F.col(name)), EMPTY),
+                           lambda t: F.struct(t.alias("t"), F.lit(float(w)).alias("w")))
+
+    fields = [weighted_field(name, w) for name, w in weights.items()]
     rows = docs.filter(F.col("id").isNotNull()).select("id", F.concat(*fields).alias("_all"))
     rows = rows.select("id", F.size("_all").alias("len"), F.explode(F.concat(
         "_all", F.array(F.struct(F.lit("").alias("t"), F.lit(0.0).alias("w"))))).alias("e"))
