@@ -17,7 +17,7 @@ def redact(c, rules=wl.CREDENTIAL_RULES) -> Column:
 
 
 def redact_all(c) -> Column:
-    return F.transform(as_col(c), redact)
+    return F.transform(as_col(c), lambda x: redact(x))
 
 
 def sanitize(c, one_line: bool = False, neutral_braces: bool = False) -> Column:
