@@ -9,7 +9,11 @@ from ..operators.sizes import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # The files hold times without a zone; days are counted in UTC, as the SQL twins do.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "events":
+        df = df.withColumn("ts", F.col("ts").cast("timestamp"))
     return spread(df, df.columns[0])
 
 

@@ -123,12 +123,13 @@ def action_terms(arguments) -> Column:
     names = F.transform(files_from_arguments(raw), lambda p: F.regexp_extract(p, r"([^/\\]*)$", 1))
     from_files = camel_words(F.array_join(names, " "))
     skipped = "|".join(wl.BODY_KEYS + wl.PATH_KEYS)
-    text = r'"(?:[^"\\]|\\.)*"'
-    scalar_list = r"\[(?:[^\[\]{}\"]|" + text + r")*\]"
+    # Possessive loops: Java matches them without recursion, whatever the length.
+    text = r'"(?:[^"\\]++|\\.)*+"'
+    scalar_list = r"\[(?:[^\[\]{}\"]++|" + text + r")*+\]"
     # Drop skipped string values and skipped lists of strings, then all keys.
     kept = F.regexp_replace(raw, r'"(?:' + skipped + r')"\s*:\s*(?:' + text + "|" + scalar_list + ")", "")
     kept = F.regexp_replace(kept, text + r"\s*:", "")
-    values = F.regexp_extract_all(kept, F.lit(r'("(?:[^"\\]|\\.)*")'), F.lit(1))
+    values = F.regexp_extract_all(kept, F.lit("(" + text + ")"), F.lit(1))
     plain = F.transform(values, lambda v: F.regexp_replace(F.substring(v, 2, F.length(v) - 2), r"\\[nrt]", " "))
     valid = F.try_parse_json(raw).isNotNull()
     from_values = F.flatten(F.transform(plain, prose_terms))

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import wordlists as wl
 from ..functions.text import EMPTY, tokens
-from .sizes import hint
+from .sizes import hint, keep
 
 K1, B = 1.2, 0.75
 MAX_FACETS = 8
@@ -35,7 +34,7 @@ class Index:
     def keep(self) -> "Index":
         """Keep the postings, which both the statistics and the scores read; lost parts
         are computed again from the documents."""
-        return Index(self.postings.persist(StorageLevel.MEMORY_AND_DISK))
+        return Index(keep(self.postings))
 
     def write(self, path: str) -> None:
         """Store the postings by term, so that a query batch reads its buckets only."""
@@ -158,9 +157,8 @@ def fielded_scores(terms: DataFrame, docs: DataFrame, weights: dict[str, float],
         "_all", F.array(F.struct(F.lit("").alias("t"), F.lit(0.0).alias("w"))))).alias("e"))
     rows = rows.select("id", "len", F.coalesce("e.t", F.lit("")).alias("term"), F.col("e.w").alias("w"))
     wanted = terms.select("term").union(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    postings = (rows.join(hint(wanted, small_terms), "term", "left_semi")
-                .groupBy("id", "term").agg(F.sum("w").alias("wtf"), F.max("len").alias("len"))
-                .persist(StorageLevel.MEMORY_AND_DISK))
+    postings = keep(rows.join(hint(wanted, small_terms), "term", "left_semi")
+                    .groupBy("id", "term").agg(F.sum("w").alias("wtf"), F.max("len").alias("len")))
     stats = postings.groupBy("term").agg(F.count("id").alias("df"))
     totals = postings.filter(F.col("term") == "").agg(F.struct(
         F.count("id").cast("double").alias("n"), F.avg("len").alias("avg_len"))).scalar()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import word_sequence
-from .sizes import hint, is_small
+from .sizes import hint, is_small, keep
 
 RUN = 8
 
@@ -35,14 +35,17 @@ def shared_runs(candidates: DataFrame, sources: DataFrame, n: int = RUN,
     on = ["source_id"] if paired else []
     cand = candidates.select("id", *on, word_sequence(F.col("text")).alias("words"))
     src = sources.select(*on, word_sequence(F.col("text")).alias("words"))
+    src = keep(src)
     src_hashes = src.select(*on, F.explode(gram_hashes(F.col("words"), n)).alias("h")).distinct()
     small = is_small(src_hashes)
     suspects = (cand.select("id", *on, F.explode(F.array_distinct(gram_hashes(F.col("words"), n))).alias("h"))
                 .join(hint(src_hashes, small), [*on, "h"], "left_semi")
                 .select("id", *on).distinct())
     src_grams = src.select(*on, F.explode(F.array_distinct(word_grams(F.col("words"), n))).alias("run")).distinct()
-    return (cand.join(suspects, ["id", *on], "left_semi")
-            .select("id", *on, F.explode(F.array_distinct(word_grams(F.col("words"), n))).alias("run"))
+    # Cut words again only for the texts that may match.
+    again = candidates.join(suspects, ["id", *on], "left_semi").select(
+        "id", *on, word_sequence(F.col("text")).alias("words"))
+    return (again.select("id", *on, F.explode(F.array_distinct(word_grams(F.col("words"), n))).alias("run"))
             .join(hint(src_grams, small), [*on, "run"], "left_semi"))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .sizes import keep
+
 
 def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
             sums: dict[str, Column] | None = None,
@@ -24,6 +26,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
     base = df.withColumn("_chunk", chunk)
     for name, c in {**sums, **lasts}.items():
         base = base.withColumn(f"_in_{name}", c)
+    base = keep(base)  # read by the windows and by the chunk totals
     end = Window.currentRow if include_current else -1
     inside = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, end))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 MAX_BROADCAST_ROWS = 200_000
@@ -33,3 +34,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread a table that comes in fewer splits than there are cores (one small file)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Keep a table that several branches of a job read (memory, then executor disk).
+
+    Parts lost with an executor are computed again from their source.
+    """
+    return df if df.isStreaming else df.persist(StorageLevel.MEMORY_AND_DISK)

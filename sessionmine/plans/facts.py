@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import arr, norm_key, strip
 from ..operators.ranking import top_per_group
+from ..operators.sizes import keep
 
 MAX_SOURCES = 20
 KEYS = ["scope", "partition", "key"]
@@ -28,6 +29,7 @@ def merge_facts(drafts: DataFrame, existing: DataFrame | None = None) -> DataFra
         d = d.unionByName(existing.select(
             *KEYS, "kind", "text", "ts", "updated_at", F.lit(-1).cast("long").alias("seq"), "hits", "sources", "tags",
             "id", "superseded_by", "superseded_at"))
+    d = keep(d)
     order = F.struct("updated_at", "seq")
     body = d.groupBy(*KEYS).agg(
         F.max("id").alias("id"), F.min("ts").alias("ts"), F.max("updated_at").alias("updated_at"),

@@ -10,7 +10,7 @@ from ..functions.text import arr, contains_any, tokens
 from ..functions.versions import compatible
 from ..operators.ranking import top_per_group
 from ..operators.running import running
-from ..operators.sizes import hint, is_small
+from ..operators.sizes import hint, is_small, keep
 
 MAX_SESSIONS = 20
 SESSION_CHUNK = 4096
@@ -54,14 +54,15 @@ def episodes(history: DataFrame, chunk: Column | None = None) -> DataFrame:
     """
     chunk = F.date_trunc("hour", "ts") if chunk is None else chunk
     seen = (F.col("type") == "observe").cast("long")
-    h = running(history, ["fingerprint"], ["ts", "seq"], chunk, lasts={"before": F.col("type")}, include_current=False)
-    h = running(h, ["fingerprint"], ["ts", "seq"], chunk, sums={"occurrences": seen})
+    h = running(history, ["fingerprint"], ["ts", "seq"], chunk, sums={"n_before": seen},
+                lasts={"before": F.col("type")}, include_current=False)
+    h = h.withColumn("occurrences", F.col("n_before") + seen)
     h = h.withColumn("reopened", (F.col("type") == "observe") & F.coalesce(F.col("before") == "resolve", F.lit(False)))
     h = running(h, ["fingerprint"], ["ts", "seq"], chunk, sums={"relapses": F.col("reopened").cast("long")},
                 lasts={"at_reopen": F.when(F.col("reopened"), F.col("occurrences") - 1)})
     out = h.filter(F.col("type") == "observe")
     n = F.greatest(F.lit(1), F.col("occurrences") - F.coalesce("at_reopen", F.lit(0)))
-    return out.withColumn("in_episode", n).drop("before", "type")
+    return out.withColumn("in_episode", n).drop("before", "n_before", "type")
 
 
 def merge_failures(obs: DataFrame, resolves: DataFrame | None = None, existing: DataFrame | None = None,
@@ -73,6 +74,7 @@ def merge_failures(obs: DataFrame, resolves: DataFrame | None = None, existing:
     occurrences, relapses, in_episode, enforcement, status, sessions, first_seen,
     last_seen, resolved_at, occurrences_at_resolve`.
     """
+    obs = keep(obs)
     keys = ["scope", "partition"] if "scope" in obs.columns else []
     group = [*keys, "fingerprint"]
     opt = lambda df, n, t="string": F.col(n) if n in df.columns else F.lit(None).cast(t)
@@ -116,8 +118,10 @@ def episode_state(history: DataFrame, group: list[str], chunk: Column | None = N
     key = history.withColumn("_key", F.concat_ws("\u0001", *group)) if len(group) > 1 else history.withColumn(
         "_key", F.col(group[0]))
     chunk = F.date_trunc("hour", "ts") if chunk is None else chunk
-    h = running(key, ["_key"], ["ts", "seq"], chunk, lasts={"before": F.col("type")}, include_current=False)
-    h = running(h, ["_key"], ["ts", "seq"], chunk, sums={"n": (F.col("type") == "observe").cast("long")})
+    seen = (F.col("type") == "observe").cast("long")
+    h = running(key, ["_key"], ["ts", "seq"], chunk, sums={"n_before": seen}, lasts={"before": F.col("type")},
+                include_current=False)
+    h = h.withColumn("n", F.col("n_before") + seen)
     h = h.withColumn("reopened", (F.col("type") == "observe") & F.coalesce(F.col("before") == "resolve", F.lit(False)))
     order = F.struct("ts", "seq")
     is_resolve = F.col("type") == "resolve"
@@ -257,9 +261,11 @@ def advice(sessions: DataFrame, failures: DataFrame, now, hits: DataFrame | None
     """
     now = F.lit(now).cast("timestamp") if not isinstance(now, Column) else now
     age = F.greatest(F.lit(0.0), F.lit(9.0) - (F.unix_millis(now) - F.unix_millis("last_seen")) / F.lit(86_400_000.0))
+    failures = keep(failures)
     scored = failures.withColumn("base", F.col("occurrences") * 10 + age)
     open_ = scored.filter(should_warn(warn))
-    pairs = context_matches(sessions, scored)
+    sessions = keep(sessions)
+    pairs = keep(context_matches(sessions, scored))
     seen = hits.select("session_id", "fingerprint").distinct() if hits is not None else None
     used = pairs.withColumn("hit", F.lit(False))
     if seen is not None:

@@ -10,6 +10,7 @@ from ..functions.redaction import (deidentify, identifiers_from_paths, redact, r
 from ..functions.text import (EMPTY, arr, as_col, clip_head, contains_any, head_tail_sizes, sentences, squeeze, tokens)
 from ..operators.ranking import top_per_group
 from ..operators.running import running
+from ..operators.sizes import keep
 
 CHUNK = 4096  # events of one session handled together
 
@@ -151,9 +152,11 @@ def distill(turns: DataFrame, preference: list[str] = wl.PREFERENCE_MARKERS,
             decision: list[str] = wl.DECISION_MARKERS, todo: list[str] = wl.TODO_MARKERS,
             stacks: DataFrame | None = None, redacted: bool = True) -> tuple[DataFrame, DataFrame]:
     """Turns to one episode per session and its facts (`session_id, kind, text, turn, pos`)."""
+    turns = keep(turns)
     marked = classified_sentences(turns, preference, decision, todo)
     marked = top_per_group(marked, ["session_id", "category"], [F.col("turn"), F.col("pos"), F.col("text")],
                            LIMITS["items"], "n", salt_by=["turn", "pos"])
+    marked = keep(marked)
     lists = marked.groupBy("session_id").agg(
         _ordered("decisions", "n", "text", F.col("category") == "decision"),
         _ordered("todos", "n", "text", F.col("category") == "todo"))
@@ -276,6 +279,7 @@ def reflect_decisions(turns: DataFrame, cards: DataFrame, min_turns: int = 3, th
     `turns` are those since the last reflection; `backoff(session_id, backoff)` marks
     sessions whose reflections kept coming back empty.
     """
+    turns = keep(turns)
     per = turns.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n_turns"), F.max(correction_signal()).alias("correction"),
         F.max(learning_signal()).alias("touched"))
