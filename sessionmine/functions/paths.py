@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import wordlists as wl
-from .text import EMPTY, as_col
+from .text import empty, as_col
 
 
 def base_name(c) -> Column:
@@ -73,7 +73,7 @@ def keep_inside(paths, cwd) -> Column:
                   & ~F.startswith(inside, F.lit("/")) & ~F.startswith(inside, F.lit("..")))
         return F.when(usable, F.regexp_replace(inside, r"^\./", ""))
 
-    return F.array_distinct(F.filter(F.transform(F.coalesce(as_col(paths), EMPTY), relative),
+    return F.array_distinct(F.filter(F.transform(F.coalesce(as_col(paths), empty()), relative),
                                      lambda p: p.isNotNull() & (p != "")))
 
 
@@ -133,4 +133,4 @@ def action_terms(arguments) -> Column:
     plain = F.transform(values, lambda v: F.regexp_replace(F.substring(v, 2, F.length(v) - 2), r"\\[nrt]", " "))
     valid = F.try_parse_json(raw).isNotNull()
     from_values = F.flatten(F.transform(plain, prose_terms))
-    return F.array_distinct(F.concat(from_files, F.when(valid, from_values).otherwise(EMPTY)))
+    return F.array_distinct(F.concat(from_files, F.when(valid, from_values).otherwise(empty())))

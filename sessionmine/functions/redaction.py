@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import wordlists as wl
-from .text import EMPTY, as_col, squeeze
+from .text import empty, as_col, squeeze
 
 
 def redact(c, rules=wl.CREDENTIAL_RULES) -> Column:
@@ -70,7 +70,7 @@ def deidentify(c, ids, auto_detect: bool = False) -> Column:
     at the same place the longer one goes first.
     """
     text = as_col(c)
-    names = F.coalesce(as_col(ids), EMPTY)
+    names = F.coalesce(as_col(ids), empty())
     if auto_detect:
         names = F.concat(names, detect_identifiers(text))
     usable = F.filter(
@@ -104,7 +104,7 @@ def scrub_external_paths(c, cwd) -> Column:
 
 def identifiers_from_paths(paths) -> Column:
     """Names of code files that are specific enough to be private."""
-    base = F.transform(F.coalesce(as_col(paths), EMPTY), lambda p: F.regexp_extract(p, r"([^/\\]*)$", 1))
+    base = F.transform(F.coalesce(as_col(paths), empty()), lambda p: F.regexp_extract(p, r"([^/\\]*)$", 1))
     ext = "|".join(wl.CODE_EXTENSIONS)
     code = F.filter(base, lambda b: b.rlike(f"(?i)^[^.].*\\.(?:{ext})$"))
     stem = F.transform(code, lambda b: F.regexp_extract(b, r"^(.*)\.[^.]*$", 1))
@@ -117,5 +117,5 @@ def identifiers_from_paths(paths) -> Column:
 def identifier_leaks(c, ids) -> Column:
     """Identifiers (three characters or more) still present in the text."""
     return F.array_distinct(F.filter(
-        F.coalesce(as_col(ids), EMPTY),
+        F.coalesce(as_col(ids), empty()),
         lambda v: (F.length(v) >= 3) & F.contains(as_col(c), v)))

@@ -6,7 +6,10 @@ from pyspark.sql import Column, functions as F
 
 from . import wordlists as wl
 
-EMPTY = F.array().cast("array<string>")
+
+def empty() -> Column:
+    """An empty array of strings."""
+    return F.array().cast("array<string>")
 
 
 def as_col(c) -> Column:
@@ -59,14 +62,14 @@ def tokens(c, stop: list[str] = wl.STOP_WORDS) -> Column:
                               lambda i: F.substring(run, i, F.lit(2)))
         return (F.when(run.rlike(f"^[{wl.CJK}]{{2,}}"), F.filter(bigrams, lambda b: ~b.isin(stop)))
                 .when(run.rlike(f"^[{wl.CJK}]"), F.array(run))
-                .when(run.isin(stop), EMPTY)
+                .when(run.isin(stop), empty())
                 .otherwise(F.array(run)))
 
     mixed = F.flatten(F.transform(runs, pieces))
     latin = F.filter(runs, lambda run: ~run.isin(stop))
     return (F.when(low.rlike(f"[{wl.CJK}]"), mixed)
             .when(low.isNotNull(), latin)
-            .otherwise(EMPTY))
+            .otherwise(empty()))
 
 
 def word_sequence(c) -> Column:
@@ -134,12 +137,12 @@ def joined(*parts, sep: str = "\n") -> Column:
 def one(c) -> Column:
     """A string column as an array with at most one element."""
     c = as_col(c)
-    return F.when(c.isNull(), EMPTY).otherwise(F.array(c))
+    return F.when(c.isNull(), empty()).otherwise(F.array(c))
 
 
 def arr(c) -> Column:
     """An array column with NULL read as empty."""
-    return F.coalesce(as_col(c), EMPTY)
+    return F.coalesce(as_col(c), empty())
 
 
 def compact_entry(c, limit: int = 400) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import wordlists as wl
-from ..functions.text import EMPTY, tokens
+from ..functions.text import empty, tokens
 from .sizes import hint, keep
 
 K1, B = 1.2, 0.75
@@ -56,8 +56,8 @@ def build_index(docs: DataFrame, tokenizer: Callable[[Column], Column] = tokens,
     have = set(docs.columns)
     rows = docs.filter(F.col("id").isNotNull()).select(
         "id",
-        F.coalesce(tokenizer(F.col("text")), EMPTY).alias("_tokens"),
-        (F.array_distinct(F.coalesce(F.col("strong"), EMPTY)) if "strong" in have else EMPTY).alias("_strong"),
+        F.coalesce(tokenizer(F.col("text")), empty()).alias("_tokens"),
+        (F.array_distinct(F.coalesce(F.col("strong"), empty())) if "strong" in have else empty()).alias("_strong"),
         (F.col("ts").cast("timestamp") if "ts" in have else F.lit(None).cast("timestamp")).alias("ts"),
         (F.col("boost") if "boost" in have else F.lit(1.0)).alias("boost"))
     # One struct array per document: each token once per occurrence, then the strong
@@ -148,7 +148,7 @@ def fielded_scores(terms: DataFrame, docs: DataFrame, weights: dict[str, float],
     the inverse frequency is ln((N-n+0.5)/(n+0.5)), at least 1e-6.
     """
     def weighted_field(name: str, w: float) -> Column:
-        return F.transform(F.coalesce(tokenizer(F.col(name)), EMPTY),
+        return F.transform(F.coalesce(tokenizer(F.col(name)), empty()),
                            lambda t: F.struct(t.alias("t"), F.lit(float(w)).alias("w")))
 
     fields = [weighted_field(name, w) for name, w in weights.items()]

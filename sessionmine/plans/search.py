@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cards as cf, wordlists as wl
-from ..functions.text import (EMPTY, arr, clip_head, compact_entry, compact_rule, one, squeeze, symbols_in_text,
+from ..functions.text import (empty, arr, clip_head, compact_entry, compact_rule, one, squeeze, symbols_in_text,
                               tokens)
 from ..functions.redaction import sanitize
 from ..functions.versions import applies_to, compatible
@@ -200,7 +200,7 @@ def _card_bonus(pairs: DataFrame, queries: DataFrame, docs: DataFrame, small: bo
     if "symbols" not in docs.columns and "domain" not in docs.columns:
         return pairs
     q = queries.select("query_id", F.col("facets").alias("_facets"),
-                       (F.col("symbols") if "symbols" in queries.columns else EMPTY).alias("_qsym"))
+                       (F.col("symbols") if "symbols" in queries.columns else empty()).alias("_qsym"))
     d = docs.select("id", _with(docs, "symbols", "array<string>").alias("_dsym"),
                     F.lower(_with(docs, "domain", "string")).alias("_domain"))
     both = pairs.join(hint(q, small), "query_id").join(d, "id")
@@ -295,7 +295,7 @@ def facets(queries: DataFrame, docs: DataFrame, cap: int = MAX_FACETS) -> DataFr
     firsts = top_per_group(named, ["query_id"], [F.col("first_seen"), F.col("word")], cap, salt_by=["word"])
     listed = firsts.groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"]).alias("_named"))
-    extras = arr("extras") if "extras" in queries.columns else EMPTY
+    extras = arr("extras") if "extras" in queries.columns else empty()
     parts = F.filter(F.flatten(F.transform(extras, lambda e: F.split(e, r"[\\/]+"))), lambda p: F.length(p) >= 4)
     rest = F.concat(clause_facets(F.col("text")), arr("_named"), parts)
     clean = F.filter(F.transform(rest, squeeze), lambda f: F.length(f) >= 2)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import wordlists as wl
 from ..functions.paths import files_from_arguments, files_from_prose, keep_inside
 from ..functions.redaction import (deidentify, identifiers_from_paths, redact, redact_all, scrub_external_paths)
-from ..functions.text import (EMPTY, arr, as_col, clip_head, contains_any, head_tail_sizes, sentences, squeeze, tokens)
+from ..functions.text import (empty, arr, as_col, clip_head, contains_any, head_tail_sizes, sentences, squeeze, tokens)
 from ..operators.ranking import top_per_group
 from ..operators.running import running
 from ..operators.sizes import keep
@@ -180,7 +180,7 @@ def distill(turns: DataFrame, preference: list[str] = wl.PREFERENCE_MARKERS,
         e = e.join(stacks.select("session_id", F.col("stack.languages").alias("_langs")), "session_id", "left")
         tags = F.slice(F.transform(arr("_langs"), F.lower), 1, LIMITS["tags"])
     else:
-        tags = EMPTY
+        tags = empty()
     request, result = F.coalesce("request", F.lit("")), F.coalesce("result", F.lit(""))
     first = squeeze(F.regexp_extract(request, "^([^\n\r]*)", 1))
     n_tools = F.size(arr("tools"))
