@@ -78,7 +78,11 @@ def select_files(files: DataFrame, rules: list[tuple[str, bool, bool]], max_byte
 def scan_files(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (),
                max_bytes: int = 524_288, max_files: int | None = 200) -> tuple[DataFrame, DataFrame]:
     """Files below `root` as `repo, path, length, content`.  The lengths come from the
-    listing, so files that are left out are never read."""
+    listing, so files that are left out are never read.
+
+    Spark's listing leaves out names that start with `.` or `_`; where those matter, bring
+    the files as a table and use `select_files`.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("/")[-1]
     rel = F.regexp_extract("path", re.escape(root.rstrip("/")) + "/(.*)$", 1)
@@ -88,10 +92,15 @@ def scan_files(spark: SparkSession, root: str, include: list[str] = (), exclude:
 
 
 def _ignore_lines(spark: SparkSession, root: str) -> list[str]:
-    """The root ignore file: one small file, read by the driver."""
-    try:
-        return [r.value for r in spark.read.text(root.rstrip("/") + "/.gitignore").limit(10_000).collect()]
-    except Exception as e:  # no such file
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    """The root ignore file, one small file.  Spark's readers skip names that start with a
+    dot, so the file system is asked for it."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/.gitignore")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
         return []
+    stream = fs.open(path)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.sizes import keep
+
 PREFIX = "enc:v1:"
 
 
@@ -37,6 +39,7 @@ def read_layer(spark: SparkSession, path: str, schema: str, key: bytes | None =
     if array:
         df = spark.read.schema(f"{schema}, _bad STRING").option("mode", "PERMISSIVE").option(
             "columnNameOfCorruptRecord", "_bad").option("multiLine", True).json(path)
+        df = keep(df)  # Spark asks for it before a query on the bad records alone
         return df.filter(F.col("_bad").isNull()).drop("_bad"), df.filter(F.col("_bad").isNotNull()).select(F.col("_bad").alias("line"))
     lines = spark.read.text(path).filter(F.trim("value") != "")
     plain = F.col("value") if key is None else decrypt_line(F.col("value"), _key(key))
