@@ -60,18 +60,21 @@ def build_index(docs: DataFrame, tokenizer: Callable[[Column], Column] = tokens,
         (F.array_distinct(F.coalesce(F.col("strong"), empty())) if "strong" in have else empty()).alias("_strong"),
         (F.col("ts").cast("timestamp") if "ts" in have else F.lit(None).cast("timestamp")).alias("ts"),
         (F.col("boost") if "boost" in have else F.lit(1.0)).alias("boost"))
-    # One struct array per document: each token once per occurrence, then the strong
-    # terms (which do not count as occurrences), then the document marker.
-    plain = F.transform(F.col("_tokens"), lambda t: F.struct(t.alias("t"), F.lit(1).alias("n"), F.lit(0).alias("s")))
+    # The length is taken in its own step: next to the explode it would drag the whole
+    # token array along with every exploded row.
+    rows = rows.select("id", F.size("_tokens").alias("len"), "ts", "boost", "_tokens", "_strong")
     if "strong" in have:
-        plain = F.concat(plain, F.transform(
-            F.col("_strong"), lambda t: F.struct(t.alias("t"), F.lit(0).alias("n"), F.lit(1).alias("s"))))
-        rows = rows.select("id", F.size("_tokens").alias("len"), "ts", "boost", F.explode(F.concat(
-            plain, F.array(F.struct(F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(0).alias("s"))))).alias("e"))
+        # Occurrences, then the strong terms (which do not count as occurrences), then ''.
+        def item(t: Column, n: int, s: int) -> Column:
+            return F.struct(t.alias("t"), F.lit(n).alias("n"), F.lit(s).alias("s"))
+
+        items = F.concat(F.transform(F.col("_tokens"), lambda t: item(t, 1, 0)),
+                         F.transform(F.col("_strong"), lambda t: item(t, 0, 1)), F.array(item(F.lit(""), 0, 0)))
+        rows = rows.select("id", "len", "ts", "boost", F.explode(items).alias("e"))
         rows = rows.select("id", "len", "ts", "boost", F.coalesce("e.t", F.lit("")).alias("term"),
                            F.col("e.n").alias("n"), F.col("e.s").alias("s"))
     else:
-        rows = rows.select("id", F.size("_tokens").alias("len"), "ts", "boost",
+        rows = rows.select("id", "len", "ts", "boost",
                            F.explode(F.concat(F.col("_tokens"), F.array(F.lit("")))).alias("e"))
         rows = rows.select("id", "len", "ts", "boost", F.coalesce("e", F.lit("")).alias("term"),
                            F.when(F.col("e") == "", 0).otherwise(1).alias("n"), F.lit(0).alias("s"))
@@ -153,7 +156,8 @@ def fielded_scores(terms: DataFrame, docs: DataFrame, weights: dict[str, float],
 
     fields = [weighted_field(name, w) for name, w in weights.items()]
     rows = docs.filter(F.col("id").isNotNull()).select("id", F.concat(*fields).alias("_all"))
-    rows = rows.select("id", F.size("_all").alias("len"), F.explode(F.concat(
+    rows = rows.select("id", F.size("_all").alias("len"), "_all")
+    rows = rows.select("id", "len", F.explode(F.concat(
         "_all", F.array(F.struct(F.lit("").alias("t"), F.lit(0.0).alias("w"))))).alias("e"))
     rows = rows.select("id", "len", F.coalesce("e.t", F.lit("")).alias("term"), F.col("e.w").alias("w"))
     wanted = terms.select("term").union(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()

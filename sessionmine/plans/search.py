@@ -287,10 +287,10 @@ def facets(queries: DataFrame, docs: DataFrame, cap: int = MAX_FACETS) -> DataFr
     # Substring search as an equi-join: a word can only be inside a query that has the
     # word's first two characters next to each other.
     q = queries.select("query_id", F.lower("text").alias("low_text"))
-    grams = q.filter(F.length("low_text") >= 2).select("query_id", "low_text", F.explode(F.array_distinct(F.transform(
+    grams = q.filter(F.length("low_text") >= 2).select("query_id", F.explode(F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.length("low_text") - 1),
         lambda i: F.substring(F.col("low_text"), i, F.lit(2))))).alias("g"))
-    named = (grams.join(vocab.withColumn("g", F.substring("low", 1, 2)), "g")
+    named = (grams.join(vocab.withColumn("g", F.substring("low", 1, 2)), "g").join(q, "query_id")
              .filter(F.contains("low_text", "low")).select("query_id", "word", "first_seen"))
     firsts = top_per_group(named, ["query_id"], [F.col("first_seen"), F.col("word")], cap, salt_by=["word"])
     listed = firsts.groupBy("query_id").agg(
