@@ -190,19 +190,24 @@ def facet_search(spark, sf):
     return hits.select("query_id", F.col("id").alias("doc_id"), R("score", 6).alias("score"), "rank")
 
 
-_LIVE = f"SELECT * FROM ({CARD_ROWS}) WHERE status <> 'deprecated'"
-FACET_SEARCH = f"""
-WITH {_card_ctes("status <> 'deprecated'")}, {_facet_ctes(_LIVE)}, {_with_strong(_GATE_CTES)},
+def facet_sql(where: str, k: int, gated: bool) -> str:
+    """Multi-topic card search in SQL: `query_id, id, score, rank`."""
+    pool = f"SELECT * FROM ({CARD_ROWS}) WHERE {where}"
+    kept = "kept" if gated else "true"
+    return f"""
+WITH {_card_ctes(where)}, {_facet_ctes(pool)}, {_with_strong(_GATE_CTES)},
 ft AS (SELECT DISTINCT query_id, fno, unnest({tok_sql('facet')}) AS term FROM fac),
 fs AS (SELECT ft.query_id, fno, tf.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * tf.len / avgl))), 9) AS score
   FROM ft JOIN tf USING (term) JOIN dfs USING (term), tot GROUP BY 1, 2, 3),
 fw AS (SELECT fs.query_id, fs.fno, fs.id, fs.score * {_CARD_WEIGHT} * CASE WHEN contains(lower(facet), lang) THEN 1.2 ELSE 1 END AS score
-  FROM fs JOIN gate USING (query_id, id) JOIN d USING (id) JOIN fac ON fac.query_id = fs.query_id AND fac.fno = fs.fno WHERE kept),
+  FROM fs LEFT JOIN gate USING (query_id, id) JOIN d USING (id) JOIN fac ON fac.query_id = fs.query_id AND fac.fno = fs.fno WHERE {kept}),
 fk AS (SELECT *, row_number() OVER (PARTITION BY query_id, fno ORDER BY score DESC, id) AS fr FROM fw WHERE score > 0),
-m AS (SELECT query_id, id, min((fr, fno, score)) AS k FROM fk WHERE fr <= 10 GROUP BY 1, 2),
+m AS (SELECT query_id, id, min((fr, fno, score)) AS k FROM fk WHERE fr <= {max(k, 10)} GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k) AS rank FROM m)
-SELECT query_id, id AS doc_id, round(k[3], 6) AS score, rank FROM r WHERE rank <= 5
-"""
+SELECT query_id, id, k[3] AS score, rank FROM r WHERE rank <= {k}"""
+
+
+FACET_SEARCH = f"""SELECT query_id, id AS doc_id, round(score, 6) AS score, rank FROM ({facet_sql("status <> 'deprecated'", 5, True)})"""
 
 
 def draft_fallback(spark, sf):
@@ -211,6 +216,17 @@ def draft_fallback(spark, sf):
     return r.select("query_id", F.col("id").alias("doc_id"), R("score", 6).alias("score"), "rank", "fallback")
 
 
+DRAFT_FALLBACK = f"""
+WITH wide AS MATERIALIZED ({facet_sql("status <> 'deprecated'", 10, False)}),
+narrow AS MATERIALIZED ({facet_sql("status IN ('validated', 'canonical')", 3, False)}),
+st AS (SELECT id, status FROM ({CARD_ROWS})),
+f AS (SELECT query_id, arg_min(score, rank) FILTER (WHERE status = 'draft') AS dr, arg_min(score, rank) FILTER (WHERE status <> 'draft') AS ve FROM wide JOIN st USING (id) GROUP BY 1),
+u AS (SELECT query_id, dr IS NOT NULL AND (ve IS NULL OR dr > ve) AS fallback FROM f)
+SELECT query_id, id AS doc_id, round(score, 6) AS score, rank, fallback FROM wide JOIN u USING (query_id) WHERE rank <= 3 AND fallback
+UNION ALL SELECT query_id, id, round(score, 6), rank, false FROM narrow LEFT JOIN u USING (query_id) WHERE NOT coalesce(fallback, false)
+"""
+
+
 def _pack_docs(spark, sf):
     d = table(spark, sf, "documents")
     fact = F.col("doc_id") % 3 == 0
@@ -259,6 +275,6 @@ QUERIES = {
     "gate_decisions": (gate_decisions, GATE_DECISIONS), "fielded_search": (fielded, FIELDED),
     "card_search": (card_search, CARD_SEARCH), "card_candidates": (card_candidates, CARD_CANDIDATES),
     "stack_filter": (stack_filter, STACK_FILTER), "facet_list": (facet_list, FACET_LIST), "facet_search": (facet_search, FACET_SEARCH),
-    "draft_fallback": (draft_fallback, None), "near_duplicates": (near_duplicates, None), "context_pack": (context_pack, None),
+    "draft_fallback": (draft_fallback, DRAFT_FALLBACK), "near_duplicates": (near_duplicates, None), "context_pack": (context_pack, None),
     "retrieval_evaluation": (evaluation, EVALUATION),
 }

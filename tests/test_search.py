@@ -91,7 +91,7 @@ def test_blank_query_returns_newest_or_nothing(spark):
 GATED = [
     dict(id="tq_cjk", name="读写 CJK 图时显式指定 -charset UTF-8", when="中文标签渲染成问号时", summary="批量渲染含中文的 .puml 时，输出出现乱码就是编码没对齐。", domain="plantuml", tags=["plantuml", "charset"]),
     dict(id="tq_note", name="序列图 note 的三种锚定语义", when="note 挂在消息上还是参与者上", summary="note 可以挂在消息、参与者或横跨两者。", tags=["plantuml", "sequence-diagram", "note"]),
-    dict(id="tq_save", name="改已入库技巧的正文", when="发现库里出现同名近重复条目时", summary="用 technique_save 按 id 就地更新，只替换显式给出的字段。", tags=["memory-layer", "technique"]),
+    dict(id="tq_save", name="改已入库技巧的正文", when="发现库里出现同名近重复条目时", summary="用 technique_save 按 id 就地更新，只替换显式给出的字段。", tags=["library", "technique"]),
 ]
 
 
