@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import wordlists as wl
 from ..functions.text import clip_head
 from ..operators import rewrite
 from ..plans import cards as pc, stats
 from ..sources import export
-from .common import document_cards, table
+from .common import document_cards, sql_list, table, tok_sql
 from .text import NORM_KEY_SQL, clip_sql
 
 _EV = "array<struct<kind:string,repo:string,role:string,hint:string,session_id:string>>"
@@ -211,6 +212,31 @@ def advice(spark, sf):
     return a.select("session_id", "call_id", F.col("id").alias("card_id"), "n_terms", "n_chars", "exact")
 
 
+_NAMED = ("[一-龥]{2,}|[A-Za-z_][A-Za-z0-9_]*(?:\\.[A-Za-z_][A-Za-z0-9_]*)+|[a-z][A-Za-z0-9_]*[A-Z][A-Za-z0-9_]*"
+          "|[A-Z][A-Za-z0-9_]*[A-Z][A-Za-z0-9_]*|[A-Z][A-Z0-9_]{2,}")
+_NOISE = sql_list([w for w in wl.ADVISORY_NOISE + wl.GATE_STOP_WORDS if w.isascii()])
+ADVICE = f"""WITH {NEEDLE_CTES},
+c AS (SELECT conv_id AS session_id, turn AS seq, conv_id * 100 + turn AS call_id, turn % 2 = 0 AS edit, turn % 3 AS file,
+   CASE WHEN turn % 2 = 0 THEN replace(text, ' ', '.') ELSE text END AS note FROM conversations),
+ct AS (SELECT DISTINCT session_id, seq, call_id, file, unnest(regexp_extract_all(CAST(to_json(note) AS VARCHAR), '[A-Za-z0-9_$]+')) AS tok FROM c),
+h AS (SELECT session_id, seq, call_id, file, id, needle FROM ct JOIN nd ON tok = needle WHERE pos = 0
+  UNION SELECT session_id, seq, call_id, file, id, needle FROM c JOIN nd ON contains(note, needle) WHERE pos = 1),
+dr AS (SELECT session_id, call_id, id, count(DISTINCT needle) AS nn FROM h GROUP BY 1, 2, 3),
+fi AS (SELECT session_id, file, id, min(seq) AS since FROM h GROUP BY 1, 2, 3),
+lt AS (SELECT c.session_id, c.call_id, fi.id FROM c JOIN fi ON c.session_id = fi.session_id AND c.file = fi.file AND c.seq > fi.since),
+pr AS (SELECT session_id, call_id, id, nn FROM dr UNION ALL SELECT session_id, call_id, id, 0 FROM lt ANTI JOIN dr USING (session_id, call_id, id)),
+nm AS (SELECT session_id, call_id, edit, unnest(regexp_extract_all(note, '{_NAMED}')) AS x FROM c),
+wd AS (SELECT session_id, call_id, edit, unnest(string_split_regex(regexp_replace(regexp_replace(x, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9一-龥]+')) AS w FROM nm),
+tm AS (SELECT DISTINCT session_id, call_id, edit, lower(w) AS term FROM wd WHERE length(w) >= 5 AND NOT regexp_full_match(w, '\\d+') AND lower(w) NOT IN ({_NOISE})),
+ev AS (SELECT DISTINCT doc_id AS id, unnest({tok_sql('text')}) AS term FROM documents WHERE doc_id IN (SELECT id FROM nd)
+  UNION SELECT id, unnest({tok_sql('needle')}) FROM nd),
+p AS (SELECT session_id, call_id, edit, id, count(*) AS n_terms, sum(length(term))::BIGINT AS n_chars FROM tm JOIN ev USING (term) GROUP BY 1, 2, 3, 4),
+r AS (SELECT p.*, CASE WHEN edit AND nn IS NOT NULL THEN 1 ELSE 0 END AS exact, row_number() OVER (PARTITION BY p.session_id, p.call_id ORDER BY
+   CASE WHEN edit AND nn IS NOT NULL THEN 1 ELSE 0 END DESC, CASE WHEN edit AND coalesce(nn, 0) >= 2 THEN 1 ELSE 0 END DESC, n_terms DESC, n_chars DESC, p.id DESC) AS k
+  FROM p LEFT JOIN pr ON pr.session_id = p.session_id AND pr.call_id = p.call_id AND pr.id = p.id)
+SELECT session_id, call_id, id AS card_id, n_terms, n_chars, exact FROM r WHERE k = 1"""
+
+
 def maintenance(spark, sf):
     """Patches for document cards: dead weight, per-domain cap, old reference counts."""
     d = table(spark, sf, "documents")
@@ -341,7 +367,7 @@ SELECT id, CASE WHEN length(slug) >= 3 THEN slug ELSE 'technique' END || '-' ||
 QUERIES = {
     "merged_cards": (merged_cards, MERGED), "evicted_cards": (evicted_cards, EVICTED), "card_conflicts": (conflicts, CONFLICTS),
     "card_outcomes": (outcomes, OUTCOMES), "evidence_checks": (evidence_checks, EVIDENCE), "needle_census": (needle_census, NEEDLE_CENSUS),
-    "card_references": (references, REFERENCES), "card_advice": (advice, None), "card_maintenance": (maintenance, MAINTENANCE),
+    "card_references": (references, REFERENCES), "card_advice": (advice, ADVICE), "card_maintenance": (maintenance, MAINTENANCE),
     "resolved_ids": (resolved_ids, RESOLVED), "patched_rows": (patched, PATCHED), "deleted_rows": (deleted, DELETED),
     "symbol_index": (symbol_index, SYMBOL_INDEX), "library_stats": (library_stats, STATS), "topics": (topics, TOPICS),
     "usage_counters": (usage, USAGE), "exported_cards": (exported, EXPORTED),
