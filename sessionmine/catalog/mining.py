@@ -113,6 +113,13 @@ def mined_cards(spark, sf):
     return out["cards"].select("repo", "symbol", "name", F.sha1("summary").alias("summary"), F.array_join("tags", ",").alias("tags"))
 
 
+MINED = f"""WITH {SITES}, g AS (SELECT repo, symbol, count(*) AS n, count(DISTINCT path) AS nf, list_filter(list_sort(list(DISTINCT {ROLE_SQL})), lambda x: x <> 'test') AS rl,
+  array_to_string(list_sort(list(DISTINCT arity)), '/') AS ar FROM cs GROUP BY 1, 2 HAVING count(*) >= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, symbol) AS rank, CASE WHEN len(rl) > 0 THEN array_to_string(rl, '/') ELSE 'other' END AS role FROM g)
+SELECT repo, symbol, symbol || ' 在仓库内的调用形态' AS name, sha1('在 ' || role || ' 中共观察到 ' || n || ' 处对 ' || symbol || ' 的调用，分布于 ' || nf || ' 个文件，出现过的参数个数为 ' || ar ||
+  '。这是结构化观察，具体前置条件与顺序需要结合实现确认。') AS summary, array_to_string(([lower(split_part(symbol, '.', 1))] || rl)[1:6], ',') AS tags FROM r WHERE rank <= 5"""
+
+
 def excerpts(spark, sf):
     """Lines around the first uses of the most called symbols."""
     out = m.mine_code(source_files(spark, sf), k=3)
@@ -164,5 +171,5 @@ SELECT CAST(r AS VARCHAR) AS repo, concat_ws(',', CASE WHEN js THEN 'javascript'
 QUERIES = {
     "call_sites": (call_sites, CALL_SITES), "symbol_clusters": (symbol_clusters, CLUSTERS), "code_roles": (code_roles, CODE_ROLES),
     "guard_lines": (guard_lines, GUARD_LINES), "scanned_files": (scanned_files, SCANNED), "changed_files": (changed_files, CHANGED),
-    "mined_cards": (mined_cards, None), "excerpts": (excerpts, None), "paired_leaks": (paired_leaks, PAIRED), "stacks": (stacks, STACKS),
+    "mined_cards": (mined_cards, MINED), "excerpts": (excerpts, None), "paired_leaks": (paired_leaks, PAIRED), "stacks": (stacks, STACKS),
 }

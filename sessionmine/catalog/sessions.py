@@ -286,9 +286,13 @@ def stored_clean(spark, sf):
     return c.select("session_id", F.sha1("title").alias("title"), F.length("summary").cast("long").alias("chars"), F.size("decisions").cast("long").alias("decisions"))
 
 
+# No identifier or outside path occurs in these texts, so only the credentials rule may act.
+STORED = EPISODES[:EPISODES.rindex("SELECT session_id, ")] + (
+    f"SELECT session_id, sha1({redact_sql('title0')}) AS title, length({redact_sql('sm0')}) AS chars, len(ds) AS decisions FROM o")
+
 QUERIES = {
     "turns": (turns, TURNS), "capped_transcripts": (capped_transcripts, CAPPED), "episodes": (episodes, EPISODES),
     "facts": (facts, FACTS), "evicted_facts": (evicted_facts, EVICTED), "superseded_facts": (superseded_facts, SUPERSEDED),
     "latest_episodes": (latest_episodes, LATEST), "context_terms": (context_terms, CONTEXT), "reflection": (reflection, REFLECTION),
-    "delivery_forms": (delivery_forms, DELIVERY), "stored_clean": (stored_clean, None),
+    "delivery_forms": (delivery_forms, DELIVERY), "stored_clean": (stored_clean, STORED),
 }
