@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionmine.llm import quality
+from sessionmine.llm import langid, quality
 from sessionmine.llm.common import stage, table
 
 
@@ -16,7 +16,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs)
 
 
-STAGES = [("quality", quality_rules)]
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.filter_documents(docs)
+
+
+STAGES = [("quality", quality_rules), ("language", language_id)]
 
 #: The learned references, models and sketches have no SQL form; tests/llm compares each
 #: stage with a version that loops over the documents.

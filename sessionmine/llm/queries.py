@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import langid, quality
 from .common import table
 
 
@@ -15,6 +15,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; the held-out fold teaches nothing."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op5_quality_rules": (op5_quality_rules, None),
+    "op9_language_id": (op9_language_id, None),
 }
