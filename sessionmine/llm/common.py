@@ -48,7 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches, columns: object = None, text: str = "text", limit: int = 8_000_000):
+def slices(batches, text: str = "text", limit: int = 8_000_000):
     """Cut Arrow batches into runs of rows with about `limit` bytes of text, so that the
     memory of a step doesn't follow the number of rows in a batch. Yields (batch, texts)."""
     for batch in batches:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import slices, stage
 
 WINDOW = 5
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "mark", "control", "latin", "other")
@@ -78,7 +78,7 @@ def common_words(raw: bytes) -> list[bytes]:
 
 def _candidates(rules: Rules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, ["lang", "text"]):
+        for part, texts in slices(batches):
             by: dict[str, Counter] = {}
             for lang, text in zip(part.column(0).to_pylist(), texts):
                 if text and lang is not None:
@@ -100,7 +100,7 @@ def _count(words: dict[bytes, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for part, texts in slices(batches, ["lang", "text"]):
+        for part, texts in slices(batches):
             for lang, text in zip(part.column(0).to_pylist(), texts):
                 if text and lang is not None:
                     raw = text.encode()
@@ -131,8 +131,8 @@ def learn(docs: DataFrame, rules: Rules = Rules()) -> References:
     bounded whatever `lang` holds.
     """
     pairs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sums = (pairs.mapInArrow(_candidates(rules), "lang string, word binary, n long")
-            .groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    sums = stage(pairs.mapInArrow(_candidates(rules), "lang string, word binary, n long")
+                 .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals = sums.filter(F.col("word").isNull()).select("lang", F.col("n").alias("total"))
     wide = totals.agg(F.sum("total").alias("all"))
     kept = (totals.join(F.broadcast(wide), F.col("total") >= rules.language_share * F.col("all"))
@@ -248,7 +248,7 @@ def judge(docs: DataFrame, rules: Rules = Rules(), refs: References | None = Non
     refs = learn(docs, rules) if refs is None else refs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, ["doc_id", "text"]):
+        for part, texts in slices(batches):
             rows = [measure(t, refs, rules) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)]],
@@ -264,7 +264,7 @@ def filter_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     refs = learn(docs, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, ["text"]):
+        for part, texts in slices(batches):
             yield part.filter(pa.array([measure(t, refs, rules)[-1] for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
