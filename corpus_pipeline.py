@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionmine.llm import langid, quality
+from sessionmine.llm import langid, neardup, quality
 from sessionmine.llm.common import stage, table
 
 
@@ -20,7 +20,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.filter_documents(docs)
 
 
-STAGES = [("quality", quality_rules), ("language", language_id)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles at a similarity of 0.8."""
+    return neardup.filter_documents(docs)
+
+
+STAGES = [("quality", quality_rules), ("language", language_id), ("near duplicates", near_duplicates)]
 
 #: The learned references, models and sketches have no SQL form; tests/llm compares each
 #: stage with a version that loops over the documents.

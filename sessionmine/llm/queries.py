@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality
+from . import langid, neardup, quality
 from .common import table
 
 
@@ -20,7 +20,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of two-word shingles are linked at 0.8 or more."""
+    return neardup.link_documents(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op5_quality_rules": (op5_quality_rules, None),
     "op9_language_id": (op9_language_id, None),
+    "op10_minhash_near_duplicates": (op10_minhash_near_duplicates, None),
 }
