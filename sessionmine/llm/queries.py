@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, neardup, quality
+from . import langid, neardup, packing, quality
 from .common import table
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens, with digests of their ids."""
+    pieces = packing.cut(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, distances to the nearest language and the verdict for every document."""
     return quality.judge(table(spark, sf_dir, "documents"))
@@ -26,6 +33,7 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op4_packing": (op4_packing, None),
     "op5_quality_rules": (op5_quality_rules, None),
     "op9_language_id": (op9_language_id, None),
     "op10_minhash_near_duplicates": (op10_minhash_near_duplicates, None),
