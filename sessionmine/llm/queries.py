@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, neardup, packing, quality
+from . import langid, neardup, packing, quality, tokenfiles
 from .common import table
 
 
@@ -22,6 +22,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents as Arrow sequence files, read them back, digest each document."""
+    docs = table(spark, sf_dir, "documents")
+    files = tokenfiles.write(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return tokenfiles.read(files, docs.schema["doc_id"].dataType.simpleString()).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; the held-out fold teaches nothing."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -35,6 +43,7 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op4_packing": (op4_packing, None),
     "op5_quality_rules": (op5_quality_rules, None),
+    "op8_token_files": (op8_token_files, None),
     "op9_language_id": (op9_language_id, None),
     "op10_minhash_near_duplicates": (op10_minhash_near_duplicates, None),
 }
