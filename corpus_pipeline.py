@@ -6,10 +6,12 @@ last gives the pieces of packed sequences.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionmine.llm import langid, neardup, quality
+from sessionmine.llm import langid, mixing, neardup, packing, quality
 from sessionmine.llm.common import stage, table
+from sessionmine.llm.queries import MIX, domains
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return neardup.filter_documents(docs)
 
 
-STAGES = [("quality", quality_rules), ("language", language_id), ("near duplicates", near_duplicates)]
+def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All of the clean domain stays; the others come down to their shares."""
+    return mixing.filter_documents(docs, domains(table(spark, sf_dir, "labels")), MIX, anchor="clean")
+
+
+def packing_to_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their ids and places in sequences of 2048 tokens."""
+    return packing.place(packing.cut(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1))
+
+
+STAGES = [("quality", quality_rules), ("language", language_id), ("near duplicates", near_duplicates),
+          ("mixing", mixing_to_targets), ("packing", packing_to_windows)]
 
 #: The learned references, models and sketches have no SQL form; tests/llm compares each
 #: stage with a version that loops over the documents.

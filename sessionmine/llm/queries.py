@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, neardup, packing, quality, tokenfiles
+from . import langid, mixing, neardup, packing, quality, tokenfiles
 from .common import table
 
 
@@ -22,6 +22,21 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+#: Shares of the mixed tokens by domain.
+MIX = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """`doc_id, domain` of the labelled documents."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(
+        F.col("quality") == 1, "clean").alias("domain"))
+
+
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, fitted rate and copies of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), MIX)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents as Arrow sequence files, read them back, digest each document."""
     docs = table(spark, sf_dir, "documents")
@@ -43,6 +58,7 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op4_packing": (op4_packing, None),
     "op5_quality_rules": (op5_quality_rules, None),
+    "op7_soft_mixing": (op7_soft_mixing, None),
     "op8_token_files": (op8_token_files, None),
     "op9_language_id": (op9_language_id, None),
     "op10_minhash_near_duplicates": (op10_minhash_near_duplicates, None),
