@@ -7,10 +7,28 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, mixing, neardup, packing, quality, tokenfiles
+from . import langid, licences, mixing, neardup, packing, quality, sharding, tokenfiles
 from .common import table
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-text licences and notice lines of all documents."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards of at most 64 MiB of text."""
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+SMALL_SHARD = 1 << 18
+
+
+def sharding_small_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with 256 KiB, so that small test tables split several times too."""
+    return sharding.assign(table(spark, sf_dir, "documents"), SMALL_SHARD)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens, with digests of their ids."""
     pieces = packing.cut(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
@@ -56,6 +74,9 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_licence_scan": (op1_licence_scan, licences.oracle()),
+    "op2_extendible_sharding": (op2_extendible_sharding, sharding.oracle(sharding.LIMIT)),
+    "sharding_small_limit": (sharding_small_limit, sharding.oracle(SMALL_SHARD)),
     "op4_packing": (op4_packing, None),
     "op5_quality_rules": (op5_quality_rules, None),
     "op7_soft_mixing": (op7_soft_mixing, None),
