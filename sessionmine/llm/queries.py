@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, licences, mixing, neardup, packing, quality, sharding, tokenfiles
+from . import langid, licences, mixing, neardup, packing, quality, sharding, tokenfiles, urls
 from .common import table
 
 
@@ -29,6 +29,15 @@ def sharding_small_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SMALL_SHARD)
 
 
+RULES = [urls.Rule("block", "com/en/"), urls.Rule("allow", "example.com/en/7"), urls.Rule("allow", "net/de/"),
+         urls.Rule("block", "example.net/de/8"), urls.Rule("block", "org/es/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens, with digests of their ids."""
     pieces = packing.cut(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
@@ -77,6 +86,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_licence_scan": (op1_licence_scan, licences.oracle()),
     "op2_extendible_sharding": (op2_extendible_sharding, sharding.oracle(sharding.LIMIT)),
     "sharding_small_limit": (sharding_small_limit, sharding.oracle(SMALL_SHARD)),
+    "op3_url_filter": (op3_url_filter, None),
     "op4_packing": (op4_packing, None),
     "op5_quality_rules": (op5_quality_rules, None),
     "op7_soft_mixing": (op7_soft_mixing, None),
