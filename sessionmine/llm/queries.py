@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, licences, mixing, neardup, packing, quality, sharding, tokenfiles, urls
+from . import langid, licences, media, mixing, neardup, packing, quality, sharding, tokenfiles, urls
 from .common import table
 
 
@@ -49,6 +49,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as chunked media, read back and described."""
+    return media.read(media.write(table(spark, sf_dir, "documents")))
+
+
 #: Shares of the mixed tokens by domain.
 MIX = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_url_filter": (op3_url_filter, None),
     "op4_packing": (op4_packing, None),
     "op5_quality_rules": (op5_quality_rules, None),
+    "op6_media_chunks": (op6_media_chunks, None),
     "op7_soft_mixing": (op7_soft_mixing, None),
     "op8_token_files": (op8_token_files, None),
     "op9_language_id": (op9_language_id, None),
