@@ -25,8 +25,8 @@ from .common import stage
 BUCKETS = 1 << 16
 PRIOR = 50.0
 DIGITS = 3
-MAX_STEPS = 60
-TOLERANCE = 1e-5
+MAX_STEPS = 40
+TOLERANCE = 1e-4
 _SPLIT = r"[\s.,;:!?\"'()]+"
 
 
@@ -76,11 +76,17 @@ def posteriors(rows: DataFrame, weights: DataFrame, prior: dict[str, float], kee
 
 
 def _rate(steps: list[list[float]], max_rate: float) -> Column:
-    rate = F.lit(1.0)
-    for step in steps:
-        move = sum((F.col("p")[i] * float(s) for i, s in enumerate(step)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), rate - move))
-    return rate
+    """The rate after all steps, as one fold over a literal: the plan stays the same size."""
+    start = F.lit(1.0)
+    if not steps:
+        return start
+    taken = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in steps])
+
+    def one(rate: Column, step: Column) -> Column:
+        move = sum((F.col("p")[i] * step[i] for i in range(len(steps[0]))), F.lit(0.0))
+        return F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), rate - move))
+
+    return F.aggregate(taken, start, one)
 
 
 def fit_rates(rows: DataFrame, targets: dict[str, float], max_rate: float, anchor: str | None) -> list[list[float]]:
