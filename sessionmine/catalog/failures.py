@@ -101,9 +101,9 @@ CORRECTIONS = f"""WITH {_cte('obs', 'error')}, {_cte('cli', 'click')},
 c AS (SELECT session_id, min(event_id) AS seq, min(dayofyear(ts)) AS turn, 'wrong ' || message AS correction FROM cli GROUP BY session_id, message),
 k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS r FROM c),
 j AS (SELECT k.session_id, k.seq, k.turn, k.correction, arg_max(o.fingerprint, o.event_id) AS fingerprint, max(dayofyear(o.ts)) AS fturn
-  FROM k JOIN obs o ON o.session_id = k.session_id AND o.event_id <= k.seq WHERE r <= 5 GROUP BY 1, 2, 3, 4)
+  FROM k JOIN obs o ON o.session_id = k.session_id AND o.event_id <= k.seq GROUP BY 1, 2, 3, 4)
 SELECT session_id, seq, correction, fingerprint,
-  substr(sha1('sem:' || substr(regexp_replace(regexp_replace(lower(correction), '\\s+', '', 'g'), '{_PK}', '', 'g'), 1, 120)), 1, 32) AS own_fingerprint
+  substr(sha1('sem:' || regexp_replace(regexp_replace(lower(correction), '\\s+', '', 'g'), '{_PK}', '', 'g')), 1, 32) AS own_fingerprint
 FROM j WHERE turn - fturn <= 1"""
 
 

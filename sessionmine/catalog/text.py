@@ -33,7 +33,7 @@ def norm_keys(spark, sf):
 
 
 _PUNCT = ("[，。；、！？：,.;!?:''\"“”‘’()（）\\[\\]【】{}<>《》`~@#$%^&*+=|\\\\/-]+")
-NORM_KEY_SQL = f"substr(regexp_replace(regexp_replace(lower(text), '{WS}+', '', 'g'), '{_PUNCT}', '', 'g'), 1, 120)"
+NORM_KEY_SQL = f"regexp_replace(regexp_replace(lower(text), '{WS}+', '', 'g'), '{_PUNCT}', '', 'g')"
 NORM_KEYS = f"""
 SELECT {NORM_KEY_SQL} AS key, count(*) AS docs, min(doc_id) AS first_id FROM documents GROUP BY 1
 """

@@ -77,12 +77,13 @@ def word_sequence(c) -> Column:
     return F.regexp_extract_all(F.lower(as_col(c)), F.lit(r"([a-z0-9_]+|[\u4e00-\u9fff])"), F.lit(1))
 
 
-def norm_key(c) -> Column:
-    """Identity of a short statement: case, blanks and punctuation do not count."""
+def norm_key(c, max_chars: int | None = None) -> Column:
+    """Identity of a statement: case, blanks and punctuation do not count. `max_chars` gives
+    the short keys of older tables, which merge texts that differ only later."""
     low = F.regexp_replace(F.lower(as_col(c)), f"[{wl.SPACE}]+", "")
     bare = F.regexp_replace(
         low, "[，。；、！？：,.;!?:'\"“”‘’()（）\\[\\]【】{}<>《》`~@#$%^&*+=|\\\\/-]+", "")
-    return F.substring(bare, 1, 120)
+    return bare if max_chars is None else F.substring(bare, 1, max_chars)
 
 
 def card_key(name, when, domain) -> Column:

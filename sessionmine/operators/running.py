@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .joins import join_null_safe
 from .sizes import keep
 
 
@@ -50,7 +51,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
         *[F.last(f"_tot_{n}", ignorenulls=True).over(before).alias(f"_car_{n}") for n in lasts],
         *[F.sum(f"_tot_{n}").over(whole).alias(f"{n}_total") for n in (sums if totals else {})])
 
-    out = local.join(carry, [*keys, "_chunk"])
+    out = join_null_safe(local, carry, [*keys, "_chunk"])
     for name in sums:
         out = out.withColumn(name, F.coalesce(F.col(f"_loc_{name}"), F.lit(0))
                              + F.coalesce(F.col(f"_car_{name}"), F.lit(0)))

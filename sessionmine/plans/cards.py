@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import cards as cf, wordlists as wl
 from ..functions.paths import action_terms, files_from_arguments
 from ..functions.text import arr, card_key, norm_key, normalize_domain, strip
+from ..operators.joins import join_null_safe
 from ..operators.ranking import top_per_group
 from ..operators.running import running
 from ..operators.setjoin import containment, max_containment
@@ -89,12 +90,13 @@ def _rows(df: DataFrame, existing: bool) -> DataFrame:
         col("provenance", "string").alias("provenance"))
 
 
-def merge_cards(drafts: DataFrame, existing: DataFrame | None = None, cap: int | None = 500) -> DataFrame:
+def merge_cards(drafts: DataFrame, existing: DataFrame | None = None, cap: int | None = None,
+                list_caps: dict[str, int | None] = LIST_CAPS) -> DataFrame:
     """Merge drafts into cards by name + trigger + domain.
 
     The strictly longest summary wins, status and sensitivity only rise, optional fields
-    keep their first value, lists join up to their caps.  `created` and `merged` tell what
-    happened to each card.
+    keep their first value, lists join up to `list_caps` (None keeps all of a list).  `created`
+    and `merged` tell what happened to each card; `cap` leaves eviction to `evict_cards`.
     """
     d = _rows(drafts, False).filter((F.col("name") != "") & (F.col("when") != "") & (F.col("key") != ""))
     rows = d if existing is None else d.unionByName(_rows(existing, True))
@@ -118,14 +120,14 @@ def merge_cards(drafts: DataFrame, existing: DataFrame | None = None, cap: int |
 
     # Evidence of the row that creates a card: its own, else its session; later rows add both.
     made = body.select(*KEYS, F.col("_first"))
-    ev = rows.join(made, KEYS).withColumn("evidence", F.when(
+    ev = join_null_safe(rows, made, KEYS).withColumn("evidence", F.when(
         F.col("stored"), F.col("own_evidence")).when(
         F.col("seq") == F.col("_first"),
         F.when(F.size("own_evidence") > 0, F.col("own_evidence")).otherwise(F.col("session_evidence"))).otherwise(
         F.concat("own_evidence", "session_evidence")))
-    lists = _joined_lists(ev)
+    lists = _joined_lists(ev, list_caps)
     new_id = F.concat(F.lit("tq_"), F.substring(F.sha1(F.concat_ws("|", *KEYS)), 1, 32))
-    out = body.join(lists, KEYS, "left")
+    out = join_null_safe(body, lists, KEYS, "left")
     stack = F.struct(
         F.col("_eco").alias("ecosystem"), arr("languages").alias("languages"), F.col("frameworks"),
         *[F.col(m) for m in _MAPS], F.col("sdks"), F.col("_tool").alias("build_tool"))
@@ -141,7 +143,7 @@ def merge_cards(drafts: DataFrame, existing: DataFrame | None = None, cap: int |
     return out if cap is None else evict_cards(out, cap)
 
 
-def _joined_lists(rows: DataFrame) -> DataFrame:
+def _joined_lists(rows: DataFrame, list_caps: dict[str, int | None]) -> DataFrame:
     """Ordered distinct unions of all list fields in one exploded table."""
     def items(field: str, c: Column, ident) -> Column:
         return F.transform(c, lambda x: F.struct(F.lit(field).alias("f"), ident(x).alias("k"), F.to_json(
@@ -164,16 +166,19 @@ def _joined_lists(rows: DataFrame) -> DataFrame:
     at = F.struct("seq", "pos")
     one = flat.groupBy(*KEYS, "i.f", "i.k").agg(F.min(at).alias("at"), F.min_by("i.j", at).alias("first"),
                                                 F.max_by("i.j", at).alias("last"))
-    caps = F.element_at(F.create_map(*[F.lit(x) for kv in LIST_CAPS.items() for x in kv]), F.col("f"))
-    # The longest cap bounds the ranking; open lists (languages, versions) have no cap.
-    capped = top_per_group(one.filter(caps.isNotNull()), [*KEYS, "f"], [F.col("at"), F.col("k")],
-                           max(LIST_CAPS.values()), "n", salt_by=["k"]).filter(F.col("n") <= caps)
-    free = one.filter(caps.isNull()).withColumn("n", F.col("at.seq") * 10_000 + F.col("at.pos"))
-    one = capped.withColumn("n", F.col("n").cast("long")).unionByName(free)
+    limits = {k: v for k, v in list_caps.items() if v is not None}
+    place = F.struct("at.seq", "at.pos")
+    if limits:
+        caps = F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("f"))
+        # The longest cap bounds the ranking; open lists (languages, versions) have no cap.
+        capped = top_per_group(one.filter(caps.isNotNull()), [*KEYS, "f"], [F.col("at"), F.col("k")],
+                               max(limits.values()), "n", salt_by=["k"]).filter(F.col("n") <= caps).drop("n")
+        one = capped.unionByName(one.filter(caps.isNull()))
+    one = one.withColumn("n", place)
 
     def field(name: str) -> Column:
         value = "last" if name in _MAPS else "first"
-        return F.transform(F.array_sort(F.collect_list(F.when(F.col("f") == name, F.struct("n", F.col(value).alias("j"))))),
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("f") == name, F.struct("n", "k", F.col(value).alias("j"))))),
                            lambda s: s["j"]).alias(f"_{name}")
 
     names = [*LIST_CAPS, "languages", "frameworks", "sdks", *_MAPS]
@@ -188,7 +193,7 @@ def _joined_lists(rows: DataFrame) -> DataFrame:
         F.when(F.size("_sdks") > 0, get("sdks", _SDKS[6:-1])).alias("sdks"), *maps)
 
 
-def evict_cards(cards: DataFrame, cap: int = 500) -> DataFrame:
+def evict_cards(cards: DataFrame, cap: int) -> DataFrame:
     """The most valuable `cap` cards per scope; cards created in this run go last."""
     value = (F.when(F.col("archived_at").isNotNull(), 0).when(F.col("successes") > 0, 4)
              .when(F.coalesce("referenced", F.lit(0)) > 0, 3)
@@ -200,17 +205,17 @@ def evict_cards(cards: DataFrame, cap: int = 500) -> DataFrame:
                          cap).drop("rank")
 
 
-def conflicts(cards: DataFrame) -> DataFrame:
-    """`id, conflicts_with`: other live cards with the same trigger, at most eight."""
+def conflicts(cards: DataFrame, limit: int = MAX_CONFLICTS) -> DataFrame:
+    """`id, conflicts_with`: other live cards with the same trigger, the first `limit`."""
     live = (cards.filter(F.col("status") != "deprecated")
             .select("scope", "partition", norm_key("when").alias("trigger"), "ts", "id").filter(F.length("trigger") >= 4))
     keys = ["scope", "partition", "trigger"]
-    # Nine ids are enough to list eight others for any card of the group.
-    few = top_per_group(live, keys, [F.col("ts"), F.col("id")], MAX_CONFLICTS + 1, "n")
+    # One more id than the limit is enough to list others for any card of the group.
+    few = top_per_group(live, keys, [F.col("ts"), F.col("id")], limit + 1, "n")
     lists = few.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda s: s["id"]).alias("ids"))
     lists = lists.filter(F.size("ids") > 1)
-    return live.join(lists, keys).select(
-        "id", F.slice(F.filter("ids", lambda i: i != F.col("id")), 1, MAX_CONFLICTS).alias("conflicts_with"))
+    return join_null_safe(live, lists, keys).select(
+        "id", F.slice(F.filter("ids", lambda i: i != F.col("id")), 1, limit).alias("conflicts_with"))
 
 
 # ---- outcomes ------------------------------------------------------------------
@@ -398,9 +403,10 @@ def maintain(cards: DataFrame, now, after_days: int = 14, keep_prefixes: tuple[s
     twins = cards.groupBy("scope", "partition", "name", "when").agg(F.count(F.lit(1)).alias("twins"))
     blank = cards.filter(normalize_domain("domain").isNull())
     tagged = (blank.select("scope", "partition", "id", F.posexplode(F.transform("tags", normalize_domain)).alias("pos", "known"))
-              .join(vocab, ["scope", "partition", "known"]).groupBy("id")
+              )
+    tagged = (join_null_safe(tagged, vocab, ["scope", "partition", "known"]).groupBy("id")
               .agg(F.min_by("known", "pos").alias("from_tag")))
-    c = cards.join(twins, ["scope", "partition", "name", "when"], "left").join(tagged, "id", "left")
+    c = join_null_safe(cards, twins, ["scope", "partition", "name", "when"], "left").join(tagged, "id", "left")
     normal = normalize_domain("domain")
     c = c.withColumn("new_domain", F.coalesce(normal, F.when(F.col("twins") <= 1, F.col("from_tag"))))
     c = c.withColumn("old_age", cf.archivable(now, after_days, prefixes))
@@ -412,7 +418,7 @@ def maintain(cards: DataFrame, now, after_days: int = 14, keep_prefixes: tuple[s
                       & F.col("new_domain").isNotNull() & ~exempt)
     groups = ["scope", "partition", "new_domain"]
     sizes = active.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_active")).filter(F.col("n_active") > cap)
-    unused = active.filter(cf.archivable(now, 0, prefixes, domain="new_domain")).join(sizes, groups)
+    unused = join_null_safe(active.filter(cf.archivable(now, 0, prefixes, domain="new_domain")), sizes, groups)
     over = oldest_excess(unused.select(*groups, "id", "ts", (F.col("n_active") - cap).alias("excess")), groups) \
         if cap > 0 else unused.select("id").limit(0)
     c = c.join(over.select("id", F.lit(True).alias("capped")), "id", "left")
@@ -436,7 +442,7 @@ def oldest_excess(rows: DataFrame, groups: list[str]) -> DataFrame:
     out = running(r.groupBy(*groups, "_day").agg(F.count(F.lit(1)).alias("n"), F.max("excess").alias("excess")),
                   groups, ["_day"], F.date_trunc("year", "_day"), sums={"upto": F.col("n")})
     out = out.withColumn("before", F.col("upto") - F.col("n")).filter(F.col("before") < F.col("excess"))
-    r = r.drop("excess").join(out, [*groups, "_day"])
+    r = join_null_safe(r.drop("excess"), out, [*groups, "_day"])
     whole = r.filter(F.col("upto") <= F.col("excess"))
     w = Window.partitionBy(*groups, "_day").orderBy("ts", "id")
     part = (r.filter(F.col("upto") > F.col("excess")).withColumn("_r", F.row_number().over(w))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import arr, norm_key, strip
+from ..operators.joins import join_null_safe
 from ..operators.ranking import top_per_group
 from ..operators.sizes import keep
 
@@ -12,11 +13,11 @@ MAX_SOURCES = 20
 KEYS = ["scope", "partition", "key"]
 
 
-def merge_facts(drafts: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def merge_facts(drafts: DataFrame, existing: DataFrame | None = None, max_sources: int | None = MAX_SOURCES) -> DataFrame:
     """Drafts `scope, partition, kind, text, session_id, tags, ts, seq` into facts by key.
 
-    The newest wording and kind win, hits add up, tags join, the last 20 sources stay in the
-    order in which they first came.  Counting, picking and distinct lists are partial
+    The newest wording and kind win, hits add up, tags join, the last `max_sources` sources
+    (all with None) stay in the order in which they first came.  Counting, picking and distinct lists are partial
     aggregates, so one statement repeated everywhere does not pile up in a task.
     """
     d = (drafts.withColumn("text", strip("text")).withColumn("key", norm_key("text"))
@@ -39,19 +40,20 @@ def merge_facts(drafts: DataFrame, existing: DataFrame | None = None) -> DataFra
         F.transform("sources", lambda s: F.struct(F.lit("s").alias("what"), s.alias("v"))),
         F.transform("tags", lambda t: F.struct(F.lit("t").alias("what"), t.alias("v"))))).alias("pos", "x"))
     firsts = values.groupBy(*KEYS, "x.what", "x.v").agg(F.min(F.struct("ts", "seq", "pos")).alias("at"))
-    sources = top_per_group(firsts.filter(F.col("what") == "s"), KEYS, [F.col("at").desc()], MAX_SOURCES, "_n",
-                            salt_by=["v"]).drop("_n")
+    sources = firsts.filter(F.col("what") == "s")
+    if max_sources is not None:
+        sources = top_per_group(sources, KEYS, [F.col("at").desc()], max_sources, "_n", salt_by=["v"]).drop("_n")
     lists = sources.unionByName(firsts.filter(F.col("what") == "t")).groupBy(*KEYS).agg(*[
         F.transform(F.array_sort(F.collect_list(F.when(F.col("what") == w, F.struct("at", "v")))),
                     lambda s: s["v"]).alias(name) for w, name in (("s", "sources"), ("t", "tags"))])
     new_id = F.concat(F.lit("sm_"), F.substring(F.sha1(F.concat_ws("|", *KEYS)), 1, 32))
-    return body.join(lists, KEYS, "left").select(
+    return join_null_safe(body, lists, KEYS, "left").select(
         F.coalesce("id", new_id).alias("id"), "ts", "updated_at", "scope", "partition", F.col("latest.kind").alias("kind"),
         "key", F.col("latest.text").alias("text"), "hits", arr("sources").alias("sources"), arr("tags").alias("tags"),
         "superseded_by", "superseded_at")
 
 
-def evict_facts(facts: DataFrame, cap: int = 500) -> DataFrame:
+def evict_facts(facts: DataFrame, cap: int) -> DataFrame:
     """Most observed first; of equally observed ones the oldest stay."""
     return top_per_group(facts, ["scope", "partition"], [F.col("hits").desc(), F.col("ts"), F.col("id")], cap).drop("rank")
 
@@ -62,7 +64,7 @@ def supersede(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     old = facts.select(F.col("id").alias("old_id"), *[F.col(k).alias(f"o_{k}") for k in KEYS])
     new = facts.select(F.col("id").alias("new_id"), *[F.col(k).alias(f"n_{k}") for k in KEYS])
     valid = (p.join(old, "old_id").join(new, "new_id")
-             .filter((F.col("o_scope") == F.col("n_scope")) & (F.col("o_partition") == F.col("n_partition"))
+             .filter(F.col("o_scope").eqNullSafe(F.col("n_scope")) & F.col("o_partition").eqNullSafe(F.col("n_partition"))
                      & (F.col("o_key") != F.col("n_key"))))
     marks = valid.groupBy(F.col("old_id").alias("id")).agg(
         F.max_by(F.struct("new_id", "at"), F.struct("at", "new_id")).alias("m"))

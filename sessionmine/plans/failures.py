@@ -8,6 +8,7 @@ from ..functions import errors as ef, wordlists as wl
 from ..functions.redaction import sanitize
 from ..functions.text import arr, contains_any, tokens
 from ..functions.versions import compatible
+from ..operators.joins import join_null_safe, with_partition
 from ..operators.ranking import top_per_group
 from ..operators.running import running
 from ..operators.sizes import hint, is_small, keep
@@ -16,7 +17,7 @@ MAX_SESSIONS = 20
 SESSION_CHUNK = 4096
 
 
-def observe(events: DataFrame, max_chars: int = 200) -> DataFrame:
+def observe(events: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Tool results that are failures, with template and fingerprint.
 
     The tool's name and arguments come from the call with the same id.  Own denials and
@@ -34,7 +35,7 @@ def observe(events: DataFrame, max_chars: int = 200) -> DataFrame:
     return fingerprinted(r, max_chars)
 
 
-def fingerprinted(rows: DataFrame, max_chars: int = 200) -> DataFrame:
+def fingerprinted(rows: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Add `template, fingerprint, symptom, guard, trigger` to rows with a `message`."""
     have = set(rows.columns)
     col = lambda n: F.col(n) if n in have else F.lit(None).cast("string")
@@ -46,132 +47,149 @@ def fingerprinted(rows: DataFrame, max_chars: int = 200) -> DataFrame:
         "trigger": ef.trigger(F.lit(None).cast("string"), col("tool"), col("error_name"), F.col("template"))})
 
 
+def _scoped(df: DataFrame) -> list[str]:
+    return [*[c for c in ("scope", "partition") if c in df.columns], "fingerprint"]
+
+
 def episodes(history: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Observations with running counts: `occurrences, relapses, in_episode, reopened`.
 
-    `history(fingerprint, ts, seq, type)` with types observe and resolve.  A failure right
-    after a resolve opens a new episode; repeated resolves count once.
+    `history([scope, partition,] fingerprint, ts, seq, type)` with types observe and resolve.
+    A failure right after a resolve opens a new episode; repeated resolves count once.
     """
+    history = with_partition(history)
+    keys = _scoped(history)
     chunk = F.date_trunc("hour", "ts") if chunk is None else chunk
     seen = (F.col("type") == "observe").cast("long")
-    h = running(history, ["fingerprint"], ["ts", "seq"], chunk, sums={"n_before": seen},
+    h = running(history, keys, ["ts", "seq"], chunk, sums={"n_before": seen},
                 lasts={"before": F.col("type")}, include_current=False)
     h = h.withColumn("occurrences", F.col("n_before") + seen)
     h = h.withColumn("reopened", (F.col("type") == "observe") & F.coalesce(F.col("before") == "resolve", F.lit(False)))
-    h = running(h, ["fingerprint"], ["ts", "seq"], chunk, sums={"relapses": F.col("reopened").cast("long")},
+    h = running(h, keys, ["ts", "seq"], chunk, sums={"relapses": F.col("reopened").cast("long")},
                 lasts={"at_reopen": F.when(F.col("reopened"), F.col("occurrences") - 1)})
     out = h.filter(F.col("type") == "observe")
     n = F.greatest(F.lit(1), F.col("occurrences") - F.coalesce("at_reopen", F.lit(0)))
     return out.withColumn("in_episode", n).drop("before", "n_before", "type")
 
 
-def merge_failures(obs: DataFrame, resolves: DataFrame | None = None, existing: DataFrame | None = None,
-                   warn: int = 2, ask: int = 3, block: int = 0, cap: int | None = 500,
-                   chunk: Column | None = None) -> DataFrame:
-    """Failure records from observations and resolve events.
+# What a failure event carries, and the types; stored records are events with counters.
+_EVENT = {"tool": "string", "template": "string", "symptom": "string", "remedy": "string", "trigger": "string",
+          "guard_literal": "string", "error_name": "string", "session_id": "string", "sessions": "array<string>",
+          "n": "long", "first_seen": "timestamp", "last_seen": "timestamp", "relapses": "long", "at_reopen": "long",
+          "resolved_at": "timestamp", "occurrences_at_resolve": "long", "last_relapse_at": "timestamp"}
+_STORED_AT = "1900-01-01 00:00:00"
+
 
-    Returns `fingerprint, tool, template, symptom, remedy, trigger, guard_literal,
-    occurrences, relapses, in_episode, enforcement, status, sessions, first_seen,
-    last_seen, resolved_at, occurrences_at_resolve`.
+def _events(df: DataFrame, kind: str, group: list[str]) -> DataFrame:
+    """Rows as events `group, age, ts, seq, type` and `_EVENT`; stored records come first."""
+    own = with_partition(df)
+    stored = kind == "stored"
+    special = {"n": F.col("occurrences").cast("long") if stored else F.lit(1 if kind == "observe" else 0).cast("long")}
+    if not stored:
+        special |= {c: F.col("ts") if kind == "observe" else F.lit(None).cast("timestamp") for c in ("first_seen", "last_seen")}
+        special |= {c: F.lit(None).cast(_EVENT[c]) for c in ("sessions", "relapses", "at_reopen", "resolved_at",
+                                                             "occurrences_at_resolve", "last_relapse_at")}
+    value = lambda c, t: special[c] if c in special else F.col(c).cast(t) if c in own.columns else F.lit(None).cast(t)
+    at = [F.lit(_STORED_AT).cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("seq")] if stored else [
+        F.col("ts"), F.col("seq").cast("long").alias("seq")]
+    return own.filter(F.col("fingerprint").isNotNull()).select(
+        *group, F.lit(0 if stored else 1).alias("age"), *at, F.lit(kind).alias("type"),
+        *[value(c, t).alias(c) for c, t in _EVENT.items()])
+
+
+def merge_failures(obs: DataFrame, resolves: DataFrame | None = None, existing: DataFrame | None = None,
+                   warn: int = 2, ask: int = 3, block: int = 0, cap: int | None = None,
+                   chunk: Column | None = None, max_sessions: int | None = MAX_SESSIONS) -> DataFrame:
+    """Failure records from observations, resolve events and stored records.
+
+    A stored record is folded in as the first event of its fingerprint, so merging in steps
+    gives what one merge over everything gives. Records are kept per scope and partition
+    where the observations have them; a NULL partition is the default one. A resolve of a
+    fingerprint that was never seen has no effect. All records stay unless `cap` is given
+    (the newest per scope); of the sessions, the last `max_sessions`.
+
+    Returns `fingerprint, tool, template, symptom, remedy, trigger, guard_literal, error_name,
+    occurrences, first_seen, last_seen, sessions, relapses, last_relapse_at, at_reopen,
+    resolved_at, occurrences_at_resolve, in_episode, enforcement, status`.
     """
-    obs = keep(obs)
-    keys = ["scope", "partition"] if "scope" in obs.columns else []
-    group = [*keys, "fingerprint"]
-    opt = lambda df, n, t="string": F.col(n) if n in df.columns else F.lit(None).cast(t)
-    order = F.struct("ts", "seq")
-    base = obs.groupBy(*group).agg(
-        F.min_by(opt(obs, "tool"), order).alias("tool"), F.min_by("template", order).alias("template"),
-        F.max_by("symptom", order).alias("symptom"),
-        *[F.min_by(opt(obs, c), F.when(opt(obs, c).isNotNull() & (opt(obs, c) != ""), order)).alias(c)
-          for c in ("remedy", "trigger", "guard_literal", "error_name")],
-        F.count(F.lit(1)).alias("occurrences"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
-    sessions = obs.groupBy(*group, "session_id").agg(F.min(order).alias("at"))
-    last20 = top_per_group(sessions, group, [F.col("at").desc()], MAX_SESSIONS, "_n", salt_by=["session_id"])
-    lists = last20.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "session_id"))),
-                                                   lambda s: s["session_id"]).alias("sessions"))
-    history = obs.select(*group, "ts", "seq", F.lit("observe").alias("type"))
-    if resolves is not None:
-        history = history.unionByName(resolves.select(*group, "ts", "seq", F.lit("resolve").alias("type")))
-    state = episode_state(history, group, chunk)
-    out = base.join(lists, group).join(state, group)
-    if resolves is not None and "remedy" in resolves.columns:
-        given = resolves.groupBy(*group).agg(F.max_by("remedy", F.when(F.col("remedy") != "", order)).alias("_r"))
-        out = out.join(given, group, "left").withColumn("remedy", F.coalesce("_r", "remedy")).drop("_r")
-    if existing is not None:
-        out = _with_existing(out, existing, group)
-    resolved = F.col("resolved_at").isNotNull()
-    out = out.withColumn("in_episode", F.greatest(F.lit(1), F.col("occurrences") - F.coalesce("at_reopen", F.lit(0))))
+    group = _scoped(obs)
+    events = _events(obs, "observe", group)
+    for df, kind in ((resolves, "resolve"), (existing, "stored")):
+        if df is not None:
+            events = events.unionByName(_events(df, kind, group))
+    events = keep(events)
+    order = F.struct("age", "ts", "seq")
+    given = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", order)
+    resolving = F.col("type") == "resolve"
+    said = lambda c: F.coalesce(F.max_by(c, F.when(resolving, given(c))), F.min_by(c, given(c))).alias(c)
+    base = events.groupBy(*group).agg(
+        F.min_by("tool", F.when(~resolving, order)).alias("tool"), F.min_by("template", F.when(~resolving, order)).alias("template"),
+        F.max_by("symptom", F.when(F.col("symptom").isNotNull() & ~resolving, order)).alias("symptom"),
+        # The first remedy and trigger hold until a resolve brings its own.
+        said("remedy"), said("trigger"), F.min_by("guard_literal", given("guard_literal")).alias("guard_literal"),
+        F.min_by("error_name", given("error_name")).alias("error_name"), F.sum("n").alias("occurrences"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")).filter("occurrences > 0")
+    state = episode_state(events, group, chunk)
+    out = join_null_safe(join_null_safe(base, _session_lists(events, group, max_sessions), group, "left"), state, group)
+    out = out.withColumns({
+        "sessions": arr("sessions"),
+        "in_episode": F.greatest(F.lit(1), F.col("occurrences") - F.coalesce("at_reopen", F.lit(0)))})
     out = out.withColumns({
         "enforcement": ef.enforcement("in_episode", warn, ask, block),
-        "status": F.when(resolved, "deprecated").when(F.col("occurrences") >= 2, "validated").otherwise("draft"),
+        "status": F.when(F.col("resolved_at").isNotNull(), "deprecated").when(F.col("occurrences") >= 2, "validated").otherwise("draft"),
         "remedy": F.coalesce("remedy", F.lit(""))})
     if cap is not None:
-        scoped = out if keys else out.withColumn("_all", F.lit(0))
-        out = top_per_group(scoped, keys or ["_all"], [F.col("first_seen").desc(), F.col("fingerprint")], cap,
-                            salt_by=["fingerprint"]).drop("rank", "_all")
+        out = top_per_group(out.withColumn("_all", F.lit(0)), ["_all", *group[:-1]],
+                            [F.col("first_seen").desc(), F.col("fingerprint")], cap, salt_by=["fingerprint"]).drop("rank", "_all")
     return out
 
 
-def episode_state(history: DataFrame, group: list[str], chunk: Column | None = None) -> DataFrame:
-    """Final counters per fingerprint: `relapses, at_reopen, resolved_at, occurrences_at_resolve,
-    last_relapse_at`."""
-    key = history.withColumn("_key", F.concat_ws("\u0001", *group)) if len(group) > 1 else history.withColumn(
-        "_key", F.col(group[0]))
+def _session_lists(events: DataFrame, group: list[str], limit: int | None) -> DataFrame:
+    """The sessions of each failure in the order in which they first came."""
+    own = F.when(F.col("type") == "stored", arr("sessions")).when(F.col("type") == "observe", F.array("session_id"))
+    each = events.select(*group, "age", "ts", "seq", F.posexplode(F.filter(own, lambda s: s.isNotNull())).alias("pos", "session_id"))
+    firsts = each.groupBy(*group, "session_id").agg(F.min(F.struct("age", "ts", "seq", "pos")).alias("at"))
+    if limit is not None:
+        firsts = top_per_group(firsts, group, [F.col("at").desc()], limit, "_n", salt_by=["session_id"])
+    return firsts.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "session_id"))),
+                                                  lambda s: s["session_id"]).alias("sessions"))
+
+
+def episode_state(events: DataFrame, group: list[str], chunk: Column | None = None) -> DataFrame:
+    """Final counters per fingerprint: `relapses, last_relapse_at, at_reopen, resolved_at,
+    occurrences_at_resolve`.
+
+    A stored record brings the counters it had; it counts as a resolve where it was resolved.
+    """
     chunk = F.date_trunc("hour", "ts") if chunk is None else chunk
-    seen = (F.col("type") == "observe").cast("long")
-    h = running(key, ["_key"], ["ts", "seq"], chunk, sums={"n_before": seen}, lasts={"before": F.col("type")},
-                include_current=False)
-    h = h.withColumn("n", F.col("n_before") + seen)
+    stored = F.col("type") == "stored"
+    h = events.select(*group, "age", "ts", "seq", "type", "n", *[F.col(c).alias(f"s_{c}") for c in (
+        "relapses", "at_reopen", "resolved_at", "occurrences_at_resolve", "last_relapse_at")])
+    acts_as = F.when(stored, F.when(F.col("s_resolved_at").isNotNull(), "resolve").otherwise("observe")).otherwise(F.col("type"))
+    h = running(h, group, ["age", "ts", "seq"], F.when(stored, F.col("ts")).otherwise(chunk), sums={"n_before": F.col("n")},
+                lasts={"before": acts_as}, include_current=False)
+    h = h.withColumn("upto", F.col("n_before") + F.col("n"))
     h = h.withColumn("reopened", (F.col("type") == "observe") & F.coalesce(F.col("before") == "resolve", F.lit(False)))
-    order = F.struct("ts", "seq")
-    is_resolve = F.col("type") == "resolve"
+    order = F.struct("age", "ts", "seq")
+    # A resolve before the first failure has nothing to resolve.
+    resolve = F.when((F.col("type") == "resolve") & (F.col("upto") > 0), order)
     agg = h.groupBy(*group).agg(
-        F.sum(F.col("reopened").cast("long")).alias("relapses"),
-        F.max(F.when(F.col("reopened"), F.col("ts"))).alias("last_relapse_at"),
-        F.max_by(F.col("n") - 1, F.when(F.col("reopened"), order)).alias("_reopen_n"),
+        F.sum(F.col("reopened").cast("long")).alias("_new"), F.max("s_relapses").alias("_old"),
+        F.max(F.when(F.col("reopened"), F.col("ts"))).alias("_relapse"), F.max("s_last_relapse_at").alias("_old_relapse"),
+        F.max_by(F.col("upto") - 1, F.when(F.col("reopened"), order)).alias("_reopen_n"),
         F.max(F.when(F.col("reopened"), order)).alias("_reopen"),
-        F.max(F.when(is_resolve, order)).alias("_resolve"),
-        F.max_by("n", F.when(is_resolve, order)).alias("_resolve_n"), F.max(order).alias("_last"))
-    open_after = F.col("_reopen").isNotNull() & (F.col("_resolve") < F.col("_reopen"))
-    done = F.col("_resolve").isNotNull() & ~F.coalesce(F.col("_reopen") > F.col("_resolve"), F.lit(False))
-    # A resolve before the first failure has nothing to resolve.
-    done = done & (F.col("_resolve_n") > 0) & (F.col("_last") == F.col("_resolve"))
-    return agg.select(*group, "relapses", "last_relapse_at",
-                      F.when(open_after, F.col("_reopen_n")).alias("at_reopen"),
-                      F.when(done, F.col("_resolve.ts")).alias("resolved_at"),
-                      F.when(F.col("_resolve_n") > 0, F.col("_resolve_n")).alias("occurrences_at_resolve"))
-
-
-def _with_existing(new: DataFrame, existing: DataFrame, group: list[str]) -> DataFrame:
-    """Fold stored records in; a stored resolve counts as one before the first new event."""
-    cols = ["tool", "template", "symptom", "remedy", "trigger", "guard_literal", "error_name", "occurrences", "relapses",
-            "at_reopen", "sessions", "first_seen", "last_seen", "resolved_at", "occurrences_at_resolve", "last_relapse_at"]
-    o = existing.select(*group, *[(F.col(c) if c in existing.columns else F.lit(None)).alias(f"_o_{c}") for c in cols])
-    j = new.join(o, group, "full_outer")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    reopened = F.col("_o_resolved_at").isNotNull() & F.col("occurrences").isNotNull()
-    is_new = F.col("occurrences").isNotNull()
-    first_open = F.when(reopened, z("_o_occurrences"))
-    pick = {
-        "tool": F.coalesce("_o_tool", "tool"), "template": F.coalesce("_o_template", "template"),
-        "symptom": F.coalesce("symptom", "_o_symptom"),
-        **{c: F.coalesce(F.when(F.col(f"_o_{c}") != "", F.col(f"_o_{c}")), F.col(c))
-           for c in ("remedy", "trigger", "guard_literal", "error_name")},
-        "occurrences": z("_o_occurrences") + z("occurrences"),
-        "relapses": z("_o_relapses") + z("relapses") + reopened.cast("long"),
-        "at_reopen": F.coalesce(z("_o_occurrences") + F.col("at_reopen"), first_open,
-                                F.when(F.col("resolved_at").isNull(), F.col("_o_at_reopen"))),
-        "sessions": F.when(is_new, _last(F.array_distinct(F.concat(
-            arr("_o_sessions"), arr("sessions"))), MAX_SESSIONS)).otherwise(F.col("_o_sessions")),
-        "first_seen": F.least("_o_first_seen", "first_seen"), "last_seen": F.greatest("_o_last_seen", "last_seen"),
-        "resolved_at": F.when(is_new, F.col("resolved_at")).otherwise(F.col("_o_resolved_at")),
-        "occurrences_at_resolve": F.coalesce(z("_o_occurrences") + F.col("occurrences_at_resolve"), "_o_occurrences_at_resolve"),
-        "last_relapse_at": F.coalesce("last_relapse_at", F.when(reopened, F.col("first_seen")), "_o_last_relapse_at")}
-    return j.select(*group, *[pick[c].alias(c) for c in cols])
-
-
-def _last(c: Column, n: int) -> Column:
-    return F.slice(c, F.greatest(F.size(c) - n + 1, F.lit(1)), F.lit(n))
+        F.max(resolve).alias("_resolve"), F.max_by("upto", resolve).alias("_resolve_n"), F.max(order).alias("_last"),
+        F.max(F.when(F.col("type") == "observe", order)).alias("_seen"),
+        *[F.max(f"s_{c}").alias(f"_s_{c}") for c in ("at_reopen", "resolved_at", "occurrences_at_resolve")])
+    # The later of the last resolve and the last reopening decides.
+    closed = F.col("_resolve").isNotNull() & ~F.coalesce(F.col("_reopen") > F.col("_resolve"), F.lit(False))
+    ends = closed & ~F.coalesce(F.col("_seen") > F.col("_resolve"), F.lit(False))
+    return agg.select(
+        *group, (F.col("_new") + F.coalesce("_old", F.lit(0))).alias("relapses"),
+        F.coalesce("_relapse", "_old_relapse").alias("last_relapse_at"),
+        F.when(~closed, F.coalesce("_reopen_n", "_s_at_reopen")).alias("at_reopen"),
+        F.when(ends, F.col("_resolve.ts")).when(F.col("_resolve").isNull() & F.col("_seen").isNull(), F.col("_s_resolved_at")).alias("resolved_at"),
+        F.coalesce("_resolve_n", "_s_occurrences_at_resolve").alias("occurrences_at_resolve"))
 
 
 def should_warn(warn: int = 2) -> Column:
@@ -187,19 +205,21 @@ def failure_list(failures: DataFrame, k: int = 20, resolved: bool = False) -> Da
 # ---- corrections and prevention ---------------------------------------------------
 
 def corrections(messages: DataFrame, obs: DataFrame, window: int = 1, markers: list[str] = wl.CORRECTION_MARKERS,
-                per_session: int = 5) -> DataFrame:
+                per_session: int | None = None) -> DataFrame:
     """User corrections with the machine failure they answer.
 
     `messages(session_id, seq, turn, text)`.  A correction belongs to the last failure
-    before it in the session, if that was in the same or the previous turn.
+    before it in the session, if that was in the same or the previous turn. `per_session`
+    keeps the newest of a session only.
     """
     said = messages.filter(contains_any("text", markers)).select(
         "session_id", "seq", "turn", ef.correction_text("text").alias("correction"), F.lit(None).cast("string").alias("fp"))
     firsts = said.filter(F.col("correction") != "").groupBy("session_id", "correction").agg(
         F.min(F.struct("seq", "turn")).alias("m")).select(
         "session_id", "m.seq", "m.turn", "correction", F.lit(None).cast("string").alias("fp"))
-    kept = top_per_group(firsts, ["session_id"], [F.col("seq").desc()], per_session, salt_by=["seq"]).drop("rank")
-    both = kept.unionByName(obs.select("session_id", "seq", "turn", F.lit(None).cast("string").alias("correction"),
+    if per_session is not None:
+        firsts = top_per_group(firsts, ["session_id"], [F.col("seq").desc()], per_session, salt_by=["seq"]).drop("rank")
+    both = firsts.unionByName(obs.select("session_id", "seq", "turn", F.lit(None).cast("string").alias("correction"),
                                        F.col("fingerprint").alias("fp")))
     seen = running(both, ["session_id"], ["seq"], F.floor(F.col("seq") / SESSION_CHUNK),
                    lasts={"last": F.when(F.col("fp").isNotNull(), F.struct(F.col("fp").alias("fp"), F.col("turn").alias("turn")))})

@@ -225,11 +225,13 @@ def session_identifiers(turns: DataFrame) -> DataFrame:
     return ids.groupBy("session_id").agg(F.array_sort(F.collect_list("id")).alias("identifiers"))
 
 
-def latest_episodes(episodes: DataFrame, cap: int = 500) -> DataFrame:
-    """The last episode per session, the newest `cap` per scope and partition."""
+def latest_episodes(episodes: DataFrame, cap: int | None = None) -> DataFrame:
+    """The last episode per session; with `cap`, the newest of them per scope and partition."""
     cols = episodes.columns
     last = (episodes.groupBy("scope", "partition", "session_id")
             .agg(F.max_by(F.struct(*cols), F.struct("ts", "id")).alias("e")).select("e.*"))
+    if cap is None:
+        return last
     return top_per_group(last, ["scope", "partition"], [F.col("ts").desc(), F.col("id")], cap).drop("rank")
 
 

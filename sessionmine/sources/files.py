@@ -63,12 +63,13 @@ def eligible(rules: list[tuple[str, bool, bool]], include: list[str] = ()) -> Co
     return keep
 
 
-def select_files(files: DataFrame, rules: list[tuple[str, bool, bool]], max_bytes: int = 524_288,
-                 max_files: int | None = 200, include: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(files, too large) of `files(path, length, ...)`; shallow directories come first."""
+def select_files(files: DataFrame, rules: list[tuple[str, bool, bool]], max_bytes: int | None = None,
+                 max_files: int | None = None, include: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(files, too large) of `files(path, length, ...)`; with `max_files`, shallow directories
+    come first."""
     ok = files.filter(eligible(rules, include))
-    large = ok.filter(F.col("length") > max_bytes).select("path", "length")
-    small = ok.filter(F.col("length") <= max_bytes)
+    fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+    large, small = ok.filter(~fits).select("path", "length"), ok.filter(fits)
     if max_files is not None:
         depth = F.size(F.split("path", "/"))
         small = small.orderBy(depth, F.regexp_extract("path", "^(.*)/", 1), base_name("path")).limit(max_files)
@@ -76,7 +77,7 @@ def select_files(files: DataFrame, rules: list[tuple[str, bool, bool]], max_byte
 
 
 def scan_files(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (),
-               max_bytes: int = 524_288, max_files: int | None = 200) -> tuple[DataFrame, DataFrame]:
+               max_bytes: int | None = None, max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Files below `root` as `repo, path, length, content`.  The lengths come from the
     listing, so files that are left out are never read.
 
