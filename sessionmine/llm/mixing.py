@@ -44,8 +44,9 @@ def learn(rows: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[Dat
     A word's weight in a domain is the log of how much more often documents of the domain
     have it; `PRIOR` documents at the average rate are added, so rare words weigh little.
     """
+    # Labels grow with the corpus, so they are never broadcast, at no size.
     known = rows.select("doc_id", "buckets").join(
-        labelled.filter(F.col("domain").isin(domains)).select("doc_id", "domain"), "doc_id")
+        labelled.filter(F.col("domain").isin(domains)).select("doc_id", "domain").hint("merge"), "doc_id")
     seen = stage(known.select("domain", F.explode(F.concat("buckets", F.array(F.lit(-1)))).alias("bucket"))
                  .groupBy("bucket", "domain").agg(F.count(F.lit(1)).alias("n")))
     sizes = {r["domain"]: r["n"] for r in seen.filter("bucket = -1").collect()}
