@@ -27,8 +27,11 @@ ORDER = 4
 UNDETERMINED = "und"
 MAX_CELLS = 16_000_000
 MAX_LANGUAGES = 256
-#: A text is rejected beyond so many standard deviations; short texts get proportionally more.
-MAX_DEVIATIONS = 12.0
+#: A text is rejected so many deviations above its language's median; short texts get
+#: proportionally more room. The deviation comes from the quartiles, so odd texts among those
+#: learned from do not widen it.
+MAX_DEVIATIONS = 30.0
+MIN_DEVIATION = 0.02
 FULL_LENGTH = 400
 _SCORE_CHARS = 20
 _U = np.uint64
@@ -272,13 +275,13 @@ def _accepted(scored: DataFrame, train: Column | bool) -> Column:
     that the model was learned from."""
     f = F.col("_found")
     fit = scored.filter(f["cross_entropy"].isNotNull() & F.lit(train)).groupBy(f["lang_pred"].alias("lang")).agg(
-        F.avg(f["cross_entropy"]).alias("mean"), F.stddev_samp(f["cross_entropy"]).alias("sd")).collect()
+        F.percentile_approx(f["cross_entropy"], [0.25, 0.5, 0.75], 10_000).alias("q")).collect()
     if not fit:
         return F.lit(False)
     cases = F.lit(None).cast("double")
     for r in fit:
         wide = F.greatest(F.lit(1.0), F.sqrt(F.lit(float(FULL_LENGTH)) / f["n_units"]))
-        cases = F.when(f["lang_pred"] == r["lang"], F.lit(r["mean"]) + MAX_DEVIATIONS * F.lit(max(r["sd"] or 0.0, 0.02)) * wide
+        cases = F.when(f["lang_pred"] == r["lang"], F.lit(r["q"][1]) + MAX_DEVIATIONS * max((r["q"][2] - r["q"][0]) / 1.349, MIN_DEVIATION) * wide
                        ).otherwise(cases)
     return F.coalesce(f["cross_entropy"] <= cases, F.lit(False))
 

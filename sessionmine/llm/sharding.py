@@ -24,6 +24,7 @@ from .common import stage
 BITS = 120
 STEP = 8
 LIMIT = 64 << 20
+_ROW = "_sharding_row"
 
 
 def _digest_bits(c: Column) -> Column:
@@ -87,11 +88,12 @@ def directory(assigned: DataFrame) -> DataFrame:
 
 
 def write(rows: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id") -> DataFrame:
-    """Write all columns of `rows`, one folder a shard, and return the directory."""
-    numbered = stage(rows.withColumn("_row", F.monotonically_increasing_id()))
-    where = stage(assign(numbered, limit, key, ["_row"]))
+    """Write all columns of `rows`, one folder a shard (`shard_name=...`), and return the
+    directory."""
+    numbered = stage(rows.withColumn(_ROW, F.monotonically_increasing_id()))
+    where = stage(assign(numbered, limit, key, [_ROW]))
     name = F.concat(F.lit("b"), F.col("shard"), F.when(F.col("part") > 0, F.concat(F.lit("-"), F.col("part"))).otherwise(""))
-    (numbered.join(where.select("_row", name.alias("shard_name")), "_row").drop("_row").repartition("shard_name")
+    (numbered.join(where.select(_ROW, name.alias("shard_name")), _ROW).drop(_ROW).repartition("shard_name")
      .write.partitionBy("shard_name").parquet(path))
     return directory(where)
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import stage
 
 ORDER = 4
-SLOTS = 1 << 18
+SLOTS = 1 << 20
 STRENGTH = 5.0
 BINS = 100
 _END = "\n"
