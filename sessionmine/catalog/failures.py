@@ -34,15 +34,13 @@ def _cte(name: str, event_type: str) -> str:
 def failures(spark, sf):
     """Failure records; a signup event with the same message resolves its failure."""
     f = fl.merge_failures(_obs(spark, sf), _obs(spark, sf, "signup").select("fingerprint", "ts", "seq"))
-    return f.select("fingerprint", "tool", "template", "symptom", "occurrences", "relapses", F.col("in_episode").cast("long").alias("in_episode"),
-                    "enforcement", "status", F.array_join("sessions", ",").alias("sessions"),
-                    F.coalesce("occurrences_at_resolve", F.lit(-1)).alias("at_resolve"))
+    return _record_columns(f)
 
 
 EPISODE_CTES = f"""{_cte('obs', 'error')}, {_cte('res', 'signup')},
 h AS (SELECT fingerprint, ts, event_id AS seq, session_id, 'observe' AS type FROM obs UNION ALL SELECT fingerprint, ts, event_id, session_id, 'resolve' FROM res),
 h1 AS (SELECT *, lag(type) OVER w AS before, sum(CASE WHEN type = 'observe' THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS occ FROM h WINDOW w AS (PARTITION BY fingerprint ORDER BY ts, seq)),
-h2 AS (SELECT *, (type = 'observe' AND before = 'resolve') AS ro FROM h1),
+h2 AS (SELECT *, (type = 'observe' AND before = 'resolve' AND occ > 1) AS ro FROM h1),
 h3 AS (SELECT *, sum(CASE WHEN ro THEN 1 ELSE 0 END) OVER w AS rel, last_value(CASE WHEN ro THEN occ - 1 END IGNORE NULLS) OVER w AS ar
   FROM h2 WINDOW w AS (PARTITION BY fingerprint ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))"""
 FAILURES = f"""WITH {EPISODE_CTES},
@@ -57,6 +55,27 @@ SELECT fingerprint, tool, template, symptom, n AS occurrences, relapses, ie AS i
   CASE WHEN last_type = 'resolve' THEN 'deprecated' WHEN n >= 2 THEN 'validated' ELSE 'draft' END AS status, sessions, coalesce(rs_n, -1) AS at_resolve FROM x"""
 
 
+def failures_in_two_steps(spark, sf):
+    """The same records, merged from the events before day 15 and, onto these, the rest."""
+    obs, res = _obs(spark, sf), _obs(spark, sf, "signup").select("fingerprint", "ts", "seq")
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
+    first = fl.merge_failures(obs.filter(early), res.filter(early), max_sessions=None)
+    f = fl.merge_failures(obs.filter(~early), res.filter(~early), existing=first)
+    return _record_columns(f)
+
+
+def _record_columns(f):
+    return f.select("fingerprint", "tool", "template", "symptom", "occurrences", "relapses", F.col("in_episode").cast("long").alias("in_episode"),
+                    "enforcement", "status", F.array_join("sessions", ",").alias("sessions"),
+                    F.coalesce("occurrences_at_resolve", F.lit(-1)).alias("at_resolve"))
+
+
+def failures_all_scopes(spark, sf):
+    """Records of each user as a scope of its own, some without a partition; none is dropped."""
+    o = _obs(spark, sf).withColumn("scope", F.lit("user")).withColumn("partition", F.when(F.col("turn") % 2 == 0, F.col("session_id")))
+    return fl.merge_failures(o).select("scope", "partition", "fingerprint", "occurrences", "status")
+
+
 def failure_episodes(spark, sf):
     """Running counters of every failure observation."""
     cols = ["fingerprint", "ts", "seq"]
@@ -70,6 +89,11 @@ FAILURE_EPISODES = f"""WITH {EPISODE_CTES}
 SELECT seq, fingerprint, occ AS occurrences, rel AS relapses, greatest(1, occ - coalesce(ar, 0)) AS in_episode, coalesce(ro, false) AS reopened FROM h3 WHERE type = 'observe'"""
 
 
+ALL_SCOPES = f"""WITH {_cte('obs', 'error')}
+SELECT 'user' AS scope, CASE WHEN dayofyear(ts) % 2 = 0 THEN session_id ELSE 'default' END AS partition, fingerprint, count(*) AS occurrences,
+  CASE WHEN count(*) >= 2 THEN 'validated' ELSE 'draft' END AS status FROM obs GROUP BY ALL"""
+
+
 def failure_list(spark, sf):
     """The ten most frequent open failures."""
     f = fl.merge_failures(_obs(spark, sf), cap=None)
@@ -123,7 +147,7 @@ AND NOT EXISTS (SELECT 1 FROM obs o WHERE o.session_id = w.session_id AND o.fing
 
 
 def _sessions(spark, sf):
-    calls = _messages(spark, sf, "purchase").filter(F.col("k") < 8)
+    calls = _messages(spark, sf, "purchase")
     said = _messages(spark, sf, "click").groupBy("session_id").agg(F.max_by("kind", "seq").alias("context"))
     tools = calls.groupBy("session_id").agg(F.array_sort(F.collect_set("tool")).alias("tools"))
     return said.join(tools, "session_id", "left").select("session_id", F.coalesce("tools", F.array().cast("array<string>")).alias("tools"), "context")
@@ -133,7 +157,7 @@ def failure_advice(spark, sf):
     """Warnings and lessons for users as sessions."""
     obs = _obs(spark, sf)
     f = fl.merge_failures(obs, _obs(spark, sf, "signup").select("fingerprint", "ts", "seq").withColumn("remedy", F.lit("do it the other way")))
-    hits = obs.filter(F.col("turn") >= 20).select("session_id", "fingerprint").distinct()
+    hits = obs.select("session_id", "fingerprint").distinct()
     s = _sessions(spark, sf)
     a = fl.advice(s, f, "2024-02-01 00:00:00", hits=hits.join(s.select("session_id"), "session_id", "left_semi"), limit=3)
     return a.select("session_id", "fingerprint", "kind", "rank")
@@ -143,11 +167,11 @@ _FAIL_CTES = FAILURES[len("WITH "):FAILURES.index("SELECT fingerprint, tool, tem
 ADVICE = f"""WITH {_FAIL_CTES}, {_cte('cli', 'click')}, {_cte('pu', 'purchase')},
 fl AS (SELECT fingerprint, tool, template, n, relapses, ie, CASE WHEN last_type = 'resolve' THEN 'deprecated' WHEN n >= 2 THEN 'validated' ELSE 'draft' END AS status, (SELECT max(ts) FROM obs o WHERE o.fingerprint = x.fingerprint) AS ls FROM x),
 cx AS (SELECT session_id, arg_max(regexp_extract(message, '^(.*) at line', 1), event_id) AS context FROM cli GROUP BY 1),
-tl AS (SELECT DISTINCT session_id, tool FROM pu WHERE CAST(regexp_extract(message, 'at line (\\d+)', 1) AS INT) < 8),
+tl AS (SELECT DISTINCT session_id, tool FROM pu),
 mt AS (SELECT session_id, fingerprint FROM tl JOIN cx USING (session_id) JOIN fl USING (tool)
   UNION SELECT session_id, fingerprint FROM (SELECT session_id, unnest(list_distinct({tok_sql('context')})) AS tok FROM cx) JOIN
     (SELECT fingerprint, unnest(list_distinct({tok_sql("tool || ' ' || template || ' do it the other way'")})) AS tok FROM fl) USING (tok) GROUP BY 1, 2 HAVING count(*) >= 2),
-ht AS (SELECT DISTINCT session_id, fingerprint FROM obs WHERE dayofyear(ts) >= 20 AND session_id IN (SELECT session_id FROM cx)),
+ht AS (SELECT DISTINCT session_id, fingerprint FROM obs WHERE session_id IN (SELECT session_id FROM cx)),
 idle AS (SELECT session_id FROM cx WHERE session_id NOT IN (SELECT session_id FROM tl)),
 ca AS (SELECT session_id, fingerprint, max(hit) AS hit FROM (SELECT *, 0 AS hit FROM mt UNION ALL SELECT *, 1 FROM ht UNION ALL SELECT session_id, fingerprint, 0 FROM idle, fl) GROUP BY 1, 2),
 al AS (SELECT session_id, fl.fingerprint, 'warning' AS kind, 1 AS o, hit * 1000 + n * 10 + greatest(0.0, 9.0 - (epoch_ms(TIMESTAMP '2024-02-01') - epoch_ms(ls)) / 86400000.0) AS sc
@@ -184,7 +208,8 @@ def error_rates(spark, sf):
 ERROR_RATES = f"""WITH {_cte('obs', 'error')} SELECT fingerprint, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, count(*) AS n FROM obs GROUP BY 1, 2"""
 
 QUERIES = {
-    "failures": (failures, FAILURES), "failure_episodes": (failure_episodes, FAILURE_EPISODES), "failure_list": (failure_list, FAILURE_LIST),
+    "failures": (failures, FAILURES), "failures_in_two_steps": (failures_in_two_steps, FAILURES),
+    "failures_all_scopes": (failures_all_scopes, ALL_SCOPES), "failure_episodes": (failure_episodes, FAILURE_EPISODES), "failure_list": (failure_list, FAILURE_LIST),
     "newest_failures": (newest_failures, NEWEST), "corrections": (corrections, CORRECTIONS), "prevented": (prevented, PREVENTED),
     "failure_advice": (failure_advice, ADVICE), "guard_matches": (guard_matches, GUARDS), "error_rates": (error_rates, ERROR_RATES),
 }

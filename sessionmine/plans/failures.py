@@ -64,7 +64,8 @@ def episodes(history: DataFrame, chunk: Column | None = None) -> DataFrame:
     h = running(history, keys, ["ts", "seq"], chunk, sums={"n_before": seen},
                 lasts={"before": F.col("type")}, include_current=False)
     h = h.withColumn("occurrences", F.col("n_before") + seen)
-    h = h.withColumn("reopened", (F.col("type") == "observe") & F.coalesce(F.col("before") == "resolve", F.lit(False)))
+    h = h.withColumn("reopened", (F.col("type") == "observe") & (F.col("n_before") > 0)
+                     & F.coalesce(F.col("before") == "resolve", F.lit(False)))
     h = running(h, keys, ["ts", "seq"], chunk, sums={"relapses": F.col("reopened").cast("long")},
                 lasts={"at_reopen": F.when(F.col("reopened"), F.col("occurrences") - 1)})
     out = h.filter(F.col("type") == "observe")
@@ -169,7 +170,8 @@ def episode_state(events: DataFrame, group: list[str], chunk: Column | None = No
     h = running(h, group, ["age", "ts", "seq"], F.when(stored, F.col("ts")).otherwise(chunk), sums={"n_before": F.col("n")},
                 lasts={"before": acts_as}, include_current=False)
     h = h.withColumn("upto", F.col("n_before") + F.col("n"))
-    h = h.withColumn("reopened", (F.col("type") == "observe") & F.coalesce(F.col("before") == "resolve", F.lit(False)))
+    h = h.withColumn("reopened", (F.col("type") == "observe") & (F.col("n_before") > 0)
+                     & F.coalesce(F.col("before") == "resolve", F.lit(False)))
     order = F.struct("age", "ts", "seq")
     # A resolve before the first failure has nothing to resolve.
     resolve = F.when((F.col("type") == "resolve") & (F.col("upto") > 0), order)

@@ -287,3 +287,99 @@ def test_rewrites(spark):
         raise AssertionError("must ask for confirmation")
     except ValueError:
         pass
+
+
+# ---- stored records, missing partitions, many records ------------------------------
+
+def _failure_rows(rows, scope=False):
+    """(fingerprint, ts second, session[, scope, partition]) as observations."""
+    return [(f, f"2024-01-01 00:00:{t:02d}", t, s, f"tool {f}", f"symptom {t}", *rest) for f, t, s, *rest in rows]
+
+
+_OBS = "fingerprint string, ts string, seq long, session_id string, template string, symptom string"
+_RES = "fingerprint string, ts string, seq long, remedy string"
+_COMPARED = ["fingerprint", "symptom", "remedy", "occurrences", "relapses", "in_episode", "at_reopen", "enforcement", "status", "sessions",
+             "occurrences_at_resolve", "first_seen", "last_seen", "resolved_at", "last_relapse_at"]
+
+
+def _timed(df):
+    return df.withColumn("ts", F.to_timestamp("ts"))
+
+
+def _fold_failures(events):
+    """One record per fingerprint, event by event."""
+    out = {}
+    for t, kind, f, s, remedy in sorted(events, key=lambda e: e[0]):
+        r = out.get(f)
+        if kind == "resolve":
+            if r:
+                r.update(remedy=remedy or r["remedy"], resolved=t, at_resolve=r["n"], reopen=None)
+            continue
+        if r is None:
+            r = out[f] = {"n": 0, "remedy": "", "resolved": None, "at_resolve": None, "reopen": None, "relapses": 0, "sessions": []}
+        r["n"] += 1
+        if r["resolved"] is not None:
+            r.update(relapses=r["relapses"] + 1, reopen=r["n"] - 1, resolved=None)
+        if s not in r["sessions"]:
+            r["sessions"] = (r["sessions"] + [s])[-20:]
+    return out
+
+
+def test_failures_in_steps_equal_one_merge(spark):
+    import random
+
+    r = random.Random(5)
+    events = []
+    for t in range(58):
+        f, kind = r.choice("abcd"), "resolve" if r.random() < 0.25 else "observe"
+        events.append((t, kind, f, f"s{r.randint(0, 30)}", f"do {t}" if r.random() < 0.5 else None))
+
+    def frames(part):
+        obs = _timed(spark.createDataFrame(_failure_rows([(f, t, s) for t, k, f, s, _ in part if k == "observe"]), _OBS))
+        res = _timed(spark.createDataFrame([(f, f"2024-01-01 00:00:{t:02d}", t, rem) for t, k, f, _, rem in part if k == "resolve"], _RES))
+        return obs, res
+
+    once = fl.merge_failures(*frames(events)).select(_COMPARED)
+    stored = None
+    for cut in (events[:17], events[17:18], events[18:40], [e for e in events[40:] if e[1] == "resolve"][:0], events[40:]):
+        stored = fl.merge_failures(*frames(cut), existing=stored)
+        stored = spark.createDataFrame(stored.collect(), stored.schema)
+    assert sorted(map(repr, stored.select(_COMPARED).collect())) == sorted(map(repr, once.collect()))
+    want = _fold_failures(events)
+    for x in once.collect():
+        w = want[x["fingerprint"]]
+        assert (x["occurrences"], x["relapses"], x["remedy"], x["sessions"], x["status"] == "deprecated", x["occurrences_at_resolve"]) == (
+            w["n"], w["relapses"], w["remedy"], w["sessions"], w["resolved"] is not None, w["at_resolve"])
+        assert x["in_episode"] == max(1, w["n"] - (w["reopen"] or 0))
+
+
+def test_a_lone_resolve_reaches_the_stored_record(spark):
+    obs = _timed(spark.createDataFrame(_failure_rows([("a", 1, "s"), ("a", 2, "s")]), _OBS))
+    stored = fl.merge_failures(obs)
+    res = _timed(spark.createDataFrame([("a", "2024-01-02 00:00:00", 9, "turn it off"), ("never", "2024-01-02 00:00:00", 9, "x")], _RES))
+    got = fl.merge_failures(obs.limit(0), res, existing=stored).collect()
+    assert [(x["fingerprint"], x["status"], x["remedy"], x["occurrences"], x["occurrences_at_resolve"]) for x in got] == [
+        ("a", "deprecated", "turn it off", 2, 2)]
+
+
+def test_failures_by_scope_with_a_missing_partition(spark):
+    rows = _failure_rows([("a", 1, "s", "project", None), ("a", 2, "s", "project", None), ("a", 3, "s", "user", "p")])
+    obs = _timed(spark.createDataFrame(rows, _OBS + ", scope string, partition string"))
+    got = fl.merge_failures(obs).select("scope", "partition", "occurrences", "sessions").collect()
+    assert sorted(map(tuple, got)) == [("project", "default", 2, ["s"]), ("user", "p", 1, ["s"])]
+
+
+def test_nothing_is_dropped_without_a_cap(spark):
+    obs = spark.range(510).select(F.col("id").cast("string").alias("fingerprint"), F.current_timestamp().alias("ts"), F.col("id").alias("seq"),
+                                  F.lit("s").alias("session_id"), F.lit("t").alias("template"), F.lit("x").alias("symptom"))
+    assert fl.merge_failures(obs).count() == 510 and fl.merge_failures(obs, cap=7).count() == 7
+    found = spark.range(510).select(F.lit("s").alias("session_id"), F.concat(F.lit("fix number "), "id").alias("correction"), F.col("id").alias("seq"))
+    long = "x" * 150
+    texts = spark.range(510).select(F.lit("project").alias("scope"), F.lit(None).cast("string").alias("partition"), F.lit("note").alias("kind"),
+                                    F.concat(F.lit(long), "id").alias("text"), F.lit("s").alias("session_id"), F.array(F.lit("t")).alias("tags"),
+                                    F.current_timestamp().alias("ts"), F.col("id").alias("seq"))
+    facts = pf.merge_facts(texts)
+    assert facts.count() == 510 and facts.filter("size(sources) = 1 AND size(tags) = 1").count() == 510
+    said = found.select("session_id", "seq", F.lit(1).alias("turn"), F.concat(F.lit("wrong: "), "correction").alias("text"))
+    seen = spark.createDataFrame([("s", -1, 1, "fp")], "session_id string, seq long, turn int, fingerprint string")
+    assert fl.corrections(said, seen).count() == 510
