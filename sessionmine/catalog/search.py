@@ -252,6 +252,20 @@ def context_pack(spark, sf):
                     F.length("body").cast("long").alias("chars"), F.sha1("body").alias("digest"))
 
 
+def blank_queries(spark, sf):
+    """Benchmark texts cut to their stop words: the newest documents, with and without a gate."""
+    q = benchmark_queries(spark, sf).select("query_id", F.when(F.col("query_id") % 2 == 0, "").otherwise("the of and").alias("text"))
+    d = _pack_docs(spark, sf)
+    rows = [s.search_facets(q, d, k=4, gate=g).withColumn("gate", F.lit(g or 0)) for g in (None, 2)]
+    return rows[0].unionByName(rows[1]).filter("query_id % 2 = 0").select("query_id", F.col("id").alias("doc_id"), "rank", "gate")
+
+
+BLANK = """
+WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS rank FROM documents)
+SELECT item_id AS query_id, doc_id, rank, gate FROM benchmark, n, (VALUES (0), (2)) g(gate) WHERE rank <= 4 AND item_id % 2 = 0
+"""
+
+
 def evaluation(spark, sf):
     """Retrieval quality where a document's own first words are the query."""
     d = documents(spark, sf)
@@ -276,5 +290,6 @@ QUERIES = {
     "card_search": (card_search, CARD_SEARCH), "card_candidates": (card_candidates, CARD_CANDIDATES),
     "stack_filter": (stack_filter, STACK_FILTER), "facet_list": (facet_list, FACET_LIST), "facet_search": (facet_search, FACET_SEARCH),
     "draft_fallback": (draft_fallback, DRAFT_FALLBACK), "near_duplicates": (near_duplicates, None), "context_pack": (context_pack, None),
+    "blank_queries": (blank_queries, BLANK),
     "retrieval_evaluation": (evaluation, EVALUATION),
 }

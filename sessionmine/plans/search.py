@@ -40,7 +40,9 @@ def gate_kept(min_matched: int = 2, min_score: float = 0.0, score: Column | None
 def relevance_gate(pairs: DataFrame, terms: DataFrame, min_matched: int = 2, min_score: float = 0.0,
                    small: bool = False) -> DataFrame:
     """Decision rows: the counts, and `kept`."""
-    with_totals = pairs.join(hint(gate_totals(terms), small), "query_id")
+    # A query of which only a facet has words has no totals; it still keeps its rows.
+    with_totals = (pairs.join(hint(gate_totals(terms), small), "query_id", "left")
+                   .fillna(0, ["n_terms", "n_informative"]))
     score = F.col("score") if "score" in pairs.columns else None
     return with_totals.withColumn("kept", gate_kept(min_matched, min_score, score))
 
@@ -214,19 +216,23 @@ def _card_bonus(pairs: DataFrame, queries: DataFrame, docs: DataFrame, small: bo
 def search_cards(queries: DataFrame, docs: DataFrame, k: int = 5, drafts: bool = False, archived: bool = False,
                  partition: str | None = None, stack: Column | None = None, gate: int | None = None, now=None,
                  recency_weight: float = 0.05, min_score: float = 0.0,
-                 stop: list[str] = wl.GATE_STOP_WORDS) -> DataFrame:
-    """Confidence-weighted card search over `card_docs` rows."""
+                 stop: list[str] = wl.GATE_STOP_WORDS, empty: str = "allow") -> DataFrame:
+    """Confidence-weighted card search over `card_docs` rows; queries without a word get the
+    most trusted cards, unless `empty='deny'`."""
     pool = candidates(docs, drafts, archived, partition, stack)
     single = queries.withColumn("facets", F.array("text"))
-    hits = _search_facets(single, pool, k, 1, _static_weight(pool), gate, now, recency_weight, min_score, stop, True)
+    hits = _search_facets(single, pool, k, 1, _static_weight(pool), gate, now, recency_weight, min_score, stop, True, empty)
     return hits.select("query_id", "id", "score", "rank")
 
 
 def _search_facets(queries: DataFrame, docs: DataFrame, k: int, n_facets: int, boost: Column, gate: int | None, now,
-                   recency_weight: float, min_score: float, stop: list[str], as_cards: bool) -> DataFrame:
+                   recency_weight: float, min_score: float, stop: list[str], as_cards: bool, empty: str = "allow",
+                   exclude: DataFrame | None = None) -> DataFrame:
     pairs, _terms, small = _facet_pairs(queries, docs, n_facets, boost, now, recency_weight, gate, min_score, stop)
     if gate is not None:
         pairs = pairs.filter("kept")
+    if exclude is not None:
+        pairs = pairs.join(exclude, ["query_id", "id"], "left_anti")
     if as_cards:
         pairs = _card_bonus(pairs, queries, docs, small)
     ranked = pairs.select("query_id", "id", "ts", "weight", F.posexplode("scores").alias("facet_no", "raw"))
@@ -237,16 +243,24 @@ def _search_facets(queries: DataFrame, docs: DataFrame, k: int, n_facets: int, b
     per_facet = top_per_group(ranked.select("query_id", "facet_no", "id", "score", "ts"), ["query_id", "facet_no"],
                               [F.col("score").desc(), *_order(docs)], depth, "facet_rank")
     merged = merge_round_robin(per_facet, k)
-    if gate is None or gate == 0:
-        # Queries without a word: everything counts the same, so the weight decides.
-        blank = queries.filter(F.size(tokens(F.get("facets", F.lit(0)))) == 0)
-        newest = _newest(docs, k, boost if as_cards else F.lit(0.0),
-                         ([F.col("score").desc()] if as_cards else []) + _order(docs))
-        rows = (blank.select("query_id", F.posexplode(newest).alias("pos", "d"))
-                .select("query_id", F.col("d.id").alias("id"), (-F.col("d.neg")).alias("score"),
-                        (F.col("pos") + 1).alias("rank")))
-        return merged.unionByName(rows, allowMissingColumns=True)
-    return merged
+    if empty == "deny":
+        return merged
+    # Queries without a word: everything counts the same, so the weight decides.
+    blank = queries.filter(F.size(tokens(F.get("facets", F.lit(0)))) == 0).select("query_id")
+    spare = 0
+    if exclude is not None:
+        most = exclude.join(blank, "query_id", "left_semi").groupBy("query_id").count().agg(F.max("count")).first()[0]
+        spare = most or 0
+    newest = _newest(docs, k + spare, boost if as_cards else F.lit(0.0),
+                     ([F.col("score").desc()] if as_cards else []) + _order(docs))
+    rows = (blank.select("query_id", F.posexplode(newest).alias("pos", "d"))
+            .select("query_id", F.col("d.id").alias("id"), (-F.col("d.neg")).alias("score"), "pos"))
+    # Only rows that no facet found: extras may have words where the query has none.
+    rows = rows.join(merged.select("query_id").distinct(), "query_id", "left_anti")
+    if exclude is not None:
+        rows = rows.join(exclude, ["query_id", "id"], "left_anti")
+    rows = top_per_group(rows, ["query_id"], [F.col("pos")], k, salts=1).drop("pos")
+    return merged.unionByName(rows, allowMissingColumns=True)
 
 
 def merge_round_robin(hits: DataFrame, k: int) -> DataFrame:
@@ -308,10 +322,11 @@ def search_facets(queries: DataFrame, docs: DataFrame, k: int = 5, gate: int | N
                   recency_weight: float | None = None, min_score: float = 0.0, as_cards: bool = False,
                   stop: list[str] = wl.GATE_STOP_WORDS, drafts: bool = False, archived: bool = False,
                   partition: str | None = None, stack: Column | None = None,
-                  files: Column | None = None) -> DataFrame:
+                  files: Column | None = None, empty: str = "allow", exclude: DataFrame | None = None) -> DataFrame:
     """Multi-topic search: rank per facet, merge the lists in turn.
 
-    Relevance is always judged by the words of the original query.
+    Relevance is always judged by the words of the original query. `exclude(query_id, id)`
+    are documents that a query must not get; the ranking closes the gap.
     """
     if as_cards:
         pool = candidates(docs, drafts, archived, partition, stack, files)
@@ -320,7 +335,7 @@ def search_facets(queries: DataFrame, docs: DataFrame, k: int = 5, gate: int | N
         pool, boost, weight = docs, _layer_weight(docs), 0.15
     with_facets = facets(queries, pool)
     hits = _search_facets(with_facets, pool, k, MAX_FACETS, boost, gate, now,
-                          weight if recency_weight is None else recency_weight, min_score, stop, as_cards)
+                          weight if recency_weight is None else recency_weight, min_score, stop, as_cards, empty, exclude)
     return hits.select("query_id", "id", "score", "rank")
 
 
@@ -375,24 +390,28 @@ def entry_label(layer: Column, kind: Column) -> Column:
 
 
 def context_pack(queries: DataFrame, docs: DataFrame, rules: int = 4, k: int = 5, chars: int = 4000,
-                 gate: int | None = 2, now=None, short_rules: bool = False) -> DataFrame:
+                 gate: int | None = 2, now=None, short_rules: bool = False, shown: DataFrame | None = None,
+                 stack: Column | None = None, files: Column | None = None, empty: str = "allow") -> DataFrame:
     """One text per query: standing rules, then relevant hits, within a character budget.
 
-    Superseded facts never enter; documents of the query's own session are left out.
+    Superseded facts and cards that are not trusted, archived or out of their `applies_to`
+    scope never enter. A query gets neither the episode of its own session nor the cards that
+    `shown(query_id, id)` names; both are left out before the hits are ranked.
     """
     live = docs.filter(~F.coalesce(_with(docs, "superseded", "boolean"), F.lit(False)))
+    card = F.coalesce(_with(docs, "layer", "string") == "technique", F.lit(False))
+    if "status" in docs.columns:
+        live = live.filter(~card).unionByName(candidates(live.filter(card), stack=stack, files=files))
     is_rule = (_with(docs, "layer", "string") == "semantic") & F.col("kind").isin("preference", "constraint")
     top_rules = live.filter(is_rule).orderBy(F.col("ts").desc(), F.col("id")).limit(rules)
     pool = live.join(F.broadcast(top_rules.select("id")), "id", "left_anti")
-    own = "session_id" in queries.columns and "session_id" in docs.columns
-    hits = search_facets(queries, pool, k + 1 if own else k, gate=gate, now=now)
-    full = hits.join(pool.select("id", "layer", "kind", "text", *(["session_id"] if own else [])), "id")
-    if own:
-        # A session has one episode, so one spare place makes up for leaving it out.
-        q = queries.select("query_id", F.col("session_id").alias("_own"))
-        full = full.join(q, "query_id").filter(
-            ~F.coalesce((F.col("layer") == "episodic") & (F.col("session_id") == F.col("_own")), F.lit(False)))
-        full = top_per_group(full.withColumnRenamed("rank", "_found"), ["query_id"], [F.col("_found")], k, salts=1)
+    exclude = None if shown is None else shown.select("query_id", "id")
+    if "session_id" in queries.columns and "session_id" in docs.columns:
+        own = (pool.filter(F.col("layer") == "episodic").select("session_id", "id")
+               .join(queries.select("query_id", "session_id"), "session_id").select("query_id", "id"))
+        exclude = own if exclude is None else exclude.union(own)
+    hits = search_facets(queries, pool, k, gate=gate, now=now, empty=empty, exclude=exclude)
+    full = hits.join(pool.select("id", "layer", "kind", "text"), "id")
     full = full.select("query_id", "id", (F.col("rank") + rules).alias("rank"), "layer", "kind", "text",
                        F.lit(False).alias("standing"))
     rule_list = top_rules.agg(F.array_sort(F.collect_list(F.struct(

@@ -169,6 +169,36 @@ def test_near_duplicates_and_pack(spark):
     assert len(s.context_pack(q, docs, chars=60, now=NOW).first().body) == 60
 
 
+def test_queries_without_words(spark):
+    docs = spark.createDataFrame([(f"d{i}", f"2024-01-{i + 1:02d}", f"alpha word{i}", "semantic") for i in range(6)],
+                                 "id string, ts string, text string, layer string").withColumn("ts", F.col("ts").cast("timestamp"))
+    q = spark.createDataFrame([(0, "the", ["src/word3.py"]), (1, "", []), (2, "alpha word1", [])], "query_id int, text string, extras array<string>")
+    for gate in (None, 2):
+        got = {}
+        for r in s.search_facets(q, docs, k=2, gate=gate).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert got[1] == ["d5", "d4"] and got[2][0] == "d1"
+        assert got[0] == (["d3"] if gate is None else ["d5", "d4"])
+        denied = s.search_facets(q, docs, k=2, gate=gate, empty="deny").select("query_id").distinct().collect()
+        assert sorted(r.query_id for r in denied) == ([0, 2] if gate is None else [2])
+    out = spark.createDataFrame([(1, "d5"), (2, "d1")], "query_id int, id string")
+    got = [(r.query_id, r.id) for r in s.search_facets(q, docs, k=2, gate=2, exclude=out).orderBy("query_id", "rank").collect()]
+    assert got[2:4] == [(1, "d4"), (1, "d3")] and (2, "d1") not in got
+
+
+def test_pack_leaves_out_untrusted_and_own(spark):
+    rows = [dict(id="ok", name="gamma delta", when="gamma", status="validated"), dict(id="draft", name="gamma delta two", when="gamma", status="draft"),
+            dict(id="old", name="gamma delta three", when="gamma", status="deprecated")]
+    docs = s.card_docs(cards(spark, rows)).withColumn("session_id", F.lit(None).cast("string")).withColumn("kind", F.lit(None).cast("string"))
+    mine = spark.createDataFrame([(f"e{i}", "episodic", f"gamma delta epsilon{i}", "me") for i in range(3)] + [("x", "episodic", "gamma delta zeta", "you")],
+                                 "id string, layer string, text string, session_id string")
+    q = spark.createDataFrame([(0, "gamma delta", "me")], "query_id int, text string, session_id string")
+    every = docs.unionByName(mine, allowMissingColumns=True)
+    assert sorted(s.context_pack(q, every, k=3, now=NOW).first().ids) == ["ok", "x"]
+    shown = spark.createDataFrame([(0, "ok")], "query_id int, id string")
+    assert s.context_pack(q, every, k=3, now=NOW, shown=shown).first().ids == ["x"]
+
+
 def test_draft_fallback(spark):
     rows = [dict(id="v", name="alpha", when="something", status="validated"), dict(id="d", name="alpha gamma delta", when="gamma", status="draft", successes=0)]
     r = s.search_with_drafts(ask(spark, "gamma delta alpha", "alpha"), s.card_docs(cards(spark, rows)), k=2).collect()
