@@ -7,31 +7,52 @@ last gives the pieces of packed sequences.
 from __future__ import annotations
 
 import public_tokenizers
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionmine.llm import langid, mixing, neardup, packing, quality
-from sessionmine.llm.common import stage, table
+from sessionmine.llm.common import made, release, stage, table
 from sessionmine.llm.queries import MIX, domains
 
+_left: list[str] = []
+
+
+def _alone(apply: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes what the stages before it staged for themselves; what `docs`
+    still reads stays."""
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _left[:] = release(spark, _left, docs)
+        before = len(made)
+        out = apply(spark, docs, sf_dir)
+        _left.extend(made[before:])
+        return out
+    return run_stage
+
 
+@_alone
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.filter_documents(docs)
 
 
+@_alone
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.filter_documents(docs)
 
 
+@_alone
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles at a similarity of 0.8."""
     return neardup.filter_documents(docs)
 
 
+@_alone
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All of the clean domain stays; the others come down to their shares."""
     return mixing.filter_documents(docs, domains(table(spark, sf_dir, "labels")), MIX, anchor="clean")
 
 
+@_alone
 def packing_to_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their ids and places in sequences of 2048 tokens."""
     return packing.place(packing.cut(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 CODEC = "spark.sql.parquet.compression.codec"
 _scratch: dict[str, str] = {}
+#: Folders of staged tables in the order in which this process made them.
+made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +33,7 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it again: later steps start from files that
     survive lost executors, and the shuffle files behind them go when the write has ended."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    made.append(path)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -44,6 +47,18 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, folders: list[str], needed: DataFrame) -> list[str]:
+    """Delete staged tables that `needed` doesn't read; returns those that stay."""
+    read = needed.inputFiles()
+    stay = [f for f in folders if any(f.split(":", 1)[-1].lstrip("/") in r for r in read)]
+    for f in folders:
+        if f not in stay:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            made.remove(f)
+    return stay
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

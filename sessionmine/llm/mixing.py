@@ -9,7 +9,8 @@ All rates start at 1 and a step changes a rate by a product of its posterior wit
 errors. So documents with equal posteriors have equal rates, and the steps run over the
 table of distinct posteriors (rounded to `DIGITS`) with their token sums.
 
-Defined results: a null or empty text has no tokens and the domains' prior. Rows whose label
+Defined results: a null or empty text has no tokens; its posteriors are those of a text
+without telling words. Rows whose label
 is null teach nothing; a document with two labels teaches both; without any labelled row the
 posteriors are equal. An empty table gives an empty result. Repeated rows and repeated or
 null ids are rows of their own: each has a row number. Further columns pass through
@@ -18,12 +19,17 @@ null ids are rows of their own: each has a row number. Further columns pass thro
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from math import log
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import stage
 
 BUCKETS = 1 << 16
 PRIOR = 50.0
+DEVIATIONS = 6.0
+WORDS = 16
+LIFT = 3.0
 DIGITS = 3
 MAX_STEPS = 40
 TOLERANCE = 1e-4
@@ -39,10 +45,14 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def learn(rows: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[DataFrame, dict[str, float]]:
-    """`bucket, w ARRAY<DOUBLE>` (at most `BUCKETS` rows) and the log prior of each domain.
-
-    A word's weight in a domain is the log of how much more often documents of the domain
-    have it; `PRIOR` documents at the average rate are added, so rare words weigh little.
+    """`bucket, w ARRAY<DOUBLE>` (at most `BUCKETS` rows) and each domain's log-odds for a text
+    with none of these words.
+
+    Each domain brings the `WORDS` hashed words that tell it from documents at large by the
+    most information, among those it has more often by `DEVIATIONS` standard deviations.
+    Words beyond these come together in copies and languages, and a naive sum over them would
+    be noise. A word's rate in a domain has `PRIOR` average
+    documents added.
     """
     # Labels grow with the corpus, so they are never broadcast, at no size.
     known = rows.select("doc_id", "buckets").join(
@@ -51,15 +61,27 @@ def learn(rows: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[Dat
                  .groupBy("bucket", "domain").agg(F.count(F.lit(1)).alias("n")))
     sizes = {r["domain"]: r["n"] for r in seen.filter("bucket = -1").collect()}
     total = sum(sizes.values())
-    if not total:
-        return seen.select("bucket", F.array(*[F.lit(0.0) for _ in domains]).alias("w")).limit(0), {d: 0.0 for d in domains}
     n = [F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)).cast("double") for d in domains]
     counted = seen.filter("bucket >= 0").groupBy("bucket").agg(F.array(*n).alias("n"), F.sum("n").cast("double").alias("all"))
-    q = F.col("all") / total
-    w = [F.log((F.col("n")[i] + PRIOR * q) / (sizes.get(d, 0) + PRIOR)) - F.log(q) for i, d in enumerate(domains)]
-    from math import log
-
-    return stage(counted.select("bucket", F.array(*w).alias("w"))), {d: log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains}
+    q = F.col("all") / float(max(total, 1))
+    w, absent, gains = [], [], []
+    for i, d in enumerate(domains):
+        size = float(sizes.get(d, 0))
+        rate = F.least((F.col("n")[i] + PRIOR * q) / (size + PRIOR), F.lit(1 - 1e-6))
+        w.append(F.log(rate / (1 - rate)))
+        absent.append(F.log(1 - rate))
+        at_large = F.least(q, F.lit(1 - 1e-6))
+        gain = rate * F.log(rate / at_large) + (1 - rate) * F.log((1 - rate) / (1 - at_large))
+        told = (F.col("n")[i] - size * q > DEVIATIONS * F.sqrt(size * q * (1 - q) + 1)) & (F.col("n")[i] >= LIFT * size * q)
+        gains.append(F.when(told, F.struct(F.lit(i).alias("i"), F.round(gain, 9).alias("gain"))))
+    counted = stage(counted.select("bucket", F.array(*w).alias("w"), F.array(*absent).alias("a"), F.array(*gains).alias("gains")))
+    best = Window.partitionBy("g.i").orderBy(F.desc("g.gain"), "bucket")  # at most BUCKETS rows a domain
+    told = (counted.select("bucket", F.explode("gains").alias("g")).filter("g IS NOT NULL")
+            .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= WORDS).select("bucket").distinct())
+    weights = stage(counted.join(told, "bucket").select("bucket", "w", "a"))
+    base = weights.agg(*[F.coalesce(F.sum(F.col("a")[i]), F.lit(0.0)) for i in range(len(domains))]).first()
+    prior = [log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains]
+    return weights.select("bucket", "w"), {d: x + y for d, x, y in zip(domains, prior, base)}
 
 
 def posteriors(rows: DataFrame, weights: DataFrame, prior: dict[str, float], keep: list[str]) -> DataFrame:

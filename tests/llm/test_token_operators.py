@@ -266,16 +266,21 @@ def brute_posteriors(rows, labels, domains):
     n = Counter(d for d, _ in known)
     total = sum(n.values())
     with_word = Counter((d, w) for d, s in known for w in s)
+    rates, gains = {}, {d: [] for d in domains}
+    for w in {w for _, s in known for w in s}:
+        q = sum(with_word[d, w] for d in domains) / total
+        rates[w] = {d: min((with_word[d, w] + 50 * q) / (n[d] + 50), 1 - 1e-6) for d in domains}
+        q0 = min(q, 1 - 1e-6)
+        for d in domains:
+            if with_word[d, w] - n[d] * q > 6 * (n[d] * q * (1 - q) + 1) ** 0.5 and with_word[d, w] >= 3 * n[d] * q:
+                r = rates[w][d]
+                gains[d].append((r * log(r / q0) + (1 - r) * log((1 - r) / (1 - q0)), w))
+    best = {w for d in domains for _, w in sorted(gains[d], reverse=True)[:16]}
+    assert {"scum", "noise", "|"} <= best
+    rates = {w: rates[w] for w in best}
     out = []
     for i, s in sets:
-        x = []
-        for d in domains:
-            v = log((n[d] + 1) / (total + len(domains)))
-            for w in s:
-                if all_ := sum(with_word[e, w] for e in domains):
-                    q = all_ / total
-                    v += log((with_word[d, w] + 50 * q) / (n[d] + 50)) - log(q)
-            x.append(v)
+        x = [log((n[d] + 1) / (total + len(domains))) + sum(log(r[d] if w in s else 1 - r[d]) for w, r in rates.items()) for d in domains]
         e = [exp(v - max(x)) for v in x]
         out.append((i, [v / sum(e) for v in e]))
     return out
