@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import slices, stage
-from .textids import Encoder
+from .textids import encoder_for
 
 CAPACITY = 2048
 #: Pieces of one length that one task ranks, about.
@@ -34,7 +34,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, "kept")
+        encoder = encoder_for(tokenizer, "kept")
         for part, texts in slices(batches, limit=2_000_000):
             rows, starts, ids, totals = [], [], [], []
             for i, code in enumerate(encoder.encode(texts)):

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
-MEMORY = 400_000
+MEMORY = 800_000
 _ADJACENT = re.compile(r"\s\s")
 
 
@@ -53,3 +54,9 @@ class Encoder:
         if once:
             return [b"".join([ids[s] if s in ids else once[s] for s in c]) for c in cut]
         return [b"".join(map(ids.__getitem__, c)) for c in cut]
+
+
+@lru_cache(maxsize=2)
+def encoder_for(path: str, spaces: str) -> Encoder:
+    """The worker process's encoder: its next tasks find what this one remembers."""
+    return Encoder(path, spaces)

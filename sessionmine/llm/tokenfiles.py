@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import shared_folder, slices, stage
-from .textids import Encoder
+from .textids import encoder_for
 
 LENGTH = 1024
 BATCH = 256
@@ -133,7 +133,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     folder = folder or shared_folder(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out = Encoder(tokenizer, "dropped"), None
+        encoder, out = encoder_for(tokenizer, "dropped"), None
         part_id = TaskContext.get().partitionId()
         uri = f"{folder}/part-{part_id:06d}-{uuid.uuid4().hex}"
         for part, texts in slices(batches, limit=2_000_000):
