@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import errors as ef
+from ..operators.shared import shared_folder
 from ..plans.failures import fingerprinted
 from ..streaming import stateful, tables, windows
 from .common import ERROR_KINDS
@@ -16,12 +14,6 @@ from .failures import FAILURES, GUARDS, _cte, _messages
 SCHEMA = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
 
-def work_dir(spark) -> str:
-    """A fresh folder in the cluster's shared checkpoint folder; local only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sessionmine-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def event_stream(spark, sf) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     s = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -30,7 +22,7 @@ def event_stream(spark, sf) -> DataFrame:
 
 def drain(stream: DataFrame, spark) -> DataFrame:
     """Run a stream over all there is and read what it wrote."""
-    d = work_dir(spark)
+    d = shared_folder(spark)
     q = stream.writeStream.format("parquet").option("path", f"{d}/out").option("checkpointLocation", f"{d}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{d}/out")
@@ -57,7 +49,7 @@ SELECT fingerprint, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, count(*
 
 def stream_failures(spark, sf):
     """Observations logged by a stream, merged into records when read."""
-    d = work_dir(spark)
+    d = shared_folder(spark)
     obs = windows.failure_observations(_stream_messages(spark, sf, "error"))
     tables.log_batches(obs, f"{d}/log", f"{d}/cp").trigger(availableNow=True).start().awaitTermination()
     f = tables.read_failures(spark, f"{d}/log")

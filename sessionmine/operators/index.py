@@ -13,6 +13,7 @@ from .sizes import hint, keep
 
 K1, B = 1.2, 0.75
 MAX_FACETS = 8
+BUCKETS = 256
 
 
 @dataclass
@@ -37,14 +38,25 @@ class Index:
         return Index(keep(self.postings))
 
     def write(self, path: str) -> None:
-        """Store the postings by term, so that a query batch reads its buckets only."""
-        (self.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(256)))
+        """Store the postings by term hash, so that a query batch reads its buckets only."""
+        (self.postings.withColumn("bucket", _bucket("term"))
          .repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16)))
          .sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(path))
 
     @staticmethod
-    def read(spark: SparkSession, path: str) -> "Index":
-        return Index(spark.read.parquet(path).drop("bucket"))
+    def read(spark: SparkSession, path: str, terms: DataFrame | None = None) -> "Index":
+        """The stored postings; with `terms(term)`, only those of these terms and the
+        documents' own rows, from the buckets (at most `BUCKETS` numbers) that hold them."""
+        postings = spark.read.parquet(path)
+        if terms is None:
+            return Index(postings.drop("bucket"))
+        wanted = terms.select("term").union(spark.range(1).select(F.lit("").alias("term"))).distinct()
+        buckets = [r["b"] for r in wanted.select(_bucket("term").alias("b")).distinct().collect()]
+        return Index(postings.filter(F.col("bucket").isin(buckets)).drop("bucket").join(wanted, "term", "left_semi"))
+
+
+def _bucket(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def build_index(docs: DataFrame, tokenizer: Callable[[Column], Column] = tokens,
