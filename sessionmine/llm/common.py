@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.shared import shared_folder
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-CODEC = "spark.sql.parquet.compression.codec"
-_scratch: dict[str, str] = {}
 #: Folders of staged tables in the order in which this process made them.
 made: list[str] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below `spark.checkpoint.dir`, which driver and executors share.
-
-    Where the setting is missing, a local master (tests) gets a temporary folder; a cluster
-    gets an error, because its executors could not see such a folder.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _scratch.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="sessionmine-"))
-    return f"{root.rstrip('/')}/sessionmine-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def stage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it again: later steps start from files that
     survive lost executors, and the shuffle files behind them go when the write has ended."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
@@ -37,8 +19,7 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        out = df.write.option("compression", "zstd")
-        (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
