@@ -299,9 +299,13 @@ def advice(sessions: DataFrame, failures: DataFrame, now, hits: DataFrame | None
         spare = forgiven.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
     if seen is not None:
         spare += seen.join(idle, "session_id", "left_semi").groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
-    head = open_.orderBy(F.col("base").desc(), F.col("fingerprint")).limit(limit + spare).agg(
-        F.collect_list("fingerprint")).scalar()
-    idle_rows = idle.select("session_id", F.explode(head).alias("fingerprint")).withColumn("hit", F.lit(False))
+    if "stack" in sessions.columns and "stack" in failures.columns:
+        idle_rows = _idle_by_stack(sessions.filter(F.size(arr("tools")) == 0), open_, limit + spare)
+    else:
+        head = open_.orderBy(F.col("base").desc(), F.col("fingerprint")).limit(limit + spare).agg(
+            F.collect_list("fingerprint")).scalar()
+        idle_rows = idle.select("session_id", F.explode(head).alias("fingerprint"))
+    idle_rows = idle_rows.withColumn("hit", F.lit(False))
     cand = used.unionByName(idle_rows).groupBy("session_id", "fingerprint").agg(F.max("hit").alias("hit"))
     if forgiven is not None:
         cand = cand.join(forgiven.select("session_id", "fingerprint").distinct(), ["session_id", "fingerprint"], "left_anti")
@@ -332,6 +336,28 @@ def advice(sessions: DataFrame, failures: DataFrame, now, hits: DataFrame | None
                          sanitize(line, neutral_braces=True).alias("line"))
 
 
+def _idle_by_stack(idle: DataFrame, open_: DataFrame, k: int) -> DataFrame:
+    """`session_id, fingerprint`: the k first open failures that fit each idle session's stack.
+
+    Sessions and failures fall into classes of equal stacks. The head of each failure class
+    meets the session classes over languages: a side without languages meets all.
+    """
+    key = F.coalesce(F.to_json("stack"), F.lit(""))
+    order = [F.col("base").desc(), F.col("fingerprint")]
+    heads = top_per_group(open_.select("fingerprint", "base", "stack", key.alias("_f")), ["_f"], order, k, salt_by=["fingerprint"])
+    classes = idle.select("session_id", key.alias("_s"), "stack")
+    stacks = classes.groupBy("_s").agg(F.first("stack").alias("_cur"))
+    spoken = lambda c: F.filter(arr(F.col(c)["languages"]), lambda x: x != "")
+    theirs = F.when(F.size(spoken("stack")) == 0, F.array(F.lit("*"))).otherwise(F.array_distinct(spoken("stack")))
+    ours = F.when(F.size(spoken("_cur")) == 0, F.array(F.lit("any"))).otherwise(
+        F.concat(F.transform(F.array_distinct(spoken("_cur")), lambda x: F.concat(F.lit("="), x)), F.array(F.lit("*"))))
+    theirs = F.concat(F.transform(theirs, lambda x: F.when(x == "*", x).otherwise(F.concat(F.lit("="), x))), F.array(F.lit("any")))
+    met = (heads.withColumn("_on", F.explode(theirs)).join(stacks.withColumn("_on", F.explode(ours)), "_on")
+           .filter(compatible(F.col("stack"), F.col("_cur"))).select("_s", "fingerprint", "base").distinct())
+    best = top_per_group(met, ["_s"], order, k, salt_by=["fingerprint"]).select("_s", "fingerprint")
+    return classes.select("session_id", "_s").join(best, "_s").select("session_id", "fingerprint")
+
+
 # ---- guards --------------------------------------------------------------------------
 
 def guard_matches(calls: DataFrame, guards: DataFrame) -> DataFrame:

@@ -383,3 +383,19 @@ def test_nothing_is_dropped_without_a_cap(spark):
     said = found.select("session_id", "seq", F.lit(1).alias("turn"), F.concat(F.lit("wrong: "), "correction").alias("text"))
     seen = spark.createDataFrame([("s", -1, 1, "fp")], "session_id string, seq long, turn int, fingerprint string")
     assert fl.corrections(said, seen).count() == 510
+
+
+def test_an_idle_session_gets_the_failures_of_its_stack(spark):
+    stack = "struct<ecosystem:string,languages:array<string>,frameworks:array<string>,version_constraints:map<string,string>,versions:map<string,string>>"
+    def st(*langs):
+        return (None, list(langs), None, None, None)
+    rows = [(f"j{i}", "t", f"e{i}", "", "", 90 - i, st("java")) for i in range(5)] + [(f"p{i}", "t", f"e{i}", "", "", 20 - i, st("python")) for i in range(3)]
+    rows.append(("any", "t", "e", "", "", 2, st()))
+    f = spark.createDataFrame(rows, f"fingerprint string, tool string, symptom string, remedy string, template string, occurrences long, stack {stack}")
+    f = f.withColumns({"status": F.lit("validated"), "relapses": F.lit(0), "in_episode": F.col("occurrences"), "trigger": F.lit("x"),
+                       "last_seen": F.lit("2024-01-01").cast("timestamp"), "occurrences_at_resolve": F.lit(0)})
+    s = spark.createDataFrame([("py", [], "", st("python")), ("none", [], "", st()), ("null", [], "", None)], f"session_id string, tools array<string>, context string, stack {stack}")
+    got = {}
+    for r in fl.advice(s, f, "2024-02-01", limit=3).orderBy("session_id", "rank").collect():
+        got.setdefault(r.session_id, []).append(r.fingerprint)
+    assert got == {"py": ["p0", "p1", "p2"], "none": ["j0", "j1", "j2"], "null": ["j0", "j1", "j2"]}
