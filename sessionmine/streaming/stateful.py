@@ -92,6 +92,7 @@ class RepeatSuppressor(_PerSession):
             if r.kind == "repeat":
                 if self.sent.containsKey(k):
                     self.sent.removeKey(k)
+                    n -= 1  # the budget counts different warnings, not how often each came
                 continue
             if r.kind == "once":
                 if self.sent.containsKey(k) or n >= self.budget:

@@ -166,6 +166,11 @@ def test_stateful_streams(spark, tmp_path):
     df = spark.createDataFrame(rows, sch.split(", session_id")[0]).withColumn("session_id", F.lit("s")).withColumn("ts", F.timestamp_seconds(F.col("seq") * 60))
     got = run_stream(spark, df, sch, stateful.deliver_once, tmp_path, "d").orderBy("seq").collect()
     assert [(r.seq, r.form) for r in got] == [(1, "full"), (2, "pointer"), (3, "full"), (4, "full"), (6, "full"), (7, "once"), (10, "once")]
+    # Six warnings, one of them five times: the budget of five counts different ones.
+    again = [(10 * i + j, i, k, "f0", "") for i in range(1, 6) for j, k in ((0, "once"), (1, "repeat"))] + [(100 + i, 9, "once", f"f{i}", "") for i in range(1, 7)]
+    df5 = spark.createDataFrame(again, sch.split(", session_id")[0]).withColumn("session_id", F.lit("s")).withColumn("ts", F.timestamp_seconds(F.col("seq") * 60))
+    sent = run_stream(spark, df5, sch, stateful.deliver_once, tmp_path, "d5").filter("seq > 100").count()
+    assert sent == 5
     batch = ps.delivery_forms(df.filter("kind = 'delivery'").withColumn("epoch", (F.col("seq") > 5).cast("int")), 10).orderBy("epoch", "turn").collect()
     assert [r.full for r in batch] == [True, False, True, True, True]
 
