@@ -116,8 +116,8 @@ def mined_cards(spark, sf):
 MINED = f"""WITH {SITES}, g AS (SELECT repo, symbol, count(*) AS n, count(DISTINCT path) AS nf, list_filter(list_sort(list(DISTINCT {ROLE_SQL})), lambda x: x <> 'test') AS rl,
   array_to_string(list_sort(list(DISTINCT arity)), '/') AS ar FROM cs GROUP BY 1, 2 HAVING count(*) >= 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, symbol) AS rank, CASE WHEN len(rl) > 0 THEN array_to_string(rl, '/') ELSE 'other' END AS role FROM g)
-SELECT repo, symbol, symbol || ' 在仓库内的调用形态' AS name, sha1('在 ' || role || ' 中共观察到 ' || n || ' 处对 ' || symbol || ' 的调用，分布于 ' || nf || ' 个文件，出现过的参数个数为 ' || ar ||
-  '。这是结构化观察，具体前置条件与顺序需要结合实现确认。') AS summary, array_to_string(([lower(split_part(symbol, '.', 1))] || rl)[1:6], ',') AS tags FROM r WHERE rank <= 5"""
+SELECT repo, symbol, 'How this repository calls ' || symbol AS name, sha1(symbol || ': ' || n || ' calls in ' || nf || ' files (' || role || '), number of arguments ' || ar ||
+  '. Counted from the source text; read the code for order and preconditions.') AS summary, array_to_string(([lower(split_part(symbol, '.', 1))] || rl)[1:6], ',') AS tags FROM r WHERE rank <= 5"""
 
 
 def excerpts(spark, sf):

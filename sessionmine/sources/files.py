@@ -10,27 +10,27 @@ from ..functions import wordlists as wl
 from ..functions.paths import base_name, is_source
 
 
+# What a piece of a glob stands for in a Java regular expression; the first that fits counts.
+_GLOB = [(r"\*\*", ".*"), (r"\*", "[^/]*"), (r"[^*]+", None)]
+_PIECES = re.compile("|".join(f"({piece})" for piece, _ in _GLOB))
+# An ignore line: `!` takes back, `./` says nothing, a final `/` means directories only.
+_LINE = re.compile(r"^(?!#)(?P<back>!?+)(?:\./)?(?P<glob>.+?)(?P<dirs>/*)$")
+
+
 def glob_pattern(glob: str) -> str:
-    """Java regex of a simple glob: `**` crosses directories, a leading `/` anchors."""
-    anchored = glob.startswith("/")
-    parts = re.split(r"(\*\*|\*)", glob.lstrip("/") if anchored else glob)
-    body = "".join({"**": ".*", "*": "[^/]*"}.get(p, re.escape(p)) for p in parts)
-    return ("^" if anchored else "(?:^|.*/)") + body + "(?:/.*)?$"
+    """Java regex of a simple glob: `**` crosses directories, a leading `/` anchors; what lies
+    below a match matches too."""
+    body = "".join(re.escape(m[0]) if _GLOB[m.lastindex - 1][1] is None else _GLOB[m.lastindex - 1][1]
+                   for m in _PIECES.finditer(glob.lstrip("/")))
+    start = "^" if glob[:1] == "/" else "(?:^|.*/)"
+    return f"{start}{body}(?:/.*)?$"
 
 
 def ignore_rules(lines: list[str], exclude: list[str] = ()) -> list[tuple[str, bool, bool]]:
     """(pattern, negated, directories only) of ignore-file lines; later rules win."""
-    out = []
-    for raw in lines:
-        line = raw.strip()
-        if not line or line.startswith("#"):
-            continue
-        negated = line.startswith("!")
-        body = line[1:] if negated else line
-        clean = re.sub(r"^\./", "", body.rstrip("/"))
-        if clean:
-            out.append((glob_pattern(clean), negated, body.endswith("/")))
-    return out + [(glob_pattern(g), False, False) for g in exclude]
+    found = [m for m in map(_LINE.match, map(str.strip, lines)) if m]
+    return [(glob_pattern(m["glob"]), m["back"] == "!", m["dirs"] != "") for m in found] + [
+        (glob_pattern(g), False, False) for g in exclude]
 
 
 def ignored(path: Column, is_dir: bool, rules: list[tuple[str, bool, bool]]) -> Column:

@@ -203,7 +203,7 @@ def test_failures_from_events(spark):
     obs = fl.observe(events(spark, rows))
     f = fl.merge_failures(obs).collect()
     assert [(r.tool, r.template, r.occurrences, r.status, r.enforcement, r.guard_literal) for r in f] == [("bash", "Cannot find module LITERAL", 2, "validated", "warn", "npm run x")]
-    assert f[0].trigger.startswith("使用 bash 时遇到「")
+    assert f[0].trigger.startswith("运行 bash 期间报错：")
 
 
 def _fold_episodes(types):

@@ -109,7 +109,7 @@ def test_scan_and_mine(spark, tmp_path):
     assert c["Logger.info"].occurrences == 3 and c["Logger.info"].n_files == 2 and set(c) == {"Logger.info", "OrdersClient.create", "client.send"}
     assert out["excerpts"].filter("symbol = 'client.send'").first().excerpt.startswith("// service-layer\n")
     names = {r.symbol: r["name"] for r in out["cards"].collect()}
-    assert names["Logger.info"] == "Logger.info 在仓库内的调用形态"
+    assert names["Logger.info"] == "How this repository calls Logger.info"
     assert m.mine_code(got, out["cache"])["sites"].count() == 0
     s = st.detect_stack(got).first().stack
     assert s.languages == ["javascript", "typescript", "java"] and s.build_tool == "npm" and s.framework_versions == {"react": "^18", "vitest": "1"}
@@ -125,7 +125,7 @@ def test_logic_cards(spark):
     rep = spark.createDataFrame([("r", "A.run", None, None, "does", None, None, ["one"]), ("r", "A.run", None, None, "no steps", None, None, [])],
                                 "repo string, symbol string, name string, when string, summary string, subject string, location string, steps array<string>")
     r = m.logic_cards(rep, clusters).collect()
-    assert [(x.subject, x.location, x["name"]) for x in r] == [("Unit", "src/Unit.ts#run", "Unit 的代码逻辑")]
+    assert [(x.subject, x.location, x["name"]) for x in r] == [("Unit", "src/Unit.ts#run", "How Unit works")]
 
 
 def test_export(spark, tmp_path):
