@@ -161,7 +161,12 @@ def episode_state(events: DataFrame, group: list[str], chunk: Column | None = No
     occurrences_at_resolve`.
 
     A stored record brings the counters it had; it counts as a resolve where it was resolved.
+    `events` may be a plain history `(*group, ts, seq, type)`.
     """
+    if "age" not in events.columns:
+        events = events.withColumns({
+            "age": F.lit(1), "n": (F.col("type") == "observe").cast("long"),
+            **{c: F.lit(None).cast(_EVENT[c]) for c in ("relapses", "at_reopen", "resolved_at", "occurrences_at_resolve", "last_relapse_at")}})
     chunk = F.date_trunc("hour", "ts") if chunk is None else chunk
     stored = F.col("type") == "stored"
     h = events.select(*group, "age", "ts", "seq", "type", "n", *[F.col(c).alias(f"s_{c}") for c in (
