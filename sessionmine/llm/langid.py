@@ -6,6 +6,10 @@ n-gram hashes with one column of log-probabilities per language. A text gets the
 with the lowest cross-entropy per character. It is rejected where that cross-entropy lies
 far above what texts of this language have, allowing for the text's length.
 
+Models of any size are whole. Those over `MAX_CELLS` are made and sent in pieces, by
+language and, within a large one, by the middle of the n-grams; a task holds one piece at a
+time and adds up what the pieces say about its texts.
+
 Defined results: a null text and a text without a letter are `und` with score 0 and are
 rejected. Ties go to the language that comes first in order. Rows whose `lang` is null teach
 nothing; without any training text every row is `und`. Repeated rows count each time and
@@ -14,17 +18,19 @@ are judged alike. Further columns are passed through by `filter_documents` only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import slices, stage
 
 ORDER = 4
 UNDETERMINED = "und"
+#: Languages x 4-grams of one piece of the model.
 MAX_CELLS = 16_000_000
 MAX_LANGUAGES = 256
 #: A text is rejected so many deviations above its language's median; short texts get
@@ -34,6 +40,7 @@ MAX_DEVIATIONS = 30.0
 MIN_DEVIATION = 0.02
 FULL_LENGTH = 400
 _SCORE_CHARS = 20
+_PRIME = 1_000_003
 _U = np.uint64
 
 
@@ -158,9 +165,18 @@ def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return i, table[i] == wanted
 
 
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of 4-grams and 3-grams, by the two units before the last; a 3-gram, its
+    context and all 4-grams that end in it are in one part."""
+    return (keys >> _U(16) & _U(0xFFFFFFFF)) % _U(_PRIME) % _U(parts)
+
+
+def _discount(ones: int, twos: int) -> float:
+    return min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95)
+
+
 def build(counts: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     """Models from `(language, 4-grams, counts)`, languages in order."""
-    languages = tuple(x[0] for x in counts)
     each = []  # per language and order: n-grams, counts (types of left neighbours below ORDER)
     for _, keys, n in counts:
         order = np.argsort(keys)
@@ -169,7 +185,13 @@ def build(counts: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
             below = levels[-1][0] & _U((1 << 16 * size) - 1)
             levels.append(tuple(x.astype(float) if i else x for i, x in enumerate(np.unique(below, return_counts=True))))
         each.append(levels[::-1])
-    vocabulary = len(np.unique(np.concatenate([x[0][0] for x in each]))) + 1
+    discounts = [[_discount((n == 1).sum(), (n == 2).sum()) for _, n in x] for x in each]
+    return assemble(tuple(x[0] for x in counts), each, discounts, len(np.unique(np.concatenate([x[0][0] for x in each]))) + 1)
+
+
+def assemble(languages: tuple[str, ...], each: list[list[tuple[np.ndarray, np.ndarray]]], discounts: list[list[float]],
+             vocabulary: int) -> Model:
+    """Models from n-grams in order and their counts, per language and order."""
     k = len(languages)
     model = Model(languages, [], np.zeros(k))
     lower = None
@@ -180,8 +202,7 @@ def build(counts: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
         at_context = np.searchsorted(contexts, keys >> _U(16))
         for j, x in enumerate(each):
             own, n = x[size - 1]
-            ones, twos = (n == 1).sum(), (n == 2).sum()
-            discount = min(max(ones / max(ones + 2 * twos, 1), 0.1), 0.95)
+            discount = discounts[j][size - 1]
             c = np.searchsorted(contexts, own >> _U(16))
             total, kinds = np.bincount(c, n, len(contexts)), np.bincount(c, minlength=len(contexts))
             seen = total > 0
@@ -195,39 +216,105 @@ def build(counts: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
             below = lower[1][i]
         p += w[at_context] * below
         lower = (keys, p)
+        if not len(keys):  # a part without n-grams gets one that no text has
+            keys, p, contexts, w = np.zeros(1, _U), np.ones((1, k)), np.zeros(1, _U), np.ones((1, k))
         h, ch = hashes(keys), hashes(contexts)
         by, cby = np.argsort(h), np.argsort(ch)
         model.levels.append(Level(h[by], np.log(p[by]).astype(np.float32), ch[cby], np.log(w[cby]).astype(np.float32)))
     return model
 
 
-def learn(docs: DataFrame, max_cells: int = MAX_CELLS, max_languages: int = MAX_LANGUAGES) -> Model | None:
-    """A model from all rows of `docs(text, lang)`; None without any.
+@dataclass
+class Piece:
+    """The models of languages `first` to `last` (not included), in a file: n-grams of orders
+    3 and 4 of one part, all of the lower orders."""
+
+    first: int
+    last: int
+    part: int
+    parts: int
+    sent: Broadcast
+
+    def model(self) -> Model:
+        """Read anew each time, so that a worker has one piece in memory."""
+        path = self.sent._path
+        return self.sent.load_from_path(path) if path else self.sent.value
+
+
+@dataclass
+class Pieces:
+    """A model that is too large to be in one place."""
+
+    languages: tuple[str, ...]
+    pieces: list[Piece]
+
+
+def _plan(rows: list[tuple[str, int]], max_cells: int) -> list[tuple[int, int, int]]:
+    """`(first, last, parts)`: runs of languages whose 4-grams x languages stay within
+    `max_cells`; a language that exceeds it alone is cut into parts."""
+    runs, first = [], 0
+    while first < len(rows):
+        last = first + 1
+        while last < len(rows) and sum(n for _, n in rows[first:last + 1]) * (last + 1 - first) <= max_cells:
+            last += 1
+        parts = max(1, -(-rows[first][1] // max_cells)) if last == first + 1 else 1
+        runs.append((first, last, parts))
+        first = last
+    return runs
 
-    The size of what is sent to the executors is bounded: the `max_languages` languages with
-    most text are learned, and 4-grams under the smallest count for which 4-grams x languages
-    stays within `max_cells` are left to the lower orders.
-    """
+
+def _by_language(t: pa.Table, languages: Iterable[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """N-grams in order and their counts for each language, from `lang, gram, n`."""
+    lang = t.column("lang").combine_chunks().dictionary_encode()
+    codes, names = lang.indices.to_numpy(zero_copy_only=False), lang.dictionary.to_pylist()
+    keys, n = t.column("gram").to_numpy().view(_U), t.column("n").to_numpy().astype(float)
+    out = []
+    for x in languages:
+        own = np.flatnonzero(codes == names.index(x)) if x in names else np.zeros(0, np.int64)
+        own = own[np.argsort(keys[own])]
+        out.append((keys[own], n[own]))
+    return out
+
+
+def _pieces(counts: DataFrame, rows: list[tuple[str, int]], max_cells: int) -> Pieces:
+    """The model in pieces. Counts of all orders, discounts and the vocabulary come from all
+    4-grams, in Spark."""
+    languages = tuple(x for x, _ in rows)
+    levels = {ORDER: counts}
+    for size in range(ORDER - 1, 0, -1):
+        below = F.col("gram").bitwiseAND(F.lit((1 << 16 * size) - 1))
+        levels[size] = stage(levels[size + 1].groupBy("lang", below.alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    discounts = [[0.0] * ORDER for _ in languages]
+    for size, level in levels.items():
+        for r in level.groupBy("lang").agg(*[F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2)]).collect():
+            discounts[languages.index(r["lang"])][size - 1] = _discount(r["n1"], r["n2"])
+    vocabulary = levels[1].select("gram").distinct().count() + 1
+    middle = F.shiftright("gram", 16).bitwiseAND(F.lit(0xFFFFFFFF)) % F.lit(_PRIME)
+    out = []
+    for first, last, parts in _plan(rows, max_cells):
+        own = F.col("lang").isin(list(languages[first:last]))
+        for part in range(parts):
+            tables = [levels[size].filter(own & (middle % F.lit(parts) == part) if size > 2 else own).toArrow() for size in range(1, ORDER + 1)]
+            split = [_by_language(t, languages[first:last]) for t in tables]
+            model = assemble(languages[first:last], [list(x) for x in zip(*split)], discounts[first:last], vocabulary)
+            out.append(Piece(first, last, part, parts, counts.sparkSession.sparkContext.broadcast(model)))
+    return Pieces(languages, out)
+
+
+def learn(docs: DataFrame, max_cells: int = MAX_CELLS, max_languages: int = MAX_LANGUAGES) -> Model | Pieces | None:
+    """A model from all rows of `docs(text, lang)`; None without any. All 4-grams of the
+    `max_languages` languages with most text count; over `max_cells` (4-grams x languages)
+    the model comes in pieces."""
     counts = stage(count_grams(docs))
-    sizes = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    languages = sorted(r["lang"] for r in sizes)
-    if not languages:
+    sizes = counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    rows = sorted((r["lang"], r["k"]) for r in sizes.collect())
+    if not rows:
         return None
+    languages = [x for x, _ in rows]
     counts = counts.filter(F.col("lang").isin(languages))
-    level = F.least(F.col("n"), F.lit(65_536))
-    by_count = sorted(((r["c"], r["k"]) for r in counts.groupBy(level.alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()),
-                      reverse=True)
-    room, least = max_cells // len(languages), None
-    for c, k in by_count:
-        room -= k
-        if room < 0 and least is not None:
-            break
-        least = c
-    t = counts.filter(F.col("n") >= least).toArrow()
-    lang = t.column("lang").combine_chunks().dictionary_encode()
-    codes, names = lang.indices.to_numpy(zero_copy_only=False), lang.dictionary.to_pylist()
-    keys, n = t.column("gram").to_numpy().view(_U), t.column("n").to_numpy()
-    return build([(x, keys[codes == names.index(x)], n[codes == names.index(x)]) for x in languages if x in names])
+    if sum(k for _, k in rows) * len(rows) > max_cells:
+        return _pieces(counts, rows, max_cells)
+    return build([(x, *y) for x, y in zip(languages, _by_language(counts.toArrow(), languages))])
 
 
 OUT = "lang_pred string, score double, cross_entropy double, n_units long"
@@ -236,31 +323,60 @@ _NAMES = [x.split()[0] for x in OUT.split(", ")]
 _CHUNK = 1_000_000
 
 
-def predict(text: str | None, model: Model | None) -> tuple:
-    """One row of `OUT`; long texts are scored in runs that overlap by a context."""
-    a = units(text) if text and model else np.zeros(0, np.uint16)
-    if not len(a):
-        return UNDETERMINED, 0.0, None, 0
+def _total(a: np.ndarray, model: Model, part: int = 0, parts: int = 1) -> np.ndarray:
+    """Minus the sum of the units' log-probabilities under each language, of one part's units
+    or of all; long texts are scored in runs that overlap by a context."""
     total = np.zeros(len(model.languages))
     for i in range(ORDER - 1, len(a), _CHUNK):
-        total -= model.logp(a[i - ORDER + 1:i + _CHUNK]).sum(0, dtype=float)
+        run = a[i - ORDER + 1:i + _CHUNK]
+        at = np.flatnonzero(part_of(grams(run), parts) == part) if parts > 1 else None
+        total -= model.logp(run, at=at).sum(0, dtype=float)
+    return total
+
+
+def _found(a: np.ndarray, total: np.ndarray, languages: tuple[str, ...]) -> tuple:
     n = len(a) - ORDER + 1
     h = total / n
     best = int(h.argmin())
     weight = np.exp((h[best] - h) * _SCORE_CHARS)
-    return model.languages[best], float(1 / weight.sum()), float(h[best]), n
+    return languages[best], float(1 / weight.sum()), float(h[best]), n
+
+
+_NOTHING = (UNDETERMINED, 0.0, None, 0)
+
+
+def predict(text: str | None, model: Model | None) -> tuple:
+    """One row of `OUT`."""
+    a = units(text) if text and model else np.zeros(0, np.uint16)
+    return _found(a, _total(a, model), model.languages) if len(a) else _NOTHING
+
+
+def predict_all(texts: list[str | None], model: Model | Pieces | None) -> list[tuple]:
+    """Rows of `OUT`; each piece of a model is read once."""
+    if not isinstance(model, Pieces):
+        return [predict(t, model) for t in texts]
+    each = [units(t) if t else np.zeros(0, np.uint16) for t in texts]
+    totals = np.zeros((len(texts), len(model.languages)))
+    for x in model.pieces:
+        piece = x.model()
+        for total, a in zip(totals, each):
+            if len(a):
+                total[x.first:x.last] += _total(a, piece, x.part, x.parts)
+        del piece
+    return [_found(a, total, model.languages) if len(a) else _NOTHING for a, total in zip(each, totals)]
 
 
-def _scored(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+def _scored(docs: DataFrame, model: Model | Pieces | None, keep: list[str]) -> DataFrame:
     """Columns `keep` of `docs`, then the columns of `OUT` in a struct named `_found`."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = None if isinstance(model, Pieces) else docs.sparkSession.sparkContext.broadcast(model)
+    pieces = model if sent is None else None
     index = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = pieces if sent is None else sent.value
         for part in batches:
             for cut, texts in slices([part.rename_columns([f"_{i}" for i in range(len(part.schema))])], text=f"_{index}"):
-                rows = [predict(t, m) for t in texts]
+                rows = predict_all(texts, m)
                 found = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)], _NAMES)
                 yield pa.RecordBatch.from_arrays([*cut.columns[:len(keep)], found], names=[*keep, "_found"])
 

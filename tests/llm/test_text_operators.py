@@ -137,6 +137,22 @@ def test_scan_in_runs_is_the_same(monkeypatch, spark, make_docs):
     assert langid.predict(text, model)[2] == pytest.approx(whole[2])
 
 
+@pytest.mark.parametrize("max_cells", [40, 200])
+def test_large_models_are_whole(spark, make_docs, max_cells):
+    """In parts of one language (40) and whole languages (200): the definition's values."""
+    texts = {"de": [prose(i, 20, "de") for i in range(3)], "en": [prose(i, 20) for i in range(3)], "fr": ["le la et des déjà où"]}
+    docs = make_docs([(i, t, x) for x, ts in texts.items() for i, t in enumerate(ts)])
+    small, large = langid.learn(docs), langid.learn(docs, max_cells)
+    assert len(large.pieces) > 1 and (max_cells > 40 or max(x.parts for x in large.pieces) > 1)
+    asked = ["The qüick tion und Zung xx", None, "12", *texts["de"], *texts["en"], "déjà 語 vu"]
+    for got, want in zip(langid.predict_all(asked, large), langid.predict_all(asked, small)):
+        assert got[0] == want[0] and got[3] == want[3]
+        assert got[1:3] == (want[1:3] if want[2] is None else pytest.approx(want[1:3], abs=1e-4))
+    columns = [c for c in docs.columns if c != "p"]
+    want = rows_of(langid._scored(docs, small, columns).select("doc_id", "_found.lang_pred", "_found.n_units").sort("doc_id", "n_units"))
+    assert rows_of(langid._scored(docs, large, columns).select("doc_id", "_found.lang_pred", "_found.n_units").sort("doc_id", "n_units")) == want
+
+
 # ---- near-duplicates -------------------------------------------------------------
 
 def brute_groups(rows, size, percent):
