@@ -7,8 +7,9 @@ ratio of a character is a sum over the orders: what its n-gram adds where it was
 leaving the context costs where only the context was seen. A URL is allowed when the mean
 over its characters reaches a threshold that is calibrated on the decided URLs.
 
-The two tables hold at most `SLOTS` rows each whatever the input: n-grams are hashed to
-slots, and a slot has the mean of what falls into it, weighted by how often it occurs.
+The two tables have a row for each n-gram and context of the decided URLs and grow with
+them. They are broadcast after a look at their sizes; larger ones are joined with the
+distinct n-grams of the URLs to score.
 
 Defined results: a null or empty URL has an empty host and path and is blocked. Without any
 decided URL all others are allowed; with one class only, they get its verdict. Repeated rows
@@ -21,10 +22,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators import sizes
 from .common import stage
 
 ORDER = 4
-SLOTS = 1 << 20
 STRENGTH = 5.0
 BINS = 100
 _END = "\n"
@@ -56,10 +57,6 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
-def _slot(order: Column, gram: Column) -> Column:
-    return F.pmod(F.xxhash64(order, gram), F.lit(SLOTS)).cast("int")
-
-
 def _grams(rows: DataFrame, keep: list[str]) -> DataFrame:
     """One row per character and order: columns `keep`, `k`, context `h` and character `c`.
     The end counts as a character."""
@@ -70,7 +67,8 @@ def _grams(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def learn(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`slot, d` for n-grams and `slot, e` for contexts, from `decided(url, verdict)`."""
+    """`g, d` for n-grams and `h, e` for contexts, from `decided(url, verdict)`. The length of
+    the text tells the order."""
     good, bad = (F.col("verdict") == v for v in ("allow", "block"))
     counts = stage(_grams(decided, ["verdict"]).groupBy("k", "h", "c").agg(
         F.sum(good.cast("long")).alias("a"), F.sum(bad.cast("long")).alias("b")))
@@ -84,26 +82,26 @@ def learn(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:
             rows = rows.join(lower, [F.substr("h", F.lit(2)) == lower.h0, F.col("c") == lower.c0])
         p = {x: (F.col(x) + STRENGTH * F.col(f"p{x}")) / (F.col(f"t{x}") + STRENGTH) for x in "ab"}
-        rows = stage(rows.select("k", "h", "c", (F.col("a") + F.col("b")).alias("n"), p["a"].alias("qa"), p["b"].alias("qb"),
+        rows = stage(rows.select("k", "h", "c", p["a"].alias("qa"), p["b"].alias("qb"),
                                  (F.log(p["a"] / p["b"]) - F.log(F.col("pa") / F.col("pb"))).alias("d")))
         grams = rows if grams is None else grams.union(rows)
         lower = rows.select(F.col("h").alias("h0"), F.col("c").alias("c0"), F.col("qa").alias("pa"), F.col("qb").alias("pb"))
-    by_gram = grams.groupBy(_slot(F.col("k"), F.concat("h", "c")).alias("slot")).agg(
-        (F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("d"))
-    n = F.col("ta") + F.col("tb")
     leave = F.log((F.col("tb") + STRENGTH) / (F.col("ta") + STRENGTH))
-    by_context = contexts.groupBy(_slot(F.col("k"), F.col("h")).alias("slot")).agg((F.sum(leave * n) / F.sum(n)).alias("e"))
-    return stage(by_gram), stage(by_context)
+    return stage(grams.select(F.concat("h", "c").alias("g"), "d")), stage(contexts.select("h", leave.alias("e")))
 
 
-def score(rows: DataFrame, model: tuple[DataFrame, DataFrame], keep: list[str]) -> DataFrame:
-    """Columns `keep` and `score`, the mean log ratio per character (more is better). The
-    model's tables have at most `SLOTS` rows, hence the broadcasts."""
+def score(rows: DataFrame, model: tuple[DataFrame, DataFrame], keep: list[str], max_rows: int = sizes.MAX_BROADCAST_ROWS) -> DataFrame:
+    """Columns `keep` and `score`, the mean log ratio per character (more is better)."""
     grams, contexts = model
-    each = _grams(rows, keep).select(*keep, "k", _slot(F.col("k"), F.concat("h", "c")).alias("slot"), _slot(F.col("k"), F.col("h")).alias("at"))
-    each = each.join(F.broadcast(grams), "slot", "left").join(F.broadcast(contexts.withColumnRenamed("slot", "at")), "at", "left")
-    total = F.sum(F.coalesce("d", "e", F.lit(0.0)))
-    return each.groupBy(*keep).agg(F.round(total / F.sum((F.col("k") == 0).cast("int")), 6).alias("score"))
+    each = _grams(rows, keep).select(*keep, "k", "h", F.concat("h", "c").alias("g"))
+    if sizes.is_small(grams, max_rows) and sizes.is_small(contexts, max_rows):
+        each = each.join(F.broadcast(grams), "g", "left").join(F.broadcast(contexts), "h", "left")
+        each = each.withColumn("v", F.coalesce("d", "e", F.lit(0.0)))
+    else:
+        asked = each.select("g", "h").distinct().join(grams, "g", "left").join(contexts, "h", "left")
+        values = stage(asked.select("g", F.coalesce("d", "e").alias("v")).filter("v IS NOT NULL"))
+        each = each.join(values, "g", "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    return each.groupBy(*keep).agg(F.round(F.sum("v") / F.sum((F.col("k") == 0).cast("int")), 6).alias("score"))
 
 
 def threshold(scored: DataFrame) -> float:

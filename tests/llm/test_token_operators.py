@@ -258,6 +258,36 @@ def test_urls_without_seeds(spark):
     assert urls.judge(df.limit(0), queries.RULES).count() == 0
 
 
+@pytest.mark.parametrize("max_rows", [200_000, 0])
+def test_url_scores_of_many_grams_are_exact(spark, max_rows):
+    """Unlike text in every URL: the tables fill with the input, and unseen n-grams stay unseen."""
+    r = np.random.default_rng(5)
+    def url(i):
+        return f"http://h{i}.net/" + "".join(map(chr, r.integers(0x4E00, 0x9000, 80)))
+
+    decided = [(url(i), "block" if i % 2 else "allow") for i in range(1500)]
+    asked = [decided[0][0], decided[1][0][:40] + "x"] + [url(i) for i in range(20)]
+    model = urls.learn(spark.createDataFrame(decided, "url string, verdict string"))
+    got = {x["url"]: x["score"] for x in urls.score(spark.createDataFrame([(u,) for u in asked], "url string"), model, ["url"], max_rows).collect()}
+    n, t = {}, {}
+    for u, verdict in decided:
+        s = u.lower() + "\n"
+        for i, c in enumerate(s):
+            for k in range(min(urls.ORDER, i) + 1):
+                n.setdefault((s[i - k:i], c), [0, 0])[verdict == "block"] += 1
+                t.setdefault(s[i - k:i], [0, 0])[verdict == "block"] += 1
+    size = len({c for h, c in n if not h}) + 1
+
+    def q(h, c, side):
+        lower = q(h[1:], c, side) if h else 1 / size
+        return (n.get((h, c), (0, 0))[side] + urls.STRENGTH * lower) / (t.get(h, (0, 0))[side] + urls.STRENGTH)
+
+    for u in asked:
+        s = u.lower() + "\n"
+        want = sum(log(q(s[max(0, i - urls.ORDER):i], c, 0) / q(s[max(0, i - urls.ORDER):i], c, 1)) for i, c in enumerate(s)) / len(s)
+        assert got[u] == pytest.approx(want, abs=2e-6), u
+
+
 # ---- mixing ----------------------------------------------------------------------
 
 def brute_posteriors(rows, labels, domains):
