@@ -3,6 +3,9 @@
 Each language gets two references from the whole corpus: a histogram of character classes
 and a histogram of its common words (all others in one cell). A text is compared with every
 language by Jensen-Shannon distance and takes the nearest; it fails when it is far from all.
+Languages with `language_words` words or `language_share` of all words have references. A
+text in a language without one can't be told from junk and skips the comparison; a text
+without `lang` is compared.
 
 Defined results: a null or empty text has no words and fails the base rule. Texts under the
 length guards skip the comparison they are too short for. Without any language (empty table,
@@ -59,6 +62,7 @@ class Rules:
     common_share: float = 0.002
     slack: float = 0.0005
     language_share: float = 0.001
+    language_words: int = 5_000
 
 
 @dataclass(frozen=True)
@@ -127,15 +131,15 @@ def learn(docs: DataFrame, rules: Rules = Rules()) -> References:
     Common words are those with at least `common_share` of a language's words. The first
     pass finds at most 1 / (common_share - slack) words a language that may reach it (each
     run of rows reports only its frequent ones), the second counts these over all texts.
-    Only languages with `language_share` of all words become references, so the model is
-    bounded whatever `lang` holds.
+    Languages with `language_words` words, or `language_share` of all words in a small
+    corpus, become references if they have common words.
     """
     pairs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sums = stage(pairs.mapInArrow(_candidates(rules), "lang string, word binary, n long")
                  .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals = sums.filter(F.col("word").isNull()).select("lang", F.col("n").alias("total"))
     wide = totals.agg(F.sum("total").alias("all"))
-    kept = (totals.join(F.broadcast(wide), F.col("total") >= rules.language_share * F.col("all"))
+    kept = (totals.join(F.broadcast(wide), (F.col("total") >= rules.language_words) | (F.col("total") >= rules.language_share * F.col("all")))
             .select("lang", "total"))
     may = (sums.filter(F.col("word").isNotNull()).join(F.broadcast(kept), "lang")
            .filter(F.col("n") >= (rules.common_share - rules.slack) * F.col("total"))
@@ -165,11 +169,12 @@ def learn(docs: DataFrame, rules: Rules = Rules()) -> References:
 
 def divergence(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance (base 2, 0 to 1) of one histogram to each row of `shares`."""
-    p = counts / counts.sum()
-    mean = (p[None, :] + shares) / 2
+    at = np.flatnonzero(counts)
+    p, q = counts[at] / counts.sum(), shares[:, at]
+    mean = (p[None, :] + q) / 2
+    left = (p * np.log2(p / mean)).sum(1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        left = np.where(p > 0, p * np.log2(p / mean), 0.0).sum(1)
-        right = np.where(shares > 0, shares * np.log2(shares / mean), 0.0).sum(1)
+        right = np.where(q > 0, q * np.log2(q / mean), 0.0).sum(1) + 1 - q.sum(1)  # all of the cells that only `shares` has
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
@@ -210,7 +215,7 @@ OUT = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
        "nearest string, class_distance double, word_distance double, kept boolean")
 
 
-def measure(text: str | None, refs: References, rules: Rules) -> tuple:
+def measure(text: str | None, refs: References, rules: Rules, lang: str | None = None) -> tuple:
     """One row of `OUT`."""
     raw = (text or "").encode()
     words = raw.split()
@@ -221,7 +226,7 @@ def measure(text: str | None, refs: References, rules: Rules) -> tuple:
     failed = n < rules.min_words or 100 * repeats > rules.max_repeat_percent * n
     chars = len(text or "")
     nearest = by_class = by_word = None
-    if refs.languages and chars:
+    if refs.languages and chars and (lang is None or lang in refs.languages):
         distance = np.zeros(len(refs.languages))
         if chars >= rules.guard_chars:
             to_class = divergence(seen @ _TO_CLASS, refs.classes)
@@ -249,13 +254,13 @@ def judge(docs: DataFrame, rules: Rules = Rules(), refs: References | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            rows = [measure(t, refs, rules) for t in texts]
+            rows = [measure(t, refs, rules, lang) for t, lang in zip(texts, part.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(_TYPES)]],
                 names=["doc_id", *_NAMES])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, {OUT}")
+    return docs.select("doc_id", *[F.col(c).cast("string").alias(c) for c in ("text", "lang")]).mapInArrow(run, f"doc_id {kind}, {OUT}")
 
 
 def filter_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -265,6 +270,7 @@ def filter_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            yield part.filter(pa.array([measure(t, refs, rules)[-1] for t in texts], pa.bool_()))
+            langs = [None if x is None else str(x) for x in part.column(part.schema.get_field_index("lang")).to_pylist()]
+            yield part.filter(pa.array([measure(t, refs, rules, x)[-1] for t, x in zip(texts, langs)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -64,6 +64,24 @@ def test_quality_keeps_prose_and_drops_junk(spark, make_docs, odd_rows):
     assert [x["kept"] for x in short] == [False, False]
 
 
+def test_rare_languages_stay(spark, make_docs):
+    """Languages with under a thousandth of all words: one with words for a reference, one without."""
+    r = np.random.default_rng(1)
+    junk = [(900 + i, " ".join("".join(r.choice(list("#$%&*xyz"), 6)) for _ in range(120)), "en") for i in range(4)]
+    large = [(i, " ".join([prose(i, 250)] * 700), "en") for i in range(40)]
+    greek = str.maketrans("abcdefghiklmnoprstuvw", "αβψδεφγηικλμνοπρστθωχ")
+    cyrillic = str.maketrans("abcdefghiklmnoprstuvw", "абцдефгхиклмнопрстувш")
+    some = [(500 + i, prose(i, 300, "de").translate(greek), "el") for i in range(20)]
+    few = [(600 + i, prose(i, 300, "de").translate(cyrillic), "sr") for i in range(3)]
+    docs = make_docs(large + some + few + junk)
+    got = {x["doc_id"]: x for x in quality.judge(docs).collect()}
+    assert set(quality.learn(docs).languages) == {"en", "el"}
+    assert all(got[i]["kept"] and got[i]["nearest"] == "el" for i, _, _ in some)
+    assert all(got[i]["kept"] and got[i]["nearest"] is None for i, _, _ in few)
+    assert not any(got[i]["kept"] for i, _, _ in junk)
+    assert {i for i, _, _ in some + few} <= {x["doc_id"] for x in quality.filter_documents(docs).select("doc_id").collect()}
+
+
 # ---- language --------------------------------------------------------------------
 
 def brute_model(texts, order=4):
