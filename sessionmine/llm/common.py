@@ -44,13 +44,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches, text: str = "text", limit: int = 8_000_000):
+def cut_batches(batches, text: str = "text", limit: int = 8_000_000):
     """Cut Arrow batches into runs of rows with about `limit` bytes of text, so that the
-    memory of a step doesn't follow the number of rows in a batch. Yields (batch, texts)."""
+    memory of a step doesn't follow the number of rows in a batch. Yields (batch, text column)."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(text))
         sizes = texts.nbytes
         step = max(1, int(batch.num_rows * limit / max(sizes, 1))) if batch.num_rows else 1
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
-            yield part, part.column(part.schema.get_field_index(text)).to_pylist()
+            yield part, part.column(part.schema.get_field_index(text))
+
+
+def slices(batches, text: str = "text", limit: int = 8_000_000):
+    """The same with the texts as a Python list."""
+    for part, texts in cut_batches(batches, text, limit):
+        yield part, texts.to_pylist()

@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import slices, stage
-from .textids import encoder_for
+from .common import cut_batches, stage
+from .textids import cut_ids, encoder_for
 
 CAPACITY = 2048
 #: Pieces of one length that one task ranks, about.
@@ -31,22 +31,13 @@ PER_SALT = 100_000
 def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """`doc_id, start, length, ids, doc_tokens` per piece; `ids` are little-endian unsigned
     32-bit integers, a document's last one is `end_id`."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(tokenizer, "kept")
-        for part, texts in slices(batches, limit=2_000_000):
-            rows, starts, ids, totals = [], [], [], []
-            for i, code in enumerate(encoder.encode(texts)):
-                code += end
-                for at in range(0, len(code), 4 * capacity):
-                    rows.append(i)
-                    starts.append(at // 4)
-                    ids.append(code[at:at + 4 * capacity])
-                    totals.append(len(code) // 4)
-            yield pa.RecordBatch.from_arrays([
-                part.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()),
-                pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64())],
+        encoder = encoder_for(tokenizer)
+        for part, texts in cut_batches(batches, limit=4_000_000):
+            ids, sizes = encoder.encode(texts, end_id)
+            p = cut_ids(ids, sizes, capacity)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(p["row"]), p["start"], p["length"], p["ids"], pa.array(sizes).take(p["row"])],
                 names=["doc_id", "start", "length", "ids", "doc_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

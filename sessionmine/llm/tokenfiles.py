@@ -1,8 +1,9 @@
 """Token ids in Arrow files of equal-length sequences (operator 8).
 
 Each file is an Arrow IPC file whose batches hold `BATCH` rows of two fixed-size lists, the
-ids and the mask of one sequence. Batches and rows have equal sizes, so token t lies in
-batch t // (length x BATCH), and a memory-mapped file gives any sequence without a copy.
+ids and the mask (a bit each) of one sequence. Batches and rows have equal sizes, so token t
+lies in batch t // (length x BATCH), and a memory-mapped file gives any sequence and mask
+without a copy.
 Documents follow one another through the sequences in ascending `doc_id`; only the last
 sequence of a file is padded (mask 0). Next to it a second Arrow file lists the documents.
 
@@ -24,7 +25,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import shared_folder, slices, stage
+from .common import cut_batches, shared_folder, stage
 from .textids import encoder_for
 
 LENGTH = 1024
@@ -50,23 +51,23 @@ class Writer:
         self.held: list[np.ndarray] = []
         self.n_held = self.n_tokens = self.n_docs = self.n_sequences = 0
 
-    def add(self, doc_ids: pa.Array, codes: list[np.ndarray]) -> None:
-        sizes = np.array([len(c) for c in codes], np.int64)
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents in a row: `ids` of all of them, `sizes` of each."""
         starts = self.n_tokens + np.cumsum(sizes) - sizes
         docs = pa.RecordBatch.from_arrays([doc_ids, pa.array(starts), pa.array(sizes)], names=["doc_id", "start", "n_tokens"])
         if self.docs_writer is None:
             self.docs_writer = pa.ipc.new_file(self.docs_out, docs.schema)
         self.docs_writer.write_batch(docs)
-        self.n_docs += len(codes)
-        self.n_tokens += int(sizes.sum())
-        self.held += codes
-        self.n_held += int(sizes.sum())
+        self.n_docs += len(sizes)
+        self.n_tokens += len(ids)
+        self.held.append(ids.astype(self.dtype))
+        self.n_held += len(ids)
         if self.n_held >= self.room:
             self._flush(self.n_held // self.room * self.room)
 
     def _flush(self, n: int) -> None:
         """Write the first n held tokens, padded to whole sequences."""
-        tokens = np.concatenate(self.held).astype(self.dtype)
+        tokens = np.concatenate(self.held)
         self.held, self.n_held = [tokens[n:]], len(tokens) - n
         for at in range(0, n, self.room):
             part = tokens[at:min(at + self.room, n)]
@@ -105,13 +106,14 @@ class Reader:
             self._at, self._batch = i, self.file.get_batch(i)
         return self._batch
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view of the file) and mask of one sequence."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of one sequence, both views of the file (numpy has no bit arrays, so the
+        mask is an Arrow array)."""
         rows = self.room // self.length
         part = self._part(i // rows)
         at = i % rows * self.length
-        ids = part.column(0).values.slice(at, self.length)
-        return ids.to_numpy(zero_copy_only=True), part.column(1).values.slice(at, self.length).to_numpy(zero_copy_only=False)
+        ids, mask = (part.column(c).values.slice(at, self.length) for c in (0, 1))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         parts = []
@@ -133,22 +135,23 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     folder = folder or shared_folder(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out = encoder_for(tokenizer, "dropped"), None
+        encoder, out = encoder_for(tokenizer), None
         part_id = TaskContext.get().partitionId()
         uri = f"{folder}/part-{part_id:06d}-{uuid.uuid4().hex}"
-        for part, texts in slices(batches, limit=2_000_000):
+        for part, texts in cut_batches(batches, limit=4_000_000):
             if not part.num_rows:
                 continue
             out = out or Writer(uri, encoder.tokenizer.get_vocab_size(), length)
-            out.add(part.column(0), [np.frombuffer(c + end, "<u4") for c in encoder.encode(texts)])
+            out.add(part.column(0), *encoder.encode(texts, end_id))
         if out:
             out.close()
             row = (part_id, uri, out.n_docs, out.n_tokens, out.n_sequences)
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
-    end = np.array([end_id], "<u4").tobytes()
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return stage(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, MANIFEST))
+    # Rows that share an id, null too, are dealt out by a hash of their text.
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("turn", F.xxhash64("text"))
+    order = ["doc_id", "turn"]
+    return stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, MANIFEST))
 
 
 def read(manifest: DataFrame, doc_type: str = "long") -> DataFrame:

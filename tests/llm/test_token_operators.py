@@ -1,6 +1,7 @@
 """Packing, token files, media, sharding, licences, URLs, mixing."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -9,6 +10,7 @@ from math import exp, log
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -19,18 +21,33 @@ from .conftest import prose
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD_TEXTS = ["a\n\nb  c", "  lead", " x", "trail ", "t\n", "don't 'S I'm we'll", "a\tb c\x0bd", "é a \u0301b", "ΑΣ ΣΑΣ. Σ", "<|endoftext|> x",
-             "\x85 a\xa0b  c", "\x1c a", "x\n y", "日本 語。\nx", "\x00 a b", "123 45,6 #$% don''t", "", "a b", "line.\nNext line\nlast"]
-
-
-@pytest.mark.parametrize("path,spaces", [(BYTE, "kept"), (WORD, "dropped")])
-def test_segments_give_the_tokenizers_ids(path, spaces):
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    texts = ODD_TEXTS + [prose(i, 50, x) for i in range(5) for x in ("en", "de")]
-    encoder = textids.Encoder(path, spaces)
-    for _ in range(2):  # the second time from memory
-        for text, code in zip(texts, encoder.encode(texts)):
-            assert np.frombuffer(code, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+             "hello <|endoftext|> world", "a <|startoftext|>", "\x85 a\xa0b  c", "\x1c a", "x\n y", "日本 語。\nx", "\x00 a b", "123 45,6 #$% don''t", "",
+             None, "a b", "line.\nNext line\nlast", "  ", "\n", "a \n\n b\r\n\r\nc \t", "\t\t x", "x  \n", "a\u3000 b", "a= \u0338b", "a=\u0338b"]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_segments_give_the_tokenizers_ids(path, monkeypatch):
+    monkeypatch.setattr(textids, "MEMORY", 200)
+    plain, encoder, r = Tokenizer.from_file(path), textids.Encoder(path), random.Random(3)
+    marks = [" ", "  ", "\n", "\t", "a", "b1", "'s", "é", ".", "!", "\r", "\u2003", "\u0301", "Σ", "\u200b", "don", "-", "_"]
+    texts = ODD_TEXTS + [prose(i, 50, x) for i in range(5) for x in ("en", "de")] + [
+        "".join(r.choices(marks, k=r.randint(0, 14))) for _ in range(1500)]
+    for at in (0, 0, 7, 400):  # the second time from memory, then slices of an array
+        ids, sizes = encoder.encode(pa.array(texts).slice(at, 1000), 1)
+        ends = np.cumsum(sizes)
+        assert ends[-1] == len(ids)
+        for text, a, b in zip(texts[at:at + 1000], ends - sizes, ends):
+            assert ids[a:b].tolist() == plain.encode(text or "", add_special_tokens=False).ids + [1], repr(text)
+    assert [len(x) for x in encoder.encode(pa.array([], pa.string()), 1)] == [0, 0]
+
+
+def test_cut_ids():
+    ids, sizes = np.arange(12, dtype=np.uint32), np.array([5, 1, 6])
+    for short_first, want in ((False, [[0, 1], [2, 3], [4], [5], [6, 7], [8, 9], [10, 11]]), (True, [[0], [1, 2], [3, 4], [5], [6, 7], [8, 9], [10, 11]])):
+        p = textids.cut_ids(ids, sizes, 2, short_first)
+        assert [np.frombuffer(x, "<u4").tolist() for x in p["ids"].to_pylist()] == want
+        assert p["row"].to_pylist() == [0, 0, 0, 1, 2, 2, 2] and p["piece"].to_pylist() == [0, 1, 2, 0, 0, 1, 2]
+        assert p["length"].to_pylist() == [len(x) for x in want] and p["start"].to_pylist() == [w[0] - [0, 5, 6][r] for w, r in zip(want, p["row"].to_pylist())]
 
 
 # ---- packing ---------------------------------------------------------------------
@@ -94,7 +111,8 @@ def test_token_files_round_trip(spark, make_docs, odd_rows, tmp_path):
     for f in files.collect():
         reader = tokenfiles.Reader(f["file"])
         ids, mask = reader.sequence(f["n_sequences"] - 1)
-        assert len(ids) == len(mask) == 64 and mask.sum() == f["n_tokens"] - 64 * (f["n_sequences"] - 1)
+        assert mask.buffers()[1].address == reader.file.get_batch(reader.file.num_record_batches - 1).column(1).values.buffers()[1].address  # a view
+        assert len(ids) == len(mask) == 64 and mask.true_count == f["n_tokens"] - 64 * (f["n_sequences"] - 1)
         assert (reader.sequence(0)[0] == reader.tokens(0, 64)[:64]).all() and not ids.flags.owndata
     assert tokenfiles.read(tokenfiles.write(docs.limit(0), WORD, 2)).count() == 0
 
