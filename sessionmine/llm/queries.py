@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, licences, media, mixing, neardup, packing, quality, sharding, tokenfiles, urls
+from . import bestfit, clusters, codes, langid, licences, media, mixing, neardup, packing, quality, sharding, tokenfiles, urls
 from .common import table
 
 
@@ -87,6 +87,22 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link_documents(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of exact clustering of all embeddings around 16 centroids."""
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings: eight parts, 16 entries each, six rounds."""
+    return codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few sequences of 2048 tokens as can be, with digests of their ids."""
+    pieces = bestfit.cut(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return bestfit.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_licence_scan": (op1_licence_scan, licences.oracle()),
     "op2_extendible_sharding": (op2_extendible_sharding, sharding.oracle(sharding.LIMIT)),
@@ -99,4 +115,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_token_files": (op8_token_files, None),
     "op9_language_id": (op9_language_id, None),
     "op10_minhash_near_duplicates": (op10_minhash_near_duplicates, None),
+    "op11_centroid_clusters": (op11_centroid_clusters, clusters.oracle()),
+    "op12_vector_codes": (op12_vector_codes, codes.oracle()),
+    "op13_best_fit_packing": (op13_best_fit_packing, None),
 }
