@@ -361,7 +361,7 @@ def exported(spark, sf):
 EXPORTED = f"""WITH {MERGE_CTES},
 x AS (SELECT id, summary, name, tags, frameworks, (SELECT any_value(w) FROM dk WHERE dk.key = mc.key) AS w, (SELECT any_value(lang) FROM dk WHERE dk.key = mc.key) AS lang FROM mc WHERE status = 'validated' AND sensitivity <> 'confidential'),
 y AS (SELECT id, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug,
-  trim(regexp_replace(CASE WHEN summary <> '' THEN summary ELSE name END || ' Use when: ' || w || '. Applies to: ' || lang || '/' || split_part(frameworks, ',', 1) || '. Keywords: ' || replace(tags, ',', ', ') || '.', '\\s+', ' ', 'g')) AS ds FROM x)
+  trim(regexp_replace(CASE WHEN summary <> '' THEN summary ELSE name END || ' For: ' || w || '. Stack: ' || lang || '/' || split_part(frameworks, ',', 1) || '. Tags: ' || replace(tags, ',', ', ') || '.', '\\s+', ' ', 'g')) AS ds FROM x)
 SELECT id, CASE WHEN length(slug) >= 3 THEN slug ELSE 'technique' END || '-' || substr(id, 4, 8) AS name, least(length(ds), 1024) AS chars, 0 AS problems FROM y"""
 
 QUERIES = {

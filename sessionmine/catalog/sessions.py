@@ -35,7 +35,7 @@ def session_events(spark, sf):
 
 
 def _turns(spark, sf):
-    return ps.build_turns(session_events(spark, sf))
+    return ps.build_turns(session_events(spark, sf), user_chars=2000, assistant_chars=1200, max_turns=60)
 
 
 def turns(spark, sf):
@@ -44,6 +44,13 @@ def turns(spark, sf):
                     F.array_join("tools", ",").alias("tools"), F.array_join("files", ",").alias("files"))
 
 
+def whole_turns(spark, sf):
+    """Turns without any limit."""
+    t = ps.build_turns(session_events(spark, sf))
+    return t.select("session_id", F.col("turn").cast("long").alias("turn"), F.sha1("user").alias("user"), F.sha1("assistant").alias("assistant"),
+                    F.array_join("tools", ",").alias("tools"), F.array_join("files", ",").alias("files"))
+
+
 def _ht(col: str, n: int) -> str:
     head = n * 6 // 10
     return f"CASE WHEN length({col}) <= {n} THEN {col} ELSE substr({col}, 1, {head}) || '…' || right({col}, {n - head - 1}) END"
@@ -65,6 +72,9 @@ TURNS = f"""WITH {TURN_CTES}
 SELECT session_id, turn, sha1("user") AS "user", sha1(assistant) AS assistant, array_to_string(tools, ',') AS tools, array_to_string(files, ',') AS files FROM t"""
 
 
+WHOLE_TURNS = TURNS.replace(_ht('u', 2000), "u").replace(_ht('a', 1200), "a")
+
+
 def capped_transcripts(spark, sf):
     """Turns left under a 1500 character limit."""
     return ps.cap_transcript(_turns(spark, sf), 1500).select("session_id", F.col("turn").cast("long").alias("turn"))
@@ -77,7 +87,7 @@ SELECT session_id, turn FROM w WHERE tail - 1 <= 1500 OR back = 1"""
 
 
 def _distilled(spark, sf):
-    return ps.distill(_turns(spark, sf), PREFERENCE, DECISION, TODO)
+    return ps.distill(_turns(spark, sf), PREFERENCE, DECISION, TODO, limits=ps.LIMITS)
 
 
 def episodes(spark, sf):
@@ -124,10 +134,10 @@ b AS (SELECT session_id, count(*) AS n, coalesce(arg_min("user", turn) FILTER (W
 e AS (SELECT b.session_id, n, rq, rs, coalesce(ds, []) AS ds, coalesce(ls.ts, []) AS td, coalesce(fs, []) AS fs, coalesce(tl, []) AS tl,
    {_sq("regexp_extract(rq, '^([^\\n\\r]*)', 1)")} AS ti, {_sq('rq')} AS rq1, {_sq('rs')} AS rs1
    FROM b LEFT JOIN ls USING (session_id) LEFT JOIN fs USING (session_id) LEFT JOIN ts USING (session_id)),
-su AS (SELECT *, concat_ws(' ', '会话共 ' || n || ' 轮。', CASE WHEN rq <> '' THEN '请求：' || {clip_sql('rq1', 200)} END,
-   CASE WHEN len(tl) > 0 THEN '过程：' || array_to_string(tl[1:8], '、') || CASE WHEN len(tl) > 8 THEN ' 等 ' || len(tl) || ' 类工具' ELSE '' END END,
-   CASE WHEN rs <> '' THEN '结果：' || {clip_sql('rs1', 240)} END, CASE WHEN len(ds) > 0 THEN '决定：' || array_to_string(ds[1:3], ' ｜ ') END,
-   CASE WHEN len(td) > 0 THEN '待办：' || array_to_string(td[1:3], ' ｜ ') END, CASE WHEN len(fs) > 0 THEN '文件：' || array_to_string(fs[1:8], ', ') END) AS sm FROM e),
+su AS (SELECT *, concat_ws(' ', n || ' turns.', CASE WHEN rq <> '' THEN 'Asked: ' || {clip_sql('rq1', 200)} END,
+   CASE WHEN len(tl) > 0 THEN 'Used: ' || array_to_string(tl[1:8], '; ') || CASE WHEN len(tl) > 8 THEN ' (of ' || len(tl) || ')' ELSE '' END END,
+   CASE WHEN rs <> '' THEN 'Ended with: ' || {clip_sql('rs1', 240)} END, CASE WHEN len(ds) > 0 THEN 'Decided: ' || array_to_string(ds[1:3], '; ') END,
+   CASE WHEN len(td) > 0 THEN 'Left: ' || array_to_string(td[1:3], '; ') END, CASE WHEN len(fs) > 0 THEN 'Touched: ' || array_to_string(fs[1:8], '; ') END) AS sm FROM e),
 o AS (SELECT session_id, CASE WHEN ti <> '' THEN {clip_sql('ti', 120)} ELSE 'untitled session' END AS title0, {clip_sql('sm', 2000)} AS sm0, ds, td, fs FROM su)
 SELECT session_id, {redact_sql('title0')} AS title, sha1({redact_sql('sm0')}) AS summary, {_red_list('ds')} AS decisions, {_red_list('td')} AS todos, array_to_string(fs, '|') AS files FROM o"""
 
@@ -280,7 +290,7 @@ SELECT user_id AS session_id, count(*) AS deliveries, count(*) FILTER (WHERE "fu
 def stored_clean(spark, sf):
     """Episodes after the storing pipeline (credentials, identifiers, outside paths)."""
     t = _turns(spark, sf)
-    e, _ = ps.distill(t, PREFERENCE, DECISION, TODO)
+    e, _ = ps.distill(t, PREFERENCE, DECISION, TODO, limits=ps.LIMITS)
     j = e.join(ps.session_identifiers(t), "session_id", "left").withColumn("cwd", F.lit("/ws"))
     c = ps.clean_for_store(j, ["title", "summary"], ["decisions", "todos"], "identifiers", "cwd")
     return c.select("session_id", F.sha1("title").alias("title"), F.length("summary").cast("long").alias("chars"), F.size("decisions").cast("long").alias("decisions"))
@@ -291,7 +301,7 @@ STORED = EPISODES[:EPISODES.rindex("SELECT session_id, ")] + (
     f"SELECT session_id, sha1({redact_sql('title0')}) AS title, length({redact_sql('sm0')}) AS chars, len(ds) AS decisions FROM o")
 
 QUERIES = {
-    "turns": (turns, TURNS), "capped_transcripts": (capped_transcripts, CAPPED), "episodes": (episodes, EPISODES),
+    "turns": (turns, TURNS), "whole_turns": (whole_turns, WHOLE_TURNS), "capped_transcripts": (capped_transcripts, CAPPED), "episodes": (episodes, EPISODES),
     "facts": (facts, FACTS), "evicted_facts": (evicted_facts, EVICTED), "superseded_facts": (superseded_facts, SUPERSEDED),
     "latest_episodes": (latest_episodes, LATEST), "context_terms": (context_terms, CONTEXT), "reflection": (reflection, REFLECTION),
     "delivery_forms": (delivery_forms, DELIVERY), "stored_clean": (stored_clean, STORED),

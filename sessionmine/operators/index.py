@@ -121,20 +121,23 @@ def recency_factor(now: Column, ts: Column, weight: float) -> Column:
     return F.when(ts.isNull(), F.lit(1.0)).otherwise(1 + F.lit(weight) / (1 + age_days / 7))
 
 
+def term_weights(terms: DataFrame, index: Index) -> DataFrame:
+    """`terms(term, ...)` that occur in the index, with `df, idf, avg_len`."""
+    totals = index.postings.filter(F.col("term") == "").agg(F.struct(
+        F.count("id").cast("double").alias("n"), F.avg("len").alias("avg_len"))).scalar()
+    return (terms.join(index.term_stats.select("term", "df"), "term")
+            .withColumn("totals", totals)
+            .withColumn("idf", F.log(1 + (F.col("totals.n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+            .withColumn("avg_len", F.col("totals.avg_len")).drop("totals"))
+
+
 def score_pairs(terms: DataFrame, index: Index, n_facets: int = 1, k1: float = K1, b: float = B,
                 small_terms: bool = False) -> DataFrame:
     """BM25 score per facet and gate counts for each (query, document) that share a term.
 
     Returns `query_id, id, ts, boost, scores ARRAY<DOUBLE>, matched, strong, generic, shared`.
     """
-    stats = index.term_stats
-    marker = F.col("term") == ""
-    totals = index.postings.filter(marker).agg(F.struct(
-        F.count("id").cast("double").alias("n"), F.avg("len").alias("avg_len"))).scalar()
-    weighted = (terms.join(stats.select("term", "df"), "term")
-                .withColumn("totals", totals)
-                .withColumn("idf", F.log(1 + (F.col("totals.n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-                .withColumn("avg_len", F.col("totals.avg_len")).drop("totals"))
+    weighted = term_weights(terms, index)
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     joined = (index.postings.join(hint(weighted, small_terms), "term")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _scratch: dict[str, str] = {}
 
@@ -23,3 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _scratch.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="sessionmine-"))
     return f"{root.rstrip('/')}/sessionmine-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table, computed now and kept as checkpoint files, for plans that read a small
+    intermediate result several times: what comes after starts from the files, not from a copy
+    of the plan. Spark deletes the files with the table where
+    `spark.cleaner.referenceTracking.cleanCheckpoints` is set."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
@@ -36,9 +40,32 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
+_kept: ContextVar[list[DataFrame] | None] = ContextVar("kept", default=None)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Keep a table that several branches of a job read (memory, then executor disk).
 
-    Parts lost with an executor are computed again from their source.
+    Parts lost with an executor are computed again from their source. Inside `freed()` the
+    table is given back at the end of the block.
     """
-    return df if df.isStreaming else df.persist(StorageLevel.MEMORY_AND_DISK)
+    if df.isStreaming:
+        return df
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if _kept.get() is not None:
+        _kept.get().append(out)
+    return out
+
+
+@contextmanager
+def freed() -> Iterator[None]:
+    """Own what the jobs in this block keep: it is given back when the block ends, so results
+    must be written inside. For jobs that run again and again, such as micro-batches."""
+    mine: list[DataFrame] = []
+    token = _kept.set(mine)
+    try:
+        yield
+    finally:
+        _kept.reset(token)
+        for df in mine:
+            df.unpersist()

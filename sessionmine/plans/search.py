@@ -12,6 +12,7 @@ from ..functions.versions import applies_to, compatible
 from ..operators.index import MAX_FACETS, Index, build_index, fielded_scores, query_terms, recency_factor, score_pairs
 from ..operators.ranking import top_per_group
 from ..operators.sizes import hint, texts_are_small
+from ..operators.topk import MAX_PAIRS, reachable_pairs, rows_to_join
 
 EPISODE_WEIGHT = 0.85
 
@@ -117,9 +118,12 @@ def _newest(docs: DataFrame, k: int, score: Column, order: list[Column]) -> Colu
 
 def search(queries: DataFrame, docs: DataFrame, k: int = 5, gate: int | None = None, now=None,
            recency_weight: float = 0.15, min_score: float = 0.0, stop: list[str] = wl.GATE_STOP_WORDS,
-           empty: str = "allow", decisions: bool = False, index: Index | None = None) -> DataFrame:
+           empty: str = "allow", decisions: bool = False, index: Index | None = None, max_pairs: int = MAX_PAIRS) -> DataFrame:
     """Top k documents per query (`query_id, text`).
 
+    Up to `max_pairs` (query, posting) rows are scored outright; beyond that, only documents
+    that can reach rank k are (see `operators.topk`), with the same result.
+
     `docs(id, text[, ts, layer, domain, tags, symbols])`.  `gate` is the number of matched
     informative terms asked for (None: no gate).  A query without any word returns the
     newest documents with score 0, unless `empty='deny'`.  With `decisions=True` the result
@@ -131,14 +135,20 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 5, gate: int | None = N
     if index is None:
         index = build_index(_indexable(docs, _layer_weight(docs)), vocabulary=terms.select("term").distinct(),
                             small_vocabulary=small).keep()
-    pairs = score_pairs(terms, index, 1, small_terms=small)
     fresh = F.lit(1.0) if now is None else recency_factor(_as_now(now), F.col("ts"), recency_weight)
-    pairs = pairs.withColumn("score", F.get("scores", F.lit(0)) * fresh * F.col("boost")).filter(F.col("score") > 0)
-    if gate is not None or decisions:
-        pairs = relevance_gate(pairs, terms, gate or 0, min_score, small)
-        if decisions:
-            return pairs.select("query_id", "id", "score", "matched", "strong", "generic", "shared", "kept")
-        pairs = pairs.filter("kept")
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        scored = pairs.withColumn("score", F.get("scores", F.lit(0)) * fresh * F.col("boost")).filter(F.col("score") > 0)
+        return scored if gate is None and not decisions else relevance_gate(scored, terms, gate or 0, min_score, small)
+
+    if decisions:
+        return judged(score_pairs(terms, index, 1, small_terms=small)).select(
+            "query_id", "id", "score", "matched", "strong", "generic", "shared", "kept")
+    passed = (lambda pairs: judged(pairs).filter("kept")) if gate is not None else judged
+    if rows_to_join(terms, index) <= max_pairs:
+        pairs = passed(score_pairs(terms, index, 1, small_terms=small))
+    else:
+        pairs = passed(reachable_pairs(terms, index, k, F.col("boost") * fresh, passed, small_terms=small))
     hits = top_per_group(pairs.select("query_id", "id", "score", "ts"), ["query_id"],
                          [F.col("score").desc(), *_order(docs)], k)
     out = hits.select("query_id", "id", "score", "rank")

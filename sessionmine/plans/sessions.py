@@ -13,6 +13,7 @@ from ..operators.running import running
 from ..operators.sizes import keep
 
 CHUNK = 4096  # events of one session handled together
+NO_LIMIT = (1 << 31) - 1  # characters; no text is longer
 
 
 def is_injected(text, source_kind, markers: list[str] = wl.HOST_CONTEXT_MARKERS) -> Column:
@@ -25,8 +26,9 @@ def is_injected(text, source_kind, markers: list[str] = wl.HOST_CONTEXT_MARKERS)
     return hit
 
 
-def clipped_texts(messages: DataFrame, keys: list[str], limits: dict[str, int]) -> DataFrame:
-    """Concatenate `text` per key and role in `seq` order, keeping head and tail.
+def clipped_texts(messages: DataFrame, keys: list[str], limits: dict[str, int | None]) -> DataFrame:
+    """Concatenate `text` per key and role in `seq` order, keeping head and tail; all of it
+    where a role has no limit.
 
     Clipping after every message, as a live capture does, leaves the first 60 % of the
     limit and the end of everything said, so only messages that reach into those two
@@ -37,6 +39,7 @@ def clipped_texts(messages: DataFrame, keys: list[str], limits: dict[str, int])
                    sums={"upto": F.length("piece").cast("long")}, totals=True)
     limit, head, tail = F.lit(0), F.lit(0), F.lit(0)
     for role, size in limits.items():
+        size = NO_LIMIT if size is None else size
         h, t = head_tail_sizes(size)
         is_role = F.col("role") == role
         limit, head, tail = (F.when(is_role, v).otherwise(o) for v, o in ((size, limit), (h, head), (t, tail)))
@@ -61,9 +64,10 @@ def clipped_texts(messages: DataFrame, keys: list[str], limits: dict[str, int])
                       .otherwise(F.col("f")).alias("clipped"))
 
 
-def build_turns(events: DataFrame, user_chars: int = 2000, assistant_chars: int = 1200,
-                max_turns: int = 60) -> DataFrame:
-    """Session events to turns; the newest `max_turns` turns per session."""
+def build_turns(events: DataFrame, user_chars: int | None = None, assistant_chars: int | None = None,
+                max_turns: int | None = None) -> DataFrame:
+    """Session events to turns. Whole texts and all turns, unless limits are given: characters
+    of a turn's texts (start and end stay), the newest turns of a session."""
     role = (F.when(F.col("type") == "user/message", "user")
             .when(F.col("type") == "assistant/message", "assistant"))
     said = (events.withColumn("role", role).filter(F.col("role").isNotNull())
@@ -86,8 +90,9 @@ def build_turns(events: DataFrame, user_chars: int = 2000, assistant_chars: int
     started = events.filter(F.col("turn").isNotNull() & F.col("type").isin(
         "turn/start", "user/message", "assistant/message", "tool/call")).filter(
         (F.col("type") != "user/message") | ~is_injected("text", "source_kind")).select("session_id", "turn").distinct()
-    newest = top_per_group(started, ["session_id"], [F.col("turn").desc()], max_turns, "_back", salt_by=["turn"])
-    return (newest.drop("_back").join(texts, ["session_id", "turn"], "left")
+    if max_turns is not None:
+        started = top_per_group(started, ["session_id"], [F.col("turn").desc()], max_turns, "_back", salt_by=["turn"]).drop("_back")
+    return (started.join(texts, ["session_id", "turn"], "left")
             .join(lists, ["session_id", "turn"], "left")
             .select("session_id", "turn", F.coalesce("user", F.lit("")).alias("user"),
                     F.coalesce("assistant", F.lit("")).alias("assistant"),
@@ -102,7 +107,7 @@ def turn_text() -> Column:
 def cap_transcript(turns: DataFrame, max_chars: int = 24_000) -> DataFrame:
     """Drop the oldest turns until the rest fits; the newest turn always stays.
 
-    Turns per session are bounded by `build_turns`, so a plain window is enough.
+    A window over the turns of one session; `build_turns(max_turns=...)` bounds them.
     """
     size = F.length(turn_text()) + 1
     w = Window.partitionBy("session_id").orderBy(F.col("turn").desc())
@@ -113,19 +118,21 @@ def cap_transcript(turns: DataFrame, max_chars: int = 24_000) -> DataFrame:
 
 # ---- distillation by marker words ---------------------------------------------
 
+#: Lengths of the display texts and lists of a stored episode, for `distill(limits=...)`.
 LIMITS = {"title": 120, "summary": 2000, "item": 400, "items": 20, "files": 40, "tags": 8, "request": 200,
-          "result": 240, "process": 8}
+          "result": 240, "process": 8, "named": 3, "named_files": 8}
 
 
 def classified_sentences(turns: DataFrame, preference: list[str] = wl.PREFERENCE_MARKERS,
-                         decision: list[str] = wl.DECISION_MARKERS, todo: list[str] = wl.TODO_MARKERS) -> DataFrame:
+                         decision: list[str] = wl.DECISION_MARKERS, todo: list[str] = wl.TODO_MARKERS,
+                         max_chars: int | None = None) -> DataFrame:
     """`session_id, category, turn, pos, text`: user sentences with a marker word.
 
     A sentence goes to the first list it has a marker for, unless that list already has
     it; then to the next one, so a repeated sentence may appear in several lists.
     """
     said = (turns.select("session_id", "turn", F.posexplode(sentences("user")).alias("pos", "s"))
-            .withColumn("text", clip_head("s", LIMITS["item"]))
+            .withColumn("text", clip_head("s", max_chars or NO_LIMIT))
             .withColumn("p", contains_any("s", preference)).withColumn("d", contains_any("s", decision))
             .withColumn("t", contains_any("s", todo)).filter(F.col("p") | F.col("d") | F.col("t")))
     # Three occurrences per marker combination decide everything; more cannot matter.
@@ -148,16 +155,26 @@ def _ordered(name: str, order: str, value: str, cond: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct(order, value)))), lambda s: s[value]).alias(name)
 
 
+def _first(df: DataFrame, keys: list[str], order: list[str], limit: int, salt_by: list[str]) -> DataFrame:
+    """The first rows of each group, or all where there is no limit."""
+    return df if limit == NO_LIMIT else top_per_group(df, keys, [F.col(c) for c in order], limit, "_n", salt_by=salt_by).drop("_n")
+
+
 def distill(turns: DataFrame, preference: list[str] = wl.PREFERENCE_MARKERS,
             decision: list[str] = wl.DECISION_MARKERS, todo: list[str] = wl.TODO_MARKERS,
-            stacks: DataFrame | None = None, redacted: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Turns to one episode per session and its facts (`session_id, kind, text, turn, pos`)."""
+            stacks: DataFrame | None = None, redacted: bool = True,
+            limits: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Turns to one episode per session and its facts (`session_id, kind, text, turn, pos`).
+
+    Everything found is listed whole, unless `limits` (see `LIMITS`) says how much of each
+    text and list is kept.
+    """
+    most = {name: (limits or {}).get(name, NO_LIMIT) for name in LIMITS}
     turns = keep(turns)
-    marked = classified_sentences(turns, preference, decision, todo)
-    marked = top_per_group(marked, ["session_id", "category"], [F.col("turn"), F.col("pos"), F.col("text")],
-                           LIMITS["items"], "n", salt_by=["turn", "pos"])
-    marked = keep(marked)
-    lists = marked.groupBy("session_id").agg(
+    marked = classified_sentences(turns, preference, decision, todo, most["item"])
+    marked = keep(_first(marked, ["session_id", "category"], ["turn", "pos", "text"], most["items"], ["turn", "pos"]))
+    at = F.struct("turn", "pos", "text")
+    lists = marked.withColumn("n", at).groupBy("session_id").agg(
         _ordered("decisions", "n", "text", F.col("category") == "decision"),
         _ordered("todos", "n", "text", F.col("category") == "todo"))
     base = turns.groupBy("session_id").agg(
@@ -172,33 +189,32 @@ def distill(turns: DataFrame, preference: list[str] = wl.PREFERENCE_MARKERS,
     files = (turns.select("session_id", "turn", F.posexplode(
         F.concat(arr("files"), prose("user"), prose("assistant"))).alias("pos", "file"))
         .groupBy("session_id", "file").agg(F.min(F.struct("turn", "pos")).alias("at")))
-    files = top_per_group(files, ["session_id"], [F.col("at"), F.col("file")], LIMITS["files"], "n", salt_by=["file"])
-    files = files.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "file"))),
+    files = _first(files, ["session_id"], ["at", "file"], most["files"], ["file"])
+    files = files.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "file"))),
                                                         lambda s: s["file"]).alias("files"))
     e = base.join(lists, "session_id", "left").join(tools, "session_id", "left").join(files, "session_id", "left")
     if stacks is not None:
         e = e.join(stacks.select("session_id", F.col("stack.languages").alias("_langs")), "session_id", "left")
-        tags = F.slice(F.transform(arr("_langs"), F.lower), 1, LIMITS["tags"])
+        tags = F.slice(F.transform(arr("_langs"), F.lower), 1, most["tags"])
     else:
         tags = empty()
     request, result = F.coalesce("request", F.lit("")), F.coalesce("result", F.lit(""))
     first = squeeze(F.regexp_extract(request, "^([^\n\r]*)", 1))
     n_tools = F.size(arr("tools"))
     part = lambda cond, *xs: F.when(cond, F.concat(*xs))
-    top3 = lambda c: F.array_join(F.slice(arr(c), 1, 3), " ｜ ")
+    some = lambda c, name: F.array_join(F.slice(arr(c), 1, most[name]), "; ")
     summary = clip_head(F.concat_ws(
         " ",
-        F.concat(F.lit("会话共 "), F.col("n_turns").cast("string"), F.lit(" 轮。")),
-        part(request != "", F.lit("请求："), clip_head(squeeze(request), LIMITS["request"])),
-        part(n_tools > 0, F.lit("过程："), F.array_join(F.slice(arr("tools"), 1, LIMITS["process"]), "、"),
-             F.when(n_tools > LIMITS["process"], F.concat(F.lit(" 等 "), n_tools.cast("string"), F.lit(" 类工具")))
-             .otherwise("")),
-        part(result != "", F.lit("结果："), clip_head(squeeze(result), LIMITS["result"])),
-        part(F.size(arr("decisions")) > 0, F.lit("决定："), top3("decisions")),
-        part(F.size(arr("todos")) > 0, F.lit("待办："), top3("todos")),
-        part(F.size(arr("files")) > 0, F.lit("文件："), F.array_join(F.slice(arr("files"), 1, 8), ", ")),
-    ), LIMITS["summary"])
-    title = F.when(first != "", clip_head(first, LIMITS["title"])).otherwise("untitled session")
+        F.concat(F.col("n_turns").cast("string"), F.lit(" turns.")),
+        part(request != "", F.lit("Asked: "), clip_head(squeeze(request), most["request"])),
+        part(n_tools > 0, F.lit("Used: "), some("tools", "process"),
+             F.when(n_tools > most["process"], F.concat(F.lit(" (of "), n_tools.cast("string"), F.lit(")"))).otherwise("")),
+        part(result != "", F.lit("Ended with: "), clip_head(squeeze(result), most["result"])),
+        part(F.size(arr("decisions")) > 0, F.lit("Decided: "), some("decisions", "named")),
+        part(F.size(arr("todos")) > 0, F.lit("Left: "), some("todos", "named")),
+        part(F.size(arr("files")) > 0, F.lit("Touched: "), some("files", "named_files")),
+    ), most["summary"])
+    title = F.when(first != "", clip_head(first, most["title"])).otherwise("untitled session")
     episodes = e.select("session_id", title.alias("title"), summary.alias("summary"),
                         arr("decisions").alias("decisions"), arr("todos").alias("todos"),
                         arr("files").alias("files"), tags.alias("tags"), F.lit("rule").alias("source"))

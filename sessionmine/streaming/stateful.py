@@ -1,6 +1,6 @@
 """Keyed state that built-in operators cannot express.
 
-Three small processors over `transformWithStateInPandas`, keyed by session.  The state is
+Small processors over `transformWithStateInPandas`, keyed by session.  The state is
 bounded: one entry per item, failure or warning that is still open; an event-time timer
 clears a session that stays silent for a day.
 """
@@ -25,7 +25,7 @@ def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(parts).sort_values("seq", kind="stable") if parts else pd.DataFrame()
 
 
-class _PerSession(StatefulProcessor):
+class PerSession(StatefulProcessor):
     idle_ms = 24 * 3600 * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -33,12 +33,14 @@ class _PerSession(StatefulProcessor):
         self.last = handle.getValueState("last", StructType([StructField("ms", LongType())]))
 
     def take(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        """The session's new rows; sets the timer that clears it once it is idle."""
+        """The session's new rows; moves the timer that clears it once it is idle."""
         frame = _ordered(rows)
         if len(frame):
             latest = int(frame["ts"].max().timestamp() * 1000)
-            before = self.last.get()[0] if self.last.exists() else 0
-            if latest > before:
+            before = self.last.get()[0] if self.last.exists() else None
+            if before is None or latest > before:
+                if before is not None:
+                    self.handle.deleteTimer(before + self.idle_ms)
                 self.last.update((latest,))
                 self.handle.registerTimer(latest + self.idle_ms)
         return frame
@@ -46,71 +48,130 @@ class _PerSession(StatefulProcessor):
     def states(self) -> list:
         return []
 
+    def forget(self) -> None:
+        """The session is over: drop its state and its timer."""
+        if self.last.exists():
+            self.handle.deleteTimer(self.last.get()[0] + self.idle_ms)
+        for state in [*self.states(), self.last]:
+            state.clear()
+
+    def on_idle(self, key) -> list[tuple]:
+        """Rows to give out when a session fell silent."""
+        return []
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
         last = self.last.get()[0] if self.last.exists() else 0
         if expiredTimerInfo.getExpiryTimeInMs() >= last + self.idle_ms:
+            out = self.on_idle(key)
             for state in [*self.states(), self.last]:
                 state.clear()
-        yield pd.DataFrame(columns=self.columns)
+        yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
-class RepeatSuppressor(_PerSession):
-    """Full text, pointer or nothing for `delivery` rows; `compaction` rows reset.
+class RepeatSuppressor(PerSession):
+    """What a session is sent, row by row (`kind`):
+
+    - `delivery`: full text or pointer. Full on first sight, new content, the same turn, or
+      `every` turns after the last full one; a `compaction` row resets that.
+    - `once` (warnings): once each, again after a `repeat` row (the failure came back), as long
+      as fewer than `budget` different ones were sent (0: no limit).
+    - `advisory` and `first_contact`: no item twice, one of them a turn, `advisories` different
+      items a session; first contacts only up to `first_contacts`, and none after a
+      `consulted` row.
+    - `session/disposed` clears the session.
 
-    Items: full on first sight, new content, the same turn, or `every` turns after the last
-    full one.  Items of kind `once` (warnings) pass once until `repeat` rows re-arm them,
-    within `budget` per session.
+    An item, warning or advisory that was not touched for `ttl_ms` is forgotten.
     """
 
     columns = ["session_id", "seq", "turn", "item_id", "form"]
 
-    def __init__(self, every: int = 10, budget: int = 5):
+    def __init__(self, every: int = 10, budget: int = 5, advisories: int = 12, first_contacts: int = 1,
+                 ttl_ms: int | None = None):
         self.every, self.budget = every, budget
+        self.advisories, self.first_contacts, self.ttl_ms = advisories, first_contacts, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         key = StructType([StructField("item", StringType())])
-        val = StructType([StructField("hash", StringType()), StructField("full_turn", IntegerType())])
-        self.items = handle.getMapState("items", key, val)
-        self.sent = handle.getMapState("sent", key, StructType([StructField("turn", IntegerType())]))
-        self.count = handle.getValueState("count", StructType([StructField("n", IntegerType())]))
+        at = StructField("ms", LongType())
+        self.items = handle.getMapState("items", key, StructType([StructField("hash", StringType()), StructField("full_turn", IntegerType()), at]))
+        self.sent = handle.getMapState("sent", key, StructType([StructField("again", BooleanType()), at]))
+        self.advised = handle.getMapState("advised", key, StructType([at]))
+        self.count = handle.getValueState("count", StructType([
+            StructField("sent", IntegerType()), StructField("advised", IntegerType()), StructField("first", IntegerType()),
+            StructField("turn", IntegerType()), StructField("consulted", BooleanType())]))
 
     def states(self) -> list:
-        return [self.items, self.sent, self.count]
+        return [self.items, self.sent, self.advised, self.count]
+
+    def _sweep(self, now: int) -> tuple[int, int]:
+        """Forget what is older than `ttl_ms`; how many warnings and advisories that were."""
+        gone = []
+        for state in (self.items, self.sent, self.advised):
+            old = [k for k, v in state.iterator() if v[-1] <= now - self.ttl_ms]
+            for k in old:
+                state.removeKey(k)
+            gone.append(len(old))
+        return gone[1], gone[2]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        n = self.count.get()[0] if self.count.exists() else 0
-        for r in self.take(rows).itertuples(index=False):
-            if r.kind == "compaction":
+        out, gone = [], False
+        n_sent, n_advised, first, last_turn, consulted = self.count.get() if self.count.exists() else (0, 0, 0, None, False)
+        frame = self.take(rows)
+        if self.ttl_ms is not None and len(frame):
+            a, b = self._sweep(int(frame["ts"].min().timestamp() * 1000))
+            n_sent, n_advised = n_sent - a, n_advised - b
+        for r in frame.itertuples(index=False):
+            gone = r.kind == "session/disposed"
+            if gone:
+                for state in self.states():
+                    state.clear()
+                n_sent, n_advised, first, last_turn, consulted = 0, 0, 0, None, False
+            elif r.kind == "compaction":
                 self.items.clear()
-                continue
-            k = (r.item_id,)
-            if r.kind == "repeat":
-                if self.sent.containsKey(k):
-                    self.sent.removeKey(k)
-                    n -= 1  # the budget counts different warnings, not how often each came
-                continue
-            if r.kind == "once":
-                if self.sent.containsKey(k) or n >= self.budget:
+            elif r.kind == "consulted":
+                consulted = True
+            elif r.kind == "repeat":
+                if self.sent.containsKey((r.item_id,)):
+                    self.sent.updateValue((r.item_id,), (True, self._ms(r)))
+            elif r.kind == "once":
+                known = self.sent.getValue((r.item_id,)) if self.sent.containsKey((r.item_id,)) else None
+                if (known is not None and not known[0]) or (self.budget > 0 and n_sent >= self.budget):
                     continue
-                self.sent.updateValue(k, (int(r.turn),))
-                n += 1
-                out.append((key[0], r.seq, int(r.turn), r.item_id, "once"))
-                continue
-            old = self.items.getValue(k) if self.items.containsKey(k) else None
-            full = (old is None or old[0] != r.content_hash or old[1] == r.turn
-                    or (self.every > 0 and r.turn - old[1] >= self.every))
-            self.items.updateValue(k, (r.content_hash, int(r.turn) if full else old[1]))
-            out.append((key[0], r.seq, int(r.turn), r.item_id, "full" if full else "pointer"))
-        self.count.update((n,))
+                n_sent += known is None  # the budget counts different warnings
+                self.sent.updateValue((r.item_id,), (False, self._ms(r)))
+                out.append((key[0], r.seq, int(r.turn), r.item_id, "once" if known is None else "again"))
+            elif r.kind in ("advisory", "first_contact"):
+                opening = r.kind == "first_contact"
+                if ((opening and (consulted or first >= self.first_contacts)) or n_advised >= self.advisories
+                        or last_turn == r.turn or self.advised.containsKey((r.item_id,))):
+                    continue
+                n_advised, first, last_turn = n_advised + 1, first + opening, int(r.turn)
+                self.advised.updateValue((r.item_id,), (self._ms(r),))
+                out.append((key[0], r.seq, int(r.turn), r.item_id, r.kind))
+            else:
+                k = (r.item_id,)
+                old = self.items.getValue(k) if self.items.containsKey(k) else None
+                full = (old is None or old[0] != r.content_hash or old[1] == r.turn
+                        or (self.every > 0 and r.turn - old[1] >= self.every))
+                self.items.updateValue(k, (r.content_hash, int(r.turn) if full else old[1], self._ms(r)))
+                out.append((key[0], r.seq, int(r.turn), r.item_id, "full" if full else "pointer"))
+        if gone:
+            self.forget()
+        else:
+            self.count.update((n_sent, n_advised, first, last_turn, consulted))
         yield pd.DataFrame(out, columns=self.columns)
 
+    @staticmethod
+    def _ms(row) -> int:
+        return int(row.ts.timestamp() * 1000)
+
 
-class ReflectTrigger(_PerSession):
+class ReflectTrigger(PerSession):
     """Decide at each `turn_end` row whether to reflect.
 
     Rows carry `signal` (tools or files were used), `correction`, `novelty` and
@@ -160,7 +221,7 @@ class ReflectTrigger(_PerSession):
         yield pd.DataFrame(out, columns=self.columns)
 
 
-class PreventionSettler(_PerSession):
+class PreventionSettler(PerSession):
     """Warnings that stay without a repeat for `window` turns.
 
     `warning` rows open one per failure, `observe` rows close it, `turn_end` rows settle.
@@ -204,23 +265,26 @@ class PreventionSettler(_PerSession):
         yield pd.DataFrame(out, columns=self.columns)
 
 
-def _run(rows: DataFrame, processor: StatefulProcessor, schema: str, delay: str) -> DataFrame:
+def run_stateful(rows: DataFrame, processor: StatefulProcessor, schema: str, delay: str) -> DataFrame:
     """Needs `spark.sql.streaming.stateStore.providerClass` set to the RocksDB provider."""
     return rows.withWatermark("ts", delay).groupBy("session_id").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="EventTime")
 
 
-def deliver_once(rows: DataFrame, every: int = 10, budget: int = 5, delay: str = "10 minutes") -> DataFrame:
-    """`session_id, seq, ts, turn, kind (delivery|once|repeat|compaction), item_id, content_hash`."""
-    return _run(rows, RepeatSuppressor(every, budget), DELIVERY_OUT, delay)
+def deliver_once(rows: DataFrame, every: int = 10, budget: int = 5, delay: str = "10 minutes", advisories: int = 12,
+                 first_contacts: int = 1, ttl: str | None = None) -> DataFrame:
+    """`session_id, seq, ts, turn, kind, item_id, content_hash` (kinds: see `RepeatSuppressor`)
+    to `session_id, seq, turn, item_id, form` for what is sent."""
+    ms = None if ttl is None else int(pd.Timedelta(ttl).total_seconds() * 1000)
+    return run_stateful(rows, RepeatSuppressor(every, budget, advisories, first_contacts, ms), DELIVERY_OUT, delay)
 
 
 def reflect_trigger(rows: DataFrame, min_turns: int = 3, threshold: float = 0.15, backoff_after: int = 5,
                     delay: str = "10 minutes") -> DataFrame:
     """`session_id, seq, ts, turn, kind (turn_end|result), signal, correction, novelty, new_ground, created`."""
-    return _run(rows, ReflectTrigger(min_turns, threshold, backoff_after), REFLECT_OUT, delay)
+    return run_stateful(rows, ReflectTrigger(min_turns, threshold, backoff_after), REFLECT_OUT, delay)
 
 
 def settle_prevention(rows: DataFrame, window: int = 3, delay: str = "10 minutes") -> DataFrame:
     """`session_id, seq, ts, turn, kind (warning|observe|turn_end), fingerprint`."""
-    return _run(rows, PreventionSettler(window), PREVENT_OUT, delay)
+    return run_stateful(rows, PreventionSettler(window), PREVENT_OUT, delay)

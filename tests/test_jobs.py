@@ -75,7 +75,7 @@ def test_distill_and_facts(spark):
     e, f = e.first(), f.collect()
     assert [x.text for x in f] == ["我喜欢用 pnpm，不要用 npm"] and e.decisions == ["决定就用 JSONL 存情景层"]
     assert e.todos == ["下一步还要补测试"] and e.files == ["src/store.ts", "test/store.test.ts"]
-    assert e.title.startswith("我喜欢用 pnpm") and "过程：read_file、edit_file" in e.summary and "结果：已按 JSONL 落盘。" in e.summary
+    assert e.title.startswith("我喜欢用 pnpm") and "Used: read_file; edit_file" in e.summary and "Ended with: 已按 JSONL 落盘。" in e.summary
 
 
 def test_repeated_sentence_moves_to_the_next_list(spark):
