@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import errors as ef
 from ..operators.shared import shared_folder
-from ..plans.failures import fingerprinted
-from ..streaming import stateful, tables, windows
+from ..plans.failures import MAX_SESSIONS, fingerprinted
+from ..schemas import EVENTS
+from ..streaming import stateful, tables, turns, windows
 from .common import ERROR_KINDS
 from .failures import FAILURES, GUARDS, _cte, _messages
+from .sessions import WHOLE_TURNS, session_events
 
 SCHEMA = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
@@ -28,11 +30,26 @@ def drain(stream: DataFrame, spark) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{d}/out")
 
 
+def drain_parts(spark, parts: list[DataFrame], build) -> DataFrame:
+    """Let parts arrive one after the other, each in a run of the stream `build(rows)` that
+    goes on where the last one ended; read what all runs wrote."""
+    d = shared_folder(spark)
+    for part in parts:
+        part.write.mode("append").parquet(f"{d}/in")
+        out = build(spark.readStream.schema(part.schema).parquet(f"{d}/in"))
+        out.writeStream.format("parquet").option("path", f"{d}/out").option("checkpointLocation", f"{d}/cp").trigger(
+            availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{d}/out")
+
+
 def _stream_messages(spark, sf, event_type):
-    e = event_stream(spark, sf).filter(F.col("event_type") == event_type)
+    return _as_messages(event_stream(spark, sf).filter(F.col("event_type") == event_type))
+
+
+def _as_messages(e: DataFrame, *more: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.element_at(F.array(*[F.lit(x) for x in ERROR_KINDS]), (k % 5 + 1).cast("int"))
-    return e.select(F.col("event_id").alias("seq"), "ts", F.col("user_id").cast("string").alias("session_id"), F.dayofyear("ts").alias("turn"), k.alias("k"),
+    return e.select(*more, F.col("event_id").alias("seq"), "ts", F.col("user_id").cast("string").alias("session_id"), F.dayofyear("ts").alias("turn"), k.alias("k"),
                     F.concat(F.lit("tool"), (k % 3).cast("string")).alias("tool"),
                     F.concat(kind, F.lit(" at line "), k.cast("string"), F.lit(" after "), F.col("value").cast("decimal(10,2)").cast("string"), F.lit(" s")).alias("message"))
 
@@ -48,6 +65,34 @@ SELECT fingerprint, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, count(*
 
 
 def stream_failures(spark, sf):
+    """Failures kept in a keyed table: three runs of a stream over ten days each, with a signup
+    event as the resolve of its message's failure, and the last batch once more."""
+    d = shared_folder(spark)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    events = spark.read.schema(SCHEMA).parquet(f"{sf}/events.parquet").filter(F.col("event_type").isin("error", "signup"))
+    day = F.dayofyear("ts")
+    # All sessions stay in the table, so that the last ones can be told in the end.
+    table, merge = tables.failure_table(spark, f"{d}/table", buckets=8), tables.failure_merge(max_sessions=None)
+
+    def observed(rows):
+        rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+        kind = F.when(F.col("event_type") == "signup", "resolve").otherwise("observe").alias("type")
+        return fingerprinted(_as_messages(rows, "event_type").select("*", kind).drop("event_type"))
+
+    for i, part in enumerate((events.filter(day <= 10), events.filter((day > 10) & (day <= 20)), events.filter(day > 20))):
+        part.write.mode("append").parquet(f"{d}/in")
+        rows = observed(spark.readStream.schema(SCHEMA).parquet(f"{d}/in"))
+        tables.change_table(rows, table, merge, f"{d}/cp", "events").trigger(availableNow=True).start().awaitTermination()
+    if table.change(observed(part), i, merge, "events"):
+        raise RuntimeError("a batch that was written before was written again")
+    f = table.read()
+    last = F.slice("sessions", -F.least(F.size("sessions"), F.lit(MAX_SESSIONS)), MAX_SESSIONS)
+    return f.select("fingerprint", "tool", "occurrences", "relapses", "enforcement", "status", F.array_join(
+        F.when(F.size("sessions") > 0, last).otherwise(F.col("sessions")), ",").alias("sessions"),
+        F.coalesce("occurrences_at_resolve", F.lit(-1)).alias("at_resolve"))
+
+
+def logged_failures(spark, sf):
     """Observations logged by a stream, merged into records when read."""
     d = shared_folder(spark)
     obs = windows.failure_observations(_stream_messages(spark, sf, "error"))
@@ -56,8 +101,9 @@ def stream_failures(spark, sf):
     return f.select("fingerprint", "tool", "occurrences", "enforcement", "status", F.array_join("sessions", ",").alias("sessions"))
 
 
-S_FAILURES = FAILURES.replace("UNION ALL SELECT fingerprint, ts, event_id, session_id, 'resolve' FROM res", "")
-S_FAILURES = "SELECT fingerprint, tool, occurrences, enforcement, status, sessions FROM (" + S_FAILURES + ")"
+S_FAILURES = f"SELECT fingerprint, tool, occurrences, relapses, enforcement, status, sessions, at_resolve FROM ({FAILURES})"
+L_FAILURES = FAILURES.replace("UNION ALL SELECT fingerprint, ts, event_id, session_id, 'resolve' FROM res", "")
+L_FAILURES = "SELECT fingerprint, tool, occurrences, enforcement, status, sessions FROM (" + L_FAILURES + ")"
 
 
 def stream_guard_alerts(spark, sf):
@@ -105,13 +151,27 @@ WHERE ended + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM event
 """
 
 
-def _stateful(spark, run) -> DataFrame:
+def stream_turns(spark, sf):
+    """Whole turns of conversations that arrive in two parts, then end."""
+    # All sessions go on at the same time, after the watermark's start.
+    ev = session_events(spark, sf).withColumn("ts", F.timestamp_seconds(F.col("seq") + 86_400))
+    names = [c.split()[0] for c in EVENTS.split(", ")]
+    ev = ev.select(*names)
+    ends = ev.groupBy("session_id").agg(F.max("seq").alias("seq")).select("session_id", (F.col("seq") + 1).alias("seq"))
+    ends = ends.withColumn("type", F.lit("session/disposed")).withColumn("ts", F.timestamp_seconds(F.col("seq") + 86_400))
+    ends = ends.select(*[F.col(c) if c in ends.columns else F.lit(None).cast(ev.schema[c].dataType).alias(c) for c in names])
+    out = _stateful(spark, lambda: drain_parts(spark, [ev.filter("seq < 5"), ev.filter("seq >= 5"), ends], turns.stream_turns), False)
+    return out.select("session_id", F.col("turn").cast("long").alias("turn"), F.sha1("user").alias("user"), F.sha1("assistant").alias("assistant"),
+                      F.array_join("tools", ",").alias("tools"), F.array_join("files", ",").alias("files"))
+
+
+def _stateful(spark, run, lazy: bool = True) -> DataFrame:
     """Run a stateful stream with the state store it needs."""
     name = "spark.sql.streaming.stateStore.providerClass"
     old = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return drain(run(), spark)
+        return drain(run(), spark) if lazy else run()
     finally:
         spark.conf.set(name, old)
 
@@ -137,6 +197,46 @@ SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) FILTER (WHERE "full") AS
 """
 
 
+BUDGET, ADVISORIES, FIRST = 5, 6, 2
+
+
+def stream_warnings(spark, sf):
+    """Clicks as warnings, errors as their repeats, views as advisories, purchases as first
+    contacts until a signup consults the library: what each user is sent."""
+    def run():
+        e = event_stream(spark, sf)
+        k = F.get_json_object("props", "$.k").cast("int")
+        t = F.col("event_type")
+        kind = (F.when(t == "click", "once").when(t == "error", "repeat").when(t == "view", "advisory")
+                .when(t == "purchase", "first_contact").when(k % 10 == 0, "consulted").otherwise("compaction"))
+        item = F.when(t.isin("click", "error"), F.concat(F.lit("w"), (k % 9).cast("string"))).otherwise(F.concat(F.lit("a"), (k % 12).cast("string")))
+        return stateful.deliver_once(e.select(
+            F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), "ts", F.dayofyear("ts").alias("turn"), kind.alias("kind"),
+            item.alias("item_id"), F.lit("").alias("content_hash")), budget=BUDGET, advisories=ADVISORIES, first_contacts=FIRST)
+    return _stateful(spark, run).select("session_id", "seq", F.col("turn").cast("long").alias("turn"), "item_id", "form")
+
+
+WARNINGS = f"""
+WITH RECURSIVE o AS (SELECT user_id, event_id, dayofyear(ts) AS turn, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i,
+  CASE event_type WHEN 'click' THEN 'once' WHEN 'error' THEN 'repeat' WHEN 'view' THEN 'advisory' WHEN 'purchase' THEN 'first_contact'
+    ELSE CASE WHEN k % 10 = 0 THEN 'consulted' ELSE 'compaction' END END AS kind,
+  CASE WHEN event_type IN ('click', 'error') THEN 'w' || (k % 9) ELSE 'a' || (k % 12) END AS item
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS sent, CAST([] AS VARCHAR[]) AS again, CAST([] AS VARCHAR[]) AS adv,
+    0 AS firsts, CAST(-1 AS BIGINT) AS lt, false AS consulted, CAST(NULL AS VARCHAR) AS form FROM o
+  UNION ALL SELECT user_id, i, CASE WHEN w AND NOT known THEN list_append(sent, item) ELSE sent END,
+    CASE WHEN w THEN list_filter(again, lambda x: x <> item) WHEN kind = 'repeat' AND known THEN list_append(again, item) ELSE again END,
+    CASE WHEN a THEN list_append(adv, item) ELSE adv END, firsts + CASE WHEN a AND kind = 'first_contact' THEN 1 ELSE 0 END,
+    CASE WHEN a THEN turn ELSE lt END, consulted OR kind = 'consulted', CASE WHEN w AND known THEN 'again' WHEN w THEN 'once' WHEN a THEN kind END
+  FROM (SELECT f.user_id, o.i, o.item, o.kind, o.turn, f.sent, f.again, f.adv, f.firsts, f.lt, f.consulted, list_contains(f.sent, o.item) AS known,
+      o.kind = 'once' AND (NOT list_contains(f.sent, o.item) OR list_contains(f.again, o.item)) AND len(f.sent) < {BUDGET} AS w,
+      o.kind IN ('advisory', 'first_contact') AND NOT (o.kind = 'first_contact' AND (f.consulted OR f.firsts >= {FIRST})) AND len(f.adv) < {ADVISORIES}
+        AND f.lt <> o.turn AND NOT list_contains(f.adv, o.item) AS a
+    FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1))
+SELECT CAST(user_id AS VARCHAR) AS session_id, o.event_id AS seq, o.turn, o.item AS item_id, f.form FROM f JOIN o USING (user_id, i) WHERE f.form IS NOT NULL
+"""
+
+
 def stream_prevention(spark, sf):
     """Views as warnings, errors as failures, signups as turn ends."""
     def run():
@@ -163,6 +263,7 @@ def stream_reflection(spark, sf):
 
 QUERIES = {
     "stream_error_rates": (stream_error_rates, RATES), "stream_failures": (stream_failures, S_FAILURES),
+    "logged_failures": (logged_failures, L_FAILURES), "stream_turns": (stream_turns, WHOLE_TURNS), "stream_warnings": (stream_warnings, WARNINGS),
     "stream_guard_alerts": (stream_guard_alerts, GUARDS), "stream_without_repeats": (stream_without_repeats, NO_REPEATS),
     "stream_turn_digests": (stream_turn_digests, DIGESTS), "stream_deliveries": (stream_deliveries, DELIVERIES),
     "stream_prevention": (stream_prevention, None), "stream_reflection": (stream_reflection, None),
