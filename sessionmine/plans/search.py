@@ -11,7 +11,7 @@ from ..functions.redaction import sanitize
 from ..functions.versions import applies_to, compatible
 from ..operators.index import MAX_FACETS, Index, build_index, fielded_scores, query_terms, recency_factor, score_pairs
 from ..operators.ranking import top_per_group
-from ..operators.sizes import hint, texts_are_small
+from ..operators.sizes import hint, keep, texts_are_small
 from ..operators.topk import MAX_PAIRS, reachable_pairs, rows_to_join
 
 EPISODE_WEIGHT = 0.85
@@ -152,9 +152,9 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 5, gate: int | None = N
     hits = top_per_group(pairs.select("query_id", "id", "score", "ts"), ["query_id"],
                          [F.col("score").desc(), *_order(docs)], k)
     out = hits.select("query_id", "id", "score", "rank")
-    if empty == "deny":
-        return out
     blank = queries.filter(F.size(tokens(F.col("text"))) == 0)
+    if empty == "deny" or blank.isEmpty():
+        return out
     newest = _newest(docs, k, F.lit(0.0), _order(docs))
     rows = (blank.select("query_id", F.posexplode(newest).alias("pos", "d"))
             .select("query_id", F.col("d.id").alias("id"), F.lit(0.0).alias("score"),
@@ -173,18 +173,18 @@ def search_fielded(queries: DataFrame, cards: DataFrame, weights: dict[str, floa
 def candidates(docs: DataFrame, drafts: bool = False, archived: bool = False, partition: str | None = None,
                stack: Column | None = None, files: Column | None = None) -> DataFrame:
     """Card documents that may be searched at all; corpus statistics count only these."""
-    keep = F.col("status") != "deprecated"
+    fits = F.col("status") != "deprecated"
     if not drafts:
-        keep = keep & F.col("status").isin("validated", "canonical")
+        fits = fits & F.col("status").isin("validated", "canonical")
     if not archived and "archived" in docs.columns:
-        keep = keep & ~F.coalesce("archived", F.lit(False))
+        fits = fits & ~F.coalesce("archived", F.lit(False))
     if partition is not None:
-        keep = keep & (F.col("partition").isNull() | (F.col("partition") == partition))
+        fits = fits & (F.col("partition").isNull() | (F.col("partition") == partition))
     if stack is not None and "stack" in docs.columns:
-        keep = keep & compatible(F.col("stack"), stack)
+        fits = fits & compatible(F.col("stack"), stack)
     if files is not None and "applies_to" in docs.columns:
-        keep = keep & applies_to(F.col("applies_to"), files, stack)
-    return docs.filter(keep)
+        fits = fits & applies_to(F.col("applies_to"), files, stack)
+    return docs.filter(fits)
 
 
 def _static_weight(docs: DataFrame) -> Column:
@@ -253,10 +253,11 @@ def _search_facets(queries: DataFrame, docs: DataFrame, k: int, n_facets: int, b
     per_facet = top_per_group(ranked.select("query_id", "facet_no", "id", "score", "ts"), ["query_id", "facet_no"],
                               [F.col("score").desc(), *_order(docs)], depth, "facet_rank")
     merged = merge_round_robin(per_facet, k)
-    if empty == "deny":
-        return merged
     # Queries without a word: everything counts the same, so the weight decides.
     blank = queries.filter(F.size(tokens(F.get("facets", F.lit(0)))) == 0).select("query_id")
+    if empty == "deny" or blank.isEmpty():
+        return merged
+    merged = keep(merged)  # short lists, read here and in the result
     spare = 0
     if exclude is not None:
         most = exclude.join(blank, "query_id", "left_semi").groupBy("query_id").count().agg(F.max("count")).first()[0]
@@ -430,7 +431,7 @@ def context_pack(queries: DataFrame, docs: DataFrame, rules: int = 4, k: int = 5
               .select("query_id", F.col("r.id").alias("id"), (F.col("pos") + 1).alias("rank"),
                       F.col("r.layer").alias("layer"), F.col("r.kind").alias("kind"), F.col("r.text").alias("text"),
                       F.lit(True).alias("standing")))
-    kept = drop_near_duplicates(always.unionByName(full))
+    kept = drop_near_duplicates(keep(always.unionByName(full)))  # short lists, read twice
     lists = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
         "rank", "id", "layer", "kind", "standing", "text"))).alias("items"))
 
