@@ -164,11 +164,10 @@ def cluster(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS)
     rows = stage(assign(table, centroids))
     sums = rows.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
     digests = [(c, hashlib.sha256(",".join(map(str, q)).encode()).hexdigest()) for c, q in enumerate(centroids.tolist())]
-    named = spark.createDataFrame(digests, "cluster int, centroid_sha256 string").join(sums, "cluster")
-    whole_sum = sums.agg(F.sum("cluster_inertia").alias("inertia"))  # one row
-    per_cluster = named.join(F.broadcast(whole_sum), how="cross")    # a row for each centroid
-    return rows.join(F.broadcast(per_cluster), "cluster").select(
-        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+    named = spark.createDataFrame(digests, "cluster int, centroid_sha256 string").join(sums, "cluster")  # a row a centroid
+    total = sums.agg(F.sum("cluster_inertia")).scalar()
+    return rows.join(F.broadcast(named), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", total.alias("inertia"), "centroid_sha256")
 
 
 def oracle(clusters: int = CLUSTERS, rounds: int = ROUNDS) -> str:

@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.shared import shared_folder
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Folders of staged tables in the order in which this process made them.
-made: list[str] = []
+_staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def staging() -> Iterator[list[str]]:
+    """The folders that operators stage inside the block, for an owner who deletes them with
+    `release` when nothing reads them any more."""
+    mine: list[str] = []
+    token = _staged.set(mine)
+    try:
+        yield mine
+    finally:
+        _staged.reset(token)
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it again: later steps start from files that
     survive lost executors, and the shuffle files behind them go when the write has ended."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    made.append(path)
+    if _staged.get() is not None:
+        _staged.get().append(path)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -28,15 +44,14 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, folders: list[str], needed: DataFrame) -> list[str]:
+def release(spark: SparkSession, folders: list[str], needed: DataFrame | None = None) -> list[str]:
     """Delete staged tables that `needed` doesn't read; returns those that stay."""
-    read = needed.inputFiles()
+    read = needed.inputFiles() if needed is not None else []
     stay = [f for f in folders if any(f.split(":", 1)[-1].lstrip("/") in r for r in read)]
     for f in folders:
         if f not in stay:
             path = spark._jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-            made.remove(f)
     return stay
 
 

@@ -32,7 +32,6 @@ ORDER = 4
 UNDETERMINED = "und"
 #: Languages x 4-grams of one piece of the model.
 MAX_CELLS = 16_000_000
-MAX_LANGUAGES = 256
 #: A text is rejected so many deviations above its language's median; short texts get
 #: proportionally more room. The deviation comes from the quartiles, so odd texts among those
 #: learned from do not widen it.
@@ -301,17 +300,15 @@ def _pieces(counts: DataFrame, rows: list[tuple[str, int]], max_cells: int) -> P
     return Pieces(languages, out)
 
 
-def learn(docs: DataFrame, max_cells: int = MAX_CELLS, max_languages: int = MAX_LANGUAGES) -> Model | Pieces | None:
-    """A model from all rows of `docs(text, lang)`; None without any. All 4-grams of the
-    `max_languages` languages with most text count; over `max_cells` (4-grams x languages)
-    the model comes in pieces."""
+def learn(docs: DataFrame, max_cells: int = MAX_CELLS) -> Model | Pieces | None:
+    """A model from all rows of `docs(text, lang)`; None without any. All 4-grams of all
+    languages count; over `max_cells` (4-grams x languages) the model comes in pieces."""
     counts = stage(count_grams(docs))
-    sizes = counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    sizes = counts.groupBy("lang").agg(F.count(F.lit(1)).alias("k"))
     rows = sorted((r["lang"], r["k"]) for r in sizes.collect())
     if not rows:
         return None
     languages = [x for x, _ in rows]
-    counts = counts.filter(F.col("lang").isin(languages))
     if sum(k for _, k in rows) * len(rows) > max_cells:
         return _pieces(counts, rows, max_cells)
     return build([(x, *y) for x, y in zip(languages, _by_language(counts.toArrow(), languages))])

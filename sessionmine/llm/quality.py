@@ -3,9 +3,9 @@
 Each language gets two references from the whole corpus: a histogram of character classes
 and a histogram of its common words (all others in one cell). A text is compared with every
 language by Jensen-Shannon distance and takes the nearest; it fails when it is far from all.
-Languages with `language_words` words or `language_share` of all words have references. A
-text in a language without one can't be told from junk and skips the comparison; a text
-without `lang` is compared.
+Languages with `language_words` words have references, at every size of the corpus. A text in
+a language without one can't be told from junk and skips the comparison; a text without
+`lang` is compared.
 
 Defined results: a null or empty text has no words and fails the base rule. Texts under the
 length guards skip the comparison they are too short for. Without any language (empty table,
@@ -61,7 +61,6 @@ class Rules:
     max_word_distance: float = 0.46
     common_share: float = 0.002
     slack: float = 0.0005
-    language_share: float = 0.001
     language_words: int = 5_000
 
 
@@ -131,16 +130,13 @@ def learn(docs: DataFrame, rules: Rules = Rules()) -> References:
     Common words are those with at least `common_share` of a language's words. The first
     pass finds at most 1 / (common_share - slack) words a language that may reach it (each
     run of rows reports only its frequent ones), the second counts these over all texts.
-    Languages with `language_words` words, or `language_share` of all words in a small
-    corpus, become references if they have common words.
+    Languages with `language_words` words become references if they have common words.
     """
     pairs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sums = stage(pairs.mapInArrow(_candidates(rules), "lang string, word binary, n long")
                  .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals = sums.filter(F.col("word").isNull()).select("lang", F.col("n").alias("total"))
-    wide = totals.agg(F.sum("total").alias("all"))
-    kept = (totals.join(F.broadcast(wide), (F.col("total") >= rules.language_words) | (F.col("total") >= rules.language_share * F.col("all")))
-            .select("lang", "total"))
+    kept = totals.filter(F.col("total") >= rules.language_words)
     may = (sums.filter(F.col("word").isNotNull()).join(F.broadcast(kept), "lang")
            .filter(F.col("n") >= (rules.common_share - rules.slack) * F.col("total"))
            .select("lang", "word", "total").collect())

@@ -64,5 +64,18 @@ def test_stages(spark):
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
 
 
-def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+def test_runs_do_not_disturb_each_other(spark, tmp_path, monkeypatch):
+    """The first result is read after a second run; nothing is left when both are discarded."""
+    from sessionmine.llm import common
+
+    names = iter(range(10_000))
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}/sessionmine-{next(names)}")
+    first = corpus_pipeline.run(spark, SF)
+    second = corpus_pipeline.run(spark, SF)
+    key = lambda df: sorted((r["doc_id"], r["start"], r["length"]) for r in df.select("doc_id", "start", "length").collect())
+    assert key(first) == key(second) and first.count() > 0
+    assert len(list(tmp_path.iterdir())) < 10  # what the two results read
+    corpus_pipeline.discard(first)
+    assert second.count() > 0
+    corpus_pipeline.discard(second)
+    assert list(tmp_path.iterdir()) == []
