@@ -83,13 +83,8 @@ def files_from_arguments(arguments) -> Column:
     return F.filter(values, lambda v: v.isNotNull() & F.length(v).between(1, 300))
 
 
-_PROSE_FILE = (r"(?:^|[" + wl.SPACE + r"“\"'(\[])((?:[\w.@-]+/)*[\w.@-]+\."
-               r"(?:ts|tsx|js|jsx|mjs|cjs|json|md|yml|yaml|toml|py|go|rs|java|kt|sh|sql|css|html|vue))"
-               r"(?=[" + wl.SPACE + r"”\"'),:;]|$)")
-
-
 def files_from_prose(c) -> Column:
-    found = F.regexp_extract_all(as_col(c), F.lit(_PROSE_FILE), F.lit(1))
+    found = F.regexp_extract_all(as_col(c), F.lit(wl.PROSE_FILE), F.lit(1))
     return F.filter(found, lambda p: ~p.startswith("http"))
 
 
@@ -101,16 +96,9 @@ def camel_words(c) -> Column:
     return F.filter(words, lambda w: ((F.length(w) >= 4) | w.rlike(r"[一-龥]")) & ~w.rlike(r"^\d+$"))
 
 
-_NAMED = (r"([一-龥]{2,}"
-          r"|[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+"
-          r"|[a-z][A-Za-z0-9_]*[A-Z][A-Za-z0-9_]*"
-          r"|[A-Z][A-Za-z0-9_]*[A-Z][A-Za-z0-9_]*"
-          r"|[A-Z][A-Z0-9_]{2,})")
-
-
 def prose_terms(c) -> Column:
     """Words of the CJK runs and identifiers in free text."""
-    found = F.regexp_extract_all(as_col(c), F.lit(_NAMED), F.lit(1))
+    found = F.regexp_extract_all(as_col(c), F.lit(wl.NAMED_TERM), F.lit(1))
     return F.flatten(F.transform(found, camel_words))
 
 

@@ -216,3 +216,18 @@ TEMPLATE_RULES = [
     (START + r"\d+" + END, "N"),
     (r"[" + SPACE + r"]+", " "),
 ]
+
+# ---- fixed values: patterns that decide what counts as a file, a named term or a clause ----
+
+PROSE_FILE = (r"(?:^|[" + SPACE + r"“\"'(\[])((?:[\w.@-]+/)*[\w.@-]+\."
+              r"(?:ts|tsx|js|jsx|mjs|cjs|json|md|yml|yaml|toml|py|go|rs|java|kt|sh|sql|css|html|vue))"
+              r"(?=[" + SPACE + r"”\"'),:;]|$)")
+
+NAMED_TERM = (r"([一-龥]{2,}"
+              r"|[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+"
+              r"|[a-z][A-Za-z0-9_]*[A-Z][A-Za-z0-9_]*"
+              r"|[A-Z][A-Za-z0-9_]*[A-Z][A-Za-z0-9_]*"
+              r"|[A-Z][A-Z0-9_]{2,})")
+
+CLAUSE_WORDS = "(?<=[一-龥]{2})(?:并且|以及|同时|然后|最后|和|与|及|或)(?=[一-龥]{2})"
+CLAUSE_MARKS = "[，,；;。\n]"

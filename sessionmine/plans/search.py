@@ -290,9 +290,7 @@ def merge_round_robin(hits: DataFrame, k: int) -> DataFrame:
 
 def clause_facets(text: Column) -> Column:
     """The clauses of a task description."""
-    cut = F.regexp_replace(
-        text, "(?<=[一-龥]{2})(?:并且|以及|同时|然后|最后|和|与|及|或)(?=[一-龥]{2})", "\n")
-    return F.split(cut, "[，,；;。\n]")
+    return F.split(F.regexp_replace(text, wl.CLAUSE_WORDS, "\n"), wl.CLAUSE_MARKS)
 
 
 def topic_vocabulary(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Search quality and exactness on small labelled tables."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,3 +212,30 @@ def test_context_terms(spark):
                               "session_id string, turn int, user string, tools array<string>, files array<string>")
     q = spark.createDataFrame([(0, "s", "为什么这个测试挂了 runTests")], "query_id int, session_id string, text string")
     assert s.context_terms(t, q).first().extras == ["test/x.ts", "bash", "runTests"]
+
+
+def test_bounded_topk_pairs_less_and_finds_the_same(spark, monkeypatch):
+    """One word in every document, some in many, few in few."""
+    from sessionmine.operators import topk
+
+    rnd = random.Random(5)
+    often, seldom = [f"often{i}" for i in range(6)], [f"seldom{i}" for i in range(40)]
+    docs = [(i, " ".join(["always"] + rnd.choices(often, k=rnd.randint(1, 12)) + rnd.choices(seldom, k=1) * rnd.randint(0, 3))) for i in range(600)]
+    docs += [(600 + i, docs[i][1]) for i in range(20)] + [(700, ""), (701, None)]
+    d = spark.createDataFrame(docs, "id long, text string").withColumn("ts", F.timestamp_seconds(F.col("id") * 3600))
+    q = spark.createDataFrame([(1, "always often1 seldom3 seldom4"), (2, "always often2 often3"), (3, "seldom7 unknown"), (4, "nothing"), (5, ""), (6, None)],
+                              "query_id long, text string")
+    rows, sums = [], topk._sums
+
+    def counted(pairs, *more):
+        rows.append(pairs.count())
+        return sums(pairs, *more)
+
+    monkeypatch.setattr(topk, "_sums", counted)
+    for options in ({}, {"gate": 2}, {"now": "1970-02-01 00:00:00"}, {"gate": 1, "min_score": 0.5, "empty": "deny"}):
+        want = s.search(q, d, k=4, **options).orderBy("query_id", "rank").collect()
+        got = s.search(q, d, k=4, max_pairs=0, **options).orderBy("query_id", "rank").collect()
+        assert [(r.query_id, r.id, r.rank) for r in got] == [(r.query_id, r.id, r.rank) for r in want]
+        assert [r.score for r in got] == pytest.approx([r.score for r in want], abs=1e-8)
+    everything = sum(w in (t or "").split() for _, t in docs for x in ("always often1 seldom3 seldom4", "always often2 often3", "seldom7") for w in x.split())
+    assert rows[1] < 0.35 * everything, (rows, everything)  # rows after the join of words and postings
