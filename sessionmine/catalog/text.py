@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import errors as ef, redaction as rf, text as tf
 from ..operators import leak, setjoin
-from ..plans import stats
+from ..plans import cards as pc, stats
 from .common import ERRORS_SQL, documents, error_events, table, tok_sql, words_sql
 
 WS = r"[\s\x{00a0}\x{3000}\x0b]"
@@ -244,6 +244,27 @@ FROM r JOIN m USING (id) WHERE r.ratio = m.max_ratio GROUP BY 1, 2
 """
 
 
+def read_restatements(spark, sf):
+    """Messages that repeat the library (0.6) or a document their session has read (0.3)."""
+    c = table(spark, sf, "conversations")
+    c = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("session_id"), "text")
+    read = c.select("session_id", F.explode(F.sequence(F.lit(0), F.lit(READ - 1))).alias("i")).distinct().select(
+        "session_id", (F.col("session_id") * READ + F.col("i")).alias("id"))
+    _, dropped = pc.drop_restatements(c, documents(spark, sf), read, 0.6, 0.3)
+    return dropped.select(F.col("id").alias("message_id"), "restates")
+
+
+READ = 20  # documents a session reads
+READ_RESTATEMENTS = f"""
+WITH a AS (SELECT DISTINCT conv_id, conv_id * 1000 + turn AS id, unnest({tok_sql('text')}) AS tok FROM conversations),
+b AS (SELECT DISTINCT doc_id, unnest({tok_sql('text')}) AS tok FROM documents),
+n AS (SELECT id, count(*) AS n FROM a GROUP BY 1),
+p AS (SELECT conv_id, id, doc_id, count(*) AS c FROM a JOIN b USING (tok) GROUP BY 1, 2, 3),
+r AS (SELECT id, c / n >= 0.6 AS lib, c / n >= 0.3 AND doc_id // {READ} = conv_id AS seen FROM p JOIN n USING (id))
+SELECT id AS message_id, CASE WHEN bool_or(seen) THEN 'session' ELSE 'library' END AS restates FROM r WHERE lib OR seen GROUP BY 1
+"""
+
+
 def novelty(spark, sf):
     """Share of a message's words that no document has."""
     c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
@@ -281,6 +302,6 @@ QUERIES = {
     "redaction_audit": (redaction_audit, REDACTION_AUDIT), "sanitized": (sanitized, SANITIZED),
     "sentence_counts": (sentence_counts, SENTENCE_COUNTS), "clips": (clips, CLIPS), "error_templates": (error_templates, ERROR_TEMPLATES),
     "leak_check": (leak_check, LEAK_CHECK), "decontaminated": (decontaminated, DECONTAMINATED),
-    "containment": (containment, CONTAINMENT), "restatements": (restatements, RESTATEMENTS), "novelty": (novelty, NOVELTY),
+    "containment": (containment, CONTAINMENT), "restatements": (restatements, RESTATEMENTS), "read_restatements": (read_restatements, READ_RESTATEMENTS), "novelty": (novelty, NOVELTY),
     "deidentified": (deidentified, DEIDENTIFIED),
 }

@@ -45,10 +45,10 @@ def drop_restatements(drafts: DataFrame, library: DataFrame, read: DataFrame | N
     marked = drafts.join(hits.filter(F.col("max_ratio").isNotNull()).select(
         "id", F.lit("library").alias("_lib")), "id", "left")
     if read is not None:
-        pairs = containment(drafts.select("id", "text"), library.select("id", "text"), read_ratio, collapse=False)
-        seen = (pairs.join(drafts.select(F.col("id").alias("id_a"), "session_id"), "id_a")
-                .join(read.select("session_id", F.col("id").alias("id_b")).distinct(), ["session_id", "id_b"], "left_semi")
-                .select(F.col("id_a").alias("id")).distinct().withColumn("_read", F.lit("session")))
+        # Only what the sessions have read is compared, under the session's own key.
+        seen = read.select("session_id", "id").distinct().join(library.select("id", "text"), "id")
+        pairs = containment(drafts.select("session_id", "id", "text"), seen, read_ratio, by=("session_id",))
+        seen = pairs.select(F.col("id_a").alias("id")).distinct().withColumn("_read", F.lit("session"))
         marked = marked.join(seen, "id", "left")
     else:
         marked = marked.withColumn("_read", F.lit(None).cast("string"))

@@ -8,6 +8,7 @@ from ..functions import wordlists as wl
 from ..functions.paths import files_from_arguments, files_from_prose, keep_inside
 from ..functions.redaction import (deidentify, identifiers_from_paths, redact, redact_all, scrub_external_paths)
 from ..functions.text import (empty, arr, as_col, clip_head, contains_any, head_tail_sizes, sentences, squeeze, tokens)
+from ..operators.joins import join_null_safe
 from ..operators.ranking import top_per_group
 from ..operators.running import running
 from ..operators.sizes import keep
@@ -322,28 +323,61 @@ def reflect_decisions(turns: DataFrame, cards: DataFrame, min_turns: int = 3, th
 
 # ---- repeat suppression ----------------------------------------------------------
 
+DELIVERY_TURNS = 256  # turns in a chunk
+_NEVER = 1 << 40
+
+
+def _full(due: Column, x: Column) -> Column:
+    return x["changed"] | (x["turn"] >= due)
+
+
 def delivery_forms(deliveries: DataFrame, every: int = 10) -> DataFrame:
     """Full text or pointer for each delivery (`session_id, item_id, turn, content_hash`,
     optional `epoch` that counts compactions before it).
 
     Full on the first time, on changed content, again in the same turn, and `every` turns
-    after the last full one.  The last full turn depends on earlier choices, so one
-    (session, item, epoch) list is folded in order; it has at most one entry per turn.
+    after the last full one (`every` <= 0: never for that reason). Of several contents in one
+    turn the greatest hash counts; NULL hashes equal each other.
+
+    The turn when the next full text is due depends on earlier choices. So that no task folds
+    the whole history of an item, it is cut into chunks of turns: a chunk tells for each
+    possible due turn at its start (it lies in the first `every` turns) the due turn at its
+    end. These short tables are chained per item, then all chunks are worked out side by side.
     """
     d = deliveries if "epoch" in deliveries.columns else deliveries.withColumn("epoch", F.lit(0))
-    rows = d.groupBy("session_id", "item_id", "epoch", "turn").agg(F.max_by("content_hash", "turn").alias("content_hash"))
-    lists = rows.groupBy("session_id", "item_id", "epoch").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "content_hash"))).alias("xs"))
-    state = F.struct(F.lit(None).cast("string").alias("hash"), F.lit(None).cast("int").alias("full_turn"),
-                     F.array().cast("array<struct<turn:int,full:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        due = F.lit(False) if every <= 0 else F.coalesce(x["turn"] - acc["full_turn"] >= every, F.lit(False))
-        full = acc["hash"].isNull() | (acc["hash"] != x["content_hash"]) | due
-        return F.struct(x["content_hash"].cast("string").alias("hash"),
-                        F.when(full, x["turn"].cast("int")).otherwise(acc["full_turn"]).alias("full_turn"),
-                        F.concat(acc["out"], F.array(F.struct(
-                            x["turn"].cast("int").alias("turn"), full.alias("full")))).alias("out"))
-
-    done = lists.select("session_id", "item_id", "epoch", F.explode(F.aggregate("xs", state, step)["out"]).alias("o"))
-    return done.select("session_id", "item_id", "epoch", "o.turn", "o.full")
+    keys, width, n = ["session_id", "item_id", "epoch"], max(DELIVERY_TURNS, every), max(every, 1)
+    rows = d.groupBy(*keys, F.col("turn").cast("long").alias("turn")).agg(F.max("content_hash").alias("hash"))
+    chunks = rows.groupBy(*keys, F.floor(F.col("turn") / width).alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "hash"))).alias("xs"))
+    before = lambda i: F.get("xs", i - 1)["hash"]
+    chunks = keep(chunks.select(
+        *keys, "chunk", (F.col("chunk") * width).alias("start"), F.col("xs")[0]["hash"].alias("first_hash"),
+        F.element_at("xs", -1)["hash"].alias("last_hash"),
+        F.transform("xs", lambda x, i: F.struct(x["turn"].alias("turn"), (
+            (i > 0) & ~x["hash"].eqNullSafe(before(i))).alias("changed"))).alias("xs")))
+
+    def after(due: Column, x: Column) -> Column:
+        return F.when(_full(due, x), x["turn"] + every if every > 0 else F.lit(_NEVER)).otherwise(due)
+
+    dues = F.concat(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("start") + i),
+                    F.array(F.lit(_NEVER).cast("long")))
+    tables = chunks.select(*keys, F.struct("chunk", "start", "first_hash", "last_hash", F.transform(
+        dues, lambda due: F.aggregate("xs", due, after)).alias("ends")).alias("c"))
+    lists = tables.groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    entry = "array<struct<chunk:bigint,due:bigint>>"
+    state = F.struct(F.lit(None).cast("string").alias("hash"), F.lit(0).cast("long").alias("due"), F.array().cast(entry).alias("out"))
+
+    def chain(acc: Column, c: Column) -> Column:
+        same = (F.size(acc["out"]) > 0) & acc["hash"].eqNullSafe(c["first_hash"])
+        due = F.when(same, F.greatest(acc["due"], c["start"])).otherwise(c["start"])
+        end = F.get(c["ends"], F.least(due - c["start"], F.lit(n)).cast("int"))
+        return F.struct(c["last_hash"].cast("string").alias("hash"), end.alias("due"),
+                        F.concat(acc["out"], F.array(F.struct(c["chunk"].alias("chunk"), due.alias("due")))).alias("out"))
+
+    starts = lists.select(*keys, F.explode(F.aggregate("cs", state, chain)["out"]).alias("o")).select(*keys, "o.chunk", "o.due")
+    out = join_null_safe(chunks, starts, [*keys, "chunk"])
+    flags = F.struct(F.col("due").alias("due"), F.array().cast("array<struct<turn:int,full:boolean>>").alias("out"))
+    step = lambda acc, x: F.struct(after(acc["due"], x).alias("due"), F.concat(acc["out"], F.array(F.struct(
+        x["turn"].cast("int").alias("turn"), _full(acc["due"], x).alias("full")))).alias("out"))
+    done = out.select(*keys, F.explode(F.aggregate("xs", flags, step)["out"]).alias("o"))
+    return done.select(*keys, "o.turn", "o.full")

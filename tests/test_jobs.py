@@ -277,6 +277,24 @@ def test_reflection(spark):
     assert got == {"new": "new_ground", "chat": "no_signal", "fix": "correction", "few": "few_turns"}
 
 
+def test_delivery_forms_against_a_fold(spark):
+    rnd = random.Random(4)
+    rows = [(None if k == 2 else f"s{k}", "a", t, rnd.choice(["h1", "h1", "h1", "h2", None]) if k else "same")
+            for k in range(4) for t in sorted(rnd.sample(range(2500), 900))]
+    rows += [("long", "a", t, "same") for t in range(100_000)] + [("below", "a", t, "same") for t in range(-300, 300)]
+    d = spark.createDataFrame(rows, "session_id string, item_id string, turn int, content_hash string")
+    for every in (0, 1, 4, 10, 300):
+        want, due, last = {}, {}, {}
+        for s, _, t, h in rows:
+            full = s not in due or last[s] != h or (every > 0 and t >= due[s])
+            if full:
+                due[s] = t + every
+            last[s], want[s, t] = h, full
+        got = {(r.session_id, r.turn): r.full for r in ps.delivery_forms(d, every).collect()}
+        assert got == want, every
+    assert ps.delivery_forms(d.limit(0), 4).count() == 0
+
+
 def test_rewrites(spark):
     base = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "id string, v string, hits int")
     p = spark.createDataFrame([("a", "z", 9), ("q", "z", 9)], "id string, v string, hits int")
@@ -326,7 +344,6 @@ def _fold_failures(events):
 
 
 def test_failures_in_steps_equal_one_merge(spark):
-    import random
 
     r = random.Random(5)
     events = []

@@ -156,6 +156,15 @@ def test_containment_against_brute_force(spark):
             best = max(len(sa & set(y.split())) / len(sa) for _, y in b)
             assert (got[i] is None) if best < t - 1e-9 else got[i] == pytest.approx(best)
 
+    # Pairs of one key only; the candidates hold every true pair and are fewer than all that share a word.
+    ka, kb = (x.withColumn("k", F.col("id") % 3) for x in (da, db))
+    got = {(r.id_a, r.id_b) for r in setjoin.containment(ka, kb, 0.5, by=("k",)).collect()}
+    share = {(i, j): len(set(x.split()) & set(y.split())) / len(set(x.split())) for i, x in a for j, y in b if i % 3 == j % 3}
+    assert got == {k for k, v in share.items() if v >= 0.5}
+    left, right = (setjoin.token_sets(x, by=("k",)).withColumnsRenamed({"id": f"id_{n}", "toks": f"toks_{n}"}) for x, n in ((ka, "a"), (kb, "b")))
+    pairs = {(r.id_a, r.id_b) for r in setjoin.candidate_pairs(left, right, 0.5, ("k",)).collect()}
+    assert got <= pairs and len(pairs) < sum(v > 0 for v in share.values())
+
 
 def test_near_duplicates_and_pack(spark):
     body = "请求：把订单导出改成流式并补上测试，涉及 export 模块与 report 接口，需要兼容旧的下载链接以及权限校验逻辑和审计日志记录，还要保证导出任务可以断点续传并限制并发数量。"
