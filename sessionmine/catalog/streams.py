@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import errors as ef
 from ..operators.shared import shared_folder
+from ..plans import search
 from ..plans.failures import MAX_SESSIONS, fingerprinted
 from ..schemas import EVENTS
-from ..streaming import stateful, tables, turns, windows
-from .common import ERROR_KINDS
+from ..streaming import library, metrics, stateful, tables, turns, windows
+from .common import ERROR_KINDS, benchmark_queries, documents
 from .failures import FAILURES, GUARDS, _cte, _messages
+from .search import GATE_DECISIONS
 from .sessions import WHOLE_TURNS, session_events
 
 SCHEMA = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
@@ -249,22 +251,107 @@ def stream_prevention(spark, sf):
     return _stateful(spark, run).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("prevented"))
 
 
+def _reflection_rows(e: DataFrame) -> DataFrame:
+    """Purchases as turn ends, errors as results; users share three libraries."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.filter(F.col("event_type").isin("purchase", "error")).select(
+        F.concat(F.lit("l"), (F.col("user_id") % 3).cast("string")).alias("library"),
+        F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.dayofyear("ts").alias("turn"),
+        F.when(F.col("event_type") == "purchase", "turn_end").otherwise("result").alias("kind"), (k % 2 == 0).alias("signal"), (k % 50 == 0).alias("correction"),
+        (k / 100).alias("novelty"), (k % 10 == 0).alias("new_ground"), F.when(k % 4 == 0, k % 3).otherwise(0).alias("created"), (k % 5).alias("merged"))
+
+
 def stream_reflection(spark, sf):
-    """When to reflect: purchases as turn ends, errors as results."""
+    """When to reflect, with back-off by the user's own results."""
+    out = _stateful(spark, lambda: stateful.reflect_trigger(_reflection_rows(event_stream(spark, sf)), backoff_after=BACKOFF))
+    return out.select("session_id", F.col("turn").cast("long").alias("turn"), F.col("fresh_turns").cast("long").alias("fresh_turns"), "reason", "reflect")
+
+
+def _library_run(spark, sf):
+    """Three runs of the first stage, ten days each: the table and the folder of rows."""
+    d = shared_folder(spark)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    events = spark.read.schema(SCHEMA).parquet(f"{sf}/events.parquet")
+    day, counters = F.dayofyear("ts"), library.library_table(spark, f"{d}/table", buckets=4)
+    for part in (events.filter(day <= 10), events.filter((day > 10) & (day <= 20)), events.filter(day > 20)):
+        part.write.mode("append").parquet(f"{d}/in")
+        rows = _reflection_rows(spark.readStream.schema(SCHEMA).parquet(f"{d}/in"))
+        library.share_streaks(rows, counters, f"{d}/rows", f"{d}/cp", backoff_after=BACKOFF).trigger(availableNow=True).start().awaitTermination()
+    return counters, f"{d}/rows"
+
+
+def stream_shared_reflection(spark, sf):
+    """When to reflect, with back-off by the results of all users of a library."""
+    _, path = _library_run(spark, sf)
+    schema = spark.read.parquet(path).drop("batch").schema
+
     def run():
-        e = event_stream(spark, sf).filter(F.col("event_type").isin("purchase", "error"))
-        k = F.get_json_object("props", "$.k").cast("int")
-        return stateful.reflect_trigger(e.select(
-            F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), "ts", F.dayofyear("ts").alias("turn"),
-            F.when(F.col("event_type") == "purchase", "turn_end").otherwise("result").alias("kind"), (k % 2 == 0).alias("signal"), (k % 50 == 0).alias("correction"),
-            (k / 100).alias("novelty"), (k % 10 == 0).alias("new_ground"), (k % 3).alias("created")))
-    return _stateful(spark, run).groupBy("reason", "reflect").agg(F.count(F.lit(1)).alias("n"))
+        return stateful.reflect_trigger(spark.readStream.schema(schema).parquet(path), backoff_after=BACKOFF, shared_streak=True)
+    out = _stateful(spark, run)
+    return out.select("session_id", F.col("turn").cast("long").alias("turn"), F.col("fresh_turns").cast("long").alias("fresh_turns"), "reason", "reflect")
+
 
+def library_counters(spark, sf):
+    """What a library's reflections have led to after three runs of the stream."""
+    return _library_run(spark, sf)[0].read().drop("bucket")
+
+
+def run_metrics(spark, sf):
+    """Counters of a run: the decisions of a gated search, and a stream of purchases as advisories."""
+    d = shared_folder(spark)
+    heard = metrics.RunMetrics(spark, f"{d}/metrics")
+    spark.streams.addListener(heard)
+    try:
+        decisions = search.search(benchmark_queries(spark, sf), documents(spark, sf), gate=2, decisions=True)
+        heard.counted(decisions, "gate", lambda df: df.write.parquet(f"{d}/decisions"))
+        query = metrics.observed(event_stream(spark, sf).filter("event_type = 'purchase'"), "advisories").writeStream.format("parquet")
+        query = query.option("path", f"{d}/out").option("checkpointLocation", f"{d}/cp").trigger(availableNow=True).start()
+        query.awaitTermination()
+        heard.wait(query)
+    finally:
+        spark.streams.removeListener(heard)
+    heard.flush()
+    return metrics.snapshot(spark, heard.path, _library_run(spark, sf)[0].read())
+
+
+BACKOFF = 2
+
+
+def _reflection_sql(shared: bool) -> str:
+    return f"""
+WITH RECURSIVE e AS (SELECT user_id, 'l' || (user_id % 3) AS library, event_id, ts, dayofyear(ts) AS turn, event_type = 'error' AS res, k, CASE WHEN k % 4 = 0 THEN k % 3 ELSE 0 END AS created
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) WHERE event_type IN ('purchase', 'error')),
+g AS (SELECT *, count(*) FILTER (WHERE res AND created > 0) OVER (PARTITION BY {'library' if shared else 'user_id'} ORDER BY ts, event_id) AS run FROM e),
+s AS (SELECT *, count(*) FILTER (WHERE res AND created = 0) OVER (PARTITION BY {'library' if shared else 'user_id'}, run ORDER BY ts, event_id) AS streak FROM g),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM s WHERE NOT res),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 0 AS fresh, false AS sig, false AS cor, false AS gro, CAST(NULL AS VARCHAR) AS reason, CAST(0 AS BIGINT) AS turn, 0 AS shown FROM o
+  UNION ALL SELECT user_id, i, CASE WHEN ok THEN 0 ELSE n END, NOT ok AND sg, NOT ok AND co, NOT ok AND gr, reason, turn, n
+  FROM (SELECT *, reason IN ('correction', 'new_ground', 'novel') AS ok FROM (
+    SELECT *, CASE WHEN n < 3 THEN 'few_turns' WHEN NOT (sg OR co) THEN 'no_signal' WHEN co THEN 'correction' WHEN streak >= {BACKOFF} AND NOT gr THEN 'backoff'
+      WHEN gr THEN 'new_ground' WHEN k / 100 >= 0.15 THEN 'novel' ELSE 'not_novel' END AS reason
+    FROM (SELECT o.user_id, o.i, o.k, o.streak, o.turn, f.fresh + 1 AS n, f.sig OR o.k % 2 = 0 AS sg, f.cor OR o.k % 50 = 0 AS co, f.gro OR o.k % 10 = 0 AS gr
+      FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1))))
+SELECT CAST(user_id AS VARCHAR) AS session_id, turn, CAST(shown AS BIGINT) AS fresh_turns, reason, reason IN ('correction', 'new_ground', 'novel') AS reflect FROM f WHERE i > 0"""
+
+
+LIBRARY_CTES = """WITH r AS (SELECT 'l' || (user_id % 3) AS library, event_id, ts, CASE WHEN k % 4 = 0 THEN k % 3 ELSE 0 END AS created, k % 5 AS merged
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) WHERE event_type = 'error'),
+n AS (SELECT *, max(CASE WHEN created > 0 THEN event_id END) OVER (PARTITION BY library) AS last_new FROM r),
+c AS (SELECT library, count(*) AS reflections, CAST(0 AS BIGINT) AS skipped, CAST(sum(created) AS BIGINT) AS new_cards, CAST(sum(merged) AS BIGINT) AS duplicate_cards,
+  count(*) FILTER (WHERE event_id > coalesce(last_new, -1)) AS empty_streak FROM n GROUP BY 1)"""
+COUNTERS = f"{LIBRARY_CTES} SELECT *, empty_streak >= {BACKOFF} AS backoff FROM c"
+RUN_METRICS = f"""{LIBRARY_CTES}, t AS (SELECT CAST(sum(reflections) AS BIGINT) AS reflections, CAST(sum(skipped) AS BIGINT) AS skipped, CAST(sum(new_cards) AS BIGINT) AS new_cards,
+  CAST(sum(duplicate_cards) AS BIGINT) AS duplicate_cards, max(empty_streak) AS empty_streak, bool_or(empty_streak >= {BACKOFF}) AS backoff FROM c),
+d AS ({GATE_DECISIONS})
+SELECT t.*, CAST(0 AS BIGINT) AS injections, (SELECT count(*) FILTER (WHERE kept) FROM d) AS gate_kept, (SELECT count(*) FILTER (WHERE NOT kept) FROM d) AS gate_dropped,
+  (SELECT count(*) FROM events WHERE event_type = 'purchase') AS advisories FROM t"""
 
 QUERIES = {
     "stream_error_rates": (stream_error_rates, RATES), "stream_failures": (stream_failures, S_FAILURES),
     "logged_failures": (logged_failures, L_FAILURES), "stream_turns": (stream_turns, WHOLE_TURNS), "stream_warnings": (stream_warnings, WARNINGS),
     "stream_guard_alerts": (stream_guard_alerts, GUARDS), "stream_without_repeats": (stream_without_repeats, NO_REPEATS),
     "stream_turn_digests": (stream_turn_digests, DIGESTS), "stream_deliveries": (stream_deliveries, DELIVERIES),
-    "stream_prevention": (stream_prevention, None), "stream_reflection": (stream_reflection, None),
+    "stream_prevention": (stream_prevention, None), "stream_reflection": (stream_reflection, _reflection_sql(False)),
+    "stream_shared_reflection": (stream_shared_reflection, _reflection_sql(True)), "library_counters": (library_counters, COUNTERS),
+    "run_metrics": (run_metrics, RUN_METRICS),
 }

@@ -175,13 +175,15 @@ class ReflectTrigger(PerSession):
     """Decide at each `turn_end` row whether to reflect.
 
     Rows carry `signal` (tools or files were used), `correction`, `novelty` and
-    `new_ground`; `result` rows report how many cards a reflection produced.
+    `new_ground`; `result` rows report how many cards a reflection produced. The session
+    counts its own empty results, or, with `shared`, rows bring the streak of their library
+    (`empty_streak`, see `streaming.library`).
     """
 
     columns = ["session_id", "turn", "fresh_turns", "reflect", "reason"]
 
-    def __init__(self, min_turns: int = 3, threshold: float = 0.15, backoff_after: int = 5):
-        self.min_turns, self.threshold, self.backoff_after = min_turns, threshold, backoff_after
+    def __init__(self, min_turns: int = 3, threshold: float = 0.15, backoff_after: int = 5, shared: bool = False):
+        self.min_turns, self.threshold, self.backoff_after, self.shared = min_turns, threshold, backoff_after, shared
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -198,7 +200,10 @@ class ReflectTrigger(PerSession):
         for r in self.take(rows).itertuples(index=False):
             if r.kind == "result":
                 empty = 0 if r.created > 0 else empty + 1
+            if r.kind != "turn_end":
                 continue
+            if self.shared:
+                empty = int(r.empty_streak)
             fresh, signal = fresh + 1, bool(signal or r.signal)
             correction, ground = bool(correction or r.correction), bool(ground or r.new_ground)
             if fresh < self.min_turns:
@@ -280,9 +285,10 @@ def deliver_once(rows: DataFrame, every: int = 10, budget: int = 5, delay: str =
 
 
 def reflect_trigger(rows: DataFrame, min_turns: int = 3, threshold: float = 0.15, backoff_after: int = 5,
-                    delay: str = "10 minutes") -> DataFrame:
-    """`session_id, seq, ts, turn, kind (turn_end|result), signal, correction, novelty, new_ground, created`."""
-    return run_stateful(rows, ReflectTrigger(min_turns, threshold, backoff_after), REFLECT_OUT, delay)
+                    delay: str = "10 minutes", shared_streak: bool = False) -> DataFrame:
+    """`session_id, seq, ts, turn, kind (turn_end|result|skipped), signal, correction, novelty,
+    new_ground, created`; with `shared_streak` also `empty_streak`, from `library.share_streaks`."""
+    return run_stateful(rows, ReflectTrigger(min_turns, threshold, backoff_after, shared_streak), REFLECT_OUT, delay)
 
 
 def settle_prevention(rows: DataFrame, window: int = 3, delay: str = "10 minutes") -> DataFrame:

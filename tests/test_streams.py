@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from sessionmine import schemas
 from sessionmine.operators import sizes
 from sessionmine.plans import failures as fl, sessions as ps
-from sessionmine.streaming import stateful, tables, turns
+from sessionmine.sources import layers
+from sessionmine.streaming import library, metrics, stateful, tables, turns
 
 from .test_jobs import events
 from .test_sources import run_stream
@@ -189,3 +190,73 @@ def test_warnings_age(spark, tmp_path, rocksdb):
         "session_id", F.lit("s")).withColumn("ts", F.timestamp_seconds(F.col("seq") * 60))
     got = feed(spark, [make(rows[:2]), make(rows[2:])], lambda s: stateful.deliver_once(s, budget=2, ttl="30 minutes"), tmp_path / "parts")
     assert sorted((r.seq, r.form) for r in got.collect()) == [(1, "once"), (60, "once"), (61, "once")]
+
+
+# ---- counters of libraries and runs ------------------------------------------------
+
+LIBRARY = "library string, session_id string, ts timestamp, seq long, kind string, created int, merged int"
+
+
+def library_rows(rnd, n, start=0):
+    return [(rnd.choice(["a", "b", None]), rnd.choice("xy"), i, i, rnd.choice(["turn_end", "result", "result", "skipped"]), rnd.choice([0, 0, 0, 2, None]), rnd.choice([1, None]))
+            for i in range(start, start + n)]
+
+
+def test_library_streaks_against_a_fold(spark, tmp_path):
+    rnd = random.Random(8)
+    parts = [library_rows(rnd, 40, 0), library_rows(rnd, 40, 40), library_rows(rnd, 25, 80)]
+    make = lambda rows: spark.createDataFrame(rows, LIBRARY.replace("ts timestamp", "ts long")).withColumn("ts", F.timestamp_seconds(F.col("ts") * 700))
+    table = library.library_table(spark, str(tmp_path / "table"), buckets=2)
+    for part in parts:
+        make(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        rows = spark.readStream.schema(LIBRARY).parquet(str(tmp_path / "in"))
+        library.share_streaks(rows, table, str(tmp_path / "rows"), str(tmp_path / "cp"), backoff_after=2).trigger(availableNow=True).start().awaitTermination(120)
+    want, at = {}, {}
+    for lib, _, _, seq, kind, created, merged in sum(parts, []):
+        c = want.setdefault(lib, [0, 0, 0, 0, 0])
+        if kind == "result":
+            c[0], c[2], c[3] = c[0] + 1, c[2] + (created or 0), c[3] + (merged or 0)
+            c[4] = 0 if created else c[4] + 1
+        c[1] += kind == "skipped"
+        at[seq] = c[4]
+    got = {r.library: [r.reflections, r.skipped, r.new_cards, r.duplicate_cards, r.empty_streak] for r in table.read().collect()}
+    assert got == want
+    assert all(r.backoff == (r.empty_streak >= 2) for r in table.read().collect())
+    assert {r.seq: r.empty_streak for r in spark.read.parquet(str(tmp_path / "rows")).collect()} == at
+    # A replay of the last batch changes neither the rows nor the counters.
+    written = spark.read.parquet(str(tmp_path / "rows" / "batch=2"))
+    assert not table.change(written, 2, library.counter_merge(2))
+    # Without rows there is nothing, not even a library.
+    assert library.with_streaks(make(parts[0]).limit(0)).count() == 0
+
+
+def test_back_off_of_a_library_reaches_all_its_sessions(spark, rocksdb, tmp_path):
+    sch = "library string, session_id string, seq long, turn int, kind string, signal boolean, correction boolean, novelty double, new_ground boolean, created int, merged int"
+    ends = lambda s, a, b: [("l", s, i, i, "turn_end", True, False, 0.9, False, 0, 0) for i in range(a, b)]
+    empty = [("l", "s1", 10 + i, 9, "result", False, False, 0.0, False, 0, 0) for i in range(2)]
+    rows = ends("s1", 1, 4) + empty + ends("s2", 20, 23) + [("l", "s1", 30, 9, "result", False, False, 0.0, False, 1, 0)] + ends("s2", 31, 32)
+    df = spark.createDataFrame(rows, sch).withColumn("ts", F.timestamp_seconds(F.col("seq") * 60))
+    shared = library.with_streaks(df)
+    for name, build, third in (("own", lambda s: stateful.reflect_trigger(s, backoff_after=2), "novel"),
+                               ("shared", lambda s: stateful.reflect_trigger(s, backoff_after=2, shared_streak=True), "backoff")):
+        got = feed(spark, [shared], build, tmp_path / name).filter("session_id = 's2'").orderBy("turn").collect()
+        assert [r.reason for r in got][2] == third
+        assert [r.reason for r in got][3] == ("few_turns" if name == "own" else "novel")
+
+
+def test_run_metrics_count_a_replayed_batch_once(spark, tmp_path):
+    heard = metrics.RunMetrics(spark, str(tmp_path / "m"))
+    decisions = spark.createDataFrame([(True,), (False,), (None,), (True,)], "kept boolean")
+    assert heard.counted(decisions, "gate", lambda df: df.count()) == 4
+    packs = spark.createDataFrame([("a",), ("",), (None,)], "body string")
+    heard.counted(packs, "packs", lambda df: df.collect())
+    heard.add("q.sessionmine.advisories", 7, {"advisories": 3})
+    heard.flush()
+    heard.add("q.sessionmine.advisories", 7, {"advisories": 3})
+    heard.add("q.sessionmine.advisories", 8, {"advisories": 1})
+    heard.flush()
+    r = metrics.snapshot(spark, heard.path).first()
+    assert (r.gate_kept, r.gate_dropped, r.injections, r.advisories, r.reflections, r.backoff) == (2, 2, 1, 4, 0, False)
+    assert metrics.snapshot(spark).first().asDict() == layers.METRIC_DEFAULTS
+    with pytest.raises(ValueError):
+        metrics.counts(packs, "else")
