@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import wordlists as wl
-from ..functions.text import clip_head
 from ..operators import rewrite
 from ..plans import cards as pc, stats
 from ..sources import export
 from .common import document_cards, sql_list, table, tok_sql
-from .text import NORM_KEY_SQL, clip_sql
+from .text import NORM_KEY_SQL
 
 _EV = "array<struct<kind:string,repo:string,role:string,hint:string,session_id:string>>"
 
@@ -29,7 +28,7 @@ def drafts(spark, sf):
         F.element_at(F.array(F.lit("draft"), F.lit("validated"), F.lit("draft")), (n % 3 + 1).cast("int")).alias("status"),
         F.when(n % 17 == 0, "confidential").otherwise("internal").alias("sensitivity"),
         F.concat(F.lit("card "), F.substring("text", 1, 2)).alias("name"), F.when(n % 5 == 0, F.concat(F.lit("gist "), n.cast("string"))).alias("gist"),
-        F.concat(F.lit("when "), "lang").alias("when"), clip_head("text", 600).alias("summary"),
+        F.concat(F.lit("when "), "lang").alias("when"), F.col("text").alias("summary"),
         F.array(F.concat(F.lit("step "), (n % 30).cast("string")), F.concat(F.lit("step "), (n % 7).cast("string"))).alias("steps"),
         F.when(n % 4 == 0, F.concat(F.lit("Unit"), (n % 9).cast("string"))).alias("subject"), _none("string").alias("location"), _none("string").alias("reuse"),
         _none("string").alias("applies_to"), F.array().cast("array<string>").alias("invariants"),
@@ -58,7 +57,7 @@ def merged_cards(spark, sf):
 
 _KEY = NORM_KEY_SQL.replace("lower(text)", "lower(name || ' ' || w || ' ' || lang)")
 MERGE_CTES = f"""
-dr AS (SELECT doc_id AS n, doc_id % 2 AS pt, source, lang, 'card ' || substr(text, 1, 2) AS nm0, 'when ' || lang AS w, {clip_sql('text', 600)} AS sm FROM documents),
+dr AS (SELECT doc_id AS n, doc_id % 2 AS pt, source, lang, 'card ' || substr(text, 1, 2) AS nm0, 'when ' || lang AS w, text AS sm FROM documents),
 d1 AS (SELECT *, trim(regexp_replace(nm0, '^\\s+|\\s+$', '', 'g')) AS name, trim(regexp_replace(sm, '^\\s+|\\s+$', '', 'g')) AS s FROM dr),
 dk AS (SELECT *, CAST(pt AS VARCHAR) || '|' || {_KEY} AS key FROM d1),
 b AS (SELECT key, CAST(min(pt) AS VARCHAR) AS "partition", arg_min(name, n) AS name, count(*) AS hits,
@@ -137,13 +136,14 @@ SELECT 'tq_' || user_id AS id, ['draft', 'validated', 'canonical', 'deprecated']
 
 
 def evidence_checks(spark, sf):
-    """Messages as evidence: how many pass, and why others do not."""
-    c = table(spark, sf, "conversations").select(F.substring("text", 1, 40).alias("evidence"))
+    """All sentences of messages as evidence: how many pass, and why others do not."""
+    c = table(spark, sf, "conversations").select(F.explode(F.split("text", r"[.!?]\s+")).alias("evidence"))
     return pc.check_evidence(c).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 EVIDENCE = """
-WITH v AS (SELECT trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g')) AS e FROM conversations),
+WITH c AS (SELECT unnest(regexp_split_to_array(text, '[.!?]\\s+')) AS text FROM conversations),
+v AS (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS e FROM c),
 w AS (SELECT e, regexp_replace(e, '[\\d%.,，。！!；;、:：\\s"''`()（）\\[\\]【】{}<>/\\\\|~-]', '', 'g') AS x FROM v)
 SELECT CASE WHEN e = '' THEN 'empty' WHEN x <> '' AND regexp_replace(x, '(?i)(?:ok|okay|fine|good|done|works?|worked|success|confirmed|pass(?:ed)?)', '', 'g') = '' THEN 'content_free'
   WHEN length(e) < 12 THEN 'too_short' WHEN NOT regexp_matches(e, '\\d|`[^`]+`|"[^"]+"|''[^'']+''|\\S+/\\S+|\\.\\w{2,6}\\b') THEN 'no_observation' ELSE 'ok' END AS reason, count(*) AS n FROM w GROUP BY 1
@@ -151,12 +151,12 @@ SELECT CASE WHEN e = '' THEN 'empty' WHEN x <> '' AND regexp_replace(x, '(?i)(?:
 
 
 def _needle_cards(spark, sf):
-    """Cards whose symbols are long words of the documents, one compound and one plain."""
+    """Documents as cards whose symbols are long words of theirs, a plain and a compound one."""
     d = table(spark, sf, "documents")
     words = F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9_])([A-Z][a-z]{6,9})(?![A-Za-z0-9_])"), F.lit(1))
     w = F.array_distinct(words)
-    return d.filter(F.size(w) >= 3).select(F.col("doc_id").alias("id"), F.timestamp_seconds(F.col("doc_id")).alias("ts"), "text", F.array(
-        F.get(w, F.lit(0)), F.concat(F.get(w, F.lit(1)), F.lit("."), F.lower(F.get(w, F.lit(2))))).alias("symbols"))
+    return d.select(F.col("doc_id").alias("id"), F.timestamp_seconds(F.col("doc_id")).alias("ts"), "text", F.array_compact(F.array(
+        F.get(w, F.lit(0)), F.concat(F.get(w, F.lit(1)), F.lit("."), F.lower(F.get(w, F.lit(2)))))).alias("symbols"))
 
 
 def _calls(spark, sf):
@@ -180,7 +180,7 @@ def needle_census(spark, sf):
 NEEDLE_CTES = """
 dw AS (SELECT doc_id AS id, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS w FROM (SELECT doc_id, regexp_extract_all(' ' || regexp_replace(text, '[^A-Za-z0-9_]', '  ', 'g') || ' ', ' ([A-Z][a-z]{6,9}) ', 1) AS ws FROM (
   SELECT doc_id, regexp_replace(text, '([^A-Za-z0-9_])', '  ', 'g') AS text FROM documents))),
-nd AS (SELECT id, 0 AS pos, w[1] AS needle FROM dw WHERE len(w) >= 3 UNION ALL SELECT id, 1, w[2] || '.' || lower(w[3]) FROM dw WHERE len(w) >= 3)"""
+nd AS (SELECT id, 0 AS pos, w[1] AS needle FROM dw WHERE len(w) >= 1 UNION ALL SELECT id, 1, w[2] || '.' || lower(w[3]) FROM dw WHERE len(w) >= 3)"""
 NEEDLE_CENSUS = f"""WITH {NEEDLE_CTES}
 SELECT needle, count(DISTINCT id) AS cards, min(id) AS first_card, count(DISTINCT id) >= 3 AS generic FROM nd GROUP BY 1"""
 
@@ -228,7 +228,7 @@ pr AS (SELECT session_id, call_id, id, nn FROM dr UNION ALL SELECT session_id, c
 nm AS (SELECT session_id, call_id, edit, unnest(regexp_extract_all(note, '{_NAMED}')) AS x FROM c),
 wd AS (SELECT session_id, call_id, edit, unnest(string_split_regex(regexp_replace(regexp_replace(x, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9一-龥]+')) AS w FROM nm),
 tm AS (SELECT DISTINCT session_id, call_id, edit, lower(w) AS term FROM wd WHERE length(w) >= 5 AND NOT regexp_full_match(w, '\\d+') AND lower(w) NOT IN ({_NOISE})),
-ev AS (SELECT DISTINCT doc_id AS id, unnest({tok_sql('text')}) AS term FROM documents WHERE doc_id IN (SELECT id FROM nd)
+ev AS (SELECT DISTINCT doc_id AS id, unnest({tok_sql('text')}) AS term FROM documents
   UNION SELECT id, unnest({tok_sql('needle')}) FROM nd),
 p AS (SELECT session_id, call_id, edit, id, count(*) AS n_terms, sum(length(term))::BIGINT AS n_chars FROM tm JOIN ev USING (term) GROUP BY 1, 2, 3, 4),
 r AS (SELECT p.*, CASE WHEN edit AND nn IS NOT NULL THEN 1 ELSE 0 END AS exact, row_number() OVER (PARTITION BY p.session_id, p.call_id ORDER BY

@@ -152,7 +152,7 @@ def stacks(spark, sf):
     n = F.col("page_id")
     name = F.element_at(F.array(*[F.lit(x) for x in _MANIFESTS]), (n % 8 + 1).cast("int"))
     dep = F.element_at(F.array(F.lit("react"), F.lit("left-pad"), F.lit("vue")), (n % 3 + 1).cast("int"))
-    content = F.when(n % 8 == 0, F.concat(F.lit('{"dependencies": {"'), dep, F.lit('": "^1.'), (n % 9).cast("string"), F.lit('"}}'))).otherwise(F.substring("html", 1, 40))
+    content = F.when(n % 8 == 0, F.concat(F.lit('{"dependencies": {"'), dep, F.lit('": "^1.'), (n % 9).cast("string"), F.lit('"}}'))).otherwise(F.col("html"))
     s = st.detect_stack(p.select((n % 11).cast("string").alias("repo"), name.alias("path"), content.alias("content")))
     return s.select("repo", F.array_join("stack.languages", ",").alias("languages"), "stack.build_tool",
                     F.coalesce(F.array_join(F.array_sort("stack.frameworks"), ","), F.lit("")).alias("frameworks"))

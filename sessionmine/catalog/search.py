@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import clip_head
 from ..functions.versions import compatible
 from ..operators.index import Index, build_index, query_terms
 from ..operators.shared import shared_folder
@@ -271,33 +270,36 @@ def context_pack(spark, sf):
 
 
 def blank_queries(spark, sf):
-    """Benchmark texts cut to their stop words: the newest documents, with and without a gate."""
-    q = benchmark_queries(spark, sf).select("query_id", F.when(F.col("query_id") % 2 == 0, "").otherwise("the of and").alias("text"))
+    """Queries without a word for each benchmark text: the newest documents, with and without
+    a gate."""
+    blank = F.element_at(F.array(F.lit(""), F.lit(" ?! "), F.lit(None).cast("string")), (F.col("query_id") % 3 + 1).cast("int"))
+    q = benchmark_queries(spark, sf).select("query_id", blank.alias("text"))
     d = _pack_docs(spark, sf)
     rows = [s.search_facets(q, d, k=4, gate=g).withColumn("gate", F.lit(g or 0)) for g in (None, 2)]
-    return rows[0].unionByName(rows[1]).filter("query_id % 2 = 0").select("query_id", F.col("id").alias("doc_id"), "rank", "gate")
+    return rows[0].unionByName(rows[1]).select("query_id", F.col("id").alias("doc_id"), "rank", "gate")
 
 
 BLANK = """
 WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS rank FROM documents)
-SELECT item_id AS query_id, doc_id, rank, gate FROM benchmark, n, (VALUES (0), (2)) g(gate) WHERE rank <= 4 AND item_id % 2 = 0
+SELECT item_id AS query_id, doc_id, rank, gate FROM benchmark, n, (VALUES (0), (2)) g(gate) WHERE rank <= 4
 """
 
 
 def evaluation(spark, sf):
-    """Retrieval quality where a document's own first words are the query."""
-    d = documents(spark, sf)
-    q = d.select(F.col("id").alias("query_id"), clip_head("text", 120).alias("text"))
-    hits = s.search(q, d, k=3, empty="deny")
-    e = stats.evaluate(hits, d.select(F.col("id").alias("query_id"), "id"), k=3)
+    """Retrieval quality where a user's message is the query and the next message, if it is the
+    assistant's, the answer to find among all messages of assistants."""
+    c = table(spark, sf, "conversations").withColumn("mid", F.col("conv_id") * 1000 + F.col("turn"))
+    q = c.filter(F.col("role") == "user").select(F.col("mid").alias("query_id"), "text")
+    d = c.filter(F.col("role") == "assistant").select(F.col("mid").alias("id"), "text")
+    answers = q.join(d, q["query_id"] + 1 == d["id"]).select("query_id", "id")
+    e = stats.evaluate(s.search(q, d, k=3, empty="deny"), answers, k=3)
     return e.select("queries", "hit1", "hitk", R("mrr", 6).alias("mrr"), R("recall", 6).alias("recall"))
 
 
-_SELF = bm25_ctes("SELECT doc_id AS id, text FROM documents",
-                  "SELECT doc_id AS query_id, CASE WHEN length(text) <= 120 THEN text ELSE substr(text, 1, 119) || '…' END AS text FROM documents")
 EVALUATION = f"""
-WITH {_SELF}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored),
-l AS (SELECT doc_id, rank FROM documents LEFT JOIN r ON query_id = doc_id AND id = doc_id AND rank <= 3)
+WITH {_MSG}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored),
+a AS (SELECT q.query_id, d.id FROM q JOIN d ON d.id = q.query_id + 1),
+l AS (SELECT a.id, rank FROM a LEFT JOIN r ON r.query_id = a.query_id AND r.id = a.id AND rank <= 3)
 SELECT count(*) AS queries, count(*) FILTER (WHERE rank = 1) AS hit1, count(rank) AS hitk,
   round(sum(coalesce(1 / rank, 0)) / count(*), 6) AS mrr, round(count(rank) / count(*), 6) AS recall FROM l
 """

@@ -284,17 +284,19 @@ FROM m LEFT JOIN g ON m.id = g.id
 
 
 def deidentified(spark, sf):
-    """Messages with the two most telling words of each taken out by placeholder."""
+    """Messages with all their long capitalised words taken out by numbered placeholders."""
     c = table(spark, sf, "conversations")
-    ids = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9_])([A-Z][a-z]{5,})(?![A-Za-z0-9_])"), F.lit(1))), 1, 1)
+    ids = F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9_])([A-Z][a-z]{5,})(?![A-Za-z0-9_])"), F.lit(1))
     return c.select("conv_id", "turn", F.sha1(rf.deidentify("text", ids)).alias("digest"))
 
 
 DEIDENTIFIED = f"""
-SELECT conv_id, turn, sha1(regexp_replace(CASE WHEN id IS NULL OR id IN ('Number','String','Boolean','Object','Promise','Exception','Result','Options','Config','Request','Response','Client','Server') THEN {redact_sql('text')}
-  ELSE replace({redact_sql('text')}, id, '<Class1>') END,
-  '(^|[\\s"''(=])/(?:[A-Za-z0-9._-]+/)+[A-Za-z0-9._-]+', '\\1[PATH]', 'g')) AS digest
-FROM (SELECT *, regexp_extract_all(text, '\\b([A-Z][a-z]{{5,}})\\b', 1)[1] AS id FROM conversations)
+WITH v AS (SELECT conv_id, turn, text, list_filter(list_distinct(regexp_extract_all(text, '\\b([A-Z][a-z]{{5,}})\\b', 1)),
+  lambda x: x NOT IN ('Number','String','Boolean','Object','Promise','Exception','Result','Options','Config','Request','Response','Client','Server')) AS ids FROM conversations),
+o AS (SELECT *, list_sort(list_transform(ids, lambda x: {{'at': instr(text, x), 'neg': -length(x), 'v': x}})) AS s FROM v),
+m AS (SELECT *, list_transform(range(1, len(s) + 1), lambda i: s[i].v || '|<Class' || i || '>') AS marks FROM o)
+SELECT conv_id, turn, sha1(regexp_replace(list_reduce(list_prepend({redact_sql('text')}, marks), lambda acc, p: replace(acc, split_part(p, '|', 1), split_part(p, '|', 2))),
+  '(^|[\\s"''(=])/(?:[A-Za-z0-9._-]+/)+[A-Za-z0-9._-]+', '\\1[PATH]', 'g')) AS digest FROM m
 """
 
 QUERIES = {
