@@ -207,6 +207,44 @@ def test_licence_scan(spark, make_docs):
     assert licences.scan(make_docs(rows).limit(0)).count() == 0
 
 
+def test_published_licence_files(spark, make_docs):
+    import textwrap
+    from pathlib import Path
+
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(p, n) for p in t.split("\n"))
+    titles = {"MIT": "MIT License", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License",
+              "BSD-3-Clause": "BSD 3-Clause License", "MIT-0": "MIT No Attribution"}
+    rows, want = [], {}
+
+    def add(text, licence):
+        want[len(rows)] = licence
+        rows.append((len(rows), text, ""))
+
+    for k, text in licences.TEXTS.items():
+        for n in (60, 72, 76, 79, 80):
+            add(f"{titles[k]}\n\nCopyright (c) 2021 Some One\nAll rights reserved.\n\n{wrap(text, n)}\n", k)
+        add(f"Copyright Some One <a@b.c>\n\n{wrap(text, 72)}".replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), k)
+        add("".join(f"// {line}\n" for line in wrap(text, 70).split("\n")), k)
+        add(wrap(text, 72) + "\nand one thing more\n", None)
+    folder = Path("/usr/share/common-licenses")
+    for k, name in {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}.items():
+        if (folder / name).exists():
+            text = (folder / name).read_text()
+            end = text.find("END OF TERMS AND CONDITIONS")
+            add(text, k)
+            add("\n".join(line.strip() for line in text.split("\n")).upper(), k)
+            add(text.replace("License", "Licence"), k)
+            if end > 0:
+                add(text[:end], k)
+            add(text[:len(text) // 2], None)
+    add("MIT License", None)
+    add("a\nSPDX-License-Identifier: GPL-2.0-or-later\nb\nDistributed under the Mozilla Public License, version 2.0.", None)
+    got = {r["doc_id"]: r for r in licences.scan(make_docs(rows)).collect()}
+    assert {i: r["licence"] for i, r in got.items()} == want
+    assert got[len(rows) - 2]["digest"] is None and got[len(rows) - 1]["notices"] == "GPL-2.0,MPL-2.0"
+
+
+
 # ---- URLs ------------------------------------------------------------------------
 
 def brute_urls(rows, rules):
