@@ -6,7 +6,7 @@ import re
 import zlib
 from collections import Counter
 from itertools import product
-from math import exp, log
+from math import log
 
 import numpy as np
 import public_tokenizers
@@ -346,30 +346,39 @@ def test_url_scores_of_many_grams_are_exact(spark, max_rows):
 
 # ---- mixing ----------------------------------------------------------------------
 
-def brute_posteriors(rows, labels, domains):
-    sets = [(i, set(w for w in re.split(r"[\s.,;:!?\"'()]+", (t or "").lower()) if w)) for i, t, _ in rows]
-    known = [(d, s) for i, s in sets for j, d in labels if i == j and d in domains]
-    n = Counter(d for d, _ in known)
-    total = sum(n.values())
-    with_word = Counter((d, w) for d, s in known for w in s)
-    rates, gains = {}, {d: [] for d in domains}
-    for w in {w for _, s in known for w in s}:
-        q = sum(with_word[d, w] for d in domains) / total
-        rates[w] = {d: min((with_word[d, w] + 50 * q) / (n[d] + 50), 1 - 1e-6) for d in domains}
-        q0 = min(q, 1 - 1e-6)
+def brute_posteriors(rows, labels, domains, fold):
+    """Loops over whole words, with numpy's solver; `fold` maps a text to its fold."""
+    words = [[w for w in re.split(r"[\s.,;:!?\"'()]+", (t or "").lower()) if w] for _, t, _ in rows]
+    known = {(d, tuple(ws)) for (i, _, _), ws in zip(rows, words) for j, d in labels if i == j and d in domains}
+    taught = [(d, set(ws)) for d, ws in known if fold[ws] > 0]
+    size = Counter(d for d, _ in taught)
+    n = Counter((d, w) for d, s in taught for w in s)
+    total, weights = len(taught), {}
+    for w in {w for _, s in taught for w in s}:
+        every = sum(n[d, w] for d in domains)
+        q = every / total
+        weights[w] = []
         for d in domains:
-            if with_word[d, w] - n[d] * q > 6 * (n[d] * q * (1 - q) + 1) ** 0.5 and with_word[d, w] >= 3 * n[d] * q:
-                r = rates[w][d]
-                gains[d].append((r * log(r / q0) + (1 - r) * log((1 - r) / (1 - q0)), w))
-    best = {w for d in domains for _, w in sorted(gains[d], reverse=True)[:16]}
-    assert {"scum", "noise", "|"} <= best
-    rates = {w: rates[w] for w in best}
-    out = []
-    for i, s in sets:
-        x = [log((n[d] + 1) / (total + len(domains))) + sum(log(r[d] if w in s else 1 - r[d]) for w, r in rates.items()) for d in domains]
-        e = [exp(v - max(x)) for v in x]
-        out.append((i, [v / sum(e) for v in e]))
-    return out
+            odds = log((n[d, w] + 50 * q) / (size[d] + 50) / ((every - n[d, w] + 50 * q) / (total - size[d] + 50)))
+            z2 = (n[d, w] - size[d] * q) ** 2 / (size[d] * q * (1 - q) + 1)
+            weights[w].append(odds * z2 / (z2 + 9))
+
+    def inputs(ws, i):
+        have = [weights[w][i] for w in set(ws) if w in weights]
+        return [1.0, sum(have) / (len(set(ws)) + 1) ** 0.5, max(have, default=0.0), log(1 + len(ws)) / 10]
+
+    held = [(d, ws) for d, ws in known if fold[ws] == 0]
+    chances = []
+    for i, d in enumerate(domains):
+        x = np.array([inputs(ws, i) for _, ws in held])
+        y = np.array([float(e == d) for e, _ in held])
+        beta = np.array([log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0, 0, 0])
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-x @ beta))
+            curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1, 1, 1])
+            beta = beta + np.linalg.solve(curve, x.T @ (y - p) - np.array([0, 1, 1, 1]) * beta)
+        chances.append([1 / (1 + np.exp(-np.dot(inputs(ws, i), beta))) for ws in words])
+    return [(r[0], [c / sum(cs) for c in cs]) for r, *cs in zip(rows, *chances)]
 
 
 def test_mixing(spark, make_docs, odd_rows):
@@ -379,11 +388,25 @@ def test_mixing(spark, make_docs, odd_rows):
     targets = {"clean": 0.62, "low": 0.2, "toxic": 0.18}
     labelled = spark.createDataFrame(labels, "doc_id long, domain string")
     got = mixing.mix(make_docs(rows), labelled, targets).collect()
-    want = sorted(((i, p) for i, p in brute_posteriors(rows, labels, list(targets))), key=repr)
+    numbered = mixing.features(make_docs(rows), ["doc_id", "text"])
+    folds = (mixing.teachers(numbered, labelled, list(targets)).join(numbered, "_row")
+             .select("text", "fold").collect())
+    cut = lambda t: tuple(w for w in re.split(r"[\s.,;:!?\"'()]+", t.lower()) if w)
+    want = sorted(brute_posteriors(rows, labels, list(targets), {cut(r["text"]): r["fold"] for r in folds}), key=repr)
     have = sorted(((r["doc_id"], [r[f"p_{d}"] for d in targets]) for r in got), key=repr)
     for (i, p), (j, q) in zip(sorted(have, key=lambda x: (x[0] is None, x[0])), sorted(want, key=lambda x: (x[0] is None, x[0]))):
         assert i == j and p == pytest.approx(q, abs=6e-3)
     total = sum(r["n_tokens"] for r in got)
+    rates = [1.0] * len(got)
+    sums = lambda: [sum(r["n_tokens"] * r[f"p_{d}"] * x for r, x in zip(got, rates)) for d in targets]
+    start = now = sums()
+    for _ in range(mixing.MAX_STEPS):  # a plain loop of projected gradient steps
+        error = [(x - total * s) / h for x, s, h in zip(now, targets.values(), start)]
+        rates = [max(0.0, min(4.0, x - sum(r[f"p_{d}"] * e for d, e in zip(targets, error)))) for r, x in zip(got, rates)]
+        before, now = now, sums()
+        if max(abs(x - y) / h for x, y, h in zip(now, before, start)) < mixing.TOLERANCE:
+            break
+    assert [r["rate"] for r in got] == pytest.approx(rates, abs=1e-4)
     for d, share in targets.items():
         assert sum(r["n_tokens"] * r[f"p_{d}"] * r["rate"] for r in got) == pytest.approx(share * total, rel=0.02)
     assert all(abs(r["copies"] - r["rate"]) < 1 and 0 <= r["rate"] <= 4 for r in got)
@@ -394,6 +417,20 @@ def test_mixing(spark, make_docs, odd_rows):
     assert len(clean & stay) > 0.9 * len(clean)
 
 
+def test_mixing_tells_domains_apart(spark):
+    """Accuracy on labelled test documents whose labels were left out, and more than one
+    posterior on the smallest tables."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    known = queries.domains(labels).withColumn("out", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
+    got = mixing.mix(docs, known.filter("not out"), queries.MIX).join(known.filter("out"), "doc_id").collect()
+    mean = lambda d, e: (lambda v: sum(v) / len(v))([r[f"p_{d}"] for r in got if r["domain"] == e])
+    for d in ("clean", "low", "toxic"):
+        others = [mean(d, e) for e in ("clean", "low", "toxic") if e != d]
+        assert mean(d, d) > max(others), d
+    assert len({r["p_toxic"] for r in got}) > 10
+
+
 def test_mixing_without_labels(spark, make_docs, odd_rows):
     none = spark.createDataFrame([], "doc_id long, domain string")
     got = mixing.mix(make_docs(odd_rows), none, {"a": 1.0, "b": 1.0}).collect()
