@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import wordlists as wl
 from ..functions.paths import base_name, is_source
+from ..operators.shared import cut
 
 
 # What a piece of a glob stands for in a Java regular expression; the first that fits counts.
@@ -71,25 +77,76 @@ def select_files(files: DataFrame, rules: list[tuple[str, bool, bool]], max_byte
     fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     large, small = ok.filter(~fits).select("path", "length"), ok.filter(fits)
     if max_files is not None:
-        depth = F.size(F.split("path", "/"))
-        small = small.orderBy(depth, F.regexp_extract("path", "^(.*)/", 1), base_name("path")).limit(max_files)
+        small = small.orderBy(*_shallow_first()).limit(max_files)
     return small, large
 
 
-def scan_files(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (),
-               max_bytes: int | None = None, max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Files below `root` as `repo, path, length, content`.  The lengths come from the
-    listing, so files that are left out are never read.
+def _shallow_first() -> list[Column]:
+    return [F.size(F.split("path", "/")), F.regexp_extract("path", "^(.*)/", 1), base_name("path")]
+
+
+def _enters(rules: list[tuple[str, bool, bool]]) -> Column:
+    """Filter on the `path` of a directory: not hidden, not skipped, not ignored."""
+    name = base_name("path")
+    return (~name.startswith(".") | (name == ".github")) & ~name.isin(wl.SKIPPED_DIRS) & ~ignored(F.col("path"), True, rules)
+
 
-    Spark's listing leaves out names that start with `.` or `_`; where those matter, bring
-    the files as a table and use `select_files`.
+def list_files(spark: SparkSession, root: str, rules: list[tuple[str, bool, bool]] = ()) -> DataFrame:
+    """`path, length` of all files below `root`, names with a leading `_` or `.` too.
+
+    The tree is listed level by level, the directories of a level in parallel; directories
+    that are hidden, skipped or ignored aren't entered. Links are left out. `root` is a path
+    or an address that `pyarrow.fs` opens on the executors.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    cores = spark.sparkContext.defaultParallelism
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for below in batch.column(0).to_pylist():
+                found = fs.get_file_info(pafs.FileSelector(f"{base}/{below}".rstrip("/")))
+                if isinstance(fs, pafs.LocalFileSystem):
+                    found = [f for f in found if not os.path.islink(f.path)]
+                found = [f for f in found if f.type in (pafs.FileType.File, pafs.FileType.Directory)]
+                yield pa.RecordBatch.from_pydict({
+                    "path": pa.array([f"{below}/{f.base_name}".lstrip("/") for f in found], pa.string()),
+                    "is_dir": pa.array([f.type == pafs.FileType.Directory for f in found], pa.bool_()),
+                    "length": pa.array([f.size for f in found], pa.int64())})
+
+    level, levels = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        # A row is little data but much work, so the rows are spread by number, not by size.
+        found = cut(level.repartition(cores * 4, "path").mapInArrow(children, "path string, is_dir boolean, length long"))
+        levels.append(found.filter(~F.col("is_dir")).select("path", "length"))
+        level = found.filter(F.col("is_dir") & _enters(list(rules))).select("path")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+
+
+def read_files(files: DataFrame, root: str) -> DataFrame:
+    """`files(path, length)` with the `content` of each file, one file at a time in a task."""
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for row in batch.to_pylist():
+                with fs.open_input_stream(f"{base}/{row['path']}") as f:
+                    data = f.read()
+                yield pa.RecordBatch.from_pydict({"path": pa.array([row["path"]], pa.string()), "length": pa.array([row["length"]], pa.int64()),
+                                                  "content": pa.array([data], pa.binary())})
+
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.select("path", "length").repartition(cores * 4, "path").mapInArrow(contents, "path string, length long, content binary")
+
+
+def scan_files(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (),
+               max_bytes: int | None = None, max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files below `root` as `repo, path, length, content`, and those too large as `path, length`.
+    The lengths come from the listing, so files that are left out are never read."""
     base = root.rstrip("/").split("/")[-1]
-    rel = F.regexp_extract("path", re.escape(root.rstrip("/")) + "/(.*)$", 1)
     rules = ignore_rules(_ignore_lines(spark, root), list(exclude))
-    picked, large = select_files(raw.select(rel.alias("path"), "length", "content"), rules, max_bytes, max_files, list(include))
-    return picked.select(F.lit(base).alias("repo"), "path", "length", F.col("content").cast("string").alias("content")), large
+    picked, large = select_files(list_files(spark, root, rules), rules, max_bytes, max_files, list(include))
+    read = read_files(picked, root) if max_files is None else read_files(picked, root).orderBy(*_shallow_first())
+    return read.select(F.lit(base).alias("repo"), "path", "length", F.col("content").cast("string").alias("content")), large
 
 
 def _ignore_lines(spark: SparkSession, root: str) -> list[str]:

@@ -51,11 +51,12 @@ def read_layer(spark: SparkSession, path: str, schema: str, key: bytes | None =
 
 def write_layer(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet",
                 key: bytes | None = None) -> None:
-    """Overwrite a layer; with `partition_by` only the partitions present in `df`."""
+    """Overwrite a layer; with `partition_by` only the partitions present in `df`.  With a key
+    the lines are encrypted; the names of partition folders are not."""
     if key is not None:
-        out = df.select(encrypt_line(F.to_json(F.struct(*df.columns)), _key(key)).alias("value"))
-        out.write.mode("overwrite").text(path)
-        return
+        by = [F.col(c).alias(f"part_{c}") for c in partition_by or []]
+        df = df.select(encrypt_line(F.to_json(F.struct(*df.columns)), _key(key)).alias("value"), *by)
+        partition_by, fmt = [f"part_{c}" for c in partition_by or []], "text"
     w = df.write.mode("overwrite").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")

@@ -185,3 +185,31 @@ def test_stateful_streams(spark, tmp_path):
     df = spark.createDataFrame(rows, sch.split(", session_id")[0]).withColumn("session_id", F.lit("s")).withColumn("ts", F.timestamp_seconds(F.col("seq") * 60))
     got = run_stream(spark, df, sch, stateful.reflect_trigger, tmp_path, "r").orderBy("turn").collect()
     assert [(r.turn, r.reason) for r in got] == [(1, "few_turns"), (2, "few_turns"), (3, "not_novel"), (4, "correction")]
+
+
+def test_scan_lists_the_whole_tree(spark, tmp_path):
+    """Names with `_`, `.github`, a deep folder and an empty one; skipped, ignored and hidden
+    folders and links are not entered."""
+    root = tmp_path / "tree"
+    for name in ("_a.ts", "_gen/_b.py", ".github/workflows/c.yml", ".hidden/d.ts", "node_modules/e.ts", "drop/f.ts",
+                 "x/y/z/w/g.go", "x/.h.ts", "odd name/é.rs", "readme.md"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    (root / "empty").mkdir()
+    (root / "loop").symlink_to(root)
+    (root / ".gitignore").write_text("drop/\n")
+    for address in (str(root), f"file://{root}"):
+        listed = {r.path for r in sf.list_files(spark, address, sf.ignore_rules(["drop/"])).collect()}
+        assert listed == {"_a.ts", "_gen/_b.py", ".github/workflows/c.yml", "x/y/z/w/g.go", "x/.h.ts", "odd name/é.rs", "readme.md", ".gitignore"}
+        small, large = sf.scan_files(spark, address, max_bytes=20)
+        assert {r.path: r.content for r in small.collect()} == {p: p for p in ("_a.ts", "_gen/_b.py", "x/y/z/w/g.go", "odd name/é.rs")}
+        assert [tuple(r) for r in large.collect()] == [(".github/workflows/c.yml", 23)]
+
+
+def test_encrypted_layer_by_partition(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 2)], SCHEMA)
+    layers.write_layer(df, str(tmp_path / "e"), ["n"], key=KEY)
+    layers.write_layer(spark.createDataFrame([("d", 2)], SCHEMA), str(tmp_path / "e"), ["n"], key=KEY)
+    good, bad = layers.read_layer(spark, str(tmp_path / "e"), SCHEMA, key=KEY)
+    assert sorted(good.collect()) == [("a", 1), ("d", 2)] and bad.count() == 0
+    assert sorted(p.name for p in (tmp_path / "e").iterdir() if p.is_dir()) == ["part_n=1", "part_n=2"]
