@@ -39,20 +39,48 @@ class Index:
 
     def write(self, path: str) -> None:
         """Store the postings by term hash, so that a query batch reads its buckets only."""
-        (self.postings.withColumn("bucket", _bucket("term"))
-         .repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16)))
-         .sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(path))
+        _write_postings(self.postings, path)
 
     @staticmethod
     def read(spark: SparkSession, path: str, terms: DataFrame | None = None) -> "Index":
         """The stored postings; with `terms(term)`, only those of these terms and the
         documents' own rows, from the buckets (at most `BUCKETS` numbers) that hold them."""
-        postings = spark.read.parquet(path)
-        if terms is None:
-            return Index(postings.drop("bucket"))
-        wanted = terms.select("term").union(spark.range(1).select(F.lit("").alias("term"))).distinct()
-        buckets = [r["b"] for r in wanted.select(_bucket("term").alias("b")).distinct().collect()]
-        return Index(postings.filter(F.col("bucket").isin(buckets)).drop("bucket").join(wanted, "term", "left_semi"))
+        return Index(_read_postings(spark, path, terms))
+
+
+@dataclass
+class FieldedIndex:
+    """`postings(id, term, tfs, len)`: a frequency for each of the fields, in their order.
+
+    Weights are given with the query, so one stored index serves all of them. The term ''
+    stands for the document itself.
+    """
+
+    postings: DataFrame
+
+    def write(self, path: str) -> None:
+        """Store the postings by term hash."""
+        _write_postings(self.postings, path)
+
+    @staticmethod
+    def read(spark: SparkSession, path: str, terms: DataFrame | None = None) -> "FieldedIndex":
+        """As for `Index`."""
+        return FieldedIndex(_read_postings(spark, path, terms))
+
+
+def _write_postings(postings: DataFrame, path: str) -> None:
+    (postings.withColumn("bucket", _bucket("term"))
+     .repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(16)))
+     .sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(path))
+
+
+def _read_postings(spark: SparkSession, path: str, terms: DataFrame | None) -> DataFrame:
+    postings = spark.read.parquet(path)
+    if terms is None:
+        return postings.drop("bucket")
+    wanted = terms.select("term").union(spark.range(1).select(F.lit("").alias("term"))).distinct()
+    buckets = [r["b"] for r in wanted.select(_bucket("term").alias("b")).distinct().collect()]
+    return postings.filter(F.col("bucket").isin(buckets)).drop("bucket").join(wanted, "term", "left_semi")
 
 
 def _bucket(term: str) -> Column:
@@ -157,27 +185,39 @@ def score_pairs(terms: DataFrame, index: Index, n_facets: int = 1, k1: float = K
         F.array_sort(F.collect_list(F.when(counted, F.col("term")))).alias("shared"))
 
 
-def fielded_scores(terms: DataFrame, docs: DataFrame, weights: dict[str, float],
+def build_fielded_index(docs: DataFrame, fields: list[str], tokenizer: Callable[[Column], Column] = tokens,
+                        vocabulary: DataFrame | None = None, small_vocabulary: bool = False) -> FieldedIndex:
+    """Postings of `docs(id, <fields>)`; `vocabulary(term)` keeps only terms some query asks for."""
+    def item(t: Column, field: int) -> Column:
+        return F.struct(t.alias("t"), F.lit(field).alias("f"))
+
+    def of_field(name: str, field: int) -> Column:
+        return F.transform(F.coalesce(tokenizer(F.col(name)), empty()), lambda t: item(t, field))
+
+    each = [of_field(name, i) for i, name in enumerate(fields)]
+    rows = docs.filter(F.col("id").isNotNull()).select("id", F.concat(*each).alias("_all"))
+    rows = rows.select("id", F.size("_all").alias("len"), "_all")
+    rows = rows.select("id", "len", F.explode(F.concat("_all", F.array(item(F.lit(""), -1)))).alias("e"))
+    rows = rows.select("id", "len", F.coalesce("e.t", F.lit("")).alias("term"), F.col("e.f").alias("f"))
+    if vocabulary is not None:
+        wanted = vocabulary.select("term").union(vocabulary.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+        rows = rows.join(hint(wanted, small_vocabulary), "term", "left_semi")
+    return FieldedIndex(rows.groupBy("id", "term").agg(
+        F.array(*[F.count_if(F.col("f") == i) for i in range(len(fields))]).alias("tfs"), F.max("len").alias("len")))
+
+
+def fielded_scores(terms: DataFrame, docs: DataFrame | FieldedIndex, weights: dict[str, float],
                    tokenizer: Callable[[Column], Column] = tokens, k1: float = K1, b: float = B,
                    small_terms: bool = False) -> DataFrame:
-    """BM25 over weighted fields (the formula of full-text indexes with column weights).
+    """BM25 over weighted fields (the formula of full-text indexes with column weights), of
+    documents or of an index whose fields are those of `weights` in this order.
 
     A term's frequency is the weighted sum over the fields; the length counts all tokens;
     the inverse frequency is ln((N-n+0.5)/(n+0.5)), at least 1e-6.
     """
-    def weighted_field(name: str, w: float) -> Column:
-        return F.transform(F.coalesce(tokenizer(F.col(name)), empty()),
-                           lambda t: F.struct(t.alias("t"), F.lit(float(w)).alias("w")))
-
-    fields = [weighted_field(name, w) for name, w in weights.items()]
-    rows = docs.filter(F.col("id").isNotNull()).select("id", F.concat(*fields).alias("_all"))
-    rows = rows.select("id", F.size("_all").alias("len"), "_all")
-    rows = rows.select("id", "len", F.explode(F.concat(
-        "_all", F.array(F.struct(F.lit("").alias("t"), F.lit(0.0).alias("w"))))).alias("e"))
-    rows = rows.select("id", "len", F.coalesce("e.t", F.lit("")).alias("term"), F.col("e.w").alias("w"))
-    wanted = terms.select("term").union(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    postings = keep(rows.join(hint(wanted, small_terms), "term", "left_semi")
-                    .groupBy("id", "term").agg(F.sum("w").alias("wtf"), F.max("len").alias("len")))
+    index = docs if isinstance(docs, FieldedIndex) else build_fielded_index(docs, list(weights), tokenizer, terms, small_terms)
+    sums = sum((F.col("tfs")[i] * F.lit(float(w)) for i, w in enumerate(weights.values())), F.lit(0.0))
+    postings = keep(index.postings.select("id", "term", sums.alias("wtf"), "len"))
     stats = postings.groupBy("term").agg(F.count("id").alias("df"))
     totals = postings.filter(F.col("term") == "").agg(F.struct(
         F.count("id").cast("double").alias("n"), F.avg("len").alias("avg_len"))).scalar()
