@@ -8,6 +8,7 @@ from ..functions import cards as cf, wordlists as wl
 from ..functions.paths import action_terms, files_from_arguments
 from ..functions.text import arr, card_key, norm_key, normalize_domain, strip
 from ..operators.joins import join_null_safe
+from ..operators.probes import rarest
 from ..operators.ranking import top_per_group
 from ..operators.running import running
 from ..operators.setjoin import containment, max_containment
@@ -301,13 +302,15 @@ def needle_hits(calls: DataFrame, card_needles: DataFrame, keys: list[str]) -> D
     """`keys..., call_id, id, needle, pos` where a call's `arguments` mention a needle.
 
     Substring search as equi-joins: a plain identifier must equal a whole identifier of the
-    arguments; a compound needle is found by the three characters around its first
-    separator and then checked in full.
+    arguments; a compound needle is found by the three characters around that separator of
+    it which the fewest needles share, and then checked in full.
     """
     sep = "[./#-]"
-    n = card_needles.withColumn("compound", F.col("needle").rlike(sep))
-    around = F.regexp_extract("needle", f"(.{sep}.)", 1)
-    n = n.withColumn("probe", F.when(F.col("compound"), around).otherwise(F.col("needle")))
+    around = F.regexp_extract_all("needle", F.lit(f"(?=(.{sep}.))"), F.lit(1))
+    each = card_needles.select("needle").distinct().withColumn("compound", F.col("needle").rlike(sep))
+    each = each.withColumn("probes", F.when(F.col("compound"), around).otherwise(F.array("needle")))
+    shared = each.select(F.explode(F.array_distinct("probes")).alias("probe")).groupBy("probe").agg(F.count(F.lit(1)).alias("n"))
+    n = card_needles.join(rarest(each, ["needle", "compound"], "probes", shared), "needle")
     plain = F.array_distinct(F.regexp_extract_all("arguments", F.lit("([A-Za-z0-9_$]+)"), F.lit(1)))
     windows = F.array_distinct(F.regexp_extract_all("arguments", F.lit(f"(?=(.{sep}.))"), F.lit(1)))
     probes = calls.select(*keys, "call_id", F.explode(F.concat(

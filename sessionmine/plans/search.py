@@ -9,7 +9,8 @@ from ..functions.text import (empty, arr, clip_head, compact_entry, compact_rule
                               tokens)
 from ..functions.redaction import sanitize
 from ..functions.versions import applies_to, compatible
-from ..operators.index import MAX_FACETS, Index, build_index, fielded_scores, query_terms, recency_factor, score_pairs
+from ..operators.index import MAX_FACETS, FieldedIndex, Index, build_index, fielded_scores, query_terms, recency_factor, score_pairs
+from ..operators.probes import grams, rarest, word_grams
 from ..operators.ranking import top_per_group
 from ..operators.sizes import hint, keep, texts_are_small
 from ..operators.topk import MAX_PAIRS, reachable_pairs, rows_to_join
@@ -162,8 +163,8 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 5, gate: int | None = N
     return out.unionByName(rows)
 
 
-def search_fielded(queries: DataFrame, cards: DataFrame, weights: dict[str, float], k: int = 5) -> DataFrame:
-    """Top k by field-weighted BM25."""
+def search_fielded(queries: DataFrame, cards: DataFrame | FieldedIndex, weights: dict[str, float], k: int = 5) -> DataFrame:
+    """Top k by field-weighted BM25, of documents or of a stored index of the same fields."""
     terms = query_terms(queries.select("query_id", F.array("text").alias("facets")))
     small = texts_are_small(queries)
     scored = fielded_scores(terms, cards, weights, small_terms=small)
@@ -307,13 +308,12 @@ def facets(queries: DataFrame, docs: DataFrame, cap: int = MAX_FACETS) -> DataFr
     """`query_id, ..., facets ARRAY<STRING>`: the query, its clauses, topic words it names
     and parts of the paths in `extras`, distinct, at most `cap`."""
     vocab = topic_vocabulary(docs).withColumn("low", F.lower("word"))
-    # Substring search as an equi-join: a word can only be inside a query that has the
-    # word's first two characters next to each other.
+    # Substring search as an equi-join: of a word's grams the one that is in the fewest queries.
     q = queries.select("query_id", F.lower("text").alias("low_text"))
-    grams = q.filter(F.length("low_text") >= 2).select("query_id", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("low_text") - 1),
-        lambda i: F.substring(F.col("low_text"), i, F.lit(2))))).alias("g"))
-    named = (grams.join(vocab.withColumn("g", F.substring("low", 1, 2)), "g").join(q, "query_id")
+    probes = keep(q.select("query_id", F.explode(grams(F.col("low_text"))).alias("probe")))
+    counts = probes.groupBy("probe").agg(F.count(F.lit(1)).alias("n"))
+    wanted = rarest(vocab.withColumn("grams", word_grams(F.col("low"))), ["word", "low", "first_seen"], "grams", counts)
+    named = (probes.join(wanted, "probe").join(q, "query_id")
              .filter(F.contains("low_text", "low")).select("query_id", "word", "first_seen"))
     firsts = top_per_group(named, ["query_id"], [F.col("first_seen"), F.col("word")], cap, salt_by=["word"])
     listed = firsts.groupBy("query_id").agg(
