@@ -263,15 +263,35 @@ def context_matches(sessions: DataFrame, failures: DataFrame) -> DataFrame:
     `sessions(session_id, tools, context)`: two equi-joins instead of a condition over
     all pairs.
     """
-    by_tool = (sessions.select("session_id", F.explode(F.array_distinct("tools")).alias("tool"))
-               .join(failures.select("fingerprint", "tool").filter(F.col("tool").isNotNull()), "tool")
-               .select("session_id", "fingerprint"))
+    return tool_matches(sessions, failures).unionByName(word_matches(sessions, failures)).distinct()
+
+
+def tool_matches(sessions: DataFrame, failures: DataFrame) -> DataFrame:
+    """`session_id, fingerprint` where the session used the failure's tool."""
+    return (sessions.select("session_id", F.explode(F.array_distinct("tools")).alias("tool"))
+            .join(failures.select("fingerprint", "tool").filter(F.col("tool").isNotNull()), "tool")
+            .select("session_id", "fingerprint"))
+
+
+def word_matches(sessions: DataFrame, failures: DataFrame) -> DataFrame:
+    """`session_id, fingerprint` with at least two words in common."""
     text = F.concat_ws(" ", ef.trigger("trigger", "tool", _opt(failures, "error_name"), "template"), F.coalesce("remedy", F.lit("")))
     words = failures.select("fingerprint", F.explode(F.array_distinct(tokens(text))).alias("tok"))
     said = sessions.select("session_id", F.explode(F.array_distinct(tokens("context"))).alias("tok"))
-    by_words = (said.join(words, "tok").groupBy("session_id", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
-                .filter(F.col("n") >= 2).select("session_id", "fingerprint"))
-    return by_tool.unionByName(by_words).distinct()
+    return (said.join(words, "tok").groupBy("session_id", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") >= 2).select("session_id", "fingerprint"))
+
+
+def tool_heads(failures: DataFrame, score: str, k: int) -> DataFrame:
+    """The k first failures of each tool (and stack) by `score`.
+
+    Sessions want the best of all failures of their tools, so what lies behind the head is
+    never met with sessions: one tool with most failures costs k rows a session, for each of
+    its different stacks.
+    """
+    keyed = failures.withColumn("_stack", F.to_json("stack") if "stack" in failures.columns else F.lit(None).cast("string"))
+    order = [F.col(score).desc(), F.col("fingerprint")]
+    return top_per_group(keyed.filter(F.col("tool").isNotNull()), ["tool", "_stack"], order, k, salt_by=["fingerprint"]).drop("_stack", "rank")
 
 
 def _opt(df: DataFrame, name: str) -> Column:
@@ -280,7 +300,8 @@ def _opt(df: DataFrame, name: str) -> Column:
 
 def advice(sessions: DataFrame, failures: DataFrame, now, hits: DataFrame | None = None,
            forgiven: DataFrame | None = None, limit: int = 3, budget: int = 5, warn: int = 2) -> DataFrame:
-    """Warnings and lessons per session: `session_id, fingerprint, kind, score, rank, line`.
+    """Warnings and lessons per session: `session_id, fingerprint, kind, score, rank, line`;
+    `failures` has a row for each fingerprint.
 
     `sessions(session_id, tools, context[, delivered, stack])`; `hits(session_id,
     fingerprint)` are failures seen in the session.  A session without any tool call sees
@@ -292,16 +313,18 @@ def advice(sessions: DataFrame, failures: DataFrame, now, hits: DataFrame | None
     scored = failures.withColumn("base", F.col("occurrences") * 10 + age)
     open_ = scored.filter(should_warn(warn))
     sessions = keep(sessions)
-    pairs = keep(context_matches(sessions, scored))
+    by_words = keep(word_matches(sessions, scored))
+    forgiven_most = 0
+    if forgiven is not None:
+        forgiven_most = forgiven.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
+    first = limit + forgiven_most
     seen = hits.select("session_id", "fingerprint").distinct() if hits is not None else None
-    used = pairs.withColumn("hit", F.lit(False))
+    used = by_words.unionByName(tool_matches(sessions, tool_heads(open_, "base", first))).withColumn("hit", F.lit(False))
     if seen is not None:
         used = used.unionByName(seen.withColumn("hit", F.lit(True)))
     used = used.groupBy("session_id", "fingerprint").agg(F.max("hit").alias("hit"))
     idle = sessions.filter(F.size(arr("tools")) == 0).select("session_id")
-    spare = 0
-    if forgiven is not None:
-        spare = forgiven.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
+    spare = forgiven_most
     if seen is not None:
         spare += seen.join(idle, "session_id", "left_semi").groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
     if "stack" in sessions.columns and "stack" in failures.columns:
@@ -317,7 +340,10 @@ def advice(sessions: DataFrame, failures: DataFrame, now, hits: DataFrame | None
     small = is_small(failures.select("fingerprint"), 20_000)
     w = cand.join(hint(open_, small), "fingerprint").withColumn(
         "score", F.when(F.col("hit"), 1000).otherwise(0) + F.col("base")).withColumn("kind", F.lit("warning"))
-    lessons = pairs.join(hint(scored.filter((F.col("status") == "deprecated") & (F.col("remedy") != "")), small), "fingerprint")
+    taught = scored.filter((F.col("status") == "deprecated") & (F.col("remedy") != ""))
+    recent = taught.withColumn("_seen", F.unix_millis("last_seen"))
+    pairs = by_words.unionByName(tool_matches(sessions, tool_heads(recent, "_seen", first))).distinct()
+    lessons = pairs.join(hint(taught, small), "fingerprint")
     lessons = lessons.join(sessions.filter(F.size(tokens("context")) > 0).select("session_id"), "session_id", "left_semi")
     if forgiven is not None:
         lessons = lessons.join(forgiven.select("session_id", "fingerprint").distinct(), ["session_id", "fingerprint"], "left_anti")

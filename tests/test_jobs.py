@@ -416,3 +416,27 @@ def test_an_idle_session_gets_the_failures_of_its_stack(spark):
     for r in fl.advice(s, f, "2024-02-01", limit=3).orderBy("session_id", "rank").collect():
         got.setdefault(r.session_id, []).append(r.fingerprint)
     assert got == {"py": ["p0", "p1", "p2"], "none": ["j0", "j1", "j2"], "null": ["j0", "j1", "j2"]}
+
+
+def test_advice_on_a_log_with_one_tool(spark):
+    """Only the heads of the tool meet its sessions; the result is that of all pairs."""
+    stack = "struct<ecosystem:string,languages:array<string>,frameworks:array<string>,version_constraints:map<string,string>,versions:map<string,string>>"
+    langs = [["java"], ["python"], []]
+    rows = [(f"f{i:03d}", "bash", f"sym{i}", "do it" if i % 3 == 0 else "", "", (i * 37) % 90 + 3, "deprecated" if i % 3 == 0 else "validated",
+             1_700_000_000_000 + (i * 53) % 70, (None, langs[i % 5 % 3], None, None, None)) for i in range(300)]
+    f = spark.createDataFrame(rows, f"fingerprint string, tool string, symptom string, remedy string, template string, occurrences long, status string, ms long, stack {stack}")
+    f = f.withColumns({"relapses": F.lit(0), "in_episode": F.col("occurrences"), "trigger": F.lit("x"),
+                       "last_seen": F.timestamp_millis("ms"), "occurrences_at_resolve": F.lit(0)}).drop("ms")
+    s = spark.createDataFrame([(f"s{j:02d}", ["bash"], "some words here", (None, langs[j % 2], None, None, None)) for j in range(40)],
+                              f"session_id string, tools array<string>, context string, stack {stack}")
+    forgiven = spark.createDataFrame([(f"s{j:02d}", f"f{i:03d}") for j in range(0, 40, 2) for i in range(0, 300, 7)], "session_id string, fingerprint string")
+    got = {}
+    for r in fl.advice(s, f, "2024-02-01", forgiven=forgiven, limit=60).orderBy("session_id", "rank").collect():
+        got.setdefault(r.session_id, []).append((r.fingerprint, r.kind))
+    for j in range(40):
+        fits = [r for r in rows if not (r[8][1] and langs[j % 2][0] not in r[8][1]) and not (j % 2 == 0 and int(r[0][1:]) % 7 == 0)]
+        warned = sorted((r for r in fits if r[6] == "validated"), key=lambda r: (-r[5], r[0]))
+        lessons = sorted((r for r in fits if r[6] == "deprecated"), key=lambda r: (-r[7], r[0]))
+        assert got[f"s{j:02d}"] == [(r[0], "warning" if r[6] == "validated" else "lesson") for r in warned + lessons][:60]
+    heads = fl.tool_heads(f.withColumn("base", F.col("occurrences")), "base", 3)
+    assert fl.tool_matches(s, heads).count() == 40 * 3 * 3 and fl.tool_matches(s, f).count() == 40 * 300
