@@ -9,7 +9,7 @@ from ..functions.wordlists import END, START
 from ..operators.leak import leak_check
 from ..plans import mining as m, stack as st
 from ..sources import files as sf_
-from .common import table
+from .common import table, words_sql
 
 DIRS = ["src/service", "src/client", "test", "lib/domain", "config", "src/util"]
 EXTS = ["ts", "java", "py", "json", "md", "kt"]
@@ -124,7 +124,20 @@ def excerpts(spark, sf):
     """Lines around the first uses of the most called symbols."""
     out = m.mine_code(source_files(spark, sf), k=3)
     return out["observations"].join(out["excerpts"], ["repo", "symbol"]).select(
-        "repo", "symbol", "occurrences", "worth_modeling", F.length("excerpt").cast("long").alias("chars"))
+        "repo", "symbol", "occurrences", "worth_modeling", F.length("excerpt").cast("long").alias("chars"), F.sha1("excerpt").alias("digest"))
+
+
+EXCERPTS = f"""WITH {SITES}, g AS (SELECT repo, symbol, count(*) AS occurrences FROM cs GROUP BY 1, 2 HAVING count(*) >= 2),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY occurrences DESC, symbol) AS rk FROM g) WHERE rk <= 3),
+f AS (SELECT repo, path, {ROLE_SQL} AS role, string_split(content, chr(10)) AS ls FROM src),
+l AS (SELECT repo, path, role, len(ls) AS n_lines, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM f),
+h AS (SELECT c.repo, c.symbol, occurrences, path, role, greatest(0, no - 2) AS a, least(n_lines, no + 3) - greatest(0, no - 2) + 1 AS size,
+  row_number() OVER (PARTITION BY c.repo, c.symbol ORDER BY path, no) AS n FROM l JOIN c ON l.repo = c.repo AND contains(line, symbol || '(')),
+s AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY repo, symbol ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM h),
+e AS (SELECT s.repo, symbol, any_value(occurrences) AS occurrences,
+  substr(string_agg('// ' || s.role || chr(10) || array_to_string(ls[a + 1:a + size - 1], chr(10)), chr(10) ORDER BY n), 1, 4000) AS excerpt
+  FROM s JOIN f USING (repo, path) WHERE spent < 40 GROUP BY 1, 2)
+SELECT repo, symbol, occurrences, occurrences >= 2 AND len({words_sql('excerpt')}) >= 25 AS worth_modeling, length(excerpt) AS chars, sha1(excerpt) AS digest FROM e"""
 
 
 def paired_leaks(spark, sf):
@@ -171,5 +184,5 @@ SELECT CAST(r AS VARCHAR) AS repo, concat_ws(',', CASE WHEN js THEN 'javascript'
 QUERIES = {
     "call_sites": (call_sites, CALL_SITES), "symbol_clusters": (symbol_clusters, CLUSTERS), "code_roles": (code_roles, CODE_ROLES),
     "guard_lines": (guard_lines, GUARD_LINES), "scanned_files": (scanned_files, SCANNED), "changed_files": (changed_files, CHANGED),
-    "mined_cards": (mined_cards, MINED), "excerpts": (excerpts, None), "paired_leaks": (paired_leaks, PAIRED), "stacks": (stacks, STACKS),
+    "mined_cards": (mined_cards, MINED), "excerpts": (excerpts, EXCERPTS), "paired_leaks": (paired_leaks, PAIRED), "stacks": (stacks, STACKS),
 }
