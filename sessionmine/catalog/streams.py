@@ -251,6 +251,20 @@ def stream_prevention(spark, sf):
     return _stateful(spark, run).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("prevented"))
 
 
+# A warning points to what comes after it: the turn end that settles it, or the failure that
+# closes it; the warning that opens next stands behind that.
+PREVENTION = """WITH RECURSIVE e AS (SELECT user_id AS s, event_id AS seq, dayofyear(ts) AS turn, event_type AS kind,
+  'f' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 15 AS VARCHAR) AS fp FROM events WHERE event_type IN ('view', 'error', 'signup')),
+w AS (SELECT s, fp, seq, turn, (SELECT min(o.seq) FROM e o WHERE o.kind = 'error' AND o.s = v.s AND o.fp = v.fp AND o.seq > v.seq) AS closed,
+  (SELECT max_by(o.turn, o.seq) FROM e o WHERE o.kind = 'error' AND o.s = v.s AND o.fp = v.fp AND o.seq < v.seq) AS last,
+  (SELECT min(t.seq) FROM e t WHERE t.kind = 'signup' AND t.s = v.s AND t.seq > v.seq AND t.turn >= v.turn + 3) AS ended FROM e v WHERE kind = 'view'),
+x AS (SELECT *, ended IS NOT NULL AND (closed IS NULL OR ended < closed) AND coalesce(last, -1) < turn AS prevented FROM w),
+p AS (SELECT *, (SELECT min(n.seq) FROM e n WHERE n.kind = 'view' AND n.s = x.s AND n.fp = x.fp AND n.seq > CASE WHEN prevented THEN ended ELSE closed END) AS next FROM x),
+r AS (SELECT p.* FROM p JOIN (SELECT s, fp, min(seq) AS seq FROM p GROUP BY 1, 2) USING (s, fp, seq)
+  UNION ALL SELECT p.* FROM r JOIN p ON p.s = r.s AND p.fp = r.fp AND p.seq = r.next)
+SELECT fp AS fingerprint, count(*) AS prevented FROM r WHERE prevented GROUP BY 1"""
+
+
 def _reflection_rows(e: DataFrame) -> DataFrame:
     """Purchases as turn ends, errors as results; users share three libraries."""
     k = F.get_json_object("props", "$.k").cast("int")
@@ -351,7 +365,7 @@ QUERIES = {
     "logged_failures": (logged_failures, L_FAILURES), "stream_turns": (stream_turns, WHOLE_TURNS), "stream_warnings": (stream_warnings, WARNINGS),
     "stream_guard_alerts": (stream_guard_alerts, GUARDS), "stream_without_repeats": (stream_without_repeats, NO_REPEATS),
     "stream_turn_digests": (stream_turn_digests, DIGESTS), "stream_deliveries": (stream_deliveries, DELIVERIES),
-    "stream_prevention": (stream_prevention, None), "stream_reflection": (stream_reflection, _reflection_sql(False)),
+    "stream_prevention": (stream_prevention, PREVENTION), "stream_reflection": (stream_reflection, _reflection_sql(False)),
     "stream_shared_reflection": (stream_shared_reflection, _reflection_sql(True)), "library_counters": (library_counters, COUNTERS),
     "run_metrics": (run_metrics, RUN_METRICS),
 }
