@@ -46,8 +46,7 @@ CALL_SITES = f"WITH {SITES} SELECT repo, symbol, arity, count(*) AS n FROM cs GR
 def symbol_clusters(spark, sf):
     """The five most called symbols of each repository."""
     f = m.with_roles(source_files(spark, sf))
-    s = m.call_sites(f).join(f.select("repo", "path", "role"), ["repo", "path"])
-    c = m.cluster_symbols(s, 2, 5)
+    c = m.cluster_symbols(m.sites_with_roles(f), 2, 5)
     return c.select("repo", "symbol", "occurrences", "n_files", F.array_join("roles", ",").alias("roles"),
                     F.array_join(F.transform("arities", lambda a: a.cast("string")), ",").alias("arities"), "rank")
 
