@@ -189,9 +189,7 @@ def references(spark, sf):
     """First mention of every card in every session (all cards count as shown at the start)."""
     cards, calls = _needle_cards(spark, sf), _calls(spark, sf)
     n = pc.needles(cards)
-    hits = pc.needle_hits(calls.filter(~F.col("is_error")), n, ["session_id"])
-    shown = hits.select("session_id", "id", F.lit(-1).alias("seq")).distinct()
-    r = pc.references(shown, calls, n, pc.generic_needles(n))
+    r = pc.references(None, calls, n, pc.generic_needles(n))
     return r.select("session_id", F.col("id").alias("card_id"), "call_id", "needle")
 
 

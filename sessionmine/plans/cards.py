@@ -326,19 +326,28 @@ def needle_hits(calls: DataFrame, card_needles: DataFrame, keys: list[str]) -> D
     return sure.unionByName(check)
 
 
-def references(surfaced: DataFrame, calls: DataFrame, card_needles: DataFrame,
+def references(surfaced: DataFrame | None, calls: DataFrame, card_needles: DataFrame,
                generic: DataFrame | None = None) -> DataFrame:
     """First mention per (session, card) of a shown card in a later successful call.
 
     `surfaced(session_id, id, seq)`, `calls(session_id, call_id, seq, arguments, is_error)`.
+    Without `surfaced`, every card counts as shown before the first call: the needles are
+    looked for in all calls, and no table of sessions and cards is made.
     """
     usable = card_needles if generic is None else card_needles.join(generic.select("needle"), "needle", "left_anti")
+    good = calls.filter(~F.coalesce("is_error", F.lit(False)))
+    if surfaced is None:
+        found = needle_hits(good, usable.filter(F.col("id").isNotNull()), ["session_id"])
+        return _first_mentions(found.join(good.filter(F.col("seq").isNotNull()).select("session_id", "call_id", "seq"), ["session_id", "call_id"]))
     shown = surfaced.groupBy("session_id", "id").agg(F.min("seq").alias("shown_at"))
     mine = shown.join(usable, "id").select("session_id", "id", "pos", "needle")
-    good = calls.filter(~F.coalesce("is_error", F.lit(False)))
     hits = needle_hits(good, mine, ["session_id"])
     timed = (hits.join(good.select("session_id", "call_id", "seq"), ["session_id", "call_id"])
              .join(shown, ["session_id", "id"]).filter(F.col("seq") > F.col("shown_at")))
+    return _first_mentions(timed)
+
+
+def _first_mentions(timed: DataFrame) -> DataFrame:
     return timed.groupBy("session_id", "id").agg(F.min(F.struct("seq", "pos", "call_id", "needle")).alias("f")).select(
         "session_id", "id", "f.call_id", "f.seq", "f.needle")
 
