@@ -1,8 +1,11 @@
 """Steps whose rows must follow the input, not the pairs or parts of it."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from sessionmine.plans import mining as m
+from sessionmine.operators.index import build_index, query_terms, score_pairs
+from sessionmine.plans import cards as pc, mining as m
 
 
 def _shuffled(df):
@@ -47,3 +50,31 @@ def test_sites_of_a_name_that_comes_twice(spark):
     c = m.cluster_symbols(m.sites_with_roles(f), 2, 5).collect()
     assert [(r.repo, r.symbol, r.occurrences, r.n_files, r.arities, r.first_path) for r in c] == [
         ("r", "x.y", 5, 2, [0, 1, 2], "a.ts"), ("r", "z.w", 2, 1, [2], "a.ts")]
+
+
+def test_scores_are_summed_where_the_document_lies(spark):
+    """Only documents are shuffled: each of 40 has 30 of the words that 20 queries ask for."""
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i + j) % 50}" for j in range(30))) for i in range(40)], "id long, text string")
+    queries = spark.createDataFrame([(i, " ".join(f"word{(3 * i + j) % 50}" for j in range(20))) for i in range(20)], "query_id long, text string")
+    terms = query_terms(queries.select("query_id", F.array("text").alias("facets")))
+    index = build_index(docs, vocabulary=terms.select("term").distinct(), small_vocabulary=True)
+    pairs = score_pairs(terms, index, small_terms=True)
+    assert _shuffled(index.postings) < 40 + 20 * 20 + 100
+    assert not re.search(r"hashpartitioning\(query_id#\w+, id#", pairs._jdf.queryExecution().executedPlan().toString())
+    words = {r.id: set(r.text.split()) for r in docs.collect()}
+    asked = {r.query_id: set(r.text.split()) for r in queries.collect()}
+    got = {(r.query_id, r.id): r.matched for r in pairs.collect()}
+    assert got == {(q, d): len(a & w) for q, a in asked.items() for d, w in words.items() if a & w}
+
+
+def test_references_without_a_table_of_shown_cards(spark):
+    calls = spark.createDataFrame([("s", "1", 1, "usesAlpha(x)", False), ("s", "0", 0, "usesAlpha(y)", True), ("s", "2", 2, "usesAlpha and usesBeta", None),
+                                   ("t", "3", 3, "common usesBeta", False), ("t", "4", None, "usesAlpha", False)],
+                                  "session_id string, call_id string, seq int, arguments string, is_error boolean")
+    cards = [(1, 0, "usesAlpha"), (2, 0, "usesBeta"), (None, 0, "usesAlpha")] + [(i, 1, "common") for i in range(10, 40)]
+    n = spark.createDataFrame(cards, "id long, pos int, needle string")
+    generic = pc.generic_needles(n)
+    got = sorted((r.session_id, r.id, r.call_id, r.needle) for r in pc.references(None, calls, n, generic).collect())
+    assert got == [("s", 1, "1", "usesAlpha"), ("s", 2, "2", "usesBeta"), ("t", 2, "3", "usesBeta")]
+    shown = calls.select("session_id").distinct().crossJoin(n.select("id").distinct()).withColumn("seq", F.lit(-1))
+    assert got == sorted((r.session_id, r.id, r.call_id, r.needle) for r in pc.references(shown, calls, n, generic).collect())
