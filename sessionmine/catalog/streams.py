@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import errors as ef
 from ..operators.shared import shared_folder
+from ..operators.sizes import spread
 from ..plans import search
 from ..plans.failures import MAX_SESSIONS, fingerprinted
 from ..schemas import EVENTS
@@ -82,7 +83,7 @@ def stream_failures(spark, sf):
         return fingerprinted(_as_messages(rows, "event_type").select("*", kind).drop("event_type"))
 
     for i, part in enumerate((events.filter(day <= 10), events.filter((day > 10) & (day <= 20)), events.filter(day > 20))):
-        part.write.mode("append").parquet(f"{d}/in")
+        spread(part, "event_id").write.mode("append").parquet(f"{d}/in")
         rows = observed(spark.readStream.schema(SCHEMA).parquet(f"{d}/in"))
         tables.change_table(rows, table, merge, f"{d}/cp", "events").trigger(availableNow=True).start().awaitTermination()
     if table.change(observed(part), i, merge, "events"):

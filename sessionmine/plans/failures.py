@@ -39,7 +39,10 @@ def fingerprinted(rows: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Add `template, fingerprint, symptom, guard, trigger` to rows with a `message`."""
     have = set(rows.columns)
     col = lambda n: F.col(n) if n in have else F.lit(None).cast("string")
-    t = rows.withColumn("template", ef.error_template("message", max_chars)).filter(F.col("template") != "")
+    # A generator gives the template out, since a filter on a plain column would go below the
+    # step that spreads the rows, and run all patterns there as well.
+    t = rows.drop("template").select("*", F.explode_outer(F.array(ef.error_template("message", max_chars))).alias("template"))
+    t = t.filter(F.col("template") != "")
     return t.withColumns({
         "fingerprint": ef.fingerprint(col("tool"), col("error_name"), col("error_code"), "template"),
         "symptom": ef.symptom("message"),
