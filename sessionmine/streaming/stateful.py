@@ -25,6 +25,43 @@ def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(parts).sort_values("seq", kind="stable") if parts else pd.DataFrame()
 
 
+class Held:
+    """A map state during one batch of a session: a key is read from the store once, and what
+    has changed is written back once (`save`), however many rows touch it."""
+
+    def __init__(self, state):
+        self.state, self.rows, self.changed, self.whole = state, {}, set(), False
+
+    def get(self, key: tuple) -> tuple | None:
+        if key not in self.rows:
+            known = not self.whole and self.state.containsKey(key)
+            self.rows[key] = tuple(self.state.getValue(key)) if known else None
+        return self.rows[key]
+
+    def put(self, key: tuple, value: tuple | None) -> None:
+        """None removes the key."""
+        self.rows[key] = value
+        self.changed.add(key)
+
+    def items(self) -> list[tuple[tuple, tuple]]:
+        if not self.whole:
+            for key, value in self.state.iterator():
+                self.rows.setdefault(tuple(key), tuple(value))
+            self.whole = True
+        return [(k, v) for k, v in self.rows.items() if v is not None]
+
+    def clear(self) -> None:
+        self.state.clear()
+        self.rows, self.changed, self.whole = {}, set(), True
+
+    def save(self) -> None:
+        for key in self.changed:
+            if self.rows[key] is not None:
+                self.state.updateValue(key, self.rows[key])
+            elif self.state.containsKey(key):
+                self.state.removeKey(key)
+
+
 class PerSession(StatefulProcessor):
     idle_ms = 24 * 3600 * 1000
 
@@ -125,44 +162,47 @@ class RepeatSuppressor(PerSession):
         if self.ttl_ms is not None and len(frame):
             a, b = self._sweep(int(frame["ts"].min().timestamp() * 1000))
             n_sent, n_advised = n_sent - a, n_advised - b
+        items, sent, advised = held = [Held(s) for s in (self.items, self.sent, self.advised)]
         for r in frame.itertuples(index=False):
             gone = r.kind == "session/disposed"
             if gone:
-                for state in self.states():
+                for state in [*held, self.count]:
                     state.clear()
                 n_sent, n_advised, first, last_turn, consulted = 0, 0, 0, None, False
             elif r.kind == "compaction":
-                self.items.clear()
+                items.clear()
             elif r.kind == "consulted":
                 consulted = True
             elif r.kind == "repeat":
-                if self.sent.containsKey((r.item_id,)):
-                    self.sent.updateValue((r.item_id,), (True, self._ms(r)))
+                if sent.get((r.item_id,)) is not None:
+                    sent.put((r.item_id,), (True, self._ms(r)))
             elif r.kind == "once":
-                known = self.sent.getValue((r.item_id,)) if self.sent.containsKey((r.item_id,)) else None
+                known = sent.get((r.item_id,))
                 if (known is not None and not known[0]) or (self.budget > 0 and n_sent >= self.budget):
                     continue
                 n_sent += known is None  # the budget counts different warnings
-                self.sent.updateValue((r.item_id,), (False, self._ms(r)))
+                sent.put((r.item_id,), (False, self._ms(r)))
                 out.append((key[0], r.seq, int(r.turn), r.item_id, "once" if known is None else "again"))
             elif r.kind in ("advisory", "first_contact"):
                 opening = r.kind == "first_contact"
                 if ((opening and (consulted or first >= self.first_contacts)) or n_advised >= self.advisories
-                        or last_turn == r.turn or self.advised.containsKey((r.item_id,))):
+                        or last_turn == r.turn or advised.get((r.item_id,)) is not None):
                     continue
                 n_advised, first, last_turn = n_advised + 1, first + opening, int(r.turn)
-                self.advised.updateValue((r.item_id,), (self._ms(r),))
+                advised.put((r.item_id,), (self._ms(r),))
                 out.append((key[0], r.seq, int(r.turn), r.item_id, r.kind))
             else:
                 k = (r.item_id,)
-                old = self.items.getValue(k) if self.items.containsKey(k) else None
+                old = items.get(k)
                 full = (old is None or old[0] != r.content_hash or old[1] == r.turn
                         or (self.every > 0 and r.turn - old[1] >= self.every))
-                self.items.updateValue(k, (r.content_hash, int(r.turn) if full else old[1], self._ms(r)))
+                items.put(k, (r.content_hash, int(r.turn) if full else old[1], self._ms(r)))
                 out.append((key[0], r.seq, int(r.turn), r.item_id, "full" if full else "pointer"))
         if gone:
             self.forget()
         else:
+            for state in held:
+                state.save()
             self.count.update((n_sent, n_advised, first, last_turn, consulted))
         yield pd.DataFrame(out, columns=self.columns)
 
@@ -249,24 +289,25 @@ class PreventionSettler(PerSession):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        for r in self.take(rows).itertuples(index=False):
+        frame = self.take(rows)
+        opened, seen = Held(self.open), Held(self.seen)
+        for r in frame.itertuples(index=False):
             k = (r.fingerprint,)
             if r.kind == "warning":
-                if not self.open.containsKey(k):
-                    self.open.updateValue(k, (int(r.turn),))
+                if opened.get(k) is None:
+                    opened.put(k, (int(r.turn),))
             elif r.kind == "observe":
-                self.seen.updateValue(k, (int(r.turn),))
-                if self.open.containsKey(k):
-                    self.open.removeKey(k)
+                seen.put(k, (int(r.turn),))
+                if opened.get(k) is not None:
+                    opened.put(k, None)
             else:
-                due = []
-                for (fp,), (turn,) in self.open.iterator():
-                    last = self.seen.getValue((fp,))[0] if self.seen.containsKey((fp,)) else -1
+                for (fp,), (turn,) in opened.items():
+                    last = (seen.get((fp,)) or (-1,))[0]
                     if last < turn and r.turn - turn >= self.window:
-                        due.append((fp, turn))
-                for fp, turn in due:
-                    self.open.removeKey((fp,))
-                    out.append((key[0], fp, int(turn), int(r.turn)))
+                        opened.put((fp,), None)
+                        out.append((key[0], fp, int(turn), int(r.turn)))
+        opened.save()
+        seen.save()
         yield pd.DataFrame(out, columns=self.columns)
 
 
