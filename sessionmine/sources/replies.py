@@ -27,8 +27,11 @@ def _variant_list(v: Column, path: str) -> Column:
 
 def ingest_model_output(replies: DataFrame, stacks: DataFrame | None = None) -> dict[str, DataFrame]:
     """`replies(session_id, text)` to episodes, facts, cards, corrections and rejects."""
-    cut = F.regexp_extract("text", r"(\{[\s\S]*\})", 1)
-    r = replies.withColumn("v", F.when(cut != "", F.try_parse_json(cut)))
+    # Generators give the object and its parsed form out, so that a reply is cut and parsed once;
+    # a filter on plain columns would do it again for itself.
+    r = replies.drop("v").select("*", F.explode_outer(F.array(F.regexp_extract("text", r"(?s)(\{.*\})", 1))).alias("_cut"))
+    cut = F.col("_cut")
+    r = r.select("*", F.explode_outer(F.array(F.when(cut != "", F.try_parse_json(cut)))).alias("v"))
     rejects = r.filter(F.col("v").isNull()).select("session_id", F.when(cut == "", "no_object").otherwise("not_json").alias("reason"))
     ok = r.filter(F.col("v").isNotNull())
     get = lambda base, p: F.try_variant_get(base, p, "variant")
@@ -43,18 +46,19 @@ def ingest_model_output(replies: DataFrame, stacks: DataFrame | None = None) ->
         redact_all(F.transform(_texts(_variant_list(v, "$.tags"), 8, 48), F.lower)).alias("tags"), F.lit("model").alias("source"))
 
     def listed(name: str) -> DataFrame:
-        return ok.select("session_id", F.posexplode(_variant_list(v, f"$.{name}")).alias("pos", "e"))
+        return ok.select("session_id", F.posexplode_outer(_variant_list(v, f"$.{name}")).alias("pos", "e")).filter(F.col("pos").isNotNull())
 
     e = F.col("e")
     kind = _text(get(e, "$.kind"))
     facts = listed("facts").select(
         "session_id", "pos", F.when(kind.isin(wl.FACT_KINDS), kind).otherwise("fact").alias("kind"),
-        redact(clip_head(_text(get(e, "$.text")), 400)).alias("text")).filter(F.col("text") != "")
-    facts = _first(facts, 20)
+        clip_head(_text(get(e, "$.text")), 400).alias("text")).filter(F.col("text") != "")
+    facts = _first(facts, 20).withColumn("text", redact("text"))  # a text never turns empty, so only those kept need it
     fixes = listed("corrections").select("session_id", "pos", *[
-        redact(clip_head(_text(get(e, f"$.{n}")), size)).alias(out) for n, size, out in (
+        clip_head(_text(get(e, f"$.{n}")), size).alias(out) for n, size, out in (
             ("trigger", 200, "trigger"), ("wrong", 240, "wrong"), ("correctApproach", 300, "correct_approach"))])
-    fixes = _first(fixes.filter((F.col("trigger") != "") & (F.col("wrong") != "") & (F.col("correct_approach") != "")), 3)
+    fixes = _first(fixes.filter((F.col("trigger") != "") & (F.col("wrong") != "") & (F.col("correct_approach") != "")), 3).withColumns(
+        {c: redact(c) for c in ("trigger", "wrong", "correct_approach")})
     return {"episodes": episodes, "facts": facts, "corrections": fixes, "cards": _cards(listed("techniques"), stacks), "rejects": rejects}
 
 

@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 
 from sessionmine.plans import failures as fl
+from sessionmine.sources import replies
 from sessionmine.streaming.stateful import PreventionSettler, RepeatSuppressor
 
 
@@ -22,6 +23,20 @@ def test_templates_are_made_once_after_rows_are_spread(spark):
     assert fl.fingerprinted(got.drop("fingerprint")).count() == 8  # a template that is there is replaced
 
 
+def test_replies_are_cut_and_parsed_once(spark):
+    """Each filter cut and parsed the reply again for itself."""
+    secret = "password=" + "hunter2secret"
+    d = spark.createDataFrame([("a", 'x {"title": "T", "facts": [{"text": "one"}, null, {"text": " "}, {"text": "' + secret + '"}]} y'), ("b", "{no\n}"), ("c", "none"), ("d", None)],
+                              "session_id string, text string")
+    got = replies.ingest_model_output(d)
+    for name in ("rejects", "facts", "episodes"):
+        plan = _plan(got[name])
+        assert plan.count("regexp_extract(text") == 1 and plan.lower().count("parsejson") <= 1, name
+    assert {tuple(r) for r in got["rejects"].collect()} == {("b", "not_json"), ("c", "no_object"), ("d", "not_json")}
+    facts = [r.text for r in got["facts"].collect()]
+    assert len(facts) == 2 and "one" in facts and not any("hunter2" in t for t in facts)
+
+
 class _State:
     def __init__(self, calls):
         self.calls, self.rows, self.value = calls, {}, None
