@@ -22,7 +22,10 @@ PREVENT_OUT = "session_id STRING, fingerprint STRING, warned_turn INT, settled_t
 def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """The rows of one session in one micro-batch, by sequence number."""
     parts = list(batches)
-    return pd.concat(parts).sort_values("seq", kind="stable") if parts else pd.DataFrame()
+    if not parts:
+        return pd.DataFrame()
+    frame = parts[0] if len(parts) == 1 else pd.concat(parts)
+    return frame if frame["seq"].is_monotonic_increasing else frame.sort_values("seq", kind="stable")
 
 
 class Held:
@@ -74,7 +77,7 @@ class PerSession(StatefulProcessor):
         frame = _ordered(rows)
         if len(frame):
             latest = int(frame["ts"].max().timestamp() * 1000)
-            before = self.last.get()[0] if self.last.exists() else None
+            before = (self.last.get() or (None,))[0]
             if before is None or latest > before:
                 if before is not None:
                     self.handle.deleteTimer(before + self.idle_ms)
@@ -98,12 +101,13 @@ class PerSession(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = []
-        last = self.last.get()[0] if self.last.exists() else 0
+        last = (self.last.get() or (0,))[0]
         if expiredTimerInfo.getExpiryTimeInMs() >= last + self.idle_ms:
             out = self.on_idle(key)
             for state in [*self.states(), self.last]:
                 state.clear()
-        yield pd.DataFrame(out, columns=self.columns)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
         pass
@@ -235,17 +239,20 @@ class ReflectTrigger(PerSession):
         return [self.state]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh, signal, correction, ground, empty = self.state.get() if self.state.exists() else (0, False, False, False, 0)
+        fresh, signal, correction, ground, empty = self.state.get() or (0, False, False, False, 0)
         out = []
-        for r in self.take(rows).itertuples(index=False):
-            if r.kind == "result":
-                empty = 0 if r.created > 0 else empty + 1
-            if r.kind != "turn_end":
+        frame = self.take(rows)
+        # Columns and not `itertuples`, which makes a class of its own for every session.
+        names = ["kind", "created", "turn", "signal", "correction", "novelty", "new_ground", "empty_streak" if self.shared else "created"]
+        for kind, created, turn, signals, corrects, novelty, grounds, streak in zip(*[frame[c].tolist() for c in names] if len(frame) else []):
+            if kind == "result":
+                empty = 0 if created > 0 else empty + 1
+            if kind != "turn_end":
                 continue
             if self.shared:
-                empty = int(r.empty_streak)
-            fresh, signal = fresh + 1, bool(signal or r.signal)
-            correction, ground = bool(correction or r.correction), bool(ground or r.new_ground)
+                empty = int(streak)
+            fresh, signal = fresh + 1, bool(signal or signals)
+            correction, ground = bool(correction or corrects), bool(ground or grounds)
             if fresh < self.min_turns:
                 reason = "few_turns"
             elif not (signal or correction):
@@ -257,9 +264,9 @@ class ReflectTrigger(PerSession):
             elif ground:
                 reason = "new_ground"
             else:
-                reason = "novel" if r.novelty >= self.threshold else "not_novel"
+                reason = "novel" if novelty >= self.threshold else "not_novel"
             reflect = reason in ("correction", "new_ground", "novel")
-            out.append((key[0], int(r.turn), fresh, reflect, reason))
+            out.append((key[0], int(turn), fresh, reflect, reason))
             if reflect:
                 fresh, signal, correction, ground = 0, False, False, False
         self.state.update((fresh, signal, correction, ground, empty))

@@ -5,7 +5,7 @@ import pytest
 
 from sessionmine.plans import failures as fl
 from sessionmine.sources import replies
-from sessionmine.streaming.stateful import PreventionSettler, RepeatSuppressor
+from sessionmine.streaming.stateful import PreventionSettler, ReflectTrigger, RepeatSuppressor
 
 
 def _plan(df):
@@ -90,3 +90,18 @@ def test_a_batch_reads_the_state_once_for_each_key(make, kinds):
     assert one_by_one == parts == whole and len(whole) > 5
     plain = rows[~rows["kind"].isin(["compaction", "session/disposed"])]
     assert _given(make(), [plain])[1] < 60
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_a_reflection_batch_reads_and_writes_each_state_once(shared):
+    """Every read asked first whether there was something: six calls a batch."""
+    n = 60
+    rows = pd.DataFrame({"seq": range(n), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(range(n), "min"), "turn": range(n),
+                         "kind": [["turn_end", "result", "turn_end", "skipped"][i * i % 7 % 4] for i in range(n)], "signal": [i % 3 == 0 for i in range(n)],
+                         "correction": [i % 11 == 5 for i in range(n)], "novelty": [i % 9 / 10 for i in range(n)], "new_ground": [i % 13 == 6 for i in range(n)],
+                         "created": [i % 4 // 3 for i in range(n)], "empty_streak": [i % 5 for i in range(n)]})
+    make = lambda: ReflectTrigger(3, 0.15, 2, shared)
+    whole, calls = _given(make(), [rows.iloc[::-1]])
+    parts, more = _given(make(), [rows.iloc[i:i + 15] for i in range(0, n, 15)])
+    assert whole == parts == _given(make(), [rows.iloc[i:i + 1] for i in range(n)])[0] and len({r[4] for r in whole}) > 4
+    assert calls <= 4 and more <= 4 * 4
