@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import wordlists as wl
 from ..functions.text import empty, tokens
@@ -14,6 +14,7 @@ from .sizes import hint, keep
 K1, B = 1.2, 0.75
 MAX_FACETS = 8
 BUCKETS = 256
+MAX_BITS = 1024
 
 
 @dataclass
@@ -162,10 +163,11 @@ def term_weights(terms: DataFrame, index: Index) -> DataFrame:
 
 
 def score_pairs(terms: DataFrame, index: Index, n_facets: int = 1, k1: float = K1, b: float = B,
-                small_terms: bool = False) -> DataFrame:
+                small_terms: bool = False, n_bits: int | None = None) -> DataFrame:
     """BM25 score per facet and gate counts for each (query, document) that share a term.
 
-    Returns `query_id, id, ts, boost, scores ARRAY<DOUBLE>, matched, strong, generic, shared`.
+    Returns `query_id, id, ts, boost, scores ARRAY<DOUBLE>, matched, strong, generic, shared`;
+    `terms` with a number `no` (see `with_shared`) give `bits` of `n_bits` longs for `shared`.
     """
     weighted = term_weights(terms, index)
     tf = F.col("tf")
@@ -175,6 +177,11 @@ def score_pairs(terms: DataFrame, index: Index, n_facets: int = 1, k1: float = K
               .withColumn("part", part)
               .withColumn("judged", (F.col("mask").bitwiseAND(1) != 0)))
     counted = F.col("judged") & ~F.col("is_generic")
+    if n_bits is None:
+        shared = F.array_sort(F.collect_list(F.when(counted, F.col("term")))).alias("shared")
+    else:
+        shared = F.array(*[F.bit_or(F.when(F.floor(F.col("no") / 64) == i, F.expr("shiftleft(1L, cast(no % 64 as int))")).otherwise(F.lit(0).cast("long")))
+                           for i in range(n_bits)]).alias("bits")
     return joined.groupBy("query_id", "id").agg(
         F.max("ts").alias("ts"), F.max("boost").alias("boost"),
         # Rounded, since the order of a distributed sum may change the last bits and copies
@@ -183,8 +190,26 @@ def score_pairs(terms: DataFrame, index: Index, n_facets: int = 1, k1: float = K
                   for f in range(n_facets)]).alias("scores"),
         F.sum(counted.cast("int")).alias("matched"),
         F.sum((counted & ((F.col("strong") > 0) | F.col("is_identifier"))).cast("int")).alias("strong"),
-        F.sum((F.col("judged") & F.col("is_generic")).cast("int")).alias("generic"),
-        F.array_sort(F.collect_list(F.when(counted, F.col("term")))).alias("shared"))
+        F.sum((F.col("judged") & F.col("is_generic")).cast("int")).alias("generic"), shared)
+
+
+def with_shared(terms: DataFrame, index: Index, small_terms: bool = False) -> DataFrame:
+    """The rows of `score_pairs` (one facet) where all of them want their `shared` words.
+
+    A query's counted words are numbered and a pair sums up bits instead of a list of words,
+    which would be sorted by pair first; queries of more words than `MAX_BITS` are listed.
+    """
+    counted = (F.col("mask").bitwiseAND(1) != 0) & ~F.col("is_generic")
+    numbered = terms.withColumn("no", F.when(counted, F.row_number().over(Window.partitionBy("query_id", counted).orderBy("term")) - 1))
+    words = terms.filter(counted).groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("_words"))
+    n_bits = -(-(words.agg(F.max(F.size("_words"))).first()[0] or 1) // 64)
+    if 64 * n_bits > MAX_BITS:
+        return score_pairs(terms, index, small_terms=small_terms)
+    pairs = score_pairs(numbered, index, small_terms=small_terms, n_bits=n_bits)
+    own = words.withColumnRenamed("query_id", "_query")
+    pairs = pairs.join(hint(own, small_terms), F.col("query_id").eqNullSafe(F.col("_query")), "left")
+    shared = F.expr("filter(_words, (w, i) -> shiftright(bits[cast(i div 64 as int)], i % 64) & 1L = 1L)")
+    return pairs.withColumn("shared", F.coalesce(shared, empty())).drop("bits", "_query", "_words")
 
 
 def build_fielded_index(docs: DataFrame, fields: list[str], tokenizer: Callable[[Column], Column] = tokens,

@@ -9,7 +9,7 @@ from ..functions.text import (empty, arr, clip_head, compact_entry, compact_rule
                               tokens)
 from ..functions.redaction import sanitize
 from ..functions.versions import applies_to, compatible
-from ..operators.index import MAX_FACETS, FieldedIndex, Index, build_index, fielded_scores, query_terms, recency_factor, score_pairs
+from ..operators.index import MAX_FACETS, FieldedIndex, Index, build_index, fielded_scores, query_terms, recency_factor, score_pairs, with_shared
 from ..operators.probes import grams, rarest, word_grams
 from ..operators.ranking import top_per_group
 from ..operators.sizes import hint, keep, texts_are_small
@@ -148,7 +148,7 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 5, gate: int | None = N
         return scored if gate is None and not decisions else relevance_gate(scored, terms, gate or 0, min_score, small)
 
     if decisions:
-        return judged(score_pairs(terms, index, 1, small_terms=small)).select(
+        return judged(with_shared(terms, index, small)).select(
             "query_id", "id", "score", "matched", "strong", "generic", "shared", "kept")
     passed = (lambda pairs: judged(pairs).filter("kept")) if gate is not None else judged
     if rows_to_join(terms, index) <= max_pairs:

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from sessionmine.operators.index import build_index, query_terms, score_pairs
+from sessionmine.operators.index import build_index, query_terms, score_pairs, with_shared
 from sessionmine.plans import cards as pc, mining as m
 
 
@@ -78,3 +78,26 @@ def test_references_without_a_table_of_shown_cards(spark):
     assert got == [("s", 1, "1", "usesAlpha"), ("s", 2, "2", "usesBeta"), ("t", 2, "3", "usesBeta")]
     shown = calls.select("session_id").distinct().crossJoin(n.select("id").distinct()).withColumn("seq", F.lit(-1))
     assert got == sorted((r.session_id, r.id, r.call_id, r.needle) for r in pc.references(shown, calls, n, generic).collect())
+
+
+def test_shared_words_are_summed_as_bits(spark):
+    """A list per pair was sorted by pair first."""
+    many = [f"word{i:03d}" for i in range(150)]
+    docs = spark.createDataFrame([(i, " ".join(many[i:i + 90:1 + i % 2] + ["use"])) for i in range(60)], "id long, text string")
+    queries = spark.createDataFrame([(1, " ".join(many)), (2, "word070 word003 use"), (3, "use"), (None, "word099")], "query_id long, text string")
+    terms = query_terms(queries.select("query_id", F.array("text").alias("facets")), ["use"])
+    index = build_index(docs, vocabulary=terms.select("term").distinct(), small_vocabulary=True).keep()
+    got = with_shared(terms, index, True)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan and "collect_list(CASE" not in plan
+    columns = ["query_id", "id", "scores", "matched", "strong", "generic", "shared"]
+    rows = sorted(str(r) for r in score_pairs(terms, index, small_terms=True).select(columns).collect())
+    assert rows == sorted(str(r) for r in got.select(columns).collect())
+    assert {len(r.shared) for r in got.collect()} > {0, 1, 2, 90}
+
+
+def test_shared_words_of_a_long_query_are_listed(spark):
+    words = [f"w{i:04d}" for i in range(1100)]
+    docs = spark.createDataFrame([(0, " ".join(words))], "id long, text string")
+    terms = query_terms(docs.select(F.col("id").alias("query_id"), F.array("text").alias("facets")))
+    assert with_shared(terms, build_index(docs)).first()["shared"] == words
