@@ -13,7 +13,7 @@ from ..operators.index import MAX_FACETS, FieldedIndex, Index, build_index, fiel
 from ..operators.probes import grams, rarest, word_grams
 from ..operators.ranking import top_per_group
 from ..operators.sizes import hint, keep, texts_are_small
-from ..operators.topk import MAX_PAIRS, reachable_pairs, rows_to_join
+from ..operators.topk import MAX_PAIRS, SLACK, reachable_pairs, rows_to_join
 
 EPISODE_WEIGHT = 0.85
 
@@ -121,6 +121,26 @@ def _newest(docs: DataFrame, k: int, score: Column, order: list[Column]) -> Colu
         F.col("id"))))).scalar()
 
 
+#: A part of the documents this small tells a score that the k best of all reach at least.
+PART = 16
+
+
+def _best(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank", small: bool = False) -> DataFrame:
+    """The k best rows (`*keys, id, score`) of each key, `order` starting with the score.
+
+    For a small query batch the rows lie by document, and all of them would be sorted where
+    they lie. The k-th best score among a `PART`-th of the documents comes first; no lower one
+    can be among the k best, so only some `PART` x k rows of each key are sorted at all.
+    """
+    if not small:
+        return top_per_group(rows, keys, order, k, rank)
+    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(PART)) == 0)
+    kth = top_per_group(some.select(*keys, "id", "score", "ts"), keys, order, k, "_rank", salts=1).filter(F.col("_rank") == k)
+    bounds = kth.select(*keys, (F.col("score") * (1 - SLACK) - SLACK).alias("_bound"))
+    near = rows.join(hint(bounds, True), keys, "left").filter(F.col("score") >= F.coalesce("_bound", "score"))
+    return top_per_group(near.drop("_bound"), keys, order, k, rank, salts=1)
+
+
 # ---- jobs ---------------------------------------------------------------------
 
 def search(queries: DataFrame, docs: DataFrame, k: int = 5, gate: int | None = None, now=None,
@@ -151,12 +171,14 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 5, gate: int | None = N
         return judged(with_shared(terms, index, small)).select(
             "query_id", "id", "score", "matched", "strong", "generic", "shared", "kept")
     passed = (lambda pairs: judged(pairs).filter("kept")) if gate is not None else judged
-    if rows_to_join(terms, index) <= max_pairs:
+    bounded = rows_to_join(terms, index) > max_pairs
+    if not bounded:
         pairs = passed(score_pairs(terms, index, 1, small_terms=small))
     else:
         pairs = passed(reachable_pairs(terms, index, k, F.col("boost") * fresh, passed, small_terms=small))
-    hits = top_per_group(pairs.select("query_id", "id", "score", "ts"), ["query_id"],
-                         [F.col("score").desc(), *_order(docs)], k)
+    rows, order = pairs.select("query_id", "id", "score", "ts"), [F.col("score").desc(), *_order(docs)]
+    # Reachable pairs were held against a bound already.
+    hits = top_per_group(rows, ["query_id"], order, k) if bounded else _best(rows, ["query_id"], order, k, small=small)
     out = hits.select("query_id", "id", "score", "rank")
     blank = queries.filter(F.size(tokens(F.col("text"))) == 0)
     if empty == "deny" or blank.isEmpty():
@@ -256,8 +278,8 @@ def _search_facets(queries: DataFrame, docs: DataFrame, k: int, n_facets: int, b
     if min_score > 0:
         ranked = ranked.filter(F.col("score") >= min_score)
     depth = k if n_facets == 1 else max(k, 10)
-    per_facet = top_per_group(ranked.select("query_id", "facet_no", "id", "score", "ts"), ["query_id", "facet_no"],
-                              [F.col("score").desc(), *_order(docs)], depth, "facet_rank")
+    per_facet = _best(ranked.select("query_id", "facet_no", "id", "score", "ts"), ["query_id", "facet_no"],
+                      [F.col("score").desc(), *_order(docs)], depth, "facet_rank", small)
     merged = merge_round_robin(per_facet, k)
     # Queries without a word: everything counts the same, so the weight decides.
     blank = queries.filter(F.size(tokens(F.get("facets", F.lit(0)))) == 0).select("query_id")

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from sessionmine.operators.index import build_index, query_terms, score_pairs, with_shared
-from sessionmine.plans import cards as pc, mining as m
+from sessionmine.plans import cards as pc, mining as m, search as s
 
 
 def _shuffled(df):
@@ -80,6 +80,23 @@ def test_references_without_a_table_of_shown_cards(spark):
     assert got == sorted((r.session_id, r.id, r.call_id, r.needle) for r in pc.references(shown, calls, n, generic).collect())
 
 
+def test_hits_are_cut_where_the_document_lies(spark):
+    """Of each query's 600 hits only some are sorted and shuffled; 32 slices of a task kept 3 each before."""
+    docs = spark.createDataFrame([(i, " ".join(["alpha"] * (i % 37 + 1) + ["beta"] * (i % 5) + [f"own{i}"] * (i % 11))) for i in range(600)], "id long, text string").repartition(4)
+    queries = spark.createDataFrame([(1, "alpha"), (2, "alpha beta"), (None, "beta alpha"), (4, "own7")], "query_id long, text string")
+    terms = query_terms(queries.select("query_id", F.array("text").alias("facets")))
+    index = build_index(docs, vocabulary=terms.select("term").distinct(), small_vocabulary=True).keep()
+    scored = [(r.query_id, r.id, r.scores[0]) for r in score_pairs(terms, index, small_terms=True).collect()]
+    want = []
+    for q in {q for q, *_ in scored}:
+        best = sorted((-s, i) for p, i, s in scored if p == q)[:3]
+        want += [(q, i, n + 1) for n, (_, i) in enumerate(best)]
+    hits = s.search(queries, docs, k=3, index=index)
+    assert sorted(map(str, want)) == sorted(str((r.query_id, r.id, r.rank)) for r in hits.collect()) and len(want) == 10
+    hits = s.search(queries, docs, k=3, index=index)
+    assert _shuffled(hits) < 300
+
+
 def test_shared_words_are_summed_as_bits(spark):
     """A list per pair was sorted by pair first."""
     many = [f"word{i:03d}" for i in range(150)]
