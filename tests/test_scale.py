@@ -1,9 +1,12 @@
 """Steps whose rows must follow the input, not the pairs or parts of it."""
 
+import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from sessionmine.operators import setjoin
 from sessionmine.operators.index import build_index, query_terms, score_pairs, with_shared
 from sessionmine.plans import cards as pc, mining as m, search as s
 
@@ -118,3 +121,33 @@ def test_shared_words_of_a_long_query_are_listed(spark):
     docs = spark.createDataFrame([(0, " ".join(words))], "id long, text string")
     terms = query_terms(docs.select(F.col("id").alias("query_id"), F.array("text").alias("facets")))
     assert with_shared(terms, build_index(docs)).first()["shared"] == words
+
+
+def test_containment_makes_no_rows_for_pairs(spark):
+    """Each of 60 texts has half its words in each of 60 others; 3,600 pairs were shuffled before."""
+    a = spark.createDataFrame([(i, " ".join([f"common{j}" for j in range(8)] + [f"mine{i}x{j}" for j in range(8)])) for i in range(60)], "id long, text string")
+    b = spark.createDataFrame([(i, " ".join([f"common{j}" for j in range(8)] + ([f"mine{i // 2}x0"] if i < 6 else []) + [f"other{i}"])) for i in range(60)], "id long, text string")
+    best = setjoin.max_containment(a, b, 0.5)
+    assert _shuffled(best) < 1000
+    assert {r.id: (r.max_ratio, r.best_id) for r in best.collect()} == {i: (9 / 16, 2 * i) if i < 3 else (0.5, 0) for i in range(60)}
+    assert setjoin.containment(a, b, 0.5).count() == 3600
+
+
+def test_shared_tokens_of_a_block():
+    """Whatever is counted as frequent, the pairs are those of the sets."""
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    a = [rnd.sample(words, rnd.randint(1, 12)) + [f"only{i}"] * (i % 2) for i in range(40)]
+    b = [rnd.sample(words[:24], rnd.randint(0, 20)) for i in range(50)]
+    block = pa.table({"id_b": pa.array(range(50)[::-1]), "toks_b": pa.array(b[::-1], pa.list_(pa.string()))})
+    for threshold in (0.1, 0.5, 0.8):
+        need = [max(-(-len(x) * int(threshold * 10) // 10), 1) for x in a]
+        batch = pa.record_batch({"id_a": pa.array(range(40)), "toks_a": pa.array(a), "need": pa.array(need)})
+        ratios = {(i, j): len(set(x) & set(y)) / len(x) for i, x in enumerate(a) for j, y in enumerate(b)}
+        want = {k: r for k, r in ratios.items() if r * len(a[k[0]]) >= need[k[0]] - 1e-9}
+        for dense in (0, 3, 1024):
+            got = pa.Table.from_batches(list(setjoin._shared(False, dense)(block, iter([batch])))).to_pylist()
+            assert {(r["id_a"], r["id_b"]): r["ratio"] for r in got} == want and len(got) == len(want)
+            got = pa.Table.from_batches(list(setjoin._shared(True, dense)(block, iter([batch])))).to_pylist()
+            assert sorted((r["id_a"], -r["ratio"], r["id_b"]) for r in got) == [
+                min((i, -r, j) for (i, j), r in want.items() if i == n) for n in sorted({i for i, _ in want})]
