@@ -6,7 +6,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sessionmine.operators import setjoin
+from sessionmine.operators import setjoin, topk
 from sessionmine.operators.index import build_index, query_terms, score_pairs, with_shared
 from sessionmine.plans import cards as pc, mining as m, search as s
 
@@ -151,3 +151,23 @@ def test_shared_tokens_of_a_block():
             got = pa.Table.from_batches(list(setjoin._shared(True, dense)(block, iter([batch])))).to_pylist()
             assert sorted((r["id_a"], -r["ratio"], r["id_b"]) for r in got) == [
                 min((i, -r, j) for (i, j), r in want.items() if i == n) for n in sorted({i for i, _ in want})]
+
+
+def test_bounded_search_completes_the_best_pairs_only(spark, monkeypatch):
+    """No bound tells these documents apart: 20 x 300 pairs of 8 words were rows before."""
+    common = " ".join(f"common{j}" for j in range(8))
+    docs = spark.createDataFrame([(i, f"{common} own{i}") for i in range(300)], "id long, text string")
+    queries = spark.createDataFrame([(i, f"{common} own{7 * i}") for i in range(19)] + [(None, f"{common} own299")], "query_id long, text string")
+    rows, sums = [], topk._sums
+
+    def counted(pairs, *more):
+        rows.append(pairs.count())
+        return sums(pairs, *more)
+
+    monkeypatch.setattr(topk, "_sums", counted)
+    got = {(r.query_id, r.rank): r.id for r in s.search(queries, docs, k=3, max_pairs=0).collect()}
+    assert sum(rows) < 20 * 8 * 300 / 10
+    for q in [*range(19), None]:
+        first = 299 if q is None else 7 * q
+        assert [got[q, i] for i in (1, 2, 3)] == [first, *[i for i in range(4) if i != first][:2]]
+    assert len(got) == 60
