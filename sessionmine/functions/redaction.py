@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import wordlists as wl
-from .text import empty, as_col, squeeze
+from .text import empty, as_col, let, squeeze
 
 
 def redact(c, rules=wl.CREDENTIAL_RULES) -> Column:
@@ -69,26 +69,31 @@ def deidentify(c, ids, auto_detect: bool = False) -> Column:
     Numbers follow the first position in the raw text; of two names that start
     at the same place the longer one goes first.
     """
-    text = as_col(c)
+    return scrub_absolute_paths(let(c, lambda text: let(
+        _found_identifiers(text, ids, auto_detect), lambda found: _marked(text, found))))
+
+
+def _found_identifiers(text: Column, ids, auto_detect: bool) -> Column:
     names = F.coalesce(as_col(ids), empty())
     if auto_detect:
         names = F.concat(names, detect_identifiers(text))
     usable = F.filter(
         F.array_distinct(names),
         lambda v: (F.length(F.trim(v)) >= 3) & ~v.isin(wl.COMMON_TERMS) & F.contains(text, v))
-    ranked = F.array_sort(F.transform(usable, lambda v: F.struct(
+    return F.array_sort(F.transform(usable, lambda v: F.struct(
         F.position(v, text).alias("at"),
         (-F.length(v)).alias("neg_len"), v.alias("value"), identifier_kind(v).alias("kind"))))
 
+
+def _marked(text: Column, ranked: Column) -> Column:
     def placeholder(item: Column, i: Column) -> Column:
         same = F.filter(F.slice(ranked, F.lit(1), i + 1), lambda o: o["kind"] == item["kind"])
         return F.struct(
             item["value"].alias("value"),
             F.concat(F.lit("<"), item["kind"], F.size(same).cast("string"), F.lit(">")).alias("mark"))
 
-    out = F.aggregate(F.transform(ranked, placeholder), redact(text),
-                      lambda acc, p: F.replace(acc, p["value"], p["mark"]))
-    return scrub_absolute_paths(out)
+    return F.aggregate(F.transform(ranked, placeholder), redact(text),
+                       lambda acc, p: F.replace(acc, p["value"], p["mark"]))
 
 
 def scrub_external_paths(c, cwd) -> Column:
@@ -116,6 +121,6 @@ def identifiers_from_paths(paths) -> Column:
 
 def identifier_leaks(c, ids) -> Column:
     """Identifiers (three characters or more) still present in the text."""
-    return F.array_distinct(F.filter(
+    return let(c, lambda text: F.array_distinct(F.filter(
         F.coalesce(as_col(ids), empty()),
-        lambda v: (F.length(v) >= 3) & F.contains(as_col(c), v)))
+        lambda v: (F.length(v) >= 3) & F.contains(text, v))))

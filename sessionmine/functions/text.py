@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from . import wordlists as wl
@@ -16,6 +18,12 @@ def as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(c, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once a row, however often and in whatever lambda
+    the body names it (a column would be computed again for each item of a list)."""
+    return F.get(F.transform(F.array(as_col(c)), body), F.lit(0))
+
+
 def squeeze(c) -> Column:
     """Collapse white space (Unicode too) to single blanks and trim."""
     return F.trim(F.regexp_replace(as_col(c), f"[{wl.SPACE}]+", " "))
