@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import cards as cf, wordlists as wl
 from ..functions.paths import action_terms, files_from_arguments
-from ..functions.text import arr, card_key, norm_key, normalize_domain, strip
+from ..functions.text import arr, as_col, card_key, empty, norm_key, normalize_domain, strip
 from ..operators.joins import join_null_safe
 from ..operators.probes import rarest
 from ..operators.ranking import top_per_group
 from ..operators.running import running
 from ..operators.setjoin import containment, max_containment
+from ..operators.sizes import hint, is_small, keep
 from .sessions import evidence_terms, is_evidence
 
 KEYS = ["scope", "partition", "key"]
@@ -20,6 +21,9 @@ LIST_CAPS = {"steps": 24, "invariants": 24, "pitfalls": 24, "verify": 24, "tags"
 REFERENCE_EPOCH = 2
 GENERIC_NEEDLE_CARDS = 3
 MAX_CONFLICTS = 8
+SEPARATOR = "[./#-]"
+#: Characters before and after a separator by which compound needles are found, longest first.
+WIDTHS = sorted(((a, b) for a in (6, 3, 1) for b in (6, 3, 1)), key=lambda w: -w[0] - w[1])
 
 _API = "array<struct<symbol:string,signature:string,notes:string>>"
 _EVIDENCE = "array<struct<kind:string,repo:string,role:string,hint:string,session_id:string>>"
@@ -288,9 +292,12 @@ def usage_counters(events: DataFrame) -> DataFrame:
 # ---- references -----------------------------------------------------------------
 
 def needles(cards: DataFrame) -> DataFrame:
-    """`id, pos, needle`; cards bring `symbols` or `subject` and `api`."""
+    """`id, pos, needle`; cards bring `symbols` or `subject` and `api`.
+
+    Kept, since those who look for needles read them several times.
+    """
     syms = F.col("symbols") if "symbols" in cards.columns else cf.symbols("subject", "api")
-    return cards.select("id", F.posexplode(cf.reference_needles(syms)).alias("pos", "needle"))
+    return keep(cards.select("id", F.posexplode(cf.reference_needles(syms)).alias("pos", "needle")))
 
 
 def generic_needles(card_needles: DataFrame, min_cards: int = GENERIC_NEEDLE_CARDS) -> DataFrame:
@@ -298,27 +305,36 @@ def generic_needles(card_needles: DataFrame, min_cards: int = GENERIC_NEEDLE_CAR
             .filter(F.col("n_cards") >= min_cards))
 
 
+def around(c, before: int, after: int) -> Column:
+    """The characters around each separator of a text that has so many on both sides."""
+    return F.regexp_extract_all(as_col(c), F.lit(f"(?=(.{{{before}}}{SEPARATOR}.{{{after}}}))"), F.lit(1))
+
+
 def needle_hits(calls: DataFrame, card_needles: DataFrame, keys: list[str]) -> DataFrame:
     """`keys..., call_id, id, needle, pos` where a call's `arguments` mention a needle.
 
     Substring search as equi-joins: a plain identifier must equal a whole identifier of the
-    arguments; a compound needle is found by the three characters around that separator of
-    it which the fewest needles share, and then checked in full.
+    arguments; a compound needle is found by the characters around that separator of it which
+    the fewest needles share, as many of them on each side as it has, and then checked in full.
     """
-    sep = "[./#-]"
-    around = F.regexp_extract_all("needle", F.lit(f"(?=(.{sep}.))"), F.lit(1))
-    each = card_needles.select("needle").distinct().withColumn("compound", F.col("needle").rlike(sep))
-    each = each.withColumn("probes", F.when(F.col("compound"), around).otherwise(F.array("needle")))
+    each = card_needles.select("needle").distinct().withColumn("compound", F.col("needle").rlike(SEPARATOR))
+    widths = F.filter(F.array(*[F.struct(F.lit(a).alias("before"), F.lit(b).alias("after"), around("needle", a, b).alias("probes"))
+                                for a, b in WIDTHS]), lambda w: F.size(w["probes"]) > 0)
+    each = keep(each.withColumn("at", F.when(F.col("compound"), F.get(widths, F.lit(0)))))
+    each = each.withColumn("probes", F.when(F.col("compound"), F.col("at.probes")).otherwise(F.array("needle")))
     shared = each.select(F.explode(F.array_distinct("probes")).alias("probe")).groupBy("probe").agg(F.count(F.lit(1)).alias("n"))
     n = card_needles.join(rarest(each, ["needle", "compound"], "probes", shared), "needle")
     plain = F.array_distinct(F.regexp_extract_all("arguments", F.lit("([A-Za-z0-9_$]+)"), F.lit(1)))
-    windows = F.array_distinct(F.regexp_extract_all("arguments", F.lit(f"(?=(.{sep}.))"), F.lit(1)))
+    # Only windows of the sizes that some needle is looked for by.
+    sizes = each.filter("at IS NOT NULL").select("at.before", "at.after").distinct().collect()
+    windows = F.array_distinct(F.concat(empty(), *[around("arguments", w.before, w.after) for w in sizes]))
     probes = calls.select(*keys, "call_id", F.explode(F.concat(
         F.transform(plain, lambda t: F.struct(F.lit(False).alias("compound"), t.alias("probe"))),
         F.transform(windows, lambda t: F.struct(F.lit(True).alias("compound"), t.alias("probe"))))).alias("p"))
     probes = probes.select(*keys, "call_id", "p.compound", "p.probe")
     on = [*[k for k in keys if k in card_needles.columns], "compound", "probe"]
-    found = probes.join(n, on).select(*keys, "call_id", "id", "needle", "pos", "compound").distinct()
+    n = keep(n)
+    found = probes.join(hint(n, is_small(n)), on).select(*keys, "call_id", "id", "needle", "pos", "compound").distinct()
     sure = found.filter(~F.col("compound")).drop("compound")
     check = found.filter("compound").drop("compound").join(
         calls.select(*keys, "call_id", "arguments"), [*keys, "call_id"]).filter(

@@ -13,8 +13,8 @@ from sessionmine.operators.index import build_index, query_terms, score_pairs, w
 from sessionmine.plans import cards as pc, mining as m, search as s
 
 
-def _shuffled(df):
-    """Rows that a query wrote to all its shuffles."""
+def _shuffled(df, kind="Exchange$", metric="shuffleRecordsWritten"):
+    """Rows that a query wrote to all its shuffles (or another metric of its nodes)."""
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     todo, rows = [df._jdf.queryExecution().executedPlan()], 0
@@ -25,8 +25,8 @@ def _shuffled(df):
             todo.append(node.executedPlan())
         elif "QueryStage" in node.nodeName():
             todo.append(node.plan())
-        elif node.nodeName() == "Exchange":
-            rows += node.metrics().apply("shuffleRecordsWritten").value()
+        elif re.match(kind, node.nodeName()):
+            rows += node.metrics().apply(metric).value()
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
     return rows
@@ -185,3 +185,14 @@ def test_a_text_is_made_once_for_all_identifiers(spark):
     assert time.time() - began < 30
     assert [sorted(r.r) for r in got] == [["Name1", "Name12", "Name7"], [], []]
     assert clean[0].r.startswith("<Class1> and <Class2> in plain") and clean[1].r is None and clean[2].r == "Name7"
+
+
+def test_needles_with_the_same_letters_at_the_separator(spark):
+    """All 300 needles have "e.d" in them, as all calls do: each met each before, 30,000 rows."""
+    needles = [(i, 0, f"Some{i:03d}Name.done{i:03d}") for i in range(300)] + [(900, 0, "e.do"), (901, 1, "a.b/cd"), (902, 0, "fs.readFile"), (903, 0, "x.e.d")]
+    texts = [f"call.Some{i:03d}Name.done{i:03d}4(x) one.done e.d" for i in range(97)] + ["a.b/c a.b/cd fs.readFileSync", "fs.read x.e.do", ""]
+    calls = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)] + [("s", 200, None)], "session_id string, call_id long, arguments string")
+    n = spark.createDataFrame(needles, "id long, pos int, needle string")
+    hits = pc.needle_hits(calls, n, ["session_id"])
+    assert _shuffled(hits, ".*Join$", "numOutputRows") < 3000
+    assert {(r.call_id, r.id) for r in hits.collect()} == {(i, id) for i, t in enumerate(texts) for id, _, x in needles if x in t}
