@@ -284,11 +284,15 @@ def is_evidence(c) -> Column:
     return ~term.isin(noise) & (~term.rlike("^[a-z0-9_]+$") | (F.length(term) >= wl.ADVISORY_MIN_LATIN))
 
 
-def evidence_terms(cards: DataFrame) -> DataFrame:
-    """`id, term`: distinct words of a card's text and symbols (tags prove nothing)."""
+def evidence_words(cards: DataFrame) -> Column:
+    """Distinct words of a card's text and symbols (tags prove nothing)."""
     syms = F.array_join(arr("symbols"), " ") if "symbols" in cards.columns else F.lit("")
-    return cards.select("id", F.explode(F.array_distinct(F.concat(
-        tokens(F.col("text")), tokens(syms)))).alias("term"))
+    return F.array_distinct(F.concat(tokens(F.col("text")), tokens(syms)))
+
+
+def evidence_terms(cards: DataFrame) -> DataFrame:
+    """`id, term`: the evidence words of each card."""
+    return cards.select("id", F.explode(evidence_words(cards)).alias("term"))
 
 
 def reflect_decisions(turns: DataFrame, cards: DataFrame, min_turns: int = 3, threshold: float = 0.15,

@@ -196,3 +196,47 @@ def test_needles_with_the_same_letters_at_the_separator(spark):
     hits = pc.needle_hits(calls, n, ["session_id"])
     assert _shuffled(hits, ".*Join$", "numOutputRows") < 3000
     assert {(r.call_id, r.id) for r in hits.collect()} == {(i, id) for i, t in enumerate(texts) for id, _, x in needles if x in t}
+
+
+def test_advice_counts_words_where_the_card_lies(spark):
+    """Each of 60 calls shares words with all 80 cards: 4,800 pairs of 30 words were rows before."""
+    rng = random.Random(4)
+    words = [f"common{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    cards = [(i, f"2024-01-{i % 9 + 1:02d}", " ".join(["shared", *rng.sample(words, 30)])) for i in range(80)]
+    cards += [(3, "2024-02-01", "shared commonaa")] + [(None, "2024-01-01", " ".join(words))]
+    texts = ["shared." + ".".join(rng.sample(words, 20)) for _ in range(60)]
+    tools = ["edit", "read", None]
+    calls = [("s%d" % (i % 5), i, tools[i % 3], '{"note": "%s"}' % t) for i, t in enumerate(texts)] + [("s0", 0, "edit", '{"note": "%s"}' % texts[0]), (None, 99, "edit", '{"note": "shared.x"}')]
+    precise = [("s%d" % (i % 5), i, j, j % 3) for i in range(60) for j in range(i % 7, 80, 11)]
+    seen = [("s1", j) for j in range(0, 80, 2)] + [(None, 1), ("s2", None)]
+
+    def want(k, named, hidden):
+        held = {}
+        for i, _, text in cards:
+            held.setdefault(i, []).extend(dict.fromkeys(text.split()))
+        out = []
+        for s, c in dict.fromkeys(x[:2] for x in calls):
+            mine = [(tool, t) for s2, c2, tool, args in calls if (s2, c2) == (s, c) for t in args[10:-2].split(".")]
+            rows = []
+            for i, ts, _ in cards:
+                met = [t for _, t in mine for w in held[i] if w == t and len(t) > 4]
+                if i is None or not met or s and (s, i) in hidden:
+                    continue
+                n = named.get((s, c, i))
+                tool = mine[0][0]
+                exact, several = (0, 0) if n is None or tool == "read" else (1, int(n >= 2)) if tool else (None, None if n >= 2 else 0)
+                low = lambda x: -1 if x is None else x
+                rows.append(((-low(exact), -low(several), -len(met), -sum(map(len, met)), tuple(-ord(x) for x in ts), i), (s, c, i, sorted(set(met)), len(met), sum(map(len, met)), exact)))
+            out += [(*r, rank) for rank, (_, r) in enumerate(sorted(rows, key=lambda x: x[0])[:k], 1)]
+        return sorted(out, key=str)
+
+    c = spark.createDataFrame(cards, "id long, ts string, text string").withColumn("ts", F.col("ts").cast("timestamp"))
+    a = spark.createDataFrame(calls, "session_id string, call_id long, tool string, arguments string")
+    p = spark.createDataFrame(precise, "session_id string, call_id long, id long, n_needles long")
+    v = spark.createDataFrame(seen, "session_id string, id long")
+    plain = pc.advise(a, c)
+    assert _shuffled(plain) < 2000
+    assert sorted(map(tuple, plain.collect()), key=str) == want(1, {}, set())
+    names = {r[:3]: r[3] for r in precise}
+    for k in (1, 3, 200):
+        assert sorted(map(tuple, pc.advise(a, c, p, v, k).collect()), key=str) == want(k, names, set(seen))
